@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreflow.llm import chunk_encoding, packing, token_output
+from oreflow.llm import chunk_encoding, packing, quality_model, quality_rules, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.query,
+    "op2_quality_model": quality_model.query,
     "op8_token_output": token_output.query,
     "op9_packing": packing.query,
     "op10_chunk_encoding": chunk_encoding.query,
