@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreflow.llm import chunk_encoding, ngram_join, packing, quality_model, quality_rules, token_output
+from oreflow.llm import chunk_encoding, html_extraction, ngram_join, packing, phrase_fingerprint, quality_model, quality_rules, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
     "op2_quality_model": quality_model.query,
     "op3_ngram_join": ngram_join.query,
+    "op6_phrase_fingerprint": phrase_fingerprint.query,
+    "op7_html_extraction": html_extraction.query,
     "op8_token_output": token_output.query,
     "op9_packing": packing.query,
     "op10_chunk_encoding": chunk_encoding.query,
