@@ -46,7 +46,7 @@ def words(text: Column) -> Column:
 def repeated_words(word_hashes: Column) -> Column:
     """Words in 5-word windows found twice or more in the text, first occurrences included."""
     n = F.size(word_hashes)
-    windows = lambda h: F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
+    windows = lambda h: F.transform(F.slice(h, 1, n - 4), lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, 5)]))
 
     def places(s: Column) -> Column:
         same = lambda e, i: (F.get(s, i - 1)["h"] == e["h"]) | (F.get(s, i + 1)["h"] == e["h"])
@@ -62,46 +62,47 @@ def repeated_words(word_hashes: Column) -> Column:
     return F.when(n < 5, 0).otherwise(_let(windows(word_hashes), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0))).cast("long")
 
 
+def word_hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.crc32(x))
+
+
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and ``_g``: the hashed words, 28 bits each."""
+    """``docs`` with the base counts, ``base_failed`` and ``_g``: the hashed words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    length = lambda drop: F.char_length(F.translate(text, drop, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SEPARATORS, "") != "")
-    hashes = F.transform(words(text), lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"))
-    out = docs.select(
+    out = docs.select("*", words(text).alias("_w")).select(
         "*",
-        F.transform(words(text), lambda w: F.xxhash64(w)).alias("_h"),
-        hashes.alias("_g"),
-        length(SEPARATORS).cast("long").alias("word_chars"),
-        (F.char_length(text) - length(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.transform(F.col("_w"), lambda w: F.xxhash64(w)).alias("_h"),
+        word_hashes(F.col("_w")).alias("_g"),
+        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
-    out = out.select("*", F.size("_h").cast("long").alias("n_words"), repeated_words(F.col("_h")).alias("n_repeat_words")).drop("_h")
+    out = out.select("*", F.size("_h").cast("long").alias("n_words"), repeated_words(F.col("_h")).alias("n_repeat_words")).drop("_h", "_w")
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def hashed_grams(g: Column, buckets: int) -> Column:
     """Words to buckets 0 .. buckets - 1 and pairs of neighbours to buckets .. 2 * buckets - 1."""
     ones = F.transform(g, lambda x: F.pmod(x, F.lit(buckets)))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda i: F.lit(buckets) + F.pmod(F.get(g, i - 1).cast("long") * 31 + F.get(g, i), F.lit(buckets)).cast("int"))
-    return F.concat(ones, F.when(F.size(g) > 1, pairs).otherwise(F.array().cast("array<int>")))
+    pairs = F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda i: F.lit(buckets) + F.pmod(F.get(g, i - 1) * 31 + F.get(g, i), F.lit(buckets)))
+    return F.concat(ones, F.when(F.size(g) > 1, pairs).otherwise(F.array().cast("array<bigint>"))).cast("array<int>")
 
 
-def gram_counts(docs: DataFrame, buckets: int, text_col: str = "text") -> DataFrame:
-    g = F.transform(words(F.coalesce(F.col(text_col), F.lit(""))), lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int"))
-    rows = docs.select(g.alias("_g")).select(F.explode(hashed_grams(F.col("_g"), buckets)).alias("bucket"))
-    return rows.groupBy("bucket").agg(F.count("*").alias("n"))
+def gram_counts(docs: DataFrame, buckets: int, target: Column, text_col: str = "text") -> DataFrame:
+    """``bucket, raw, target``: occurrences in all documents, and in those for which ``target`` is 1."""
+    g = word_hashes(words(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = docs.select(g.alias("_g"), target.alias("_t")).select("_t", F.explode(hashed_grams(F.col("_g"), buckets)).alias("bucket"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
 
 
 def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
     """log(p_target / p_raw) of each of the ``2 * buckets`` buckets."""
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
+    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("_trusted", F.lit(1))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    target = docs.select(id_col, text_col).join(F.broadcast(ids) if few else ids, id_col, "left_semi")
-    none = F.lit(0).cast("long")
-    both = gram_counts(docs, buckets, text_col).select("bucket", F.col("n").alias("raw"), none.alias("target")).unionByName(gram_counts(target, buckets, text_col).select("bucket", none.alias("raw"), F.col("n").alias("target")))
+    marked = docs.select(id_col, text_col).join(F.broadcast(ids) if few else ids, id_col, "left")
     # 2 * buckets rows at most, whatever the corpus.
-    found = {r["bucket"]: (r["raw"], r["target"]) for r in both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()}
+    found = {r["bucket"]: (r["raw"], r["target"]) for r in gram_counts(marked, buckets, F.coalesce("_trusted", F.lit(0)), text_col).collect()}
     out: list[float] = []
     for half in (range(buckets), range(buckets, 2 * buckets)):
         counts = [found.get(b, (0, 0)) for b in half]
