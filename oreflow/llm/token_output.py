@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from oreflow.llm import common, tokens
 
 FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<int>, symbols_per_doc array<int>, n_ids bigint, before bigint, base bigint, rules binary, rule_lengths binary, symbols binary"
-_BINS = 20
+_BINS = 18
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, per_round: int = 4096, min_count: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +56,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, per_
         bins ^= bins >> np.uint32(15)
         bins &= np.uint32((1 << _BINS) - 1)
         counts = np.bincount(bins, minlength=1 << _BINS)
-        least = max(min_count, int(np.partition(counts, -per_round)[-per_round]))
+        fullest = np.cumsum(np.bincount(np.minimum(counts, 4095), minlength=4096)[::-1])
+        least = max(min_count, 4095 - int(np.searchsorted(fullest, per_round)))
         at = np.flatnonzero((counts >= least)[bins] & ~last[:-1])
         if not len(at):
             break

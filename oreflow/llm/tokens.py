@@ -8,8 +8,10 @@ ids of a text are the ids of its pieces, one after another.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -18,9 +20,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 #: Pieces kept by one worker; later ones live for one batch only.
-MAX_PIECES = 600_000
+MAX_PIECES = 1_400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,7 +32,7 @@ def tokenizer_path(name: str) -> str:
 
 def pieces(text: str) -> list[str]:
     """Keys of a text's pieces: NUL + text for the first, line feed + text after a line feed, the bare text after a blank."""
-    if _ODD_SPACE.search(text):
+    if " ".join(text.split()) != text.replace("\n", " "):  # other white space than single blanks and line feeds between words
         first, *rest = _SPLIT.split(text)
         return ["\0" + first, *[x[1:] if x[0] == " " else x for x in rest]]
     parts = text.replace("\n", " \n").split(" ")
@@ -57,6 +58,36 @@ class PieceEncoder:
         self.mark_id, mark = max(added.items(), key=lambda x: x[0])
         self.mark = mark.content
         self.known: dict[str, bytes] = {}
+        self.single = self._single_word_form()
+        self.tails = {c: self.direct(c) for c in ".,!?;:"} | {"\n": self.direct("\n")}
+
+    def _single_word_form(self) -> tuple[str, bool] | None:
+        """How the model sees an ASCII word behind a blank: the sign put before it, and whether it is lower-cased."""
+        spec = json.loads(self.tokenizer.to_str())
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
+            return "\u0120", False  # the byte-level sign of the blank
+        if norm and "Lowercase" in [x["type"] for x in norm.get("normalizers", [norm])] and spec["model"].get("end_of_word_suffix"):
+            return "", True
+        return None
+
+    def _word(self, key: str) -> bytes | None:
+        """Ids of a plain ASCII word, with one punctuation mark or a line feed at its end or start, straight from the model."""
+        if self.single is None or not key.isascii():
+            return None
+        sign, lower = self.single
+        before = after = b""
+        if key[0] == "\n":
+            before, sign, key = self.tails["\n"], "", key[1:]
+        if key and key[-1] in self.tails:
+            after, key = self.tails[key[-1]], key[:-1]
+        if not key.isalpha():
+            return None
+        if sign or lower:
+            found = self.known.get(key)
+            if found is not None:
+                return before + found + after
+        return before + array("I", [t.id for t in self.tokenizer.model.tokenize(sign + (key.lower() if lower else key))]).tobytes() + after
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,12 +95,14 @@ class PieceEncoder:
     def _learn(self, keys: Iterable[str], into: dict[str, bytes]) -> None:
         plain = []
         for k in keys:
-            if "<" in k and any(s in k for s in self.special):
+            if (ids := self._word(k)) is not None:
+                into[k] = ids
+            elif "<" in k and any(s in k for s in self.special):
                 into[k] = self.direct(_segment(k))
             else:
                 plain.append(k)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
+        for at in range(0, len(plain), 32):
+            some = plain[at : at + 32]
             ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(map(_segment, some))], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(ids == self.mark_id).tolist()
             if len(ends) != len(some) - 1:  # a piece that itself makes the mark: never for whole special tokens
@@ -82,21 +115,23 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if not x or "\0" in x else pieces(x) for x in texts]
-        known = self.known
-        missing = {k for p in cut if p for k in p if k not in known}
+        get = self.known.get
+        got = [list(map(get, p)) if p else None for p in cut]
+        missing = {k for p, g in zip(cut, got, strict=True) if g and None in g for k, v in zip(p, g, strict=True) if v is None}
+        found: dict[str, bytes] = {}
         if missing:
-            room = MAX_PIECES - len(known)
-            found: dict[str, bytes] = {}
             self._learn(missing, found)
-            if len(found) <= room:
-                known.update(found)
+            room = MAX_PIECES - len(self.known)
+            self.known.update(found if len(found) <= room else list(found.items())[: max(0, room)])
+        out = []
+        for x, p, g in zip(texts, cut, got, strict=True):
+            if not p:
+                out.append(self.direct(x) if x else b"")
+            elif found and None in g:
+                out.append(b"".join([found[k] if v is None else v for k, v in zip(p, g, strict=True)]))
             else:
-                if room > 0:
-                    known.update(list(found.items())[:room])
-                both = {k: known[k] for p in cut if p for k in p if k in known}
-                known = both | found
-        get = known.__getitem__
-        return [b"".join(map(get, p)) if p else self.direct(x) if x else b"" for x, p in zip(texts, cut, strict=True)]
+                out.append(b"".join(g))
+        return out
 
 
 @lru_cache(maxsize=4)
