@@ -42,6 +42,8 @@ SKETCH_BITS = 18
 #: A shingle whose sketch count is over this many times the mean count is dealt out over SALTS keys.
 HEAVY, SALTS = 8, 32
 BLOCK = 256
+#: Ids of documents up to this many are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_set(text: str, n: int = N) -> np.ndarray:
@@ -175,6 +177,29 @@ def _ordered_sets(docs: DataFrame, sketch) -> DataFrame:
     return common.map_rows(docs.select("text"), run, "cls bigint, sequence binary").dropDuplicates(["cls"])
 
 
+def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs whose lengths and common rare shingles leave the threshold in reach.
+
+    Of the set whose prefix ends first in the global order, every common
+    shingle outside both prefixes lies behind its prefix; so a pair has at
+    most |prefixes in common| + max(n - prefix length) shingles in common.
+    """
+    side = lambda x: prefixes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("toks").alias(f"toks_{x}"))
+    behind = lambda n: f"(int((3 * {n} + 3) / 4) - 1)"
+    both = pairs.join(side("a"), "a").where("n_a is not null").join(side("b"), "b")
+    near = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+    enough_common = f"7 * (size(array_intersect(toks_a, toks_b)) + greatest({behind('n_a')}, {behind('n_b')})) >= 3 * (n_a + n_b)"
+    return common.cut_lineage(both.where(near).where(enough_common).select("a", "b"))
+
+
+def _sets_of(pairs: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
+    """The ordered sets of the classes in ``pairs``, each read from one document of the class."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    ids = common.cut_lineage(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return common.saved(_ordered_sets(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), sketch), "shingle-sets")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: for each a, blocks of b's in a prefix tree that a's set walks."""
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -232,27 +257,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = first.where("counts is null").select("doc_id", "n", "cls")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One exchange serves the aggregation and the join.
+    # One exchange serves the aggregation and the join; for that, the aggregation too reads every column.
     rows = _prefixes(base, sketch).repartition(parts, "tok", "salt")
-    centres = rows.groupBy("tok", "salt").agg(F.min("cls").alias("centre"), F.max("cls").alias("last"))
+    centres = rows.groupBy("tok", "salt").agg(F.min("cls").alias("centre"), F.max("cls").alias("last"), F.max("n").alias("_n"), F.max("place").alias("_place")).where("_n > 0 and _place >= 0").drop("_n", "_place")
     shared = common.saved(rows.join(centres.where("centre != last or salt != 0").drop("last"), ["tok", "salt"]), "shared-shingles")
     own = shared.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
     tops = shared.where("salt != 0 or cls = centre").select("tok", "centre").distinct()
     top = tops.groupBy("tok").agg(F.min("centre").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
     between = tops.join(top, "tok").where("a != centre").select("a", F.col("centre").alias("b"))
-    pairs = common.cut_lineage(own.union(between).distinct())
-
-    wanted = shared.select("cls").distinct()
-    ids = classes.where("n > 0 and doc_id is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    sets = common.saved(_ordered_sets(base.join(ids, "doc_id", "left_semi"), sketch), "shingle-sets")
+    prefixes = shared.groupBy("cls", "n").agg(F.collect_set("tok").alias("toks"))
+    pairs = _possible(own.union(between).distinct(), prefixes)
 
-    links = common.cut_lineage(_verify(pairs, sets))
+    members = classes.where("n > 0 and doc_id is not null")
+    links = common.cut_lineage(_verify(pairs, _sets_of(pairs, members, base, sketch)))
     label = components(links)
     rest = _remaining(shared, label, pairs)
     if rest is not None:
-        links = links.union(_verify(rest, sets))
+        rest = _possible(rest, prefixes)
+        links = links.union(_verify(rest, _sets_of(rest, members, base, sketch)))
         label = components(links)
-    nodes = classes.where("n > 0 and doc_id is not null").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    nodes = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = nodes.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(classes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
