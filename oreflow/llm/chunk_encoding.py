@@ -101,16 +101,17 @@ def join_ids(parts: list[str], ids: list[bytes], encode) -> bytes:
 
 def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
     """``doc_id, ids`` (uint32 bytes) of every document, or with ``digest`` the figures of :func:`query` in place of the ids."""
-    base = common.texts(docs)
+    whole_base = common.texts(docs)
+    # The same filter in both joins below, so that they share one exchange of the texts.
+    base = whole_base.where("doc_id is not null")
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             ids, found = [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if i is not None:
-                    own = dict.fromkeys(map(chunk_hash, chunks(x)))
-                    ids += [i] * len(own)
-                    found += own
+                own = dict.fromkeys(map(chunk_hash, chunks(x)))
+                ids += [i] * len(own)
+                found += own
             yield {"doc_id": ids, "h": found}
 
     places = common.cut_lineage(common.map_rows(base, hashes, "doc_id bigint, h binary"))
@@ -148,7 +149,8 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
                 yield {"doc_id": names, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back]}
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "doc_id bigint, ids binary"
-    return common.map_rows(base.join(given, "doc_id", "left").select("doc_id", "text", "given"), assemble, schema)
+    nameless = whole_base.where("doc_id is null").withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
+    return common.map_rows(base.join(given, "doc_id", "left").select("doc_id", "text", "given").union(nameless), assemble, schema)
 
 
 def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
