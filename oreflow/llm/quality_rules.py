@@ -30,8 +30,8 @@ SYMBOLS = "#*$%&|<>"
 #: Trusted ids up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 BUCKETS = 1 << 14
-SMOOTHING = 1.0
-THRESHOLD = -0.1
+SMOOTHING = 8.0
+THRESHOLD = -0.11
 
 
 def _let(value: Column, body) -> Column:
@@ -107,8 +107,8 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoo
     for half in (range(buckets), range(buckets, 2 * buckets)):
         counts = [found.get(b, (0, 0)) for b in half]
         raw, target = (sum(c) for c in zip(*counts, strict=True))
-        extra = smoothing * buckets
-        out += [math.log((t + smoothing) / (target + extra) * (raw + extra) / (r + smoothing)) if target else 0.0 for r, t in counts]
+        # Both with the same prior, the raw counts at the target's size: a bucket with little evidence has a ratio near 1.
+        out += [math.log((t + smoothing) / (r * target / raw + smoothing)) if target else 0.0 for r, t in counts]
     return out
 
 
@@ -118,8 +118,10 @@ def judged(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, thre
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios(docs, trusted_ids, buckets, id_col=id_col, text_col=text_col))), ",").cast("array<double>")
     grams = F.col("_grams")
     total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    scored = features(docs, text_col).withColumn("_grams", hashed_grams(F.col("_g"), buckets)).withColumn("score", F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_g", "_grams")
+    # The row number keeps a caller's filter on ``kept`` above this projection; pushed below, it would repeat the work for every word.
+    score = F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
+    scored = features(docs, text_col).withColumn("_grams", hashed_grams(F.col("_g"), buckets)).select("*", score.alias("score"), F.monotonically_increasing_id().alias("_row"))
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_row") >= 0)).drop("_g", "_grams", "_row")
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
