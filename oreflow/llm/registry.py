@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oreflow.llm import chunk_encoding, html_extraction, ngram_join, packing, phrase_fingerprint, quality_model, quality_rules, token_output
+import corpus_pipeline
+from oreflow.llm import chat_format, chunk_encoding, html_extraction, language_id, ngram_join, packing, phrase_fingerprint, quality_model, quality_rules, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
     "op2_quality_model": quality_model.query,
     "op3_ngram_join": ngram_join.query,
+    "op4_chat_format": chat_format.query,
+    "op5_language_id": language_id.query,
     "op6_phrase_fingerprint": phrase_fingerprint.query,
     "op7_html_extraction": html_extraction.query,
     "op8_token_output": token_output.query,
     "op9_packing": packing.query,
     "op10_chunk_encoding": chunk_encoding.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {}
