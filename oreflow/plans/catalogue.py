@@ -2,5 +2,516 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from oreflow.functions.values import as_number, as_text, round_to
+from oreflow.operators import field, models, record, report
+from oreflow.sources import samples
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+#: The generator's draw at position i, in DuckDB.
+_TIMES = "((({})::HUGEINT * ({})::HUGEINT) % 4294967296)::BIGINT"
+
+
+def draw_sql(seed: int, rows: str) -> str:
+    """SQL that adds ``u`` to ``rows``, a query with ``i``, by the generator's four steps."""
+    t = _TIMES.format("xor(a, a >> 15)", "a | 1")
+    v = _TIMES.format("xor(t, t >> 7)", "t | 61")
+    return f"(SELECT *, xor(w, w >> 14) / 4294967296.0 AS u FROM (SELECT *, xor((t + {v}) & 4294967295, t) AS w FROM (SELECT *, {t} AS t FROM (SELECT *, (({seed} + (i + 1)::HUGEINT * 1831565813) % 4294967296)::BIGINT AS a FROM ({rows})))))"
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r4(x: str) -> str:
+    return f"floor(({x}) * 10000.0 + 0.5) / 10000.0"
+
+
+def _r(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: round_to(F.col(n)) for n in names})
+
+
+# -- selection, projection ------------------------------------------------------------
+
+
+@query(f"""SELECT l_returnflag, l_linestatus, {r4('sum(revenue)')} AS revenue_Sum, {r4('avg(revenue)')} AS revenue_Mean, {r4('min(revenue)')} AS revenue_Min, {r4('max(revenue)')} AS revenue_Max, {r4('stddev_samp(revenue)')} AS revenue_SDev, count(*) AS Record_Count
+FROM (SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem WHERE l_quantity <= 45) GROUP BY ALL""")
+def pricing_summary(t):
+    rows = field.derive(record.select(t("lineitem"), record.condition(t("lineitem"), "l_quantity", "<=", "45")), "revenue", "l_extendedprice * (1 - l_discount)")
+    out = record.aggregate(rows, ["l_returnflag", "l_linestatus"], ["revenue"], ["Sum", "Mean", "Min", "Max", "SDev"])
+    return _r(record.sort(out, "l_returnflag", keys=["l_linestatus"]), *[f"revenue_{f}" for f in ("Sum", "Mean", "Min", "Max", "SDev")])
+
+
+for _name, _op, _sql in (("eq", "=", "="), ("ne", "!=", "<>"), ("gt", ">", ">"), ("ge", ">=", ">="), ("lt", "<", "<"), ("le", "<=", "<=")):
+
+    def _select(t, op=_op):
+        return record.select(t("part"), record.condition(t("part"), "p_size", op, "25")).select("p_partkey", "p_size")
+
+    _select.__name__ = f"select_{_name}"
+    query(f"SELECT p_partkey, p_size FROM part WHERE p_size {_sql} 25")(_select)
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE lower(o_orderpriority) LIKE '%hi%'")
+def select_contains(t):
+    return record.select(t("orders"), record.condition(t("orders"), "o_orderpriority", "contains", "HI")).select("o_orderkey", "o_orderpriority")
+
+
+def _labelled(t):
+    return t("documents").select("doc_id", "lang", "n_chars").join(t("labels"), "doc_id", "left")
+
+
+_LABELLED = "(SELECT d.doc_id, lang, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+@query(f"SELECT doc_id FROM {_LABELLED} WHERE quality IS NULL")
+def select_missing(t):
+    return record.select(_labelled(t), record.condition(_labelled(t), "quality", "is missing")).select("doc_id")
+
+
+@query(f"SELECT doc_id, quality FROM {_LABELLED} WHERE NOT coalesce(quality > 0, false)")
+def select_discard_keeps_missing(t):
+    d = _labelled(t)
+    return record.select(d, record.condition(d, "quality", ">", "0"), keep=False).select("doc_id", "quality")
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_discount > 0.05 AND l_tax < 0.04 OR l_quantity = 1")
+def select_expression(t):
+    return record.select(t("lineitem"), "l_discount > 0.05 AND l_tax < 0.04 OR l_quantity = 1").select(*LINE)
+
+
+@query(f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {r4('sqrt(l_extendedprice) + ln(l_quantity) * 2')} AS score FROM lineitem")
+def derive_arithmetic(t):
+    return _r(field.derive(t("lineitem"), "score", "sqrt(l_extendedprice) + ln(l_quantity) * 2").select(*LINE, "score"), "score")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'T' ELSE 'F' END AS big FROM part")
+def derive_boolean(t):
+    return field.derive(t("part"), "big", "p_size > 25").select("p_partkey", "big")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 10 THEN 'medium' ELSE 'small' END AS p_type, length(p_name) AS n, upper(p_brand) AS brand FROM part")
+def derive_text(t):
+    out = field.derive(t("part"), "p_type", F.when(F.col("p_size") > 40, "large").when(F.col("p_size") > 10, "medium").otherwise("small"))
+    return out.select("p_partkey", "p_type", F.length("p_name").cast("bigint").alias("n"), F.upper("p_brand").alias("brand"))
+
+
+@query("SELECT c_custkey AS id, c_name AS customer, c_mktsegment FROM customer")
+def filter_drop_rename(t):
+    return field.drop_rename(t("customer"), ["c_nationkey", "c_acctbal"], {"c_custkey": "id", "c_name": "customer"})
+
+
+@query("SELECT p_partkey, p_size + 0.5 AS price FROM part")
+def type_to_number(t):
+    rows = t("part").select("p_partkey", F.concat(F.lit("$1"), F.lit(","), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".50 ")).alias("price"))
+    return field.retype(rows, {"price": "number"}).select("p_partkey", (F.col("price") - 1000).alias("price"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
+def type_to_string(t):
+    return field.retype(t("orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey")), {"o_custkey": "string"})
+
+
+_HOLES = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS priority FROM orders)"
+
+
+def _holes(t):
+    return t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("priority"))
+
+
+@query(f"SELECT o_orderkey, coalesce(price, (SELECT {r4('avg(price)')} FROM {_HOLES})) AS price FROM {_HOLES}")
+def fill_mean(t):
+    return field.fill(_holes(t), ["price"], "mean").select("o_orderkey", "price")
+
+
+@query(f"SELECT o_orderkey, coalesce(price, (SELECT {r4('median(price)')} FROM {_HOLES})) AS price FROM {_HOLES}")
+def fill_median(t):
+    return field.fill(_holes(t), ["price"], "median").select("o_orderkey", "price")
+
+
+@query(f"SELECT o_orderkey, coalesce(nullif(priority, ''), (SELECT priority FROM {_HOLES} WHERE priority <> '' GROUP BY priority ORDER BY count(*) DESC, min(o_orderkey) LIMIT 1)) AS priority FROM {_HOLES}")
+def fill_mode(t):
+    return field.fill(_holes(t), ["priority"], "mode", keys=["o_orderkey"]).select("o_orderkey", "priority")
+
+
+@query(f"SELECT o_orderkey, coalesce(price, 0.0) AS price FROM {_HOLES}")
+def fill_constant(t):
+    return field.fill(_holes(t), ["price"], "constant", "0").select("o_orderkey", "price")
+
+
+@query(f"SELECT o_orderkey FROM {_HOLES} WHERE price IS NOT NULL AND priority <> ''")
+def fill_remove(t):
+    return field.fill(_holes(t), ["price", "priority"], "remove").select("o_orderkey")
+
+
+def _dirty(t):
+    return t("part").select("p_partkey", F.concat(F.lit("  "), F.lower("p_name"), F.lit("   X "), F.col("p_brand"), F.lit(" ")).alias("s"))
+
+
+_DIRTY = "trim(regexp_replace('  ' || lower(p_name) || '   X ' || p_brand || ' ', '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT p_partkey, lower({_DIRTY}) AS s FROM part")
+def clean_text_lower(t):
+    return field.clean_text(_dirty(t), ["s"], case="lower")
+
+
+@query(f"SELECT p_partkey, upper({_DIRTY}) AS s FROM part")
+def clean_text_upper(t):
+    return field.clean_text(_dirty(t), ["s"], case="upper")
+
+
+@query("SELECT o_orderkey, array_to_string(list_transform(string_split(replace(replace(lower(o_orderpriority), '-', ' - '), '  ', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS s FROM orders")
+def clean_text_title(t):
+    rows = t("orders").select("o_orderkey", F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), F.upper("o_orderpriority")), "-", "  -  "), " {3,}", "  ").alias("s"))
+    return field.clean_text(rows, ["s"])
+
+
+_EDGES = "(SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem)"
+
+
+@query(f"SELECT bin, count(*) AS n FROM (SELECT 1 + (l_extendedprice >= {r4('lo + (hi - lo) / 4')})::BIGINT + (l_extendedprice >= {r4('lo + (hi - lo) * 2 / 4')})::BIGINT + (l_extendedprice >= {r4('lo + (hi - lo) * 3 / 4')})::BIGINT AS bin FROM lineitem, {_EDGES}) GROUP BY bin")
+def bin_width(t):
+    return field.binning(t("lineitem"), "l_extendedprice", 4).groupBy(F.split("l_extendedprice_BIN", ":")[0].cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT bin, count(*) AS n FROM (SELECT 1 + (o_totalprice >= {r4('a')})::BIGINT + (o_totalprice >= {r4('b')})::BIGINT AS bin FROM orders, (SELECT quantile_cont(o_totalprice, 1.0 / 3) AS a, quantile_cont(o_totalprice, 2.0 / 3) AS b FROM orders)) GROUP BY bin")
+def bin_frequency(t):
+    return field.binning(t("orders"), "o_totalprice", 3, "freq").groupBy(F.split("o_totalprice_BIN", ":")[0].cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+
+
+_POSITIONED = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN u * 100 < 70 THEN '1_Training' ELSE '2_Testing' END AS Partition FROM {draw_sql(1234, _POSITIONED)}")
+def partition_70_30(t):
+    return field.partition(t("orders").select("o_orderkey"), ["o_orderkey"])
+
+
+# -- rows ---------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 250")
+def sample_first(t):
+    return record.sample_first(t("orders").select("o_orderkey"), 250, ["o_orderkey"])
+
+
+@query(f"SELECT o_orderkey FROM ({_POSITIONED}) WHERE i % 13 = 0")
+def sample_every(t):
+    return record.sample_every(t("orders").select("o_orderkey"), 13, ["o_orderkey"])
+
+
+@query(f"SELECT o_orderkey FROM {draw_sql(7, _POSITIONED)} WHERE u * 100 < 20")
+def sample_random(t):
+    return record.sample_random(t("orders").select("o_orderkey"), 20, 7, ["o_orderkey"])
+
+
+@query(f"SELECT arg_max(o_orderkey, i) AS o_orderkey FROM (SELECT o_orderkey, p AS i, CASE WHEN p < 100 THEN p ELSE floor(u * (p + 1)) END AS slot FROM {draw_sql(42, 'SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, row_number() OVER (ORDER BY o_orderkey) - 101 AS i FROM orders')}) WHERE slot < 100 GROUP BY slot")
+def sample_reservoir(t):
+    return record.reservoir(t("orders").select("o_orderkey"), 100, 42, ["o_orderkey"])
+
+
+@query(f"SELECT doc_id, quality FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, doc_id LIMIT 50")
+def sort_missing_last(t):
+    return record.sort(_labelled(t).select("doc_id", "quality"), "quality", False, ["doc_id"]).limit(50)
+
+
+@query("SELECT l_returnflag, l_linestatus, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS k FROM lineitem) WHERE k = 1")
+def distinct_first(t):
+    return record.distinct(t("lineitem").select("l_returnflag", "l_linestatus", *LINE), ["l_returnflag", "l_linestatus"], LINE)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def distinct_all(t):
+    return record.distinct(t("events").select("user_id", "event_type"), [], [])
+
+
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+
+    def _merge(t, how=_how):
+        left = t("orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+        right = t("customer").where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
+        return record.merge(left, right, "o_custkey", "c_custkey", how)
+
+    _merge.__name__ = f"merge_{_how}"
+    query(f"SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_mktsegment FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0) {_join} (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_merge)
+
+
+@query("SELECT n.n_nationkey, n.n_name, r.n_name AS n_name_2 FROM nation n JOIN (SELECT r_regionkey, r_name AS n_name FROM region) r ON n.n_regionkey = r.r_regionkey")
+def merge_collision(t):
+    right = t("region").withColumnRenamed("r_name", "n_name").withColumn("r_regionkey", F.col("r_regionkey").cast("string"))
+    return record.merge(t("nation"), right, "n_regionkey", "r_regionkey").select("n_nationkey", "n_name", "n_name_2")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_acctbal AS bal, c_mktsegment AS seg, 'customer' AS origin FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, 'supplier' FROM supplier")
+def append_tagged(t):
+    a = t("customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
+    b = t("supplier").select(F.col("s_name").alias("key"), F.col("s_acctbal").alias("bal"))
+    return record.append([a, b], "origin", ["customer", "supplier"])
+
+
+# -- aggregation ------------------------------------------------------------------------
+
+
+@query(f"SELECT toxic, {r4('avg(n_chars)')} AS n_chars_Mean, sum(n_chars)::DOUBLE AS n_chars_Sum, count(*) AS Record_Count FROM {_LABELLED} GROUP BY toxic")
+def aggregate_null_group(t):
+    return _r(record.aggregate(_labelled(t), ["toxic"], ["n_chars"], ["Mean", "Sum"]), "n_chars_Mean")
+
+
+@query("SELECT l_orderkey, l_partkey, CASE WHEN count(*) = 1 THEN 0.0 ELSE floor(stddev_samp(l_quantity) * 10000.0 + 0.5) / 10000.0 END AS l_quantity_SDev, count(*) AS Record_Count FROM lineitem GROUP BY ALL")
+def aggregate_single_rows(t):
+    return _r(record.aggregate(t("lineitem"), ["l_orderkey", "l_partkey"], ["l_quantity"], ["SDev"]), "l_quantity_SDev")
+
+
+@query("SELECT min(o_totalprice) AS o_totalprice_Min, max(o_totalprice) AS o_totalprice_Max, count(*) AS Record_Count FROM orders")
+def aggregate_all_rows(t):
+    return record.aggregate(t("orders"), [], ["o_totalprice"], ["Min", "Max"])
+
+
+@query(f"SELECT l_returnflag, {r4('quantile_cont(l_extendedprice, 0.25)')} AS q1, {r4('median(l_extendedprice)')} AS q2, {r4('quantile_cont(l_extendedprice, 0.75)')} AS q3 FROM lineitem GROUP BY l_returnflag")
+def quantiles(t):
+    return _r(t("lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.25).alias("q1"), F.median("l_extendedprice").alias("q2"), F.percentile("l_extendedprice", 0.75).alias("q3")), "q1", "q2", "q3")
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+def value_counts(t):
+    return record.value_counts(t("events"), "event_type")
+
+
+@query("SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, min(p_partkey) LIMIT 1")
+def mode_first_seen(t):
+    return record.mode(t("part"), "p_brand", ["p_partkey"])
+
+
+@query("SELECT least(9, floor((o_totalprice - lo) / ((hi - lo) / 10)))::BIGINT AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1")
+def histogram(t):
+    return report.histogram(t("orders"), "o_totalprice").select("bin", "n")
+
+
+# -- reports -------------------------------------------------------------------------------
+
+
+@query(f"SELECT 'o_totalprice' AS field, 'number' AS kind, min(o_totalprice) AS min, max(o_totalprice) AS max, {r4('avg(o_totalprice)')} AS mean, {r4('stddev_samp(o_totalprice)')} AS sdev, count(DISTINCT o_totalprice) AS distinct_values, count(o_totalprice) AS valid, count(*) - count(o_totalprice) AS missing, NULL::VARCHAR AS top FROM orders UNION ALL SELECT 'o_orderpriority', 'string', NULL, NULL, NULL, NULL, count(DISTINCT o_orderpriority), count(o_orderpriority), count(*) - count(o_orderpriority), (SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, o_orderpriority LIMIT 1) FROM orders")
+def audit(t):
+    return _r(report.audit(t("orders").select("o_totalprice", "o_orderpriority")), "mean", "sdev").withColumnRenamed("distinct", "distinct_values")
+
+
+@query("SELECT l_returnflag AS label, l_linestatus AS \"group\", count(*) AS n FROM lineitem GROUP BY ALL")
+def distribution_overlay(t):
+    return report.distribution(t("lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("SELECT l_linenumber::VARCHAR AS label, count(*) AS n FROM lineitem GROUP BY ALL")
+def distribution_whole_numbers(t):
+    return report.distribution(t("lineitem"), "l_linenumber")
+
+
+@query("SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS colour FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 3000")
+def plot_points(t):
+    return report.plot(t("lineitem"), "l_quantity", "l_extendedprice", LINE, "l_returnflag")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500")
+def table_report(t):
+    return report.table(t("orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+
+
+_GUESS = "(SELECT l_returnflag AS actual, CASE WHEN l_quantity > 34 THEN 'A' WHEN l_quantity > 17 THEN 'N' ELSE 'R' END AS predicted FROM lineitem)"
+
+
+def _guess(t):
+    return t("lineitem").select(F.col("l_returnflag").alias("actual"), F.when(F.col("l_quantity") > 34, "A").when(F.col("l_quantity") > 17, "N").otherwise("R").alias("predicted"))
+
+
+@query(f"SELECT 'All records' AS part, actual, predicted, count(*) AS n FROM {_GUESS} GROUP BY ALL")
+def analysis_confusion(t):
+    return report.confusion(_guess(t), "actual", "predicted")
+
+
+@query(f"SELECT 'All records' AS part, c AS class, {r4('sum((actual = c AND predicted = c)::INT)::DOUBLE / sum((predicted = c)::INT)')} AS precision, {r4('sum((actual = c AND predicted = c)::INT)::DOUBLE / sum((actual = c)::INT)')} AS recall, {r4('avg((actual = predicted)::INT)')} AS accuracy FROM {_GUESS}, (SELECT DISTINCT actual AS c FROM {_GUESS}) GROUP BY c")
+def analysis_classes(t):
+    return _r(report.class_metrics(_guess(t), "actual", "predicted"), "precision", "recall", "accuracy")
+
+
+@query(f"SELECT 'All records' AS part, {r4('avg(abs(y - p))')} AS mae, {r4('sqrt(avg((y - p) * (y - p)))')} AS rmse, {r4('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS r2, {r4('avg(y - p)')} AS bias FROM (SELECT l_extendedprice AS y, 1500 * l_quantity AS p FROM lineitem)")
+def analysis_regression(t):
+    return _r(report.regression_metrics(t("lineitem").select(F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("p")), "y", "p"), "mae", "rmse", "r2", "bias")
+
+
+# -- models ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT c_custkey, {r4('(c_acctbal - m) / s')} AS bal, (c_mktsegment = (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))::INT::DOUBLE AS seg FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)")
+def encode_features(t):
+    c = t("customer")
+    f = list(models.encode(c, ["c_acctbal", "c_mktsegment"]).values())
+    return c.select("c_custkey", round_to(f[0]).alias("bal"), f[1].alias("seg"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round((i + s * l_quantity) / 10) AS predicted FROM lineitem, (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem)")
+def linear_predict(t):
+    m = models.linear(t("lineitem"), "l_extendedprice", ["l_quantity"])
+    return m.transform(t("lineitem")).select(*LINE, F.round(F.col("`$E-l_extendedprice`") / 10).alias("predicted"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS k, count(*) AS n, avg(l_quantity) AS m, greatest(stddev_samp(l_quantity), 0.001 * (abs(avg(l_quantity)) + 1)) AS s FROM lineitem GROUP BY 1),
+v AS (SELECT l_returnflag AS k, l_linestatus AS v, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT count(DISTINCT l_linestatus) AS d FROM lineitem),
+s AS (SELECT l.*, c.k, ln(c.n::DOUBLE / (SELECT sum(n) FROM c)) - ln(c.s) - (l.l_quantity - c.m) * (l.l_quantity - c.m) / (2 * c.s * c.s) + ln((coalesce(v.n, 0) + 1.0) / (c.n + d.d + 1)) AS score FROM lineitem l CROSS JOIN c CROSS JOIN d LEFT JOIN v ON v.k = c.k AND v.v = l.l_linestatus)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, k AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY score DESC, k) AS r FROM s) WHERE r = 1""")
+def naive_bayes_predict(t):
+    m = models.NaiveBayes(t("lineitem"), "l_returnflag", ["l_quantity", "l_linestatus"])
+    return m.transform(t("lineitem")).select(*LINE, F.col("`$B-l_returnflag`").alias("predicted"))
+
+
+@query(f"SELECT o_orderkey, {r4('d / m')} AS idx, CASE WHEN d > q THEN 'anomaly' ELSE 'normal' END AS flag FROM (SELECT o_orderkey, abs(o_totalprice - a) / s AS d FROM orders, (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS s FROM orders)), (SELECT avg(abs(o_totalprice - a) / s) AS m, quantile_cont(abs(o_totalprice - a) / s, 0.95) AS q FROM orders, (SELECT avg(o_totalprice) AS a, stddev_samp(o_totalprice) AS s FROM orders))")
+def kmeans_single(t):
+    o = t("orders")
+    out = models.single_cluster(o, models.encode(o, ["o_totalprice"]))
+    return out.select("o_orderkey", round_to(F.col("`$KMI-K-Means`")).alias("idx"), F.col("`$KMA-K-Means`").alias("flag"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN least(abs(l_quantity - 5), abs(l_quantity - 25), abs(l_quantity - 45)) = abs(l_quantity - 5) THEN 'cluster-1' WHEN abs(l_quantity - 25) <= abs(l_quantity - 45) THEN 'cluster-2' ELSE 'cluster-3' END AS cluster FROM lineitem")
+def kmeans_assign(t):
+    return models.assign(t("lineitem"), F.array("l_quantity"), [[5.0], [25.0], [45.0]]).select(*LINE, F.col("`$KM-K-Means`").alias("cluster"))
+
+
+@query()
+def kmeans_multi(t):
+    e = t("embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    return models.assign(e, F.col("x"), models.kmeans_centres(e, F.col("x"), 10)).select("vec_id", F.col("`$KM-K-Means`").alias("cluster"), F.col("`$KMD-K-Means`").alias("distance"))
+
+
+@query()
+def silhouette(t):
+    e = t("embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double"))).withColumn("c", F.concat(F.lit("cluster-"), "label"))
+    return models.silhouette(e, F.col("x"), "c", "vec_id")
+
+
+@query("""WITH r AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, embedding[4] AS d FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(c) AS mc, stddev_samp(c) AS sc, avg(d) AS md, stddev_samp(d) AS sd FROM r),
+z AS (SELECT vec_id, label, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c, (d - md) / sd AS d FROM r, s),
+p AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d), t.vec_id) AS k FROM z q, z t WHERE q.vec_id % 20 = 0)
+SELECT vec_id, floor(avg(label) * 10000.0 + 0.5) / 10000.0 AS predicted FROM p WHERE k <= 5 GROUP BY vec_id""")
+def knn_predict(t):
+    e = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    out = models.knn(e, e.where("vec_id % 20 = 0"), "label", [f"e{i}" for i in range(4)], "vec_id")
+    return out.select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
+
+
+@query("""WITH g AS (SELECT l_quantity AS v, sum((l_returnflag = 'A')::INT)::DOUBLE AS a, sum((l_returnflag = 'N')::INT)::DOUBLE AS n, sum((l_returnflag = 'R')::INT)::DOUBLE AS r FROM lineitem GROUP BY 1),
+p AS (SELECT v, lead(v) OVER (ORDER BY v) AS up, sum(a) OVER (ORDER BY v) AS a, sum(n) OVER (ORDER BY v) AS n, sum(r) OVER (ORDER BY v) AS r, sum(a) OVER () AS ta, sum(n) OVER () AS tn, sum(r) OVER () AS tr FROM g),
+q AS (SELECT (v + up) / 2 AS threshold, floor(((ta + tn + tr) - (ta * ta + tn * tn + tr * tr) / (ta + tn + tr) - ((a + n + r) - (a * a + n * n + r * r) / (a + n + r)) - ((ta - a + tn - n + tr - r) - ((ta - a) * (ta - a) + (tn - n) * (tn - n) + (tr - r) * (tr - r)) / (ta - a + tn - n + tr - r))) * 1000000.0 + 0.5) / 1000000.0 AS gain FROM p WHERE up IS NOT NULL)
+SELECT 'l_quantity' AS field, threshold, floor(gain * 10000.0 + 0.5) / 10000.0 AS gain FROM q ORDER BY q.gain DESC, threshold LIMIT 1""")
+def tree_best_split(t):
+    return _r(models.best_splits(t("lineitem"), "l_returnflag", ["l_quantity"]), "gain")
+
+
+@query(f"WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), r AS (SELECT a, sum(n) AS na FROM c GROUP BY a), k AS (SELECT b, sum(n) AS nb FROM c GROUP BY b) SELECT {r4('(SELECT sum(n) FROM c) * (sum(n * n / (na * nb)) - 1)')} AS chi2, (count(DISTINCT c.a) - 1) * (count(DISTINCT c.b) - 1) AS df FROM c JOIN r ON c.a = r.a JOIN k ON c.b = k.b")
+def chaid_chi_square(t):
+    return _r(models.chi_square(t("lineitem"), "l_returnflag", "l_linestatus"), "chi2")
+
+
+def _scored(t, fit, prefix):
+    rows = field.partition(t("customer"), ["c_custkey"])
+    rows = field.derive(rows, "rich", "c_acctbal > 4500")
+    rows = rows.join(t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("orders")), "c_custkey", "left")
+    m = fit(rows.where("Partition = '1_Training'"), "rich", ["spent", "orders", "c_nationkey", "c_mktsegment", "c_acctbal"])
+    return m.transform(rows).select("c_custkey", "Partition", "rich", F.col(f"`${prefix}-rich`").alias("predicted"), F.col(f"`${prefix}C-rich`").alias("confidence"))
+
+
+@query()
+def tree_predict(t):
+    return _scored(t, models.tree, "R")
+
+
+@query()
+def chaid_predict(t):
+    return _scored(t, models.Chaid, "CH")
+
+
+@query()
+def svm_predict(t):
+    return _scored(t, models.svm, "SVM")
+
+
+@query()
+def ann_predict(t):
+    return _scored(t, models.ann, "ANN")
+
+
+@query()
+def logistic_predict(t):
+    return _scored(t, models.logistic, "L")
+
+
+@query()
+def anomaly_score(t):
+    c = t("customer")
+    out = models.anomaly(c, c, ["c_acctbal", "c_mktsegment"])
+    return out.select("c_custkey", F.col("`$O-Anomaly`").alias("flag"), F.col("`$OA-Anomaly`").alias("idx"), F.col("`$OP-Anomaly`").alias("peer"), F.col("`$OR-Anomaly`").alias("reason"))
+
+
+_BASKETS = "(SELECT DISTINCT o_custkey AS basket, o_orderpriority AS item FROM orders)"
+
+
+def _sets(t):
+    return models.baskets(t("orders"), "o_custkey", "o_orderpriority")
+
+
+@query(f"SELECT item AS items, count(*) AS n FROM {_BASKETS} GROUP BY 1 HAVING count(*) >= ceil(0.1 * (SELECT count(DISTINCT basket) FROM {_BASKETS})) UNION ALL SELECT a.item || ' & ' || b.item, count(*) FROM {_BASKETS} a JOIN {_BASKETS} b ON a.basket = b.basket AND a.item < b.item GROUP BY 1 HAVING count(*) >= ceil(0.1 * (SELECT count(DISTINCT basket) FROM {_BASKETS}))")
+def apriori_itemsets(t):
+    found, _ = models.apriori(_sets(t), 10, 0, max_antecedents=1)
+    return found.select(F.array_join("items", " & ").alias("items"), "n")
+
+
+@query(f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b), s AS (SELECT item, count(*)::DOUBLE AS n FROM b GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*)::DOUBLE AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL)
+SELECT a AS antecedent, c AS consequent, {r4('p.n / sa.n')} AS confidence, {r4('p.n / sa.n / (sc.n / t)')} AS lift, p.n::BIGINT AS transactions FROM p JOIN s sa ON sa.item = a JOIN s sc ON sc.item = c, t WHERE p.n >= ceil(0.1 * t) AND p.n / sa.n >= 0.5""")
+def apriori_rules(t):
+    _, rules = models.apriori(_sets(t), 10, 50, max_antecedents=1)
+    return _r(rules.select(F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"), F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions")), "confidence", "lift")
+
+
+@query()
+def apriori_recommend(t):
+    sets = _sets(t)
+    return models.recommend(sets, models.apriori(sets, 10, 50)[1])
+
+
+def _sample(name: str, body):
+    QUERIES[name] = lambda spark, sf_dir: body(spark)
+
+
+def _churn(spark: SparkSession) -> DataFrame:
+    c = record.distinct(samples.sample_data(spark, "customers"), ["CustomerID"], ["CustomerID"])
+    rows = record.merge(c, samples.sample_data(spark, "usage"), "CustomerID", "CustomerID")
+    rows = field.fill(field.clean_text(rows, ["Region"]), ["Age", "Income"], "median")
+    rows = field.partition(rows, ["CustomerID"]).persist()
+    train = rows.where("Partition = '1_Training'")
+    scored = models.tree(train, "Churn", ["Age", "Tenure", "Plan", "Region", "MonthlyCharges"]).transform(rows)
+    return report.class_metrics(scored, "Churn", "$R-Churn", "Partition")
+
+
+def _house_prices(spark: SparkSession) -> DataFrame:
+    rows = field.partition(samples.sample_data(spark, "housing"), ["HouseID"], 75, 7).persist()
+    scored = models.linear(rows.where("Partition = '1_Training'"), "Price", ["SqFt", "Bedrooms", "AgeYears", "Neighborhood"]).transform(rows)
+    return report.regression_metrics(scored, "Price", "$E-Price", "Partition")
+
+
+def _market_basket(spark: SparkSession) -> DataFrame:
+    return models.apriori(models.baskets(samples.sample_data(spark, "baskets"), "BasketID", "Item"), 5, 50)[1]
+
+
+_sample("example_churn", _churn)
+_sample("example_house_prices", _house_prices)
+_sample("example_market_basket", _market_basket)
+__all__ = ["ORACLE_SQL", "QUERIES", "as_number", "as_text"]
