@@ -367,8 +367,8 @@ def linear_predict(t):
 
 @query("""WITH c AS (SELECT l_returnflag AS k, count(*) AS n, avg(l_quantity) AS m, greatest(stddev_samp(l_quantity), 0.001 * (abs(avg(l_quantity)) + 1)) AS s FROM lineitem GROUP BY 1),
 v AS (SELECT l_returnflag AS k, l_linestatus AS v, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT count(DISTINCT l_linestatus) AS d FROM lineitem),
-s AS (SELECT l.*, c.k, ln(c.n::DOUBLE / (SELECT sum(n) FROM c)) - ln(c.s) - (l.l_quantity - c.m) * (l.l_quantity - c.m) / (2 * c.s * c.s) + ln((coalesce(v.n, 0) + 1.0) / (c.n + d.d + 1)) AS score FROM lineitem l CROSS JOIN c CROSS JOIN d LEFT JOIN v ON v.k = c.k AND v.v = l.l_linestatus)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, k AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey, l_linenumber ORDER BY score DESC, k) AS r FROM s) WHERE r = 1""")
+s AS (SELECT l.*, c.k, ln(c.n::DOUBLE / (SELECT sum(n) FROM c)) - ln(c.s) - (l.l_quantity - c.m) * (l.l_quantity - c.m) / (2 * c.s * c.s) + ln((coalesce(v.n, 0) + 1.0) / (c.n + d.d + 1)) AS score FROM (SELECT *, row_number() OVER () AS rid FROM lineitem) l CROSS JOIN c CROSS JOIN d LEFT JOIN v ON v.k = c.k AND v.v = l.l_linestatus)
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, k AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, k) AS r FROM s) WHERE r = 1""")
 def naive_bayes_predict(t):
     m = models.NaiveBayes(t("lineitem"), "l_returnflag", ["l_quantity", "l_linestatus"])
     return m.transform(t("lineitem")).select(*LINE, F.col("`$B-l_returnflag`").alias("predicted"))
