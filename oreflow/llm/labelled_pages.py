@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 _LONG = "The committee met on Tuesday to discuss the plan for the new bridge, which has been delayed twice since it was first proposed. "
-_BODY = "".join(f"<p>§{_LONG * k}</p>" for k in (1, 3, 2))
-_SHORT = "<p>§Rain fell all night.</p><p>§He agreed.</p>"
+_LINKED = f'<p>§{_LONG}It was <a href="/x">first drawn up</a> by the council of the two towns.</p><p>§As <a href="/y">we wrote last year</a>, it will be late.</p>'
+_BODY = "".join(f"<p>§{_LONG * k}</p>" for k in (1, 3, 2)) + _LINKED
+_LIST = f'<ul><li>§It costs more than was said at first.</li><li>§It takes three years to build, as <a href="/w">the plan</a> says.</li><li>§{_LONG}</li></ul><ol><li>§First</li><li>§Then the river.</li></ol>'
+_BARE_MENU = '<a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a>'
+_SHORT = '<p>§Rain fell all night.</p><p>§He agreed.</p>'
 _MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/c">Contact us</a></li></ul>'
 _HEAD = "<html><head><meta charset=utf-8><title>Bridge</title><style>p{margin:0}</style></head><body>"
 
@@ -38,3 +41,5 @@ PAGES += [f'{_HEAD}<header class="masthead"><p>{_PITCH}</p></header><{n}{a}><h2>
 #: Main text with boilerplate inside its container.
 PAGES += [f'{_HEAD}<{o}><h1>§Two towns</h1>{_BODY}<{n}{a}><p>{_PITCH}</p></{n}><p>§{_LONG}</p></{o}></body></html>' for o in ("article", "main", "div class=post") for n, a in (("aside", ""), ("div", ' class="ad"'), ("div", ' class="related"'), ("form", ""), ("div", ' class="newsletter"'), ("section", ' class="comments"'), ("div", ' class="share social"'), ("nav", ""), ("footer", ""))]
 PAGES = [x.replace("</div class=post>", "</div>") for x in PAGES]
+#: Lists in the main text, and menus without lists.
+PAGES += [f"{_HEAD}<{n}{a}>{_BARE_MENU}</{n}><{o}><h1>§Two lists</h1>{_BODY}{_LIST}{_SHORT}</{o}><footer>{_BARE_MENU} &copy; 2020</footer></body></html>" for o in ("article", "main", "div") for n, a in (("nav", ""), ("div", ' class="nav"'), ("div", ' class="menu"'), ("div", ' class="breadcrumb"'), ("header", ""))]
