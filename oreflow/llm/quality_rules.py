@@ -131,3 +131,25 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return judged(docs, trusted(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The same rules in DuckDB: words unnested, crc32 by its table, counts and ratios as above.
+ORACLE_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n::BIGINT, range(0, 8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+u AS (SELECT doc_id, i, w[i] AS x, w[i - 1] AS y FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+h AS (SELECT x, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, (length(hx) // 2)::BIGINT), lambda i: ('0x' || substr(hx, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM (SELECT x, hex(encode(x)) AS hx, tbl FROM (SELECT DISTINCT x FROM u), t)),
+g AS (SELECT doc_id, h.h % {BUCKETS} AS b FROM u JOIN h ON u.x = h.x UNION ALL SELECT doc_id, {BUCKETS} + (p.h * 31 + h.h) % {BUCKETS} FROM u JOIN h ON u.x = h.x JOIN h p ON u.y = p.x WHERE u.i > 1),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+c AS (SELECT b, count(*)::DOUBLE AS raw, count(good.doc_id)::DOUBLE AS target FROM g LEFT JOIN good ON g.doc_id = good.doc_id GROUP BY b),
+s AS (SELECT b >= {BUCKETS} AS pair, sum(raw) AS raw, sum(target) AS target FROM c GROUP BY 1),
+r AS (SELECT b, CASE WHEN s.target > 0 THEN ln((c.target + {SMOOTHING}) / (c.raw * s.target / s.raw + {SMOOTHING})) ELSE 0.0 END AS r FROM c JOIN s ON s.pair = (b >= {BUCKETS})),
+score AS (SELECT doc_id, avg(r) AS score FROM g JOIN r ON g.b = r.b GROUP BY doc_id),
+five AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS f FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, f FROM five GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT five.doc_id, i, unnest(range(0, 5)) AS k FROM five JOIN twice ON five.doc_id = twice.doc_id AND five.f = twice.f) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+base AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM w JOIN l ON w.doc_id = l.doc_id LEFT JOIN rep ON w.doc_id = rep.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT f.*, NOT base_failed AND coalesce(score, 0.0) >= {THRESHOLD} AS kept FROM f LEFT JOIN score ON f.doc_id = score.doc_id
+"""
