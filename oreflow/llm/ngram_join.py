@@ -14,8 +14,9 @@ is one row per document with its class: no pairs of copies are expanded.
    the centre's set walks it once, sharing partial overlaps, and leaves a
    subtree as soon as the remaining length can't reach the threshold.
 4. Links give components.  Groups that still hold different components are
-   compared to the end: each remaining pair that passes the length and place
-   bounds, in blocks, through the same trees.  Nothing is capped or dropped.
+   compared to the end: small ones by each pair that the length and place
+   bounds allow, large ones as blocks of trees that the classes of the others
+   walk.  Nothing is capped or dropped.
 
 Groups of a frequent shingle are salted, stars of many members are cut into
 blocks, components are found by distributed star contraction.
@@ -32,16 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreflow.llm import common
 
 N = 5
-SKETCH_BITS = 18
+SKETCH_BITS = 22
 #: A shingle whose sketch count is over this many times the mean count is dealt out over SALTS keys.
 HEAVY, SALTS = 8, 32
 BLOCK = 256
+#: Components of more classes than this are compared with others as blocks of trees, not pair by pair.
+LARGE = 16
 #: Ids of documents up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -124,21 +128,44 @@ class PrefixTree:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Per document: its size and class; per task one sketch row (in ``counts``)."""
+    """Per document: its size and class; per task one sketch row (packed, in ``counts``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                sets = list(map(shingle_set, b.column(1).to_pylist()))
+                np.add.at(sketch, np.concatenate([_bins(s) for s in sets]), np.uint32(1))
+                yield {"doc_id": b.column(0), "n": list(map(len, sets)), "cls": list(map(class_of, sets)), "counts": [None] * len(sets)}
+        if sketch.any():
+            yield {"doc_id": [None], "n": [None], "cls": [None], "counts": [_pack(sketch)]}
+
+    return common.map_rows(docs, run, "doc_id bigint, n bigint, cls bigint, counts binary")
+
+
+def _pack(sketch: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(sketch.astype("<u4").tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u4")
+
+
+def _sketch(first: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches: added up in tasks, 64 at a time, until a few are left, each of the same fixed size."""
+    rows = first.where("counts is not null").select("counts")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
-            sizes, classes = [], []
-            for x in b.column(1).to_pylist():
-                s = shingle_set(x)
-                sizes.append(len(s))
-                classes.append(class_of(s))
-                np.add.at(sketch, _bins(s), 1)
-            yield {"doc_id": b.column(0), "n": sizes, "cls": classes, "counts": [None] * len(sizes)}
-        yield {"doc_id": [None], "n": [None], "cls": [None], "counts": [sketch]}
+            for x in b.column(0):
+                total += _unpack(x.as_py())
+        yield {"counts": [_pack(total)]}
 
-    return common.map_rows(docs, run, "doc_id bigint, n bigint, cls bigint, counts array<bigint>")
+    while (n := rows.count()) > 8:
+        rows = common.saved(common.map_rows(rows.repartition(max(4, n // 64)), add, "counts binary"), "sketches")
+    return sum((_unpack(r["counts"]) for r in rows.collect()), np.zeros(1 << SKETCH_BITS, np.uint32))
 
 
 def _prefixes(docs: DataFrame, sketch) -> DataFrame:
@@ -194,7 +221,10 @@ def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def _sets_of(pairs: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
     """The ordered sets of the classes in ``pairs``, each read from one document of the class."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    return _sets_of_classes(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), members, base, sketch)
+
+
+def _sets_of_classes(wanted: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
     ids = common.cut_lineage(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return common.saved(_ordered_sets(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), sketch), "shingle-sets")
@@ -248,11 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = common.texts(docs, id_col, text_col)
     first = common.saved(_sets(base), "shingle-classes")
-    sketch_rows = first.where("counts is not null").select(F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("bin").agg(F.sum("n").alias("n"))
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    # 2**SKETCH_BITS rows at most, whatever the corpus.
-    for r in sketch_rows.toArrow().to_batches():
-        counts[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    counts = _sketch(first)
     sketch = spark.sparkContext.broadcast(counts)
     classes = first.where("counts is null").select("doc_id", "n", "cls")
 
@@ -271,10 +297,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = classes.where("n > 0 and doc_id is not null")
     links = common.cut_lineage(_verify(pairs, _sets_of(pairs, members, base, sketch)))
     label = components(links)
-    rest = _remaining(shared, label, pairs)
-    if rest is not None:
-        rest = _possible(rest, prefixes)
+    mixed = _mixed(shared, label)
+    if not mixed.isEmpty():
+        big = common.cut_lineage(mixed.select("label", "cls").distinct().groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > LARGE))
+        few = big.isEmpty()
+        rest = _possible(_remaining(mixed if few else mixed.join(big, "label", "left_anti")).join(pairs, ["a", "b"], "left_anti"), prefixes)
         links = links.union(_verify(rest, _sets_of(rest, members, base, sketch)))
+        if not few:
+            links = links.union(_against_large(mixed, big, members, base, sketch))
         label = components(links)
     nodes = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -282,19 +312,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return linked.union(classes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _remaining(shared: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame | None:
-    """Pairs of groups that hold several components, if any: those of different components that the bounds allow."""
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows whose class has a smaller id: one row of each class stays, and rows of a null id."""
+    found = near_duplicates(docs, id_col, text_col)
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
+    # Repeated rows of one id: a small list of ids, so the texts aren't dealt out for it.
+    again = common.cut_lineage(docs.groupBy(id_col).count().where("count > 1").where(F.col(id_col).isNotNull()).select(id_col))
+    if again.isEmpty():
+        return kept
+    return kept.join(again, id_col, "left_anti").select(*docs.columns).union(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+
+
+def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows of groups that hold several components, with their component."""
     marked = shared.select("tok", "cls", "n", "place").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = marked.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tok")
-    marked = common.cut_lineage(marked.join(mixed, "tok"))
-    if marked.isEmpty():
-        return None
-    x, y = marked.alias("x"), marked.alias("y")
+    return common.cut_lineage(marked.join(mixed, "tok"))
+
+
+def _remaining(mixed: DataFrame) -> DataFrame:
+    """All pairs of different components that the bounds on lengths and places allow."""
+    x, y = mixed.alias("x"), mixed.alias("y")
     # y is the smaller (ties: by class); its place lies in the shorter prefix that suffices there.
     smaller = F.expr("(y.n < x.n or (y.n = x.n and y.cls < x.cls)) and x.label != y.label and 4 * y.n >= 3 * x.n and y.place < y.n - int(ceil(6 * y.n / 7.0D)) + 1")
-    bound = F.expr("7 * (1 + least(x.n - x.place, y.n - y.place) - 1) >= 3 * (x.n + y.n)")
-    pairs = x.join(y, F.expr("x.tok = y.tok") & smaller & bound).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    return common.cut_lineage(pairs.join(done, ["a", "b"], "left_anti"))
+    bound = F.expr("7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)")
+    return x.join(y, F.expr("x.tok = y.tok") & smaller & bound).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+
+
+def _against_large(mixed: DataFrame, big: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
+    """Links between large components and the others that share a group with them.
+
+    A large component's classes are dealt into blocks, each a prefix tree; the
+    other components' classes walk the trees.  A class is sent once to each
+    block, however many shingles it shares with it.
+    """
+    at = mixed.select("tok", "label").distinct()
+    large = at.join(big.select("label"), "label").withColumnRenamed("label", "big")
+    met = large.join(at, "tok").where("label != big").select("big", "label").distinct()
+    own = mixed.select("label", "cls").distinct()
+    blocks = big.select(F.col("label").alias("big"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    trees = own.join(blocks, F.col("label") == F.col("big")).select("big", F.pmod(F.hash("cls"), "blocks").alias("block"), "cls", F.lit(False).alias("probe"))
+    probes = met.join(own, "label").join(blocks, "big").select("big", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", F.lit(True).alias("probe"))
+    rows = common.cut_lineage(trees.unionByName(probes))
+    sets = _sets_of_classes(rows.select("cls").distinct(), members, base, sketch)
+
+    def walk(key: tuple, t: pa.Table) -> pa.Table:
+        tree, queries, a, b = PrefixTree([]), [], [], []
+        for cls, probe, raw in zip(t.column("cls").to_pylist(), t.column("probe").to_pylist(), t.column("sequence").to_pylist(), strict=True):
+            sequence = np.frombuffer(raw, "<u8").tolist()
+            if probe:
+                queries.append((cls, set(sequence)))
+            else:
+                tree.add(sequence, cls)
+        for cls, query in queries:
+            found = tree.linked(query)[:1]  # one link joins the query to the whole component
+            a += [cls] * len(found)
+            b += found
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.join(sets, "cls").select("big", "block", "cls", "probe", "sequence").groupBy("big", "block").applyInArrow(walk, "a bigint, b bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
