@@ -105,6 +105,9 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
     # The same filter in both joins below, so that they share one exchange of the texts.
     base = whole_base.where("doc_id is not null")
 
+    # Ids travel in two bytes where the vocabulary allows it.
+    narrow = "<u2" if tokens.encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             ids, found = [], []
@@ -125,7 +128,7 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
             for x, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 want = set(wanted)
                 todo.update((h, c) for c in chunks(x) if (h := chunk_hash(c)) in want)
-            yield {"h": list(todo), "ids": enc.encode(list(todo.values()))}
+            yield {"h": list(todo), "ids": [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in enc.encode(list(todo.values()))]}
 
     once = common.map_rows(base.join(owners, "doc_id").select("text", "wanted"), encode_wanted, "h binary, ids binary").dropDuplicates(["h"])
     given = places.join(once, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
@@ -138,7 +141,7 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128)
                 names, cut = b.column(0).to_pylist(), [chunks(x) for x in b.column(1).to_pylist()]
-                known = [{g["h"]: g["ids"] for g in x or []} for x in b.column(2).to_pylist()]
+                known = [{g["h"]: np.frombuffer(g["ids"], narrow).astype("<u4").tobytes() for g in x or []} for x in b.column(2).to_pylist()]
                 got = [[k.get(chunk_hash(c)) if k else None for c in own] for k, own in zip(known, cut, strict=True)]
                 fresh = iter(enc.encode([c for own, g in zip(cut, got, strict=True) for c, x in zip(own, g, strict=True) if x is None]))
                 ids = [join_ids(own, [next(fresh) if x is None else x for x in g], single) if own else b"" for own, g in zip(cut, got, strict=True)]
