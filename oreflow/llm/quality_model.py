@@ -49,7 +49,7 @@ _buckets: dict[str, int] = {}
 
 def _bucket(word: str) -> int:
     found = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD_DIMS
-    if len(_buckets) < 500_000:
+    if len(_buckets) < 100_000:
         _buckets[word] = found
     return found
 

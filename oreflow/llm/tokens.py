@@ -21,7 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Pieces kept by one worker; later ones live for one batch only.
-MAX_PIECES = 1_400_000
+MAX_PIECES = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
