@@ -41,7 +41,7 @@ from oreflow.llm import common
 
 N = 5
 SKETCH_BITS = 22
-#: A shingle whose sketch count is over this many times the mean count is dealt out over SALTS keys.
+#: A shingle whose sketch count is over this many times the mean count is dealt out over SALTS keys, 1 to SALTS; salt 0 marks the others.
 HEAVY, SALTS = 8, 32
 BLOCK = 256
 #: Components of more classes than this are compared with others as blocks of trees, not pair by pair.
@@ -185,7 +185,7 @@ def _prefixes(docs: DataFrame, sketch) -> DataFrame:
                     seen.add(c)
                     weight = counts[_bins(s)]
                     first = np.lexsort((s, weight))[: prefix_length(len(s))]
-                    for o, v in zip(out, (s[first].view(np.int64), np.where(weight[first] > heavy, c % SALTS, 0), np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
+                    for o, v in zip(out, (s[first].view(np.int64), np.where(weight[first] > heavy, 1 + c % SALTS, 0), np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
                         o.append(v)
                 yield {k: np.concatenate(v) if v else [] for k, v in zip(("tok", "salt", "cls", "n", "place"), out, strict=True)}
 
