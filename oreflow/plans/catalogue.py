@@ -248,6 +248,20 @@ for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
     query(f"SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_mktsegment FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0) {_join} (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_merge)
 
 
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+
+    def _whole(t, how=_how):
+        return record.merge(t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_mktsegment"), "o_custkey", "c_custkey", how)
+
+    # Sizes go from 1 to 50 and nations from 0 to 24, so either side has rows without a partner.
+    def _unmatched(t, how=_how):
+        return record.merge(t("part").select("p_partkey", "p_size"), t("nation").select("n_nationkey", "n_name"), "p_size", "n_nationkey", how)
+
+    _whole.__name__, _unmatched.__name__ = f"merge_whole_{_how}", f"merge_unmatched_{_how}"
+    query(f"SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_mktsegment FROM orders {_join} customer ON o_custkey = c_custkey")(_whole)
+    query(f"SELECT p_partkey, coalesce(p_size, n_nationkey) AS p_size, n_name FROM part {_join} nation ON p_size = n_nationkey")(_unmatched)
+
+
 @query("SELECT n.n_nationkey, n.n_name, r.n_name AS n_name_2 FROM nation n JOIN (SELECT r_regionkey, r_name AS n_name FROM region) r ON n.n_regionkey = r.r_regionkey")
 def merge_collision(t):
     right = t("region").withColumnRenamed("r_name", "n_name").withColumn("r_regionkey", F.col("r_regionkey").cast("string"))
