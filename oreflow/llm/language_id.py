@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreflow.llm import common, html_extraction
@@ -38,9 +38,11 @@ BITS = 14
 TEXT_WEIGHT = 60.0
 #: Weight of the wider level in pages.
 KAPPA = 5.0
-#: Languages that a model has at most: those with the most documents.
-MAX_LANGUAGES = 200
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+#: A comment or the html element, whichever comes first; an open comment runs to the end.
+_HTML = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<html(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)", re.I | re.S)
+#: The attributes of an element: name, and value in either quotes or bare.
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_CODE = re.compile(r"\s*([A-Za-z]{2,3})\b")
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", re.I)
 
 
@@ -53,6 +55,16 @@ def trigrams(text: str) -> np.ndarray:
     return np.bincount((h ^ (h >> np.uint32(15))) & np.uint32((1 << BITS) - 1), minlength=1 << BITS)
 
 
+def declared_language(page: str) -> str:
+    """The ``lang`` (or else ``xml:lang``) of the page's first html element outside comments, wherever it stands; "" if it has none."""
+    for element in _HTML.finditer(page):
+        if element[1] is not None:
+            found = {name.lower(): "".join(values) for name, *values in reversed(_ATTRIBUTE.findall(element[1]))}
+            m = _CODE.match(found.get("lang") or found.get("xml:lang") or "")
+            return m[1].lower() if m else ""
+    return ""
+
+
 def text_model(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """The languages and log P(trigram bucket | language), counted over all of ``docs`` (text, lang)."""
 
@@ -65,15 +77,14 @@ def text_model(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.n
         for lang, n in found.items():
             yield {"lang": [lang], "counts": [n]}
 
-    langs = docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).select("lang")
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang").join(F.broadcast(langs), "lang", "left_semi")
+    rows = docs.where("lang is not null").select(F.coalesce("text", F.lit("")).alias("text"), "lang")
     counts = common.map_rows(rows.select("text", "lang"), run, "lang string, counts array<bigint>")
     total = counts.select("lang", F.posexplode("counts").alias("bin", "n")).where("n > 0").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    names = sorted(r["lang"] for r in langs.collect())
-    table = np.full((len(names), 1 << BITS), smoothing)
-    # At most MAX_LANGUAGES x buckets rows, whatever the corpus.
-    for r in total.collect():
-        table[names.index(r["lang"]), r["bin"]] += r["n"]
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    table, at = np.full((len(names), 1 << BITS), smoothing), {x: k for k, x in enumerate(names)}
+    # At most languages x buckets rows, however many documents; one row for each language.
+    for r in total.groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("n")).toLocalIterator():
+        table[at[r["lang"]], r["bins"]] += r["n"]
     return names, np.log(table / table.sum(axis=1, keepdims=True)) if names else table
 
 
@@ -95,8 +106,7 @@ def page_evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> Data
                     p = np.exp(like - like.max()) if len(like) else like
                     likes.append(like.astype(float).tolist())
                     alone.append((p / p.sum()).astype(float).tolist() if len(p) else [])
-                    m = _DECLARED.search(page[:5000])
-                    declared.append(m[1].lower() if m else "")
+                    declared.append(declared_language(page))
                     m = _HOST.match(url or "")
                     hosts.append(m[1].lower().rstrip(".") if m else "")
                 parts = [h.split(".") for h in hosts]
@@ -120,17 +130,18 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     for level in ("domain", "host", "suffix", "declared"):
         out = out.join(found.groupBy(level).agg(sums.alias(f"n_{level}")), level)
 
-    def own_out(level: str, k: int) -> Column:
-        return F.greatest(F.lit(0.0), F.col(f"n_{level}")[k] - F.col("alone")[k])
-
-    def rest(level: str) -> Column:
-        return sum((own_out(level, k) for k in size), F.lit(0.0))
-
-    domain = lambda k: (own_out("domain", k) + KAPPA * shares[k]) / (rest("domain") + KAPPA)
-    host = lambda k: (own_out("host", k) + KAPPA * domain(k)) / (rest("host") + KAPPA)
+    # Arrays by language, so the plan doesn't grow with their number.
+    for level in ("domain", "host", "suffix", "declared"):
+        out = out.withColumn(f"own_{level}", F.zip_with(f"n_{level}", "alone", lambda n, own: F.greatest(F.lit(0.0), n - own)))
+    for level in ("domain", "host"):
+        out = out.withColumn(f"rest_{level}", F.aggregate(f"own_{level}", F.lit(0.0), lambda acc, x: acc + x))
+    numbers = lambda xs: F.array(*[F.lit(float(x)) for x in xs]).cast("array<double>")
+    wider = lambda level, share: F.zip_with(f"own_{level}", share, lambda n, x: (n + KAPPA * x) / (F.col(f"rest_{level}") + KAPPA))
+    out = out.withColumn("p_domain", wider("domain", numbers(shares))).withColumn("p_host", wider("host", F.col("p_domain")))
     # P(value | L): the value's own share of the language, in which a value never seen has half a page.
-    given = lambda level, k: (own_out(level, k) + 0.5) / (total[k] + 50.0)
-    scored = out.withColumn("score", vector(lambda k: F.col("likes")[k] + F.log(host(k)) + F.log(given("suffix", k)) + F.log(given("declared", k))))
+    given = lambda level: F.zip_with(f"own_{level}", numbers(total), lambda n, t: (n + 0.5) / (t + 50.0))
+    plus_log = lambda scores, p: F.zip_with(scores, p, lambda x, y: x + F.log(y))
+    scored = out.withColumn("score", plus_log(plus_log(plus_log(F.col("likes"), F.col("p_host")), given("suffix")), given("declared")))
     known = F.array(*[F.lit(x) for x in names]).cast("array<string>")
     best = lambda c: F.get(known, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     spread = F.aggregate("score", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("score")))
