@@ -34,23 +34,25 @@ from oreflow.llm import common, tokens
 
 FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<int>, symbols_per_doc array<int>, n_ids bigint, before bigint, base bigint, rules binary, rule_lengths binary, symbols binary"
 _BINS = 18
+#: A rule takes two symbols and a length: it pays from this many replacements on.
+MIN_COUNT = 4
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, per_round: int = 4096, min_count: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: in each round the most frequent adjacent pairs become nonterminals.
 
     ``ends`` marks each document's last id.  Pairs are counted over the whole
     shard in hashed bins; the fullest bins are then counted exactly.  Where
-    occurrences overlap, those at even places of a run are replaced.  Returns
+    occurrences overlap, those at even places of a run are replaced; a pair
+    left with fewer than ``min_count`` of them waits for a later round.  Rounds
+    go on until one over all pairs makes no rule.  Returns
     symbols, their end marks, rules (n x 2) and the rules' expansion lengths.
     """
     seq, last = ids.astype(np.uint32), ends.astype(bool)
     rules: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         left, right = seq[:-1], seq[1:]
         bins = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))
         bins ^= bins >> np.uint32(15)
@@ -59,20 +61,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = 3, per_
         fullest = np.cumsum(np.bincount(np.minimum(counts, 4095), minlength=4096)[::-1])
         least = max(min_count, 4095 - int(np.searchsorted(fullest, per_round)))
         at = np.flatnonzero((counts >= least)[bins] & ~last[:-1])
-        if not len(at):
-            break
         pair = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
         keys, which, n = np.unique(pair, return_inverse=True, return_counts=True)
         good = n >= min_count
-        if not good.any():
-            break
         number = np.cumsum(good) - 1
         keep = good[which]
-        at, symbol = at[keep], number[which[keep]].astype(np.uint32) + np.uint32(base + made)
+        at, symbol = at[keep], number[which[keep]]
         start = np.r_[True, np.diff(at) != 1]
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         at, symbol = at[run % 2 == 0], symbol[run % 2 == 0]
-        new = np.stack([keys[good] >> np.uint64(32), keys[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        keys = keys[good]
+        used = np.bincount(symbol, minlength=len(keys)) >= min_count
+        if not used.any():
+            if least <= min_count:
+                break
+            per_round *= 4  # the fullest bins hold only many rare pairs or overlaps
+            continue
+        at, symbol = at[used[symbol]], (np.cumsum(used) - 1)[symbol[used[symbol]]].astype(np.uint32) + np.uint32(base + made)
+        new = np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
         known = np.concatenate(sizes) if sizes else np.zeros(0, np.uint32)
         sizes.append(expansion_lengths(new.ravel(), base, known).reshape(-1, 2).sum(axis=1).astype(np.uint32))
         rules.append(new)
@@ -119,7 +125,7 @@ def read_span(shard: dict, doc: int, begin: int, end: int) -> np.ndarray:
     return expand(own[a:b], shard["base"], rules)[begin - places[a] : end - places[a]]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1_000_000, rounds: int = 3) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1_000_000) -> None:
     """Encode ``docs`` (doc_id, text) and write shards of about ``block_ids`` ids to ``path``."""
     spark = docs.sparkSession
     # Enough ranges for tasks of a few tens of MB; Spark samples the ids to place them.
@@ -140,7 +146,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
             n_ids = np.array(lengths)
             ends = np.zeros(n_ids.sum(), bool)
             ends[np.cumsum(n_ids) - 1] = True
-            symbols, last, rules, sizes = compress(np.frombuffer(b"".join(ids), "<u4"), ends, base, rounds)
+            symbols, last, rules, sizes = compress(np.frombuffer(b"".join(ids), "<u4"), ends, base)
             out = {"part": [part], "block": [block], "doc_ids": [list(names)], "lengths": [list(lengths)], "symbols_per_doc": [np.diff(np.r_[-1, np.flatnonzero(last)]).tolist()], "n_ids": [int(n_ids.sum())], "before": [before], "base": [base], "rules": [rules.astype("<u4").tobytes()], "rule_lengths": [sizes.astype("<u4").tobytes()], "symbols": [symbols.astype("<u4").tobytes()]}
             block += 1
             before += int(n_ids.sum())
