@@ -227,6 +227,12 @@ def sort_missing_last(t):
     return record.sort(_labelled(t).select("doc_id", "quality"), "quality", False, ["doc_id"]).limit(50)
 
 
+@query(f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS place FROM {_LABELLED}")
+def sort_missing_last_all(t):
+    rows = _labelled(t).select("doc_id", "quality").withColumn("__down", F.coalesce(-F.col("quality"), F.lit(1)))  # quality is 0 or 1
+    return record.positions(rows, ["__down", "doc_id"], "place").drop("__down")
+
+
 @query("SELECT l_returnflag, l_linestatus, l_orderkey, l_partkey, l_suppkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) AS k FROM lineitem) WHERE k = 1")
 def distinct_first(t):
     return record.distinct(t("lineitem").select("l_returnflag", "l_linestatus", *LINE), ["l_returnflag", "l_linestatus"], LINE)
