@@ -428,6 +428,14 @@ def knn_predict(t):
     return out.select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
 
 
+@query()
+def knn_predict_whole(t):
+    """Every row as a query, on all 64 dimensions."""
+    names = [f"e{i}" for i in range(64)]
+    e = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return models.knn(e, e, "label", names, "vec_id").select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
+
+
 @query("""WITH g AS (SELECT l_quantity AS v, sum((l_returnflag = 'A')::INT)::DOUBLE AS a, sum((l_returnflag = 'N')::INT)::DOUBLE AS n, sum((l_returnflag = 'R')::INT)::DOUBLE AS r FROM lineitem GROUP BY 1),
 p AS (SELECT v, lead(v) OVER (ORDER BY v) AS up, sum(a) OVER (ORDER BY v) AS a, sum(n) OVER (ORDER BY v) AS n, sum(r) OVER (ORDER BY v) AS r, sum(a) OVER () AS ta, sum(n) OVER () AS tn, sum(r) OVER () AS tr FROM g),
 q AS (SELECT (v + up) / 2 AS threshold, floor(((ta + tn + tr) - (ta * ta + tn * tn + tr * tr) / (ta + tn + tr) - ((a + n + r) - (a * a + n * n + r * r) / (a + n + r)) - ((ta - a + tn - n + tr - r) - ((ta - a) * (ta - a) + (tn - n) * (tn - n) + (tr - r) * (tr - r)) / (ta - a + tn - n + tr - r))) * 1000000.0 + 0.5) / 1000000.0 AS gain FROM p WHERE up IS NOT NULL)
@@ -501,6 +509,18 @@ def apriori_rules(t):
     return _r(rules.select(F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"), F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions")), "confidence", "lift")
 
 
+@query()
+def apriori_itemsets_whole(t):
+    found, _ = models.apriori(_sets(t), 10, 0)
+    return found.select(F.array_join("items", " & ").alias("items"), "n")
+
+
+@query()
+def apriori_rules_whole(t):
+    _, rules = models.apriori(_sets(t), 10, 50)
+    return _r(rules.select(F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"), F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions")), "confidence", "lift")
+
+
 @query()
 def apriori_recommend(t):
     sets = _sets(t)
