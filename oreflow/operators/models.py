@@ -255,14 +255,15 @@ def anomaly(train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3,
     return out.withColumn("$O-Anomaly", F.when(flag, "anomaly").otherwise("normal")).withColumn("$OP-Anomaly", F.regexp_replace("__k", "cluster", "peer")).withColumn("$OR-Anomaly", F.when(flag, F.array_max(F.array(*share))["f"])).drop("__k", "$OD-K-Means")
 
 
-def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919) -> DataFrame:
-    """Euclidean silhouettes of ``sample`` records (those with the smallest seeded hash) against all rows.
+def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919, full: int = 2000) -> DataFrame:
+    """Euclidean silhouettes against all rows: of every record up to ``full`` rows, above that of ``sample`` records (those with the smallest seeded hash).
 
-    The sample is sent to every task, which adds up its distances by cluster;
+    The scored records are sent to every task, which adds up its distances by cluster;
     only (record, cluster, sum, count) rows are shuffled.
     """
     rows = df.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x"))
-    chosen = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample).collect()
+    chosen = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(full + 1).collect()
+    chosen = chosen if len(chosen) <= full else chosen[:sample]
     sent = df.sparkSession.sparkContext.broadcast((np.array([r["x"] for r in chosen], float), [r["key"] for r in chosen]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
