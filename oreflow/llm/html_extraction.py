@@ -2,19 +2,22 @@
 
 A page becomes a tree of block elements with its text runs as leaves.  Every
 node is content, boilerplate or (elements only) a mixture; the joint probability is
-P(root) * prod P(child | parent) * prod P(feature | node): parent-child
-potentials and one potential for each observed feature.  Sum-product messages,
+P(root) * prod P(child and its element | parent and its element) * prod
+P(feature | node): parent-child potentials and one for each observed feature.  Sum-product messages,
 upward and then downward, give each node's exact content marginal; the text of
 the leaves above one half is the main text.
 
-Both kinds of potentials are counted, with additive smoothing, from labelled
-pages: the hand-labelled ones in :mod:`oreflow.llm.labelled_pages`.  The
-counts have a fixed size and go to every task; the pages are mapped, with no
-shuffle.
+All potentials, that of the page itself included, are counted with additive
+smoothing from labelled pages: those of :mod:`oreflow.llm.labelled_pages`.
+The counts have a fixed size and go to every task; the pages are mapped, with
+no shuffle.  Only what is never text (scripts, styles, templates, frames, the
+title of the head, form values) is left out by rule; whether hidden blocks,
+notices or any other text belong to the main text is for the model to say.
 
 Null html is the empty page (empty text); text outside any tag is judged like
 other text; repeated rows are extracted each; an empty table gives no rows;
-very long pages and deep nesting need no recursion.
+very long pages and deep nesting need no recursion; columns beside the three
+used are ignored.
 """
 
 from __future__ import annotations
@@ -32,19 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from oreflow.llm import common
 
 #: Fixed values of HTML: elements that break the line, that have no end, and whose content is no text.
-BLOCKS = frozenset("address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside audio blockquote body button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript object ol option p pre search section select summary svg table tbody td tfoot th thead tr ul video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = frozenset("script style title textarea noscript iframe template svg math object canvas noframes audio video".split())
+OPAQUE = frozenset("script style title textarea iframe template noframes noembed".split())
 #: A start tag of the key ends an open element of the value, up to the named container.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_STYLE = re.compile(r"style\s*=\s*[\"'][^\"']*")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 #: Words of class, id and role attributes that name parts of a page.
-HINTS = frozenset("ad ads adv advert advertisement adsense sponsor sponsored promo promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar logo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social follow related recommended recommendations trending popular comment comments reply replies disqus discussion author byline date timestamp meta tags widget pagination pager copyright legal disclaimer skip article articlebody content contents main body text entry post story page prose markdown title headline lead intro summary caption figure chapter section container wrapper".split())
+HINTS = frozenset("hidden ad ads adv advert advertisement adsense sponsor sponsored promo promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar logo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social follow related recommended recommendations trending popular comment comments reply replies disqus discussion author byline date timestamp meta tags widget pagination pager copyright legal disclaimer skip article articlebody content contents main body text entry post story page prose markdown title headline lead intro summary caption figure chapter section container wrapper".split())
 
 
 class Node:
@@ -60,12 +64,13 @@ def parse(page: str) -> list[Node]:
     nodes = [Node("#page", -1)]
     stack = [0]
     run: list[tuple[str, bool]] = []
-    links, hidden, at, n = 0, 0, 0, len(page)
+    links, at, n = 0, 0, len(page)
 
     def flush() -> None:
         if run:
-            whole = _SPACE.sub(" ", html.unescape("".join(x for x, _ in run)) if any("&" in x for x, _ in run) else "".join(x for x, _ in run)).strip()
-            if whole and not hidden:
+            whole = "".join(x for x, _ in run)
+            whole = _SPACE.sub(" ", html.unescape(whole) if "&" in whole else whole).strip()
+            if whole:
                 leaf = Node("#text", stack[-1])
                 leaf.text, leaf.length = whole, len(whole)
                 leaf.linked = min(leaf.length, sum(len(x.strip()) for x, inside in run if inside))
@@ -73,11 +78,8 @@ def parse(page: str) -> list[Node]:
             run.clear()
 
     def close(k: int) -> None:
-        nonlocal hidden
         flush()
-        while len(stack) > k:
-            if nodes[stack.pop()].name.startswith("!"):
-                hidden -= 1
+        del stack[k:]
 
     while at < n:
         m = _TAG.search(page, at)
@@ -95,7 +97,7 @@ def parse(page: str) -> list[Node]:
                 links = max(0, links - 1)
             elif name in BLOCKS:
                 for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].name.lstrip("!") == name:
+                    if nodes[stack[k]].name == name:
                         close(k)
                         break
                 else:
@@ -121,12 +123,12 @@ def parse(page: str) -> list[Node]:
         if name in CLOSES:
             ends, limit = CLOSES[name]
             for k in range(len(stack) - 1, 0, -1):
-                if (own := nodes[stack[k]].name.lstrip("!")) in limit:
+                if (own := nodes[stack[k]].name) in limit:
                     break
                 if own in ends:
                     close(k)
         for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-            own = nodes[stack[k]].name.lstrip("!")
+            own = nodes[stack[k]].name
             if own == "p":
                 close(k)
                 break
@@ -135,11 +137,10 @@ def parse(page: str) -> list[Node]:
         if name in VOID:
             continue
         found = [w for a in _ATTRIBUTE.finditer(m[3]) for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())]
-        secret = bool(_HIDDEN.search(_QUOTED.sub("", m[3]) + " ".join(re.findall(r"style\s*=\s*[\"'][^\"']*", m[3])))) or "aria-hidden" in m[3] and bool(_HIDDEN.search(m[3]))
-        node = Node("!" + name if secret else name, stack[-1], tuple(w for w in dict.fromkeys(found) if w in HINTS))
-        hidden += secret
+        if _hidden(m[3]):
+            found.append("hidden")
         stack.append(len(nodes))
-        nodes.append(node)
+        nodes.append(Node(name, stack[-2], tuple(w for w in dict.fromkeys(found) if w in HINTS)))
     flush()
     for x in reversed(nodes):  # lengths of whole subtrees
         if x.parent >= 0:
@@ -148,63 +149,121 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attributes hide the element: ``hidden``, ``aria-hidden`` or a style without display."""
+    if "aria-hidden" in attributes and _HIDDEN.search(attributes):
+        return True
+    return bool(_HIDDEN.search(_QUOTED.sub("", attributes) + " ".join(_STYLE.findall(attributes))))
+
+
 def _share(part: int, whole: int) -> str:
     return "none" if not part else "some" if 3 * part < whole else "much" if 4 * part < 3 * whole else "all"
 
 
-def features(node: Node) -> list[str]:
-    """What is seen of a node: its element, named parts, link share, length and end of its text."""
-    out = [f"name={node.name.lstrip('!')}", f"links={_share(node.linked, node.length)}"]
-    out += [f"hint={h}" for h in node.hints]
-    if node.name == "#text":
-        out += [f"length={min(6, int(math.log2(1 + node.length / 12)))}", f"end={'stop' if node.text[-1] in '.!?…。”\"' else 'open'}"]
-        out.append(f"mark={'legal' if node.text[0] in '©®™' else 'none'}")
-    return out
+def features(node: Node, parent: Node | None) -> list[tuple[tuple[str, str], ...]]:
+    """What is seen of a node: its named parts, or a text's links, length, end and first sign.
+
+    Each is a feature and the group of nodes that it is a share of; where a
+    first form, given the parent's element, was hardly met in the labelled
+    pages, the second stands for it.
+    """
+    if node.name != "#text":
+        return [((f"hint={h}", "element"),) for h in node.hints]
+    up = parent.name if parent else ""
+    end = "stop" if node.text[-1] in ".!?…。”\"'" else "open"
+    form = f"{_share(node.linked, node.length)},{min(6, int(math.log2(1 + node.length / 12)))},{end}"
+    mark = "legal" if node.text[0] in "©®™" else "none"
+    return [((f"text={up}:{form}", f"text under={up}"), (f"text={form}", "text")), ((f"mark={mark}", "text"),)]
 
 
 #: States of a node: all of its text is boilerplate, both kinds, all of it content.
 BOILERPLATE, MIXED, CONTENT = range(3)
 
 
+LEAST = 5
+#: Nodes that the wider potential counts for.
+WIDER = 2.0
+#: The texts of a page are much alike in form, so that of each counts for a share of an independent observation.
+ALIKE = 0.25
+
+
 class Model:
     """Potentials counted from labelled pages."""
 
-    def __init__(self, labelled: list[tuple[list[Node], list[int]]], smoothing: float = 0.2):
-        pair, seen, totals = Counter(), [Counter(), Counter(), Counter()], Counter()
+    def __init__(self, labelled: list[tuple[list[Node], list[int]]], smoothing: float = 1.0):
+        pair, seen, roots = Counter(), [Counter(), Counter(), Counter()], Counter()
+        group_of: dict[str, str] = {}
         for nodes, labels in labelled:
+            roots[labels[0]] += 1
             for x, y in zip(nodes, labels, strict=True):
-                totals[y, x.name == "#text"] += 1
-                if x.parent >= 0:
-                    pair[labels[x.parent], y] += 1
-                seen[y].update(features(x))
-        self.pair = [[(pair[p, c] + smoothing) / (sum(pair[p, d] for d in range(3)) + 3 * smoothing) for c in range(3)] for p in range(3)]
-        # Leaves and elements have features of their own; a leaf is never mixed.
+                parent = nodes[x.parent] if x.parent >= 0 else None
+                if parent:
+                    for names in ("", x.name, f"{parent.name}>{x.name}"):
+                        pair[names, labels[x.parent], y] += 1
+                seen[y]["element" if x.name != "#text" else "text"] += 1
+                if x.name == "#text":
+                    seen[y][f"text under={parent.name}"] += 1
+                forms = {f for forms in features(x, parent) for f in forms}
+                seen[y].update(name for name, _ in forms)
+                group_of.update(forms)
+        # P(child | parent, elements), smoothed towards that of the child's element, and that towards all.
+        self.pair: dict[str, list[list[float]]] = {"": [[1 / 3] * 3] * 3}
+        for names in sorted({n for n, _, _ in pair}, key=lambda n: ((">" in n) + bool(n), n)):
+            wider = self.pair[""] if ">" not in names else self.pair[names.split(">")[1]]
+            counts = [[pair[names, p, c] for c in range(3)] for p in range(3)]
+            self.pair[names] = [[(n + WIDER * w) / (sum(row) + WIDER) for n, w in zip(row, wide, strict=True)] for row, wide in zip(counts, wider, strict=True)]
+        # times P(the child's element | its parent's element and state), smoothed towards that in all states
+        inside: Counter = Counter()
+        for (names, p, _), n in pair.items():
+            if ">" in names:
+                for key in ((names, p), (names.split(">")[0], p)):
+                    inside[key] += n
+                    inside[key[0]] += n
+        for names in [n for n in self.pair if ">" in n]:
+            up = names.split(">")[0]
+            overall = inside[names] / inside[up]
+            shares = [(inside[names, p] + WIDER * overall) / (inside[up, p] + WIDER) for p in range(3)]
+            self.pair[names] = [[x * share for x in row] for row, share in zip(self.pair[names], shares, strict=True)]
+        self.root = [math.log((roots[y] + smoothing) / (len(labelled) + 3 * smoothing)) for y in range(3)]
+        # A leaf is never mixed; what was met fewer than LEAST times says nothing.
         self.log: dict[str, tuple[float, ...]] = {}
-        for f in {x for c in seen for x in c}:
-            leaf = f.startswith(("length=", "end=", "mark=", "name=#text"))
-            n = [totals[y, leaf] if leaf or f.startswith("hint=") or f.startswith("name=") else totals[y, False] + totals[y, True] for y in range(3)]
-            own = smoothing / 20 if f.startswith(("hint=", "name=")) else smoothing  # names are what tells parts apart
-            self.log[f] = tuple(math.log((seen[y][f] + own) / (n[y] + 10 * own)) for y in range(3))
+        for f, group in group_of.items():
+            if sum(c[f] for c in seen) >= LEAST:
+                weight = ALIKE if f.startswith("text=") else 1.0
+                self.log[f] = tuple(weight * math.log((c[f] + smoothing) / (c[group] + 10 * smoothing)) for c in seen)
+
+    def between(self, node: Node, parent: Node) -> list[list[float]]:
+        """P(state and element of the node | state and element of its parent), by the two states."""
+        return self.pair.get(f"{parent.name}>{node.name}") or self.pair.get(node.name) or self.pair[""]
+
+    def evidence(self, node: Node, parent: Node | None) -> Iterator[tuple[float, ...]]:
+        """log P(feature | state) of each of a node's features that the model knows."""
+        for forms in features(node, parent):
+            for f, _ in forms:
+                if (v := self.log.get(f)) is not None:
+                    yield v
+                    break
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of every node given the whole page."""
-        (aa, ab, ac), (ba, bb, bc), (ca, cb, cc) = self.pair
-        log = self.log
+        pairs = [self.pair[""], *(self.between(x, nodes[x.parent]) for x in nodes[1:])]
         up: list[list[float]] = []
+        told: set[str] = set()
         for x in nodes:
-            own = [0.0, -30.0 if x.name == "#text" else 0.0, 0.0]
-            for f in features(x):
-                if (v := log.get(f)) is not None:
+            own = list(self.root) if x.parent < 0 else [0.0, -30.0 if x.name == "#text" else 0.0, 0.0]
+            if x.name != "#text" or x.text not in told:  # a repeated line tells nothing new
+                for v in self.evidence(x, nodes[x.parent] if x.parent >= 0 else None):
                     own = [o + w for o, w in zip(own, v, strict=True)]
+                told.add(x.text)
             top = max(own)
             up.append([math.exp(max(-60.0, o - top)) for o in own])
-        up[0] = [1e-3, 1.0, 1e-3]  # a page holds both kinds
         sent: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * len(nodes)
         for k in range(len(nodes) - 1, -1, -1):
             a, b, c = up[k]
             total = a + b + c
             a, b, c = up[k] = [a / total, b / total, c / total]
             if k:
+                (aa, ab, ac), (ba, bb, bc), (ca, cb, cc) = pairs[k]
                 sent[k] = x, y, z = aa * a + ab * b + ac * c, ba * a + bb * b + bc * c, ca * a + cb * b + cc * c
                 own = up[nodes[k].parent]
                 own[0] *= x
@@ -215,6 +274,7 @@ class Model:
         belief: list[list[float]] = [up[0]]
         for k in range(1, len(nodes)):
             # The parent's belief without this child's own message.
+            (aa, ab, ac), (ba, bb, bc), (ca, cb, cc) = pairs[k]
             a, b, c = (q / max(s, 1e-300) for q, s in zip(belief[nodes[k].parent], sent[k], strict=True))
             x, y, z = up[k]
             x, y, z = x * (a * aa + b * ba + c * ca), y * (a * ab + b * bb + c * cb), z * (a * ac + b * bc + c * cc)

@@ -1,45 +1,144 @@
-"""Hand-labelled pages: a text block that begins with § is content, any other is not."""
+"""Labelled pages for the potentials: a text block that begins with § is content, any other is not.
+
+A page is put together by rule from parts that a site may have: a head of the
+page, menus, notices, side parts, comments and a foot around, between or
+within the blocks of an article, in containers of several names, nested or
+not.  Every choice comes from one seed, so the pages are the same at each run.
+"""
 
 from __future__ import annotations
 
-_LONG = "The committee met on Tuesday to discuss the plan for the new bridge, which has been delayed twice since it was first proposed. "
-_LINKED = f'<p>§{_LONG}It was <a href="/x">first drawn up</a> by the council of the two towns.</p><p>§As <a href="/y">we wrote last year</a>, it will be late.</p>'
-_BODY = "".join(f"<p>§{_LONG * k}</p>" for k in (1, 3, 2)) + _LINKED
-_LIST = f'<ul><li>§It costs more than was said at first.</li><li>§It takes three years to build, as <a href="/w">the plan</a> says.</li><li>§{_LONG}</li></ul><ol><li>§First</li><li>§Then the river.</li></ol>'
-_BARE_MENU = '<a href="/">Home</a> <a href="/n">News</a> <a href="/s">Sport</a>'
-_SHORT = '<p>§Rain fell all night.</p><p>§He agreed.</p>'
-_MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li><li><a href="/c">Contact us</a></li></ul>'
-_HEAD = "<html><head><meta charset=utf-8><title>Bridge</title><style>p{margin:0}</style></head><body>"
-
-PAGES = [
-    f'{_HEAD}<nav>{_MENU}</nav><div class="ad">Buy two, get one free this week only.</div><article><h1>§A new bridge</h1>{_BODY}</article><footer>&copy; example.org &middot; All rights reserved by the owner.</footer></body></html>',
-    f'{_HEAD}<header><a href="/">The Daily</a><p>News since 1901.</p></header><nav>{_MENU}</nav><main><article><h1>§Night rain</h1>{_SHORT}<p>§{_LONG}</p></article><aside><h3>Related</h3><ul><li><a href="/1">Ten roads to avoid this winter</a></li><li><a href="/2">What the mayor said</a></li></ul></aside></main><footer><p>Copyright 2020. Terms apply.</p></footer></body></html>',
-    f'{_HEAD}<div id="header"><div class="logo"><a href="/">Site</a></div></div><div class="menu">{_MENU}</div><div id="content"><h2>§A plan</h2>{_BODY}<ul><li>§It costs more than was said.</li><li>§It takes three years to build.</li></ul></div><div id="sidebar"><h3>Popular</h3><p>Read what others liked this week.</p><p><a href="/x">More</a></p></div><div id="footer"><p>&copy; The site. Made with care.</p></div></body></html>',
-    f'{_HEAD}<div class="cookie-notice"><p>We use cookies to improve your visit. By staying you accept them.</p><button>Accept</button></div><div class="wrapper"><div class="post"><h1 class="title">§A letter</h1><div class="entry-content">{_BODY}<blockquote><p>§We will not wait any longer, the letter said.</p></blockquote></div></div><div class="comments"><h3>2 comments</h3><div class="comment"><p>I have lived here for years and this bridge was never needed by anyone.</p></div><div class="comment"><p>Great read, thank you for it!</p></div></div></div></body></html>',
-    f'{_HEAD}<section class="content">{_SHORT}{_BODY}<table><tr><td>§Length</td><td>§420 m</td></tr><tr><td>§Height</td><td>§35 m</td></tr></table></section><section class="newsletter"><form><label>Your address</label><p>Sign up to hear from us each week.</p></form></section><section class="related"><h2>You may also like</h2><p><a href="/a">A story of two towns and a river between them.</a></p></section></body></html>',
-    f'{_HEAD}<div class="topbar"><p>Free delivery today.</p></div><article class="story"><header><h1>§The river</h1></header>{_BODY}<figure><figcaption>§The river in spring.</figcaption></figure><div class="share"><a href="/f">Share</a> <a href="/t">Send</a></div><div class="ad banner"><p>Try the new phone with a better camera and a longer life.</p></div><p>§{_LONG}</p></article><section id="comments"><ol><li><p>This is the first thing I have read on it that makes sense to me.</p></li></ol><form><p>Leave a reply.</p></form></section><footer><p>Legal notice. Imprint.</p></footer></body></html>',
-    f"{_HEAD}<nav>{_MENU}</nav><article><h1>§On foot</h1><p>§Short.</p><p>§{_LONG}</p></article><footer>About us.</footer></body></html>",
-    f'{_HEAD}<h1>§Plain page</h1>{_BODY}<pre>§x = 1</pre><dl><dt>§Span</dt><dd>§The distance between two supports of a bridge.</dd></dl><hr><p class="copyright">&copy; 1999 by the author.</p></body></html>',
-    f'{_HEAD}<div role="navigation">{_MENU}</div><div role="main"><div class="text">{_BODY}</div></div><div role="complementary"><div class="widget"><h4>Weather</h4><p>Sunny in the north, rain in the south.</p></div><div class="widget"><h4>Login</h4><form><p>Forgot your password?</p></form></div></div><div role="contentinfo" class="footer"><p>All rights reserved.</p></div></body></html>',
-    f'{_HEAD}<div class="alert notice"><p>Our offices are closed on Monday.</p></div><div class="main"><div class="breadcrumb"><a href="/">Home</a> / <a href="/n">News</a></div><div class="article"><h1>§Two towns</h1><div class="byline">By A. Writer</div><div class="body">{_BODY}{_SHORT}</div><div class="tags"><a href="/t/1">bridge</a> <a href="/t/2">river</a></div></div><div class="popup modal"><p>Do not miss a story. Subscribe now!</p></div></div></body></html>',
-]
-
-_PITCH = "Our new summer range is here and it is better than ever, with prices that will surprise you and a service that never sleeps. "
-
-
-def _with_long_parts(name: str, attributes: str, heading: bool) -> str:
-    """A page whose side parts are long, with one part of the given element."""
-    part = f"<{name}{attributes}>" + ("<h3>From our partners</h3>" if heading else "") + f"<p>{_PITCH}</p><p>{_PITCH * 3}</p></{name}>"
-    bare = f"<{name}{attributes}>{_PITCH}</{name}>"
-    return f'{_HEAD}<nav>{_MENU}</nav>{bare}<article><h1>§A new bridge</h1>{_BODY}</article>{part}<footer>&copy; example.net &middot; {_PITCH}</footer></body></html>'
-
-
-#: The parts of a page that are never its main text, by the usual names.
-PAGES += [_with_long_parts(n, a, h) for n, a, h in (("aside", "", True), ("div", ' class="ad"', False), ("div", ' class="sidebar"', True), ("div", ' class="cookie banner"', False), ("section", ' class="comments"', True), ("div", ' id="comments"', True), ("header", "", False), ("footer", "", True), ("div", ' class="footer"', True), ("form", "", False), ("nav", "", True), ("div", ' class="related"', True), ("div", ' class="newsletter"', False), ("div", ' class="notice"', False), ("aside", ' class="sidebar"', False), ("div", ' class="promo sponsored"', True), ("div", ' class="menu"', False), ("div", ' class="header"', False), ("div", ' class="comment reply"', False), ("div", ' class="advert advertisement"', False))]
-#: The same main text in the usual containers.
-PAGES += [f'{_HEAD}<header class="masthead"><p>{_PITCH}</p></header><{n}{a}><h2>§On foot</h2>{_BODY}{_SHORT}</{n}><footer class="legal"><p>{_PITCH}</p></footer></body></html>' for n, a in (("main", ""), ("article", ""), ("div", ' class="content"'), ("div", ' id="main"'), ("div", ' class="article"'), ("div", ' class="post"'), ("div", ' class="story body"'), ("div", ' class="entry"'), ("section", ""), ("div", ""), ("div", ' class="text"'), ("div", ' role="main"'))]
-#: Main text with boilerplate inside its container.
-PAGES += [f'{_HEAD}<{o}><h1>§Two towns</h1>{_BODY}<{n}{a}><p>{_PITCH}</p></{n}><p>§{_LONG}</p></{o}></body></html>' for o in ("article", "main", "div class=post") for n, a in (("aside", ""), ("div", ' class="ad"'), ("div", ' class="related"'), ("form", ""), ("div", ' class="newsletter"'), ("section", ' class="comments"'), ("div", ' class="share social"'), ("nav", ""), ("footer", ""))]
-PAGES = [x.replace("</div class=post>", "</div>") for x in PAGES]
-#: Lists in the main text, and menus without lists.
-PAGES += [f"{_HEAD}<{n}{a}>{_BARE_MENU}</{n}><{o}><h1>§Two lists</h1>{_BODY}{_LIST}{_SHORT}</{o}><footer>{_BARE_MENU} &copy; 2020</footer></body></html>" for o in ("article", "main", "div") for n, a in (("nav", ""), ("div", ' class="nav"'), ("div", ' class="menu"'), ("div", ' class="breadcrumb"'), ("header", ""))]
+import random
+
+_SENTENCES = (
+    "The committee met on Tuesday to discuss the plan for the new bridge, which has been delayed twice.",
+    "Rain fell all night.",
+    "He agreed.",
+    "Nobody in the two towns had asked for it, and few of them were ready to pay for it.",
+    "It costs more than was said at first, but less than the last one did when it was built in the spring of that year.",
+    "What will become of the ferry is not known yet.",
+    "She had lived by the river all her life and had seen it freeze only once.",
+    "Why not wait?",
+)
+_PITCHES = (
+    "Our new summer range is here and it is better than ever, with prices that will surprise you and a service that never sleeps.",
+    "Buy two, get one free this week only.",
+    "Try the new phone with a better camera and a longer life.",
+    "Sign up to hear from us each week!",
+    "We use cookies to improve your visit. By staying you accept them.",
+    "Do not miss a story.",
+    "Read what others liked this week",
+)
+_REPLIES = ("I have lived here for years and this was never needed by anyone.", "Great read, thank you for it!", "First", "The figures in the second part are wrong, see the report of the year before.")
+_WORDS = ("Home", "News", "Sport", "Contact us", "About", "Archive", "Weather", "Jobs", "Ten roads to avoid this winter", "What the mayor said")
+_RIGHTS = ("&copy; example.org &middot; All rights reserved by the owner.", "Copyright 2020. Terms apply.", "© The site. Made with care.", "Legal notice. Imprint.", "About us.")
+
+#: Containers of the main text, and of parts that never belong to it, as element and attributes.
+_CONTAINERS = ("article", "main", "section", "div", 'div class="content"', 'div id="main"', 'div class="article"', 'div class="post"', 'div class="story body"', 'div class="entry-content"', 'div class="text"', 'div role="main"', 'div class="container"', 'article class="story"', 'section class="content"')
+_AROUND = ("aside", 'div class="ad"', 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"', 'section class="related"', 'div class="newsletter"', 'div class="promo sponsored"', 'div class="advert advertisement"', 'div class="cookie banner"', 'div class="notice"', 'div class="alert notice"', 'div class="popup modal"', 'div role="complementary"', "form", 'div class="share social"', "noscript", "div hidden", 'div style="display:none"', 'aside class="sidebar"', 'div class="ad banner"')
+_COMMENTS = ('section class="comments"', 'div id="comments"', 'div class="comments"', 'section id="comments"', 'div class="discussion"')
+_HEADS = ("header", 'div id="header"', 'div class="header"', 'header class="masthead"', 'div class="topbar"')
+_MENUS = ("nav", 'nav class="navbar"', 'div class="menu bar"', 'div class="menu"', 'div class="nav"', 'div role="navigation"', 'div class="breadcrumb"', 'ul class="menu"')
+_FOOTS = ("footer", 'div id="footer"', 'div class="footer"', 'footer class="legal"', 'p class="copyright"', 'div role="contentinfo" class="footer"')
+
+
+def _wrapped(tag: str, body: str) -> str:
+    return f"<{tag}>{body}</{tag.split()[0]}>"
+
+
+class _Maker:
+    def __init__(self, seed: int):
+        self.rnd = random.Random(seed)
+        self.pick = self.rnd.choice
+        self.bare = False
+
+    def chance(self, share: float) -> bool:
+        return self.rnd.random() < share
+
+    def link(self, text: str) -> str:
+        return f'<a href="/{self.rnd.randint(1, 99)}">{text}</a>'
+
+    def prose(self, most: int = 6) -> str:
+        said = [self.pick(_SENTENCES) for _ in range(self.rnd.randint(1, most))]
+        if self.chance(0.3):
+            said[0] = said[0].replace("the ", f"the {self.link('old')} ", 1)
+        if self.bare or self.chance(0.1):  # verse, notes and the like end without a full stop
+            said[-1] = said[-1].rstrip(".?") + self.pick(("", "", " |", " ***", ":"))
+        return " ".join(said)
+
+    def block(self) -> str:
+        """One block of an article, marked as content."""
+        kind = self.rnd.random()
+        if kind < 0.62:
+            return f"<p>§{self.prose()}</p>"
+        if kind < 0.70:
+            return _wrapped(f"h{self.pick('23')}", "§" + self.pick(("On foot", "Two towns", "What it costs", "A letter")))
+        if kind < 0.78:
+            tag = self.pick(("ul", "ol"))
+            items = [self.pick((self.prose(1), self.prose(2), self.link(self.pick(_SENTENCES)), self.link("the plan") + " of the council", "First")) for _ in range(self.rnd.randint(2, 5))]
+            return f"<{tag}>" + "".join(f"<li>§{x}</li>" for x in items) + f"</{tag}>"
+        if kind < 0.83:
+            return f"<p>§{self.link(self.pick(_SENTENCES))}</p>"
+        if kind < 0.87:
+            return f"<blockquote><p>§{self.prose(2)}</p></blockquote>"
+        if kind < 0.91:
+            return "<table>" + "".join(f"<tr><td>§{a}</td><td>§{b}</td></tr>" for a, b in (("Length", "420 m"), ("Height", "35 m"))) + "</table>"
+        if kind < 0.94:
+            return f"<figure><figcaption>§{self.prose(1)}</figcaption></figure>"
+        if kind < 0.97:
+            return "<dl><dt>§Span</dt><dd>§The distance between two supports of a bridge.</dd></dl>"
+        return "<pre>§x = 1</pre>"
+
+    def links(self) -> str:
+        words = [self.link(self.pick(_WORDS)) for _ in range(self.rnd.randint(2, 7))]
+        return "<ul>" + "".join(f"<li>{x}</li>" for x in words) + "</ul>" if self.chance(0.6) else self.pick((" ", " | ", " / ")).join(words)
+
+    def around(self) -> str:
+        """A part that is no main text, whatever it holds."""
+        if self.chance(0.2):
+            replies = "".join(self.pick((f'<div class="comment"><p>{x}</p></div>', f"<li><p>{x}</p></li>", f"<p>{x}</p>")) for x in self.rnd.sample(_REPLIES, 2))
+            return _wrapped(self.pick(_COMMENTS), "<h3>2 comments</h3>" + replies + self.pick(("", "<form><label>Leave a reply</label></form>")))
+        body = self.pick((f"<p>{self.pick(_PITCHES)}</p>", self.pick(_PITCHES), f"<p>{self.pick(_PITCHES)}</p><p>{self.pick(_PITCHES)} {self.pick(_PITCHES)}</p>", "<h3>Related</h3>" + self.links(), f"<h4>Popular</h4><p>{self.link(self.pick(_SENTENCES))}</p>", f"<p>{self.pick(_PITCHES)}</p><button>Accept</button>"))
+        return _wrapped(self.pick(_AROUND), body)
+
+    def page(self) -> str:
+        self.bare = self.chance(0.2)
+        title = _wrapped(f"h{self.pick('12')}", "§" + self.pick(("A new bridge", "Night rain", "The river", "On foot")))
+        if self.chance(0.2):
+            title = f"<header>{title}</header>"
+        blocks = [title, *[self.block() for _ in range(self.rnd.randint(2, 9))]]
+        if self.chance(0.15):
+            blocks.insert(1, '<div class="byline">By A. Writer</div>')
+        if self.chance(0.4):  # a part within the article
+            blocks.insert(self.rnd.randint(1, len(blocks)), self.around())
+        if self.chance(0.1):
+            blocks.append('<div class="tags">' + self.links() + "</div>")
+        main = "".join(blocks)
+        for _ in range(self.rnd.randint(0, 2)):
+            main = _wrapped(self.pick(_CONTAINERS), main)
+        parts = [main]
+        if self.chance(0.03):  # a page without main text
+            parts = [self.around(), self.around()]
+        for _ in range(self.rnd.randint(0, 3)):
+            parts.insert(self.pick((0, len(parts))), self.around())
+        if self.chance(0.3):
+            parts = [_wrapped(self.pick(('div class="wrapper"', "div", 'div class="main"')), "".join(parts))]
+        if self.chance(0.8):
+            menu = self.pick(_MENUS)
+            parts.insert(0, _wrapped(menu, self.links()) if not menu.startswith("ul") else f"<{menu}><li>{self.link('Home')}</li><li>{self.link('News')}</li></ul>")
+        if self.chance(0.5):
+            brand = _wrapped(f"h{self.pick('123')}", self.link("The Daily")) + self.pick(("", _wrapped(self.pick(_MENUS[:5]), self.links())))
+            parts.insert(0, _wrapped(self.pick(_HEADS), self.pick((brand, brand, self.link("The Daily"), f"{self.link('The Daily')}<p>News since 1901.</p>", f"<p>{self.pick(_PITCHES)}</p>", self.links()))))
+        if self.chance(0.85):
+            foot = self.pick(_RIGHTS)
+            parts.append(_wrapped(self.pick(_FOOTS), self.pick((foot, f"{self.links()} {foot}", f"{foot} {self.pick(_PITCHES)}"))))
+        return f"<html><head><meta charset=utf-8><title>Bridge</title><style>p{{margin:0}}</style></head><body>{''.join(parts)}</body></html>"
+
+
+def made(n: int, seed: int) -> list[str]:
+    """``n`` labelled pages."""
+    maker = _Maker(seed)
+    return [maker.page() for _ in range(n)]
+
+
+PAGES = made(1000, 20240611)
