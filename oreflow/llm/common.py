@@ -15,10 +15,16 @@ WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where it is unset and all runs on one machine (tests), one of our own;
+    on a cluster a missing folder is an error, as a local one is not shared.
+    """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -43,6 +49,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to ``table``, which has one row for each key.
+
+    Keys with over 100 rows and over a ten-thousandth of all rows, at most
+    10,000 keys, are looked up in a broadcast table, so no hot key is one task;
+    the others are shuffled.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("__k"))
+    total = rows.count()
+    heavy = cut_lineage(counts.where(F.col("__k") > max(100, total // 10_000)).join(table, key).drop("__k"))
+    if heavy.isEmpty():
+        return rows.join(table, key, "left")
+    hot = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table, key, "left")
+    return hot.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,5 +95,11 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Gives Arrow's unused memory back at the end of a task: Spark keeps its Python workers for the next stages."""
+    pa.default_memory_pool().release_unused()

@@ -18,7 +18,9 @@ pages) reach the driver.
 
 Null html or a page without text has no text evidence; a null or relative
 address has an empty host and suffix; an unknown or missing markup language is
-a value of its own; repeated rows are judged each; without labelled documents
+a value of its own; repeated rows are judged each (their copies count at their
+host); equal scores go to the first language by name; pages of any length are
+read whole; columns beside those named are ignored; without labelled documents
 or pages the result has no rows or a null language.
 """
 
@@ -36,6 +38,8 @@ from oreflow.llm import common, html_extraction
 
 BITS = 14
 TEXT_WEIGHT = 60.0
+#: Numbers of a table that is sent to every task.
+BROADCAST_CELLS = 500_000
 #: Weight of the wider level in pages.
 KAPPA = 5.0
 #: A comment or the html element, whichever comes first; an open comment runs to the end.
@@ -115,6 +119,14 @@ def page_evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> Data
     return common.map_rows(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, host string, domain string, suffix string, declared string, likes array<double>, alone array<double>")
 
 
+def _beside(rows: DataFrame, table: DataFrame, level: str, width: int) -> DataFrame:
+    """``rows`` with their value's sums: a table of at most BROADCAST_CELLS numbers goes to every task, only the hot values of a larger one."""
+    few = BROADCAST_CELLS // max(1, width)
+    if table.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(table), level)
+    return common.looked_up(rows, table, level)
+
+
 def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """``page_id, url, lang, probability, text_lang, declared, host`` of every page."""
     spark = pages.sparkSession
@@ -128,7 +140,7 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     shares = [(x + 1) / (sum(total) + len(names)) for x in total]
     out = found
     for level in ("domain", "host", "suffix", "declared"):
-        out = out.join(found.groupBy(level).agg(sums.alias(f"n_{level}")), level)
+        out = _beside(out, common.cut_lineage(found.groupBy(level).agg(sums.alias(f"n_{level}"))), level, len(names))
 
     # Arrays by language, so the plan doesn't grow with their number.
     for level in ("domain", "host", "suffix", "declared"):
