@@ -15,15 +15,17 @@ is one row per document with its class: no pairs of copies are expanded.
    subtree as soon as the remaining length can't reach the threshold.
 4. Links give components.  Groups that still hold different components are
    compared to the end: small ones by each pair that the length and place
-   bounds allow, large ones as blocks of trees that the classes of the others
-   walk.  Nothing is capped or dropped.
+   bounds allow, crowded ones and those of large components as blocks of
+   trees that blocks of the other classes walk.  Nothing is capped or dropped.
 
-Groups of a frequent shingle are salted, stars of many members are cut into
-blocks, components are found by distributed star contraction.
+Groups of a frequent shingle are salted, stars and groups of many members are
+cut into blocks of bounded size, components are found by distributed star
+contraction.
 
 Null or empty text has an empty set and links with nothing; a null ``doc_id``
-links with nothing (its component is null); repeated rows are copies; an empty
-table gives no rows.  Columns beside the two used are ignored.
+links with nothing (its component is null); repeated rows are copies; rows of
+one ``doc_id`` with different texts are classes of their own; an empty table
+gives no rows.  Columns beside the two used are ignored.
 """
 
 from __future__ import annotations
@@ -41,11 +43,12 @@ from oreflow.llm import common
 
 N = 5
 SKETCH_BITS = 22
-#: A shingle whose sketch count is over this many times the mean count is dealt out over SALTS keys, 1 to SALTS; salt 0 marks the others.
+#: A shingle whose sketch count is over this many times the mean count is dealt out over SALTS keys or one for each shuffle partition, from 1 on; salt 0 marks the others.
 HEAVY, SALTS = 8, 32
-BLOCK = 256
-#: Components of more classes than this are compared with others as blocks of trees, not pair by pair.
-LARGE = 16
+#: Classes, and on the average shingles, of a block at most.
+BLOCK, BLOCK_SHINGLES = 256, 200_000
+#: Components of more classes, and groups of more small components' classes, than these are compared as blocks of trees, not pair by pair.
+LARGE, CROWD = 16, 64
 #: Ids of documents up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -168,7 +171,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
     return sum((_unpack(r["counts"]) for r in rows.collect()), np.zeros(1 << SKETCH_BITS, np.uint32))
 
 
-def _prefixes(docs: DataFrame, sketch) -> DataFrame:
+def _prefixes(docs: DataFrame, sketch, salts: int) -> DataFrame:
     """(shingle, salt, class, n, place) of the rarest shingles, once per task and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -185,7 +188,7 @@ def _prefixes(docs: DataFrame, sketch) -> DataFrame:
                     seen.add(c)
                     weight = counts[_bins(s)]
                     first = np.lexsort((s, weight))[: prefix_length(len(s))]
-                    for o, v in zip(out, (s[first].view(np.int64), np.where(weight[first] > heavy, 1 + c % SALTS, 0), np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
+                    for o, v in zip(out, (s[first].view(np.int64), np.where(weight[first] > heavy, 1 + c % salts, 0), np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
                         o.append(v)
                 yield {k: np.concatenate(v) if v else [] for k, v in zip(("tok", "salt", "cls", "n", "place"), out, strict=True)}
 
@@ -216,7 +219,7 @@ def _possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     both = pairs.join(side("a"), "a").where("n_a is not null").join(side("b"), "b")
     near = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
     enough_common = f"7 * (size(array_intersect(toks_a, toks_b)) + greatest({behind('n_a')}, {behind('n_b')})) >= 3 * (n_a + n_b)"
-    return common.cut_lineage(both.where(near).where(enough_common).select("a", "b"))
+    return common.cut_lineage(both.where(near).where(enough_common).select("a", "b", "n_b"))
 
 
 def _sets_of(pairs: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
@@ -230,10 +233,15 @@ def _sets_of_classes(wanted: DataFrame, members: DataFrame, base: DataFrame, ske
     return common.saved(_ordered_sets(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), sketch), "shingle-sets")
 
 
+def _blocks(classes, shingles):
+    """How many blocks so many classes and shingles make."""
+    return F.ceil(F.greatest(classes / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: for each a, blocks of b's in a prefix tree that a's set walks."""
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = pairs.join(spread, "a").select("a", "b", F.pmod(F.hash("b"), F.col("blocks").cast("int")).alias("block"))
+    spread = pairs.groupBy("a").agg(_blocks(F.count("*"), F.sum("n_b")).alias("blocks"))
+    dealt = pairs.join(spread, "a").select("a", "b", F.pmod(F.hash("b"), "blocks").alias("block"))
     members = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "block", "b", "sequence")
     probes = dealt.select("a", "block").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "block", F.col("a").alias("b"), "sequence")
 
@@ -273,18 +281,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Per document ``doc_id, n, cls``, and ``node, label``: the component of every class that has links."""
     spark = docs.sparkSession
     base = common.texts(docs, id_col, text_col)
     first = common.saved(_sets(base), "shingle-classes")
-    counts = _sketch(first)
-    sketch = spark.sparkContext.broadcast(counts)
+    sketch = spark.sparkContext.broadcast(_sketch(first))
     classes = first.where("counts is null").select("doc_id", "n", "cls")
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange serves the aggregation and the join; for that, the aggregation too reads every column.
-    rows = _prefixes(base, sketch).repartition(parts, "tok", "salt")
+    rows = _prefixes(base, sketch, max(SALTS, parts)).repartition(parts, "tok", "salt")
     centres = rows.groupBy("tok", "salt").agg(F.min("cls").alias("centre"), F.max("cls").alias("last"), F.max("n").alias("_n"), F.max("place").alias("_place")).where("_n > 0 and _place >= 0").drop("_n", "_place")
     shared = common.saved(rows.join(centres.where("centre != last or salt != 0").drop("last"), ["tok", "salt"]), "shared-shingles")
     own = shared.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
@@ -299,37 +306,88 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
     mixed = _mixed(shared, label)
     if not mixed.isEmpty():
-        big = common.cut_lineage(mixed.select("label", "cls").distinct().groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > LARGE))
+        big = common.cut_lineage(mixed.select("label", "cls", "n").distinct().groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") > LARGE))
         few = big.isEmpty()
-        rest = _possible(_remaining(mixed if few else mixed.join(big, "label", "left_anti")).join(pairs, ["a", "b"], "left_anti"), prefixes)
-        links = links.union(_verify(rest, _sets_of(rest, members, base, sketch)))
-        if not few:
-            links = links.union(_against_large(mixed, big, members, base, sketch))
-        label = components(links)
-    nodes = members.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = nodes.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        small = mixed if few else mixed.join(big.select("label"), "label", "left_anti")
+        groups = common.cut_lineage(small.groupBy("tok").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("sum")).where("lo != hi"))
+        rest = _possible(_remaining(small.join(groups.where(F.col("k") <= CROWD).select("tok"), "tok")).join(pairs, ["a", "b"], "left_anti"), prefixes)
+        more = _verify(rest, _sets_of(rest, members, base, sketch))
+        walks = [] if few else [_large_blocks(mixed, big)]
+        # Shingles with the same classes, as those of one passage, are one crowd.
+        crowds = common.cut_lineage(groups.where(F.col("k") > CROWD).groupBy("k", "shingles", "lo", "hi", "sum").agg(F.min("tok").alias("tok")))
+        if not crowds.isEmpty():
+            walks.append(_crowd_blocks(small, crowds))
+        if walks:
+            rows = common.cut_lineage(walks[0] if len(walks) == 1 else walks[0].unionByName(walks[1]))
+            more = more.union(_walked(rows, _sets_of_classes(rows.select("cls").distinct(), members, base, sketch)))
+        # The components so far stand for the links that made them.
+        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    sketch.destroy()  # what is returned reads saved tables only
+    return classes, label
+
+
+def _firsts(members: DataFrame, label: DataFrame) -> DataFrame:
+    """(class, first): of each class that isn't alone the smallest (doc_id, class) of its component."""
+    per = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
+    marked = common.cut_lineage(per.join(label.withColumnRenamed("node", "cls"), "cls", "left").where("k > 1 or label is not null").withColumn("label", F.coalesce("label", "cls")))
+    least = marked.groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("first"))
+    return common.cut_lineage(common.looked_up(marked.select("cls", "label"), least, "label").select("cls", "first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+    classes, label = _compared(docs, id_col, text_col)
+    members = classes.where("n > 0 and doc_id is not null")
+    linked = common.looked_up(members, _firsts(members, label), "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
     return linked.union(classes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` less the rows whose class has a smaller id: one row of each class stays, and rows of a null id."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(*docs.columns)
-    # Repeated rows of one id: a small list of ids, so the texts aren't dealt out for it.
-    again = common.cut_lineage(docs.groupBy(id_col).count().where("count > 1").where(F.col(id_col).isNotNull()).select(id_col))
+    """One row of each component stays, that of the smallest id (of several texts with that id: the smallest class).
+
+    Rows without words and rows of a null id stay; of rows with the same id
+    and the same shingles one stays, and rows with the same id and other
+    texts are judged by their own texts.
+    """
+    classes, label = _compared(docs, id_col, text_col)
+    members = classes.where("n > 0 and doc_id is not null")
+    gone = common.looked_up(members, _firsts(members, label), "cls").where("first is not null and (doc_id != first.doc_id or cls != first.cls)").select("doc_id", "cls").distinct()
+    gone = common.cut_lineage(gone)
+    again = common.cut_lineage(members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    to_id = lambda x: x.select(F.col("doc_id").alias(id_col)).distinct()
     if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).union(kept.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+        return docs.join(_small(to_id(gone)), id_col, "left_anti").select(*docs.columns)
+    # Ids with several rows: only those need their class looked at again.
+    name = common.free_name(docs, "cls")
+    once = docs.join(_small(to_id(gone.unionByName(again.withColumn("cls", F.lit(0).cast("bigint"))))), id_col, "left_anti")
+    rows = _with_class(docs.join(_small(to_id(again)), id_col, "left_semi").select(*docs.columns), text_col, name)
+    lost = gone.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias(id_col), F.col("cls").alias(name))
+    kept = rows.where(F.col(name).isNotNull()).join(lost, [id_col, name], "left_anti").dropDuplicates([id_col, name])
+    return once.select(*docs.columns).union(kept.select(*docs.columns)).union(rows.where(F.col(name).isNull()).select(*docs.columns))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with its class in the column ``name``; NULL where the text has no words."""
+    from pyspark.sql.types import LongType, StructType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [class_of(s) if len(s := shingle_set(x or "")) else None for x in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own, pa.int64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, LongType()))
 
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of groups that hold several components, with their component."""
     marked = shared.select("tok", "cls", "n", "place").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = marked.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tok")
-    return common.cut_lineage(marked.join(mixed, "tok"))
+    # A class with copies in several tasks came once from each.
+    return common.cut_lineage(marked.join(mixed, "tok").distinct())
 
 
 def _remaining(mixed: DataFrame) -> DataFrame:
@@ -341,38 +399,52 @@ def _remaining(mixed: DataFrame) -> DataFrame:
     return x.join(y, F.expr("x.tok = y.tok") & smaller & bound).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
-def _against_large(mixed: DataFrame, big: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
-    """Links between large components and the others that share a group with them.
+def _large_blocks(mixed: DataFrame, big: DataFrame) -> DataFrame:
+    """Rows of :func:`_walked`: the blocks of each large component, and of the other classes that share a group with it.
 
-    A large component's classes are dealt into blocks, each a prefix tree; the
-    other components' classes walk the trees.  A class is sent once to each
-    block, however many shingles it shares with it.
+    A class is sent once to each block, however many shingles it shares with it.
     """
     at = mixed.select("tok", "label").distinct()
     large = at.join(big.select("label"), "label").withColumnRenamed("label", "big")
     met = large.join(at, "tok").where("label != big").select("big", "label").distinct()
-    own = mixed.select("label", "cls").distinct()
-    blocks = big.select(F.col("label").alias("big"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    trees = own.join(blocks, F.col("label") == F.col("big")).select("big", F.pmod(F.hash("cls"), "blocks").alias("block"), "cls", F.lit(False).alias("probe"))
-    probes = met.join(own, "label").join(blocks, "big").select("big", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", F.lit(True).alias("probe"))
-    rows = common.cut_lineage(trees.unionByName(probes))
-    sets = _sets_of_classes(rows.select("cls").distinct(), members, base, sketch)
-
-    def walk(key: tuple, t: pa.Table) -> pa.Table:
-        tree, queries, a, b = PrefixTree([]), [], [], []
-        for cls, probe, raw in zip(t.column("cls").to_pylist(), t.column("probe").to_pylist(), t.column("sequence").to_pylist(), strict=True):
-            sequence = np.frombuffer(raw, "<u8").tolist()
+    own = mixed.select("label", "cls", "n").distinct()
+    probes = common.cut_lineage(met.join(own, "label"))
+    sizes = probes.groupBy("big").agg(_blocks(F.count("*"), F.sum("n")).alias("probe_blocks"))
+    sizes = sizes.join(big.select(F.col("label").alias("big"), _blocks(F.col("size"), F.col("shingles")).alias("tree_blocks")), "big")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    trees = own.withColumnRenamed("label", "big").join(sizes, "big").select(F.col("big").alias("g"), F.pmod(F.hash("cls"), "tree_blocks").alias("i"), each("probe_blocks").alias("j"), "cls", F.col("big").alias("label"), F.lit(False).alias("probe"))
+    asked = probes.join(sizes, "big").select(F.col("big").alias("g"), each("tree_blocks").alias("i"), F.pmod(F.hash("cls"), "probe_blocks").alias("j"), "cls", "label", F.lit(True).alias("probe"))
+    return trees.unionByName(asked)
+
+
+def _crowd_blocks(small: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Rows of :func:`_walked`: each two blocks of the classes of a crowded group, one as a tree and one as probes."""
+    rows = small.join(crowds.select("tok", _blocks(F.col("k"), F.col("shingles")).alias("blocks")), "tok").withColumn("own", F.pmod(F.hash("cls"), "blocks"))
+    row = [F.col("tok").alias("g"), "i", "j", "cls", "label", "probe"]
+    trees = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).withColumn("probe", F.lit(False))
+    probes = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("j", F.col("own")).withColumn("probe", F.lit(True))
+    return trees.select(*row).unionByName(probes.select(*row))
+
+
+def _walked(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the probes of each (g, i, j) with its tree; one for each probe and other component."""
+
+    def walk(t: pa.Table) -> pa.Table:
+        tree, of, queries, a, b = PrefixTree([]), {}, [], [], []
+        for cls, label, probe, raw in zip(*(t.column(c).to_pylist() for c in ("cls", "label", "probe", "sequence")), strict=True):
             if probe:
-                queries.append((cls, set(sequence)))
+                queries.append((cls, label, raw))
             else:
-                tree.add(sequence, cls)
-        for cls, query in queries:
-            found = tree.linked(query)[:1]  # one link joins the query to the whole component
+                tree.add(np.frombuffer(raw, "<u8").tolist(), cls)
+                of[cls] = label
+        for cls, label, raw in queries:
+            found = {of[x]: x for x in tree.linked(set(np.frombuffer(raw, "<u8").tolist()))}
+            found.pop(label, None)
             a += [cls] * len(found)
-            b += found
+            b += found.values()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(sets, "cls").select("big", "block", "cls", "probe", "sequence").groupBy("big", "block").applyInArrow(walk, "a bigint, b bigint")
+    return rows.join(sets, "cls").select("g", "i", "j", "cls", "label", "probe", "sequence").groupBy("g", "i", "j").applyInArrow(walk, "a bigint, b bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,44 @@ def test_pipeline_stage_keeps_one_of_each_component(spark):
     want = set(_brute(rows).values())
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want
+
+
+def _as_frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_one_shingle_in_thousands_of_unlinked_classes(spark):
+    """A passage in most short texts, too little of each to link them, and a few pairs that do link."""
+    rnd = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(24))
+    rows = []
+    for i in range(3000):
+        own = " ".join(f"u{rnd.randint(0, 10**7)}" for _ in range(rnd.randint(12, 20)))
+        rows.append((i, f"{passage} {own}"))
+        if i % 300 == 0:
+            rows.append((10_000 + i, f"{passage} {own} end"))
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(_as_frame(spark, rows)).collect()} == _brute(rows)
+
+
+def test_crowds_and_large_components(spark, monkeypatch):
+    """Chains of near copies whose groups hold several components, with small blocks, against brute force."""
+    for name, value in (("LARGE", 2), ("CROWD", 3), ("BLOCK", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rnd.choice((1, 2, 3, 4, 5))):
+            at = rnd.randrange(70)
+            w[at : at + rnd.randint(1, 8)] = [f"x{rnd.randint(0, 60)}"]
+        rows.append((i, " ".join(w)))
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(_as_frame(spark, rows)).collect()} == _brute(rows)
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    text = lambda seed: " ".join(f"t{random.Random(seed * 1000 + i).randint(0, 10**6)}" for i in range(40))
+    near = text(1) + " more"
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, near), (2, text(3)), (3, text(3)), (4, ""), (4, ""), (5, None), (None, text(1))]
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in ngram_join.representatives(_as_frame(spark, rows)).collect())
+    assert got == sorted([(1, text(1)), (1, text(2)), (2, text(3)), (4, ""), (4, ""), (5, ""), (0, text(1))])
