@@ -13,7 +13,9 @@ scoring shuffles nothing and a hot source or word is no single task.
 
 Null text has no words (all counts 0, base_failed true, kept false); repeated
 rows are judged each; an empty table gives no rows; with no trusted document
-all ratios are 0, so the base rules alone decide.
+all ratios are 0, so the base rules alone decide.  :func:`with_verdict` keeps
+every column of its input; in :func:`judged` the results replace columns of
+their names.
 """
 
 from __future__ import annotations
@@ -66,20 +68,27 @@ def word_hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.crc32(x))
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed`` and ``_g``: the hashed words."""
+def features(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
+    """``docs`` with the base counts in the struct ``{prefix}base`` and the hashed words in ``{prefix}g``; no column may begin with the prefix."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SEPARATORS, "") != "")
-    out = docs.select("*", words(text).alias("_w")).select(
+    col = lambda name: F.col(prefix + name)
+    out = docs.select("*", words(text).alias(prefix + "w")).select(
         "*",
-        F.transform(F.col("_w"), lambda w: F.xxhash64(w)).alias("_h"),
-        word_hashes(F.col("_w")).alias("_g"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.transform(col("w"), lambda w: F.xxhash64(w)).alias(prefix + "h"),
+        word_hashes(col("w")).alias(prefix + "g"),
+        F.char_length(F.array_join(col("w"), "")).cast("long").alias(prefix + "chars"),
+        (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long").alias(prefix + "symbols"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias(prefix + "lines"),
     )
-    out = out.select("*", F.size("_h").cast("long").alias("n_words"), repeated_words(F.col("_h")).alias("n_repeat_words")).drop("_h", "_w")
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    out = out.select("*", F.size(col("h")).cast("long").alias(prefix + "n"), repeated_words(col("h")).alias(prefix + "repeats"))
+    failed = (col("n") < 10) | (100 * col("repeats") > 20 * col("n"))
+    base = F.struct(col("n").alias("n_words"), col("chars").alias("word_chars"), col("symbols").alias("n_symbols"), col("lines").alias("n_dup_lines"), col("repeats").alias("n_repeat_words"), failed.alias("base_failed"))
+    return out.select(*_all(docs), base.alias(prefix + "base"), col("g"))
+
+
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def hashed_grams(g: Column, buckets: int) -> Column:
@@ -112,16 +121,29 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoo
     return out
 
 
-def judged(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept``."""
+def with_verdict(docs: DataFrame, trusted_ids: DataFrame, name: str, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one more column, a struct ``name`` of the base counts, ``base_failed``, ``score`` and ``kept``."""
     # A constant that the optimizer folds into one array of fixed size.
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios(docs, trusted_ids, buckets, id_col=id_col, text_col=text_col))), ",").cast("array<double>")
-    grams = F.col("_grams")
-    total = F.aggregate(grams, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
+    prefix = "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    col = lambda part: F.col(prefix + part)
+    total = F.aggregate(col("grams"), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     # The row number keeps a caller's filter on ``kept`` above this projection; pushed below, it would repeat the work for every word.
-    score = F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(0.0)
-    scored = features(docs, text_col).withColumn("_grams", hashed_grams(F.col("_g"), buckets)).select("*", score.alias("score"), F.monotonically_increasing_id().alias("_row"))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.col("_row") >= 0)).drop("_g", "_grams", "_row")
+    score = F.when(F.size(col("grams")) > 0, total / F.size(col("grams"))).otherwise(0.0)
+    scored = features(docs, text_col, prefix).withColumn(prefix + "grams", hashed_grams(col("g"), buckets)).select(*_all(docs), col("base"), score.alias(prefix + "score"), F.monotonically_increasing_id().alias(prefix + "row"))
+    kept = ~col("base")["base_failed"] & (col("score") >= threshold) & (col("row") >= 0)
+    counts = [col("base")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
+    return scored.select(*_all(docs), F.struct(*counts, col("score").alias("score"), kept.alias("kept")).alias(name))
+
+
+def judged(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept``."""
+    name = common.free_name(docs, "verdict")
+    found = with_verdict(docs, trusted_ids, name, buckets, threshold, id_col, text_col)
+    results = [f.name for f in found.schema[name].dataType.fields]
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in results], *[F.col(name)[r].alias(r) for r in results])
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
