@@ -10,9 +10,11 @@ of characters.  The model is fitted on a bounded sample of the labelled rows
 run); scoring reads every row and shuffles nothing.
 
 Null text is the empty text, which gets the score of a text without words; a
-null number of characters is that of the text; repeated rows are scored each;
-an empty table gives no rows; without labels of both kinds every score is the
-share of good labels (1 without labels).
+null number of characters is that of the text; repeated rows are scored each
+(in the fit a labelled id counts once, with its smallest text); ids may be of
+any type; an empty table gives no rows; without labels of both kinds every
+score is the share of good labels (1 without labels).  All columns are kept,
+but one named as the score's column is replaced.
 """
 
 from __future__ import annotations
@@ -140,23 +142,27 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col: str = "text", chars_col: str = "n_chars") -> Model:
     """A model of ``labels.quality`` from at most ``max_rows`` labelled rows that aren't held out."""
-    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = own.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(chars_col).cast("long").alias("declared")).join(F.broadcast(sample), "doc_id")
+    found = docs.select("doc_id", F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(chars_col).cast("long").alias("declared")).alias("row"))
+    # One row of each id, so that max_rows bounds what is collected also where an id is repeated.
+    rows = found.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("row").alias("row")).select("quality", "row.text", "row.declared")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             found = [features(x, c) for x, c in zip(b.column("text").to_pylist(), b.column("declared").to_pylist(), strict=True)]
-            yield {"doc_id": b.column("doc_id"), "quality": b.column("quality"), "dims": [d.astype("<u2").tobytes() for d, _, _ in found], "values": [v.astype("<f4").tobytes() for _, v, _ in found], "stats": [s.tolist() for _, _, s in found]}
+            yield {"quality": b.column("quality"), "dims": [d.astype("<u2").tobytes() for d, _, _ in found], "values": [v.astype("<f4").tobytes() for _, v, _ in found], "stats": [s.tolist() for _, _, s in found]}
 
-    got = sorted(common.map_rows(rows, measure, "doc_id bigint, quality int, dims binary, values binary, stats array<double>").collect(), key=lambda r: (r["doc_id"], r["dims"], r["values"], r["stats"]))
-    return fit([(np.frombuffer(r["dims"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), np.array(r["stats"])) for r in got], np.array([r["quality"] for r in got], float))
+    schema = "quality int, dims binary, values binary, stats array<double>"
+    got = sorted(common.map_rows(rows, measure, schema).collect(), key=lambda r: (r["dims"], r["values"], r["stats"], r["quality"]))
+    batch = [(np.frombuffer(r["dims"], "<u2").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(float), np.array(r["stats"])) for r in got]
+    return fit(batch, np.array([r["quality"] for r in got], float))
 
 
 def scored(docs: DataFrame, model: Model, out_col: str = "score", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with a score of every row in ``out_col``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rest = docs.drop(out_col)
+    rest = docs.drop(*[c for c in docs.columns if c.lower() == out_col.lower()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -165,6 +171,7 @@ def scored(docs: DataFrame, model: Model, out_col: str = "score", text_col: str
                 b = whole.slice(at, 256)
                 found = m.score([features(x or "", c) for x, c in zip(b.column(text_col).to_pylist(), b.column(chars_col).to_pylist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, out_col])
+        common.release()
 
     from pyspark.sql.types import DoubleType, StructType
 
