@@ -1,8 +1,10 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
 A text is parsed into LZ78 phrases (each the shortest string not yet in the
-text's own dictionary); the set of phrases is hashed and its minimum hashes
-under a fixed family are the fingerprint.  Texts that would compress well
+text's own dictionary); a rest at the end that is no new phrase by itself
+becomes one by the end sign behind it, so the phrases tell the whole text.
+The set of phrases is hashed and its minimum hashes under a fixed family are
+the fingerprint.  Texts that would compress well
 together share phrases, so the share of equal minima is a compression-like
 likeness between 0 and 1.
 
@@ -42,16 +44,24 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """At least ``n`` powers of ``base``, kept by the worker."""
-    if base not in _tables or len(_tables[base]) < n:
-        steps = np.full(max(1 << 16, 2 * n), base, np.uint64)
-        steps[0] = 1
-        _tables[base] = np.cumprod(steps)
-    return _tables[base]
+    """At least ``n`` powers of ``base``; the first 65,536 are kept by the worker, more only as long as they are needed."""
+    if base not in _tables:
+        _tables[base] = _row(base, 1 << 16)
+    return _tables[base] if n <= 1 << 16 else _row(base, n)
+
+
+def _row(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+#: Stands behind a rest that is no new phrase; no text has it, as Spark's strings have no surrogates.
+END = "\ud800"
 
 
 def phrases(text: str, known: list[str] | None = None) -> list[str]:
-    """LZ78 phrases of ``text`` given those already known; a rest that is no new phrase is left out."""
+    """LZ78 phrases of ``text`` given those already known; the last may be a known one with :data:`END` behind it."""
     seen = set(known or ())
     add, out = seen.add, []
     put, p = out.append, ""
@@ -61,14 +71,18 @@ def phrases(text: str, known: list[str] | None = None) -> list[str]:
             add(p)
             put(p)
             p = ""
+    if p:
+        put(p + END)
     return out
 
 
 def phrase_hashes(text: str, lengths: list[int]) -> np.ndarray:
-    """A 64-bit hash of each of the phrases that ``text`` begins with, from prefix sums of one polynomial."""
+    """A 64-bit hash of each of the phrases of ``text``, of the given lengths, from prefix sums of one polynomial."""
     n = sum(lengths)
     if not n:
         return np.zeros(0, np.uint64)
+    if n > len(text):
+        text += END
     codes = np.frombuffer(text[:n].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(codes * _powers(_BASE, n)[:n], out=sums[1:])
@@ -116,7 +130,8 @@ class Parsed:
         n = len(self.text)
         cut = n - n // 4
         text = self.text[:cut] + other[: n // 4]
-        ends = np.cumsum(self.lengths) if self.lengths else np.zeros(0, int)
+        own = self.lengths[:-1] if self.own and self.own[-1][-1] == END else self.lengths
+        ends = np.cumsum(own) if own else np.zeros(0, int)
         k = int(np.searchsorted(ends, cut, "right"))
         rest = text[int(ends[k - 1]) if k else 0 :]
         more = phrases(rest, self.own[:k])
@@ -146,6 +161,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     """The columns of :data:`RESULT` for every document."""
     spark = docs.sparkSession
     order = F.col("doc_id").asc_nulls_first()
+    # As many ranges as spark.sql.shuffle.partitions says; a task holds two texts and a batch, however long its range is.
     ordered = common.texts(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
