@@ -1,22 +1,27 @@
 """Chat formatting in budgeted windows of whole turns.
 
-Prefix sums of the turns' tokens choose windows: a window takes the following
-turns while they fit in ``budget`` tokens (a longer turn gets a window of its
-own, whole).  Every later window begins with the conversation's system turn
-and repeats at most ``history`` tokens of the turns before it; repeated turns
-are outside its loss mask, so each assistant turn is a target exactly once.
+Prefix sums of the turns' tokens choose windows of at most ``budget`` tokens,
+the repeated turns and all marks included.  A later window begins with the
+conversation's system turn (left out only where it and the window's first own
+turn don't fit), repeats at most ``history`` tokens of the turns before it, as
+far as there is room, and takes the following turns while they fit.  A turn
+longer than the budget gets a window of its own, whole, with nothing else in
+it.  Repeated turns are outside the loss mask, so each assistant turn is a
+target exactly once.
 
 A turn is written ``<|role|>\\n text <|end|>\\n`` with a sign inside any part of a text
 that could be read as a mark, and the role percent-encoded, so the turns can be
 read back exactly; a window row also holds the loss mask as spans of code points.
 
-Rows of a conversation are sorted in Spark's shuffle and pass through a task
-one at a time: a conversation of any length needs the memory of one window
-and its history.
+Tokens are counted before the shuffle, wherever a turn happens to lie.  Rows of
+a conversation are then sorted in Spark's shuffle and pass through a task one
+at a time: a conversation of any length needs the memory of one window and its
+history.
 
 Null text is the empty text, a null role is an empty one, ties of turn are
 ordered by role and text, repeated rows are turns of their own, rows of a null
 ``conv_id`` are one conversation, and an empty table gives no windows.
+Columns beside the four used are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,70 +71,106 @@ def read_turns(window: str) -> list[tuple[str, str, int, int]]:
     return [(unquote(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _TURN.finditer(window)]
 
 
+Turn = tuple[str, str, int]  # role, text, tokens of the written form
+
+
+class Conversation:
+    """The open window of one conversation, and the turns that a later one may repeat."""
+
+    def __init__(self, conv: int | None, budget: int, history: int):
+        self.conv, self.budget, self.history = conv, budget, history
+        self.window = self.size = 0
+        self.system: Turn | None = None
+        self.past: list[Turn] = []
+        self.repeated: list[Turn] = []
+        self.own: list[Turn] = []
+
+    def add(self, turn: Turn) -> tuple | None:
+        """Takes a turn; the row of the window that it closes, if any."""
+        row = None
+        if self.own and self.size + turn[2] > self.budget:
+            row = self.close()
+        if not self.own:
+            self._open(turn[2])
+        if turn[0] == "system" and self.system is None:
+            self.system = turn
+        self.own.append(turn)
+        self.size += turn[2]
+        return row
+
+    def _open(self, first: int) -> None:
+        """Chooses what a window repeats whose first own turn has ``first`` tokens."""
+        room = self.budget - first
+        if self.window and self.system and self.system[2] <= room:
+            self.repeated, room = [self.system], room - self.system[2]
+        else:
+            self.repeated = []
+        recent, left = [], min(self.history, room)
+        for t in reversed(self.past):  # the latest turns that fit
+            if t[2] > left or any(t is x for x in self.repeated):
+                break
+            recent.insert(0, t)
+            left -= t[2]
+        self.repeated += recent
+        self.size = sum(t[2] for t in self.repeated)
+
+    def close(self) -> tuple:
+        """The window's row; its last turns are kept as history."""
+        parts, starts, ends, at = [], [], [], 0
+        for k, (role, text, _) in enumerate(self.repeated + self.own):
+            form, a, z = write_turn(role, text)
+            if k >= len(self.repeated) and role == "assistant":
+                starts.append(at + a)
+                ends.append(at + z)
+            parts.append(form)
+            at += len(form)
+        row = (self.conv, self.window, "".join(parts), starts, ends, len(self.repeated), self.size)
+        kept, held = [], 0
+        for t in reversed(self.past + self.own):
+            if held + t[2] > self.history:
+                break
+            kept.insert(0, t)
+            held += t[2]
+        self.past, self.own, self.window = kept, [], self.window + 1
+        return row
+
+
+_NAMES = ("conv_id", "window", "text", "loss_starts", "loss_ends", "n_repeated", "n_tokens")
+
+
 def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Rows of :data:`WINDOW` for all conversations in ``turns`` (conv_id, turn, role, text)."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    dealt = turns.select("conv_id", "turn", empty("role"), empty("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), empty("role"), empty("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = tokens.encoder(tokenizer)
-        state: dict | None = None
-
-        def begin(conv: int | None) -> dict:
-            return {"conv": conv, "window": 0, "own": [], "size": 0, "past": [], "system": None, "first": True}
-
-        def close(s: dict) -> tuple:
-            past, size = [], 0
-            for t in reversed(s["past"]):  # limited history, the latest turns that fit
-                if size + t[2] > history:
-                    break
-                past.insert(0, t)
-                size += t[2]
-            system = [s["system"]] if s["system"] and s["window"] else []
-            if system and past and past[0] is s["system"]:
-                past = past[1:]
-            parts, starts, ends, at = [], [], [], 0
-            for k, (role, text, _) in enumerate(system + past + s["own"]):
-                form, a, z = write_turn(role, text)
-                if k >= len(system) + len(past) and role == "assistant":
-                    starts.append(at + a)
-                    ends.append(at + z)
-                parts.append(form)
-                at += len(form)
-            row = (s["conv"], s["window"], "".join(parts), starts, ends, len(system) + len(past), sum(t[2] for t in system + past + s["own"]))
-            kept, size = [], 0
-            for t in reversed(s["past"] + s["own"]):
-                if size > history:
-                    break
-                kept.insert(0, t)
-                size += t[2]
-            s["past"], s["own"], s["size"] = kept, [], 0
-            s["window"] += 1
-            return row
-
-        names = ("conv_id", "window", "text", "loss_starts", "loss_ends", "n_repeated", "n_tokens")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                forms = [write_turn(r, x)[0] for r, x in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+                yield dict(zip(b.schema.names, b.columns, strict=True)) | {"n": [len(x) // 4 for x in enc.encode(forms)]}
+
+    counted = common.map_rows(rows, count, "conv_id bigint, turn bigint, role string, text string, n int")
+    dealt = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        state: Conversation | None = None
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                rows = []
+                found = []
                 b = whole.slice(at, 512)
-                texts = b.column("text").to_pylist()
-                for conv, role, text, ids in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), texts, enc.encode(texts), strict=True):
-                    n = len(ids) // 4 + 4
-                    if state is None or state["conv"] != conv:
-                        if state is not None and state["own"]:
-                            rows.append(close(state))
-                        state = begin(conv)
-                    if state["own"] and state["size"] + n > budget:
-                        rows.append(close(state))
-                    turn = (role, text, n)
-                    if role == "system" and state["system"] is None:
-                        state["system"] = turn
-                    state["own"].append(turn)
-                    state["size"] += n
-                if rows:
-                    yield dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
-        if state is not None and state["own"]:
-            yield dict(zip(names, map(list, zip(close(state), strict=True)), strict=True))
+                for conv, role, text, n in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "n")), strict=True):
+                    if state is None or state.conv != conv:
+                        if state is not None:
+                            found.append(state.close())
+                        state = Conversation(conv, budget, history)
+                    if (row := state.add((role, text, n))) is not None:
+                        found.append(row)
+                if found:
+                    yield dict(zip(_NAMES, map(list, zip(*found, strict=True)), strict=True))
+        if state is not None:
+            yield dict(zip(_NAMES, map(list, zip(state.close(), strict=True)), strict=True))
 
     return common.map_rows(dealt, run, WINDOW)
 
