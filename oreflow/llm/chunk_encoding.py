@@ -5,22 +5,21 @@ depend on the content alone, so a passage that two documents share gives the
 same chunks in both.  Chunks found more than once in the corpus are encoded
 once, by the document that owns their first occurrence, and their ids are
 joined to every other document; the rest are encoded in place.  Chunk joins
-are then repaired: the text around each join, out to the next place that the
-pre-tokenizer cannot cross, is encoded again, and the window grows until the
-ids on both sides agree with it.
+are then repaired: the tokens around each join are encoded again as one text,
+and that window grows until its outer ids agree with those on both sides.
 
 Shuffles: the chunk hashes (16 bytes a chunk), the texts once (both joins use
 one exchange), and the ids of shared chunks only.
 
 Null text is the empty text, a null ``doc_id`` is encoded like any other row,
 repeated ids and rows are kept (shared ids are looked up by chunk hash, never
-by place), and an empty table gives no rows.
+by place), a text without any blank costs no more than others of its length,
+and an empty table gives no rows.  Columns beside the two used are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,8 @@ from oreflow.llm import common, tokens
 
 _WINDOW = 16
 _MULTIPLIER = 0x9E3779B1
-_SAFE = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: Tokens on either side of a join that are encoded again at first, and how many at each end must come out as before.
+REACH, AGREE = 16, 2
 
 
 def chunk_starts(text: str, average: int = 1024, least: int = 128, most: int = 8192) -> list[int]:
@@ -71,32 +71,50 @@ def chunk_hash(chunk: str) -> bytes:
     return hashlib.blake2b(chunk.encode(), digest_size=16).digest()
 
 
-def join_ids(parts: list[str], ids: list[bytes], encode) -> bytes:
+def _aligned(ids: np.ndarray, k: int, table: list[bytes], step: int) -> int:
+    """``k``, moved by ``step`` until no character is cut before the token at place ``k``."""
+    while 0 < k < len(ids) and 0x80 <= table[ids[k]][0] < 0xC0:
+        k += step
+    return k
+
+
+def seam(left: np.ndarray, right: np.ndarray, table: list[bytes], reach: tuple[int, int]) -> tuple[int, int, str]:
+    """The last ``reach[0]`` tokens of ``left`` and the first ``reach[1]`` of ``right``, or some more, and their text."""
+    a = _aligned(left, max(0, len(left) - reach[0]), table, -1)
+    b = _aligned(right, min(len(right), reach[1]), table, 1)
+    return a, b, b"".join([table[i] for i in (*left[a:].tolist(), *right[:b].tolist())]).decode()
+
+
+def join_ids(ids: list[bytes], encode, table: list[bytes], reach: int = REACH) -> bytes:
     """The ids of the whole text from those of its chunks.
 
-    ``encode(text)`` gives ids as uint32 bytes.  At each join the text from
-    the last safe place before it to the first one after it is encoded again;
-    the ids that it replaces on either side must be those that the side's own
-    text encodes to, else the window takes in the whole neighbour.
+    ``encode(text)`` gives ids as uint32 bytes, ``table`` the bytes of each id.
+    At each join the text of the last tokens before it and the first ones
+    after it is encoded again.  Where that gives the old tokens at its outer
+    ends, both sides' pairs of neighbours stand as in their own encodings, so
+    the whole is the encoding of the joined text; until then the window grows
+    fourfold on the side that differs.  A window reaches over one chunk's
+    text to the right, so the work follows the length of the text.
     """
-    text, out = parts[0], ids[0]  # text: what may still change
-    done: list[bytes] = []
-    for part, more in zip(parts[1:], ids[1:], strict=True):
-        left = [m.start() for m in _SAFE.finditer(text, max(0, len(text) - 200))] or [m.start() for m in _SAFE.finditer(text)]
-        right = _SAFE.search(part)
-        a = left[-1] if left else 0
-        b = right.start() if right else len(part)
-        old_left, old_right = encode(text[a:]), encode(part[:b])
-        if not out.endswith(old_left) or not more.startswith(old_right):
-            a, b, old_left, old_right = 0, len(part), out, more
-        middle = encode(text[a:] + part[:b])
-        done.append(out[: len(out) - len(old_left)])
-        if b < len(part):
-            done.append(middle)
-            text, out = part[b:], more[len(old_right) :]
-        else:
-            text, out = text[a:] + part, middle
-    return b"".join([*done, out])
+    out = bytearray(ids[0])
+    for more in ids[1:]:
+        right = np.frombuffer(more, "<u4")
+        before, behind = reach, reach
+        while True:
+            # Some tokens more than the window, to move its start off the middle of a character.
+            left = np.frombuffer(bytes(out[-4 * (before + 8) :]), "<u4")
+            a, b, text = seam(left, right, table, (before, behind))
+            whole = a == 0 and 4 * len(left) == len(out)
+            new = encode(text)
+            same_left = whole or new[: 4 * AGREE] == left[a : a + AGREE].tobytes()
+            same_right = b == len(right) or new[-4 * AGREE :] == right[b - AGREE : b].tobytes()
+            if same_left and same_right:
+                break
+            before, behind = before if same_left else 4 * before, behind if same_right else 4 * behind
+        del out[len(out) - 4 * (len(left) - a) :]
+        out += new
+        out += right[b:].tobytes()
+    return bytes(out)
 
 
 def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
@@ -119,7 +137,7 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
 
     places = common.cut_lineage(common.map_rows(base, hashes, "doc_id bigint, h binary"))
     shared = places.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
-    owners = shared.groupBy("doc_id").agg(F.collect_list("h").alias("wanted"))
+    owners = shared.groupBy("doc_id").agg(F.collect_set("h").alias("wanted"))
 
     def encode_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = tokens.encoder(tokenizer)
@@ -130,21 +148,27 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
                 todo.update((h, c) for c in chunks(x) if (h := chunk_hash(c)) in want)
             yield {"h": list(todo), "ids": [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in enc.encode(list(todo.values()))]}
 
-    once = common.map_rows(base.join(owners, "doc_id").select("text", "wanted"), encode_wanted, "h binary, ids binary").dropDuplicates(["h"])
-    given = places.join(once, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "ids")).alias("given"))
+    once = common.map_rows(base.join(owners, "doc_id").select("text", "wanted"), encode_wanted, "h binary, ids binary")
+    # Nothing between the exchange and the join, so that Spark can split a hot chunk's rows; a chunk that
+    # came twice, from rows of one id, counts once in the set.
+    given = places.join(once, "h").groupBy("doc_id").agg(F.collect_set(F.struct("h", "ids")).alias("given"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = tokens.encoder(tokenizer)
-        single = lambda x: enc.encode([x])[0]
         table = tokens.byte_table(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
                 names, cut = b.column(0).to_pylist(), [chunks(x) for x in b.column(1).to_pylist()]
                 known = [{g["h"]: np.frombuffer(g["ids"], narrow).astype("<u4").tobytes() for g in x or []} for x in b.column(2).to_pylist()]
                 got = [[k.get(chunk_hash(c)) if k else None for c in own] for k, own in zip(known, cut, strict=True)]
                 fresh = iter(enc.encode([c for own, g in zip(cut, got, strict=True) for c, x in zip(own, g, strict=True) if x is None]))
-                ids = [join_ids(own, [next(fresh) if x is None else x for x in g], single) if own else b"" for own, g in zip(cut, got, strict=True)]
+                parts = [[next(fresh) if x is None else x for x in g] for g in got]
+                # All first windows of the batch at once; the few that must grow are encoded one by one.
+                seams = list({seam(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), table, (REACH, REACH))[2] for p in parts for x, y in zip(p, p[1:], strict=False)})
+                first = dict(zip(seams, enc.encode(seams), strict=True))
+                again = lambda x, first=first: y if (y := first.get(x)) is not None else enc.direct(x)
+                ids = [join_ids(p, again, table) if p else b"" for p in parts]
                 if not digest:
                     yield {"doc_id": names, "ids": ids}
                     continue
