@@ -8,25 +8,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreflow.llm import common, ngram_join, packing, quality_model, quality_rules, tokens
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores as good."""
     model = quality_model.train(docs, common.table(spark, sf_dir, "labels"))
-    return quality_model.scored(docs, model, "_score").where(F.col("_score") >= quality_model.THRESHOLD).drop("_score")
+    name = common.free_name(docs, "score")
+    return quality_model.scored(docs, model, name).where(F.col(name) >= quality_model.THRESHOLD).select(*_columns(docs))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    return quality_rules.judged(docs, quality_rules.trusted(spark, sf_dir)).where("kept").select(*docs.columns)
+    name = common.free_name(docs, "verdict")
+    return quality_rules.with_verdict(docs, quality_rules.trusted(spark, sf_dir), name).where(F.col(name)["kept"]).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of rows with one id, one of its equal texts."""
+    """Of each group of near duplicates the document with the smallest id; of rows with one id and equal texts, one."""
     return ngram_join.representatives(docs)
 
 
