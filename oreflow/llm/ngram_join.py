@@ -228,7 +228,7 @@ def _sets_of(pairs: DataFrame, members: DataFrame, base: DataFrame, sketch) -> D
 
 
 def _sets_of_classes(wanted: DataFrame, members: DataFrame, base: DataFrame, sketch) -> DataFrame:
-    ids = common.cut_lineage(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    ids = common.cut_lineage(members.join(wanted, "cls", "left_semi").select("doc_id").distinct())
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return common.saved(_ordered_sets(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), sketch), "shingle-sets")
 
@@ -281,8 +281,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Per document ``doc_id, n, cls``, and ``node, label``: the component of every class that has links."""
+def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per document ``doc_id, n, cls``; per class its smallest ``doc_id`` and number ``k``; and ``node, label``: the component of every class that has links."""
     spark = docs.sparkSession
     base = common.texts(docs, id_col, text_col)
     first = common.saved(_sets(base), "shingle-classes")
@@ -301,14 +301,15 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     prefixes = shared.groupBy("cls", "n").agg(F.collect_set("tok").alias("toks"))
     pairs = _possible(own.union(between).distinct(), prefixes)
 
-    members = classes.where("n > 0 and doc_id is not null")
+    # Counted before any join, so that the copies of one text never meet in one task.
+    members = common.cut_lineage(classes.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k")))
     links = common.cut_lineage(_verify(pairs, _sets_of(pairs, members, base, sketch)))
     label = components(links)
     mixed = _mixed(shared, label)
     if not mixed.isEmpty():
         big = common.cut_lineage(mixed.select("label", "cls", "n").distinct().groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") > LARGE))
         few = big.isEmpty()
-        small = mixed if few else mixed.join(big.select("label"), "label", "left_anti")
+        small = mixed if few else common.cut_lineage(mixed.join(big.select("label"), "label", "left_anti"))
         groups = common.cut_lineage(small.groupBy("tok").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("sum")).where("lo != hi"))
         rest = _possible(_remaining(small.join(groups.where(F.col("k") <= CROWD).select("tok"), "tok")).join(pairs, ["a", "b"], "left_anti"), prefixes)
         more = _verify(rest, _sets_of(rest, members, base, sketch))
@@ -323,12 +324,11 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
         # The components so far stand for the links that made them.
         label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     sketch.destroy()  # what is returned reads saved tables only
-    return classes, label
+    return classes, members, label
 
 
-def _firsts(members: DataFrame, label: DataFrame) -> DataFrame:
+def _firsts(per: DataFrame, label: DataFrame) -> DataFrame:
     """(class, first): of each class that isn't alone the smallest (doc_id, class) of its component."""
-    per = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k"))
     marked = common.cut_lineage(per.join(label.withColumnRenamed("node", "cls"), "cls", "left").where("k > 1 or label is not null").withColumn("label", F.coalesce("label", "cls")))
     least = marked.groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("first"))
     return common.cut_lineage(common.looked_up(marked.select("cls", "label"), least, "label").select("cls", "first"))
@@ -336,9 +336,9 @@ def _firsts(members: DataFrame, label: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
-    classes, label = _compared(docs, id_col, text_col)
+    classes, per, label = _compared(docs, id_col, text_col)
     members = classes.where("n > 0 and doc_id is not null")
-    linked = common.looked_up(members, _firsts(members, label), "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    linked = common.looked_up(members, _firsts(per, label), "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
     return linked.union(classes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -349,9 +349,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and the same shingles one stays, and rows with the same id and other
     texts are judged by their own texts.
     """
-    classes, label = _compared(docs, id_col, text_col)
+    classes, per, label = _compared(docs, id_col, text_col)
     members = classes.where("n > 0 and doc_id is not null")
-    gone = common.looked_up(members, _firsts(members, label), "cls").where("first is not null and (doc_id != first.doc_id or cls != first.cls)").select("doc_id", "cls").distinct()
+    gone = common.looked_up(members, _firsts(per, label), "cls").where("first is not null and (doc_id != first.doc_id or cls != first.cls)").select("doc_id", "cls").distinct()
     gone = common.cut_lineage(gone)
     again = common.cut_lineage(members.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     to_id = lambda x: x.select(F.col("doc_id").alias(id_col)).distinct()

@@ -33,64 +33,104 @@ from pyspark.sql import functions as F
 from oreflow.llm import common, tokens
 
 FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<int>, symbols_per_doc array<int>, n_ids bigint, before bigint, base bigint, rules binary, rule_lengths binary, symbols binary"
-_BINS = 18
-#: A rule takes two symbols and a length: it pays from this many replacements on.
+#: Odd factors of the pair hash, one for each round in turn.
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: A rule takes two symbols and a length: each made takes fewer numbers than the symbols it saves, so the output never grows.
 MIN_COUNT = 4
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, per_round: int = 4096, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: in each round the most frequent adjacent pairs become nonterminals.
+def _counted(key: np.ndarray, exact: bool, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often each key occurs, and its slot.
 
-    ``ends`` marks each document's last id.  Pairs are counted over the whole
-    shard in hashed bins; the fullest bins are then counted exactly.  Where
-    occurrences overlap, those at even places of a run are replaced; a pair
-    left with fewer than ``min_count`` of them waits for a later round.  Rounds
-    go on until one over all pairs makes no rule.  Returns
+    A key whose hash meets another's has no slot in this turn (count -1);
+    ``exact`` sorts instead, so that every key has one.
+    """
+    if exact:
+        _, slot, counts = np.unique(key, return_inverse=True, return_counts=True)
+        return counts[slot], slot
+    bits = max(10, int(len(key)).bit_length())
+    slot = ((key * np.uint64(_MULTIPLIERS[turn % len(_MULTIPLIERS)])) >> np.uint64(64 - bits)).astype(np.int64)
+    owner = np.empty(1 << bits, np.uint64)
+    owner[slot] = key
+    own = owner[slot] == key
+    counts = np.bincount(slot[own], minlength=1 << bits)[slot]
+    counts[~own] = -1
+    return counts, slot
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair in rounds, to the end: until no pair has ``min_count`` replaceable occurrences.
+
+    In each round a pair is replaced where it is more frequent than the pairs
+    that overlap it (ties: by its symbols), so the most frequent pair of the
+    shard is always replaced everywhere, and with it all others that don't
+    compete with a more frequent one.  A pair left with fewer than
+    ``min_count`` such places waits for a later round.  A pair once found to be
+    rarer is never counted again: replacements only make old pairs rarer.
+    ``ends`` marks each document's last id; no pair crosses one.  Returns
     symbols, their end marks, rules (n x 2) and the rules' expansion lengths.
     """
+    n = len(ids)
     seq, last = ids.astype(np.uint32), ends.astype(bool)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)  # the symbols' neighbours
+    gone = np.zeros(n, bool)
+    live = ~last  # places whose pair may still be frequent
     rules: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
-    made = 0
-    while len(seq) > 1:
-        left, right = seq[:-1], seq[1:]
-        bins = (left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))
-        bins ^= bins >> np.uint32(15)
-        bins &= np.uint32((1 << _BINS) - 1)
-        counts = np.bincount(bins, minlength=1 << _BINS)
-        fullest = np.cumsum(np.bincount(np.minimum(counts, 4095), minlength=4096)[::-1])
-        least = max(min_count, 4095 - int(np.searchsorted(fullest, per_round)))
-        at = np.flatnonzero((counts >= least)[bins] & ~last[:-1])
-        pair = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
-        keys, which, n = np.unique(pair, return_inverse=True, return_counts=True)
-        good = n >= min_count
-        number = np.cumsum(good) - 1
-        keep = good[which]
-        at, symbol = at[keep], number[which[keep]]
-        start = np.r_[True, np.diff(at) != 1]
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        at, symbol = at[run % 2 == 0], symbol[run % 2 == 0]
-        keys = keys[good]
-        used = np.bincount(symbol, minlength=len(keys)) >= min_count
+    sizes = np.zeros(0, np.uint32)
+    made = turn = 0
+    exact = False
+    while True:
+        at = np.flatnonzero(live)
+        right = after[at]
+        a, b = seq[at], seq[right]
+        # Of a run of one symbol, the pairs at odd places overlap those before them.
+        if len(same := np.flatnonzero(a == b)):
+            place = np.arange(len(same))
+            start = np.ones(len(same), bool)
+            start[1:] = (same[1:] - same[:-1] != 1) | (right[same[:-1]] != at[same[1:]])
+            stay = np.ones(len(at), bool)
+            stay[same[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 1]] = False
+            at, right, a, b = at[stay], right[stay], a[stay], b[stay]
+        key = (a.astype(np.uint64) << np.uint64(32)) | b
+        counts, slot = _counted(key, exact, turn)
+        turn += 1
+        live[at[(counts >= 0) & (counts < min_count)]] = False
+        # Against the pair one place before or behind: the greater (count, key) stands.
+        near = right[:-1] == at[1:]
+        first = counts[:-1] > counts[1:]
+        even = np.flatnonzero(counts[:-1] == counts[1:])
+        first[even] = key[even] > key[even + 1]
+        stands = counts >= min_count
+        stands[1:] &= ~(near & first)
+        stands[:-1] &= ~near | first
+        stands = np.flatnonzero(stands)
+        slot = slot[stands]
+        used = np.bincount(slot) >= min_count if len(slot) else np.zeros(1, bool)
         if not used.any():
-            if least <= min_count:
+            if exact:
                 break
-            per_round *= 4  # the fullest bins hold only many rare pairs or overlaps
+            exact = True  # the last few pairs may have met in their hashes
             continue
-        at, symbol = at[used[symbol]], (np.cumsum(used) - 1)[symbol[used[symbol]]].astype(np.uint32) + np.uint32(base + made)
-        new = np.stack([keys[used] >> np.uint64(32), keys[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        known = np.concatenate(sizes) if sizes else np.zeros(0, np.uint32)
-        sizes.append(expansion_lengths(new.ravel(), base, known).reshape(-1, 2).sum(axis=1).astype(np.uint32))
+        exact = False
+        good = used[slot]
+        stands, slot = stands[good], slot[good]
+        at, right, key, symbol = at[stands], right[stands], key[stands], (np.cumsum(used) - 1)[slot]
+        keys = np.empty(int(symbol.max()) + 1, np.uint64)
+        keys[symbol] = key
+        new = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        sizes = np.r_[sizes, expansion_lengths(new.ravel(), base, sizes).reshape(-1, 2).sum(axis=1).astype(np.uint32)]
         rules.append(new)
+        seq[at] = symbol.astype(np.uint32) + np.uint32(base + made)
         made += len(new)
-        seq = seq.copy()
-        seq[at] = symbol
-        last = last.copy()
-        last[at] = last[at + 1]
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-    return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.concatenate(sizes) if sizes else np.zeros(0, np.uint32)
+        gone[right], live[right] = True, False
+        last[at] = last[right]
+        after[at] = behind = after[right]
+        before[behind] = at
+        live[at] = ~last[at]  # pairs with a new symbol on either side
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        live[ahead] = ~last[ahead]
+    return seq[~gone], last[~gone], np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sizes
 
 
 def expansion_lengths(symbols: np.ndarray, base: int, rule_lengths: np.ndarray) -> np.ndarray:
@@ -100,16 +140,18 @@ def expansion_lengths(symbols: np.ndarray, base: int, rule_lengths: np.ndarray)
     return out
 
 
-def expand(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
-    """The ids behind ``symbols``: nonterminals are replaced by their two parts until none is left."""
-    while (big := symbols >= base).any():
-        ends = np.cumsum(1 + big)
-        out = np.empty(ends[-1], np.uint32)
-        out[ends - 1] = symbols
-        pair = rules[symbols[big] - np.uint32(base)]
-        out[ends[big] - 2], out[ends[big] - 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+def expand(symbols: np.ndarray, base: int, rules: np.ndarray, rule_lengths: np.ndarray) -> np.ndarray:
+    """The ids behind ``symbols``: every part of a rule goes straight to its place, level by level."""
+    sizes = expansion_lengths(symbols, base, rule_lengths)
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
+    out = np.empty(int(sizes.sum(dtype=np.int64)), np.uint32)
+    while len(symbols):
+        big = symbols >= base
+        out[at[~big]] = symbols[~big]
+        at, pair = at[big], rules[symbols[big] - np.uint32(base)]
+        symbols = pair.ravel()
+        at = np.stack([at, at + expansion_lengths(pair[:, 0], base, rule_lengths)], axis=1).ravel()
+    return out
 
 
 def read_span(shard: dict, doc: int, begin: int, end: int) -> np.ndarray:
@@ -117,18 +159,19 @@ def read_span(shard: dict, doc: int, begin: int, end: int) -> np.ndarray:
     rules = np.frombuffer(shard["rules"], "<u4").reshape(-1, 2)
     first = sum(shard["symbols_per_doc"][:doc])
     own = np.frombuffer(shard["symbols"], "<u4")[first : first + shard["symbols_per_doc"][doc]]
-    places = np.r_[0, np.cumsum(expansion_lengths(own, shard["base"], np.frombuffer(shard["rule_lengths"], "<u4")), dtype=np.int64)]
+    lengths = np.frombuffer(shard["rule_lengths"], "<u4")
+    places = np.r_[0, np.cumsum(expansion_lengths(own, shard["base"], lengths), dtype=np.int64)]
     end = min(end, int(places[-1]))
     if begin >= end:
         return np.zeros(0, np.uint32)
     a, b = int(np.searchsorted(places, begin, "right")) - 1, int(np.searchsorted(places, end, "left"))
-    return expand(own[a:b], shard["base"], rules)[begin - places[a] : end - places[a]]
+    return expand(own[a:b], shard["base"], rules, lengths)[begin - places[a] : end - places[a]]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = 1_000_000) -> None:
     """Encode ``docs`` (doc_id, text) and write shards of about ``block_ids`` ids to ``path``."""
     spark = docs.sparkSession
-    # Enough ranges for tasks of a few tens of MB; Spark samples the ids to place them.
+    # As many ranges as spark.sql.shuffle.partitions says; a task holds one shard at a time, however long its range is.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = common.texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
@@ -155,8 +198,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
 
         held = 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
                 for i, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
                     ids.append(x + tail)
                     names.append(i)
@@ -194,8 +237,8 @@ def documents(shards: DataFrame) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 s = b.slice(r, 1).to_pylist()[0]
-                rules = np.frombuffer(s["rules"], "<u4").reshape(-1, 2)
-                flat = expand(np.frombuffer(s["symbols"], "<u4"), s["base"], rules).astype("<u4")
+                rules, lengths = np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["rule_lengths"], "<u4")
+                flat = expand(np.frombuffer(s["symbols"], "<u4"), s["base"], rules, lengths).astype("<u4")
                 edges = np.r_[0, np.cumsum(s["lengths"], dtype=np.int64)]
                 raw = memoryview(flat.tobytes())
                 yield {"doc_id": s["doc_ids"], "start": edges[:-1] + s["shard_start"], "n_tokens": np.diff(edges), "ids_crc32": [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}

@@ -1,9 +1,10 @@
-"""Exact, fast use of the public tokenizers: every distinct word piece is encoded once per worker.
+"""Exact, fast use of the public tokenizers: every distinct word piece is encoded once per batch, common ones once per worker.
 
 A position between a non-space character and one blank or line feed that a
 non-space character follows is a boundary that neither pre-tokenizer crosses
 (the patterns attach at most that one blank to the word behind it), so the
-ids of a text are the ids of its pieces, one after another.
+ids of a text are the ids of its pieces, one after another.  Arrow cuts a
+batch into pieces and numbers the distinct ones; numpy puts their ids together.
 """
 
 from __future__ import annotations
@@ -16,12 +17,21 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Pieces kept by one worker; later ones live for one batch only.
-MAX_PIECES = 1_000_000
+#: Texts with other white space than single blanks and line feeds between words, or with a NUL.
+_UNUSUAL = "[\\x00\\x09\\x0B-\\x0D\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$|^$"
+#: Bytes of the pieces kept by one worker, counting ENTRY for each besides its key and ids; later ones live for one batch only.
+CACHE_BYTES, ENTRY = 64 << 20, 200
+#: Places that remember which pieces were met in a batch before.
+ONCE = 1 << 22
+#: Texts of this many characters at most are encoded at a time, but for longer single ones.
+BATCH_CHARS = 2 << 20
+_MARKS = "!\"#$%&'()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,12 +42,8 @@ def tokenizer_path(name: str) -> str:
 
 def pieces(text: str) -> list[str]:
     """Keys of a text's pieces: NUL + text for the first, line feed + text after a line feed, the bare text after a blank."""
-    if " ".join(text.split()) != text.replace("\n", " "):  # other white space than single blanks and line feeds between words
-        first, *rest = _SPLIT.split(text)
-        return ["\0" + first, *[x[1:] if x[0] == " " else x for x in rest]]
-    parts = text.replace("\n", " \n").split(" ")
-    parts[0] = "\0" + parts[0]
-    return parts
+    first, *rest = _SPLIT.split(text)
+    return ["\0" + first, *[x[1:] if x[0] == " " else x for x in rest]]
 
 
 def _segment(key: str) -> str:
@@ -58,8 +64,11 @@ class PieceEncoder:
         self.mark_id, mark = max(added.items(), key=lambda x: x[0])
         self.mark = mark.content
         self.known: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
+        self.once = bytearray(ONCE)  # a piece is kept when it is met in a second batch
         self.single = self._single_word_form()
-        self.tails = {c: self.direct(c) for c in ".,!?;:"} | {"\n": self.direct("\n")}
+        self.signs = dict(enumerate(_byte_signs()))
+        self.tails: dict[str, bytes] = {"": b"", "\n": self.direct("\n")}
 
     def _single_word_form(self) -> tuple[str, bool] | None:
         """How the model sees an ASCII word behind a blank: the sign put before it, and whether it is lower-cased."""
@@ -72,22 +81,27 @@ class PieceEncoder:
         return None
 
     def _word(self, key: str) -> bytes | None:
-        """Ids of a plain ASCII word, with one punctuation mark or a line feed at its end or start, straight from the model."""
-        if self.single is None or not key.isascii():
+        """Ids of a word of Latin letters, with a line feed before it and marks behind it or not, straight from the model."""
+        if self.single is None:
             return None
         sign, lower = self.single
-        before = after = b""
-        if key[0] == "\n":
-            before, sign, key = self.tails["\n"], "", key[1:]
-        if key and key[-1] in self.tails:
-            after, key = self.tails[key[-1]], key[:-1]
-        if not key.isalpha():
+        before = b""
+        if key[0] in "\0\n":  # no blank before it
+            before, sign, key = self.tails[key[0].strip("\0")], "", key[1:]
+        word = key.rstrip(_MARKS)
+        if not word.isalpha() or not word.isascii() and (max(word) > "\u024f" or "\u0130" in word):
             return None
-        if sign or lower:
-            found = self.known.get(key)
-            if found is not None:
-                return before + found + after
-        return before + array("I", [t.id for t in self.tokenizer.model.tokenize(sign + (key.lower() if lower else key))]).tobytes() + after
+        tail = key[len(word) :]
+        after = self.tails.get(tail)
+        if after is None:
+            after = self.direct(tail)
+            if len(self.tails) < 10_000:
+                self.tails[tail] = after
+        if lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.signs)
+        return before + array("I", [t.id for t in self.tokenizer.model.tokenize(sign + word)]).tobytes() + after
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -113,26 +127,72 @@ class PieceEncoder:
                 into[k] = raw[4 * begin : 4 * end]
                 begin = end + 1
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if not x or "\0" in x else pieces(x) for x in texts]
-        get = self.known.get
-        got = [list(map(get, p)) if p else None for p in cut]
-        missing = {k for p, g in zip(cut, got, strict=True) if g and None in g for k, v in zip(p, g, strict=True) if v is None}
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        got = list(map(self.known.get, keys))
+        missing = [k for k, v in zip(keys, got, strict=True) if v is None]
+        if not missing:
+            return got
         found: dict[str, bytes] = {}
-        if missing:
-            self._learn(missing, found)
-            room = MAX_PIECES - len(self.known)
-            self.known.update(found if len(found) <= room else list(found.items())[: max(0, room)])
-        out = []
-        for x, p, g in zip(texts, cut, got, strict=True):
-            if not p:
-                out.append(self.direct(x) if x else b"")
-            elif found and None in g:
-                out.append(b"".join([found[k] if v is None else v for k, v in zip(p, g, strict=True)]))
-            else:
-                out.append(b"".join(g))
+        self._learn(missing, found)
+        for k, v in found.items():
+            if self.room <= 0:
+                break
+            place = hash(k) % ONCE
+            if self.once[place]:
+                self.known[k] = v
+                self.room -= len(k) + len(v) + ENTRY
+            self.once[place] = 1
+        return [found[k] if v is None else v for k, v in zip(keys, got, strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held + len(texts[end]) <= BATCH_CHARS):
+                held += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
         return out
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        unusual = pc.match_substring_regex(column, _UNUSUAL).to_numpy(zero_copy_only=False)
+        usual = column.filter(pa.array(~unusual)) if unusual.any() else column
+        start, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(start, usual, nothing), "\n", " \n"), " ")
+        words = cut.flatten().dictionary_encode()
+        counts = np.diff(cut.offsets.to_numpy())
+        keys, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        if unusual.any():  # their pieces behind those of the others
+            own = [["\0" + x] if "\0" in x else pieces(x) if x else [] for x in (texts[k] for k in np.flatnonzero(unusual).tolist())]
+            more = [k for x in own for k in x]
+            which = np.concatenate([which, len(keys) + np.arange(len(more))])
+            keys, counts = keys + more, np.concatenate([counts, np.fromiter(map(len, own), counts.dtype, len(own))])
+        ids = self._ids(keys)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        # Each piece's ids, one after another.
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        joined = flat[np.repeat(begins[which] - (ends - lengths), lengths) + np.arange(total)].tobytes()
+        edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]) * 4
+        by_place = [joined[a:z] for a, z in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+        if not unusual.any():
+            return by_place
+        order = np.concatenate([np.flatnonzero(~unusual), np.flatnonzero(unusual)])
+        return [by_place[k] for k in np.argsort(order).tolist()]
+
+
+def _byte_signs() -> list[int]:
+    """The code point that stands for each byte in byte-level vocabularies: itself if it is shown, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [b if b in shown else next(hidden) for b in range(256)]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PieceEncoder:
@@ -146,12 +206,7 @@ def byte_table(path: str) -> list[bytes]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level vocabularies
-    back, extra = {chr(b): b for b in shown}, 0
-    for b in range(256):
-        if b not in shown:
-            back[chr(256 + extra)] = b
-            extra += 1
+    back = {chr(sign): b for b, sign in enumerate(_byte_signs())}
     added = t.get_added_tokens_decoder()
     out = [b""] * t.get_vocab_size(with_added_tokens=True)
     for word, i in t.get_vocab(with_added_tokens=True).items():

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oreflow.llm import chat_format, chunk_encoding, common, html_extraction, language_id, ngram_join, packing, phrase_fingerprint, quality_model, quality_rules, token_output, tokens
 
@@ -30,7 +32,7 @@ def odd(spark):
 
 @pytest.fixture(scope="module")
 def empty(spark):
-    return _docs(spark, []) if False else spark.createDataFrame([], SCHEMA)
+    return spark.createDataFrame([], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +62,27 @@ def test_repair_equals_whole_encoding(monkeypatch):
     for x in some:
         parts = chunk_encoding.chunks(x)
         assert "".join(parts) == x
-        assert chunk_encoding.join_ids(parts, e.encode(parts), lambda t: e.encode([t])[0]) == e.direct(x)
+        for reach in (3, chunk_encoding.REACH):
+            assert chunk_encoding.join_ids(e.encode(parts), e.direct, tokens.byte_table(BYTES), reach) == e.direct(x)
+    signs = ["<|endoftext|>", "'s", "'", "  ", " ", "\n", "\n\n", "漢字", "。", "😀", "aaaa", "xyz", "7", "ll", "\t", "é", ".'"]
+    for _ in range(3000):
+        x = "".join(rnd.choice(signs) * rnd.choice((1, 1, 1, 2, 30)) for _ in range(rnd.randint(1, 40)))
+        assert chunk_encoding.join_ids(e.encode(chunk_encoding.chunks(x)), e.direct, tokens.byte_table(BYTES)) == e.direct(x)
+
+
+def test_repair_of_texts_without_blanks():
+    rnd = random.Random(7)
+    e, table = tokens.encoder(BYTES), tokens.byte_table(BYTES)
+    letters = "".join(chr(0x4E00 + rnd.randint(0, 3000)) for _ in range(400))
+    for x in ("".join(rnd.choice(letters) for _ in range(300_000)), "x" * 300_000, " " * 60_000 + "a", "".join(rnd.choice("abcdefgh") for _ in range(1_000_000))):
+        times = []
+        for size in (len(x) // 8, len(x)):
+            parts = e.encode(chunk_encoding.chunks(x[:size]))
+            began = time.process_time()
+            got = chunk_encoding.join_ids(parts, e.direct, table)
+            times.append(time.process_time() - began)
+            assert got == e.direct(x[:size])
+        assert times[1] < 40 * times[0] + 0.5
 
 
 def test_chunk_encoding(spark, docs, odd, empty):
@@ -81,7 +103,7 @@ def test_grammar_round_trip():
     ends[edges] = ends[-1] = True
     symbols, last, rules, lengths = token_output.compress(ids, ends, 10)
     assert len(symbols) < len(ids) / 1.5 and last.sum() == ends.sum()
-    assert (token_output.expand(symbols, 10, rules) == ids).all()
+    assert (token_output.expand(symbols, 10, rules, lengths) == ids).all()
     shard = {"rules": rules.astype("<u4").tobytes(), "rule_lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(), "base": 10, "symbols_per_doc": np.diff(np.r_[-1, np.flatnonzero(last)]).tolist()}
     starts = np.r_[0, np.flatnonzero(ends) + 1]
     for d in (0, 7, 399):
@@ -135,14 +157,16 @@ def _repeats(w):
 def test_quality_rules(spark, docs, odd, empty):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     good = quality_rules.trusted(spark, DIR)
-    for df in (docs, odd.drop("score", "kept")):
+    for df in (docs, odd, odd.withColumn("_w", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("N_WORDS", F.lit(3))):
         for r in quality_rules.judged(df, good).collect():
             t = r["text"] or ""
             w = word.findall(t)
             lines = [x for x in t.split("\n") if word.search(x)]
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), _repeats(w))
             assert r["base_failed"] == (len(w) < 10 or 100 * _repeats(w) > 20 * len(w)) and r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
-    assert quality_rules.judged(empty.drop("score", "kept"), good).count() == 0
+    assert quality_rules.judged(empty, good).count() == 0
+    found = quality_rules.with_verdict(odd, good, "verdict")
+    assert found.columns == [*odd.columns, "verdict"] and found.drop("verdict").exceptAll(odd).isEmpty()
 
 
 def test_ratio_of_the_rules(spark, docs):
@@ -170,6 +194,14 @@ def test_quality_model(spark, odd, empty):
     out = quality_model.scored(odd, model, "quality_score")
     assert out.count() == odd.count() and out.where("quality_score between 0 and 1").count() == odd.count()
     assert quality_model.scored(empty, model).count() == 0
+    # An id with many rows counts once in the fit, and ids may be text.
+    rows = common.table(spark, DIR, "documents")
+    many = quality_model.train(rows.union(rows).union(rows), common.table(spark, DIR, "labels"))
+    assert np.allclose(many.w, model.w) and np.allclose(many.v, model.v)
+    named = quality_model.train(rows.withColumn("doc_id", F.col("doc_id").cast("string")), common.table(spark, DIR, "labels").withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert np.allclose(named.w, model.w)
+    long = _docs(spark, ["one two three " * 300_000])
+    assert 0 <= quality_model.scored(long, model, "n").first()["n"] <= 1
     none = quality_model.train(common.table(spark, DIR, "documents"), common.table(spark, DIR, "labels").where("false"))
     assert {round(r["score"], 6) for r in quality_model.scored(odd, none).collect()} == {1.0}
 
@@ -245,7 +277,7 @@ def test_chat_windows(spark, empty):
         assert [t[:2] for t in chat_format.read_turns(w)] == [(y, x), ("user", y)]
     rows = [(1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", f"word{i} " * 60) for i in range(1, 30)], (2, 0, None, None), (2, 0, "assistant", "hi"), (2, 0, "assistant", "hi"), (None, 1, "assistant", "x"), (3, 1, "assistant", "long " * 4000)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    w = chat_format.windows(turns, BYTES, budget=300, history=130)
+    w = chat_format.windows(turns, BYTES, budget=600, history=135)
     later = [r for r in w.where("conv_id = 1").collect() if r["window"]]
     assert later and all(chat_format.read_turns(r["text"])[0][:2] == ("system", "be kind") and r["n_repeated"] > 1 for r in later)
     got = {r["conv_id"]: r for r in chat_format.read_back(w).collect()}
@@ -257,6 +289,27 @@ def test_chat_windows(spark, empty):
         assert got[c]["n_turns"] == len(own) and got[c]["loss_chars"] == len(said) and got[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in sorted(own)).encode()).hexdigest()
     assert chat_format.windows(turns.where("false"), BYTES).count() == 0
+    extra = turns.withColumn("n", F.lit("x")).withColumn("window", F.lit(1)).withColumn("loss_starts", F.lit(2))
+    assert chat_format.windows(extra, BYTES, budget=600, history=135).exceptAll(w).isEmpty()
+
+
+def test_no_window_is_over_its_budget(spark):
+    rnd, e = random.Random(4), tokens.encoder(BYTES)
+    rows = []
+    for c in range(40):
+        for t in range(rnd.randint(1, 30)):
+            role = "system" if t == 0 and rnd.random() < 0.6 else rnd.choice(("user", "assistant"))
+            rows.append((c, t, role, " ".join(rnd.choice(("word", "</s>", "[INST]", "é")) for _ in range(rnd.choice((0, 3, 20, 60, 150))))))
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for budget, history in ((100, 30), (200, 500), (60, 0)):
+        for r in chat_format.windows(turns, BYTES, budget, history).collect():
+            parts = chat_format.read_turns(r["text"])
+            assert r["n_tokens"] == len(e.direct(r["text"])) // 4
+            assert r["n_tokens"] <= budget or len(parts) == 1
+            repeated = parts[: r["n_repeated"]]
+            if r["window"] and repeated and repeated[0][0] == "system":
+                repeated = repeated[1:]
+            assert sum(len(e.direct(chat_format.write_turn(role, x)[0])) // 4 for role, x, _, _ in repeated) <= history
 
 
 def test_fingerprints(spark, docs, texts, odd, empty):
@@ -274,8 +327,44 @@ def test_fingerprints(spark, docs, texts, odd, empty):
     assert phrase_fingerprint.with_next(odd).count() == odd.count()
     assert phrase_fingerprint.with_next(empty).count() == 0
     assert phrase_fingerprint.with_next(odd.where("doc_id = 4")).first()["near_next"] == 1.0
-    parts = phrase_fingerprint.phrases("abababab")
-    assert parts == ["a", "b", "ab", "aba"] and len(set(phrase_fingerprint.phrase_hashes("abababab", [1, 1, 2, 3]).tolist())) == 4
+    end = phrase_fingerprint.END
+    assert phrase_fingerprint.phrases("abababab") == ["a", "b", "ab", "aba", "b" + end]
+    one = lambda x: phrase_fingerprint.text_form(phrase_fingerprint.Parsed(x).sig)
+    assert len({one(x) for x in ("a", "aa", "abc", "abca", "abcab", "")}) == 6
+
+
+def _lz78(text):
+    """Phrases by the textbook: a growing dictionary, the end marked where it cuts a phrase."""
+    known, out, at = set(), [], 0
+    while at < len(text):
+        n = 1
+        while at + n <= len(text) and text[at : at + n] in known:
+            n += 1
+        if at + n > len(text):
+            return [*out, text[at:] + phrase_fingerprint.END]
+        known.add(text[at : at + n])
+        out.append(text[at : at + n])
+        at += n
+    return out
+
+
+def test_phrases_and_likeness_by_brute_force():
+    rnd = random.Random(10)
+    for _ in range(300):
+        x, y = ("".join(rnd.choice("abé\n漢") for _ in range(rnd.randint(0, 60))) for _ in range(2))
+        own = phrase_fingerprint.Parsed(x)
+        assert own.own == _lz78(x)
+        each = {p: phrase_fingerprint.phrase_hashes(p, [len(p)])[0] for p in own.own}
+        assert {each[p] for p in own.own} == set(own.hashes.tolist()) and len(set(each.values())) == len(set(own.own))
+        text, sig = own.edited(y)
+        assert text == x[: len(x) - len(x) // 4] + y[: len(x) // 4]
+        assert (sig == phrase_fingerprint.Parsed(text).sig).all()
+    # The share of equal minima comes near the phrase sets' Jaccard likeness.
+    x = "".join(rnd.choice("abcdefghij ") for _ in range(20_000))
+    y = x[:12_000] + "".join(rnd.choice("klmnopqrst ") for _ in range(8_000))
+    a, b = set(_lz78(x)), set(_lz78(y))
+    near = phrase_fingerprint.likeness(phrase_fingerprint.Parsed(x).sig, phrase_fingerprint.Parsed(y).sig)
+    assert abs(near - len(a & b) / len(a | b)) < 0.2
 
 
 def test_extraction(spark):
@@ -291,10 +380,41 @@ def test_extraction(spark):
     assert html_extraction.main_text("", m) == "" and html_extraction.main_text("<div>" * 5000, m) == ""
     page = '<body><div class="menu"><a href=a>One</a> <a href=b>Two</a></div><div class="post"><h2>A title</h2><p>Some text of &eacute;nough words to read,\n with one <a href=c>link</a>.<p>And a second sentence, as long as the first one was.</div><div class="comments"><p>I liked it a lot, thank you all.</p></div><script>if (a<b) x="</p>"</script><footer><p>&copy; all rights.</p></footer>'
     assert html_extraction.main_text(page, m) == "A title\n\nSome text of énough words to read, with one link.\n\nAnd a second sentence, as long as the first one was."
+    assert html_extraction.main_text("<body><article><p>Formula <math>x=2</math> holds for all of them.</p><ul><li><a href=/a>See the first part of this report.</a></li><li>The second part is not out yet.</li></ul><p><a href=/b>The whole story is told here.</a></p></article></body>", m) == "Formula x=2 holds for all of them.\n\nSee the first part of this report.\n\nThe second part is not out yet.\n\nThe whole story is told here."
     odd = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (2, "u", "", 6)], "page_id bigint, url string, html string, text int")
     assert [(r["text"], r["n_chars"]) for r in html_extraction.extracted(odd).collect()] == [("", 0)] * 3
 
 
+#: Pages written by hand, with names and structures that the labelled pages don't have in this form; § marks content.
+HELD_OUT = [
+    '<!doctype html><html><head><title>t</title></head><body class="home"><div id="page"><header id="top"><h2><a href="/">Valley Post</a></h2><nav class="navbar"><a href="/a">Town</a><a href="/b">Land</a></nav></header><div id="wrap"><main id="content"><h1>§Bees are back</h1><p>§The bees came back to the old orchard in May, three weeks before anyone had looked for them.</p><p>§Why?</p><h3>§A warm spring</h3><p>§No frost was seen after March, said the keeper, who has <a href="/k">kept a diary</a> since 1988.</p><ol><li>§<a href="/1">The diary of 1988, page by page</a></li><li>§The hives</li></ol><aside class="promo"><p>Honey at half price until Sunday!</p></aside><p>§More of them will come.</p></main><aside id="rail"><h4>Trending</h4><ul><li><a href="/x">Snow in June</a></li><li><a href="/y">Ten cheap meals</a></li></ul></aside></div><footer class="site-footer"><a href="/imprint">Imprint</a> &copy; Valley Post</footer></div></body></html>',
+    '<html><body><div class="cookie-consent"><p>This site stores cookies. <button>OK</button></p></div><div class="layout"><div class="menu-bar"><ul><li><a href="#">Start</a></li><li><a href="#">Tools</a></li><li><a href="#">Help</a></li></ul></div><div class="post-body"><h1>§How to sharpen a saw</h1><p>§You need a file, a vice and some patience.</p><ul><li>§Fix the saw.</li><li>§File every second tooth, always from the same side.</li><li>§Turn it round and do the others.</li></ul><blockquote>§A sharp saw is a safe saw.</blockquote><pre>§angle = 60</pre><p>§That is all there is to it.</p></div><div id="discussion"><h3>3 replies</h3><div class="reply"><p>My grandfather did it just like this, thanks.</p></div><div class="reply"><p>60 is too steep for softwood if you ask me.</p></div></div><div class="newsletter-box"><p>Get one tip a week.</p><form><input><button>Subscribe</button></form></div></div><div class="legal"><p>© Tool Blog 2019</p></div></body></html>',
+    '<html><body><nav role="navigation"><a href="/">Index</a> | <a href="/p">Papers</a></nav><article><header><h1>§On slow rivers</h1></header><section><h2>§Summary</h2><p>§Rivers that fall less than a metre in ten kilometres behave like lakes for most of the year.</p></section><section><h2>§Methods</h2><p>§We measured at six places, twice a day.</p><table><tr><th>§Place</th><th>§Depth</th></tr><tr><td>§A</td><td>§4 m</td></tr></table><figure><figcaption>§The six places.</figcaption></figure></section><noscript>Turn on scripts to see the map.</noscript></article><footer><p>All rights reserved.</p></footer></body></html>',
+    '<html><body><div id="masthead"><p>Your friendly paper since 1890.</p></div><div id="main"><div class="story"><h1>§Fire on the hill</h1><p>§A barn burned down on Friday night.</p><div class="ad banner"><p>Insure your barn today, from 3 a month.</p></div><p>§Nobody was hurt; the cattle had been moved the week before.</p><p>§<a href="/old">The barn had burned before, in 1950.</a></p></div></div><div style="display:none"><p>You have used up your free articles this month.</p></div><div class="share"><a href="/f">Post</a> <a href="/m">Mail</a></div><div id="footer">Legal notice</div></body></html>',
+]
+
+
+def test_held_out_pages():
+    from oreflow.llm import labelled_pages
+
+    m = html_extraction.default_model()
+    hits = wrong = lost = 0
+    for page in [*HELD_OUT, *labelled_pages.made(200, 99)]:
+        nodes = html_extraction.parse(page)
+        want = [x.text.startswith("§") for x in nodes]
+        html_extraction.label(nodes)
+        for x, w, p in zip(nodes, want, m.marginals(nodes), strict=True):
+            if x.name == "#text":
+                hits += w and p > 0.5
+                wrong += not w and p > 0.5
+                lost += w and p <= 0.5
+    assert hits / (hits + wrong) >= 0.97 and hits / (hits + lost) >= 0.97
+    for page in HELD_OUT:
+        want = [x.text[1:] for x in html_extraction.parse(page) if x.text.startswith("§")]
+        got = html_extraction.main_text(page.replace("§", ""), m).split("\n\n")
+        assert len(set(want) & set(got)) >= 0.9 * max(len(set(want)), len(set(got))), (set(want) ^ set(got))
+
+
 def test_marginals_are_exact():
     """Against the sum over all labelings of a small page."""
     from itertools import product
@@ -304,10 +424,10 @@ def test_marginals_are_exact():
     nodes = html_extraction.parse('<div class="ad">Buy now</div><p>Text that is read here, long enough.</p>')
     total, content = 0.0, [0.0] * len(nodes)
     for s in product(range(3), repeat=len(nodes)):
-        p = (1e-3, 1.0, 1e-3)[s[0]]
+        p = exp(m.root[s[0]])
         for k, x in enumerate(nodes[1:], 1):
             own = -30.0 if x.name == "#text" and s[k] == 1 else 0.0
-            p *= m.pair[s[x.parent]][s[k]] * exp(own + sum(m.log[f][s[k]] for f in html_extraction.features(x) if f in m.log))
+            p *= m.between(x, nodes[x.parent])[s[x.parent]][s[k]] * exp(own + sum(v[s[k]] for v in m.evidence(x, nodes[x.parent])))
         total += p
         for k, v in enumerate(s):
             content[k] += p * (v == html_extraction.CONTENT)
