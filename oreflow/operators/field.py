@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreflow.functions import rng
-from oreflow.functions.values import WIDE_SPACE, as_number, as_text, is_number, known, number_text, round_to, set_field
+from oreflow.functions.expressions import Value
+from oreflow.functions.values import WIDE_SPACE, as_number, as_text, is_number, known, round_to, set_field
 from oreflow.operators import record
 
 
@@ -38,9 +41,8 @@ def fill(df: DataFrame, fields: list[str], method: str, constant: str = "0", key
     stats = [c for c in fields if is_number(df, c) and method in ("mean", "median")]
     found: dict = {}
     if stats:
-        how = F.avg if method == "mean" else F.median
-        row = df.agg(*[round_to(how(known(df, c))).alias(c) for c in stats]).first()
-        found = {c: row[c] for c in stats}
+        rows = {c: df.agg(F.avg(known(df, c)).alias("q0")) if method == "mean" else record.quantiles(df, [], c, [0.5]) for c in stats}
+        found = {c: row[0] if (row := r.select(round_to(F.col("q0"))).first()) else None for c, r in rows.items()}
     out = []
     for c in df.columns:
         if c not in fields:
@@ -90,9 +92,9 @@ def clean_text(df: DataFrame, fields: list[str], trim: bool = True, case: str =
     return df.select(*out)
 
 
-def derive(df: DataFrame, name: str, expression: Column | str) -> DataFrame:
-    """A new last field from a Column or a Spark SQL expression; booleans become T and F, non-finite numbers NULL."""
-    value = F.expr(expression) if isinstance(expression, str) else expression
+def derive(df: DataFrame, name: str, expression: Value | Column | str) -> DataFrame:
+    """A new last field from a value of the expression language, a Column or a Spark SQL expression; booleans become T and F, non-finite numbers NULL."""
+    value = F.expr(expression) if isinstance(expression, str) else expression.column if isinstance(expression, Value) else expression
     out = set_field(df, name, value)
     kind = dict(out.dtypes)[name]
     if kind == "boolean":
@@ -106,9 +108,7 @@ def bin_edges(df: DataFrame, field: str, bins: int, method: str) -> list[float]:
         lo, hi = df.agg(F.min(c), F.max(c)).first()
         raw = [] if lo is None else [lo + (hi - lo) * i / k for i in range(1, k)]
     else:
-        raw = df.agg(F.percentile(c, F.array(*[F.lit(i / k) for i in range(1, k)]))).first()[0] or []
-    import math
-
+        raw = record.quantile(df, field, *[i / k for i in range(1, k)])
     return sorted({math.floor(x * 1e4 + 0.5) / 1e4 for x in raw})
 
 
@@ -128,6 +128,3 @@ def partition(df: DataFrame, keys: list[str], train: float = 70, seed: int = 123
     """``1_Training`` or ``2_Testing`` by each row's own draw in the order of ``keys``."""
     p = record.positions(df, keys)
     return set_field(p, name, F.when(rng.uniform(seed, F.col("__pos")) * 100 < train, "1_Training").otherwise("2_Testing")).drop("__pos")
-
-
-__all__ = ["binning", "clean_text", "derive", "drop_rename", "fill", "number_text", "partition", "retype"]

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreflow.functions import rng
+from oreflow.functions.expressions import Value, truth
 from oreflow.functions.values import as_text, is_number, known
+from oreflow.operators.lineage import kept
 
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=", "contains", "is missing", "is not missing")
 
@@ -14,24 +16,62 @@ COMPARISONS = ("=", "!=", ">", ">=", "<", "<=", "contains", "is missing", "is no
 def positions(df: DataFrame, keys: list[str], name: str = "__pos") -> DataFrame:
     """``df`` with each row's 0-based place in the order of ``keys``, without a single-task sort.
 
-    The first key is cut at quantiles into ranges; rows are numbered within
-    their range, and the ranges' sizes (one number each) give the offsets.
+    Rows are dealt into ranges of all keys, of any type; ties are told apart
+    by the other columns and then by where they lie, so neither a hot key nor
+    repeated rows are one task.  The sorted ranges are kept, and their sizes,
+    one number each, are the offsets of the places within them.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = F.col(keys[0])
-    cuts = sorted(set(df.approxQuantile(keys[0], [i / ranges for i in range(1, ranges)], 0.005))) if is_number(df, keys[0]) and ranges > 1 else []
-    part = sum(((first > c).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    part = F.coalesce(part, F.lit(-1))
-    marked = df.withColumn("__part", part)
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in keys and "map<" not in kind]
+    tied = df.select("*", F.xxhash64(*rest, F.lit(0)).alias("__tie"), F.monotonically_increasing_id().alias("__at"))
+    dealt = tied.repartitionByRange(ranges, *keys, "__tie", "__at").sortWithinPartitions(*keys, "__tie", "__at")
+    # The running id holds the partition's number above 33 bits, and below them the place in it.
+    marked = kept(dealt.drop("__tie", "__at").withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     offsets, at = [], 0
-    for r in sorted(marked.groupBy("__part").count().collect(), key=lambda r: r["__part"]):
-        offsets.append((r["__part"], at))
+    for r in sorted(marked.groupBy(part.alias("part")).count().collect(), key=lambda r: r["part"]):
+        offsets.append((r["part"], at))
         at += r["count"]
-    if not offsets:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    place = F.element_at(F.create_map(*[F.lit(x) for p, o in offsets for x in (p, o)]), F.col("__part"))
-    w = Window.partitionBy("__part").orderBy(*keys)
-    return marked.withColumn(name, (F.row_number().over(w) - 1 + place).cast("bigint")).drop("__part")
+    starts = df.sparkSession.createDataFrame(offsets, "__part bigint, __start bigint")
+    numbered = marked.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + place).alias(name))
+
+
+def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], cuts: int = 256) -> DataFrame:
+    """Exact interpolated quantiles of a number within groups of ``keys``: ``q0``, ``q1``... and no row for groups without values.
+
+    Values are counted, then cut into ``cuts`` ranges by approximate
+    quantiles; the ranges' totals say which of them hold the wanted ranks, and
+    only those ranges are sorted.  No task holds a whole group.
+    """
+    value = known(df, field).cast("double")
+    names = [f"k{i}" for i in range(len(keys))]
+    base = df.where(value.isNotNull()).select(F.struct(F.lit(0).alias("one"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).alias("g"), value.alias("v"))
+    counts = base.groupBy("g", "v").agg(F.count("*").alias("n"))
+    edges = F.approx_percentile("v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(4 * cuts))
+    groups = counts.groupBy("g").agg(F.sum("n").alias("total"), edges.alias("edges"))
+    placed = kept(counts.join(groups, "g").select("g", "v", "n", "total", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin")))
+    ranks = [(F.col("total") - 1) * s for s in shares]
+    bins = placed.groupBy("g", "total", "bin").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("g").orderBy("bin")  # as many rows as cuts
+    bins = bins.withColumn("before", F.sum("n").over(order) - F.col("n"))
+    wanted = [w for r in ranks for w in (F.floor(r), F.ceil(r))]
+    holds = F.lit(False)
+    for w in wanted:
+        holds = holds | ((F.col("before") <= w) & (w < F.col("before") + F.col("n")))
+    few = bins.where(holds).select("g", "bin", "before")
+    inside = Window.partitionBy("g", "bin").orderBy("v")
+    rows = placed.join(few, ["g", "bin"]).withColumn("first", F.col("before") + F.sum("n").over(inside) - F.col("n"))
+    at = lambda w: F.max(F.when((F.col("first") <= w) & (w < F.col("first") + F.col("n")), F.col("v")))
+    found = rows.groupBy("g", "total").agg(*[at(w).alias(f"w{i}") for i, w in enumerate(wanted)])
+    out = [(F.col(f"w{2 * i}") + (F.col(f"w{2 * i + 1}") - F.col(f"w{2 * i}")) * (r - F.floor(r))).alias(f"q{i}") for i, r in enumerate(ranks)]
+    return found.select(*[F.col(f"g.{n}").alias(k) for k, n in zip(keys, names, strict=True)], *out)
+
+
+def quantile(df: DataFrame, field: str, *shares: float) -> list[float]:
+    """Exact quantiles over all rows; empty without values."""
+    row = quantiles(df, [], field, list(shares)).first()
+    return list(row) if row else []
 
 
 def condition(df: DataFrame, field: str, op: str, value: str = "") -> Column:
@@ -54,9 +94,10 @@ def condition(df: DataFrame, field: str, op: str, value: str = "") -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def select(df: DataFrame, test: Column | str, keep: bool = True) -> DataFrame:
-    """Rows that pass ``test`` (a Column or a Spark SQL condition), or with ``keep=False`` all others, missing ones included."""
-    passed = F.coalesce(F.expr(test) if isinstance(test, str) else test, F.lit(False))
+def select(df: DataFrame, test: Value | Column | str, keep: bool = True) -> DataFrame:
+    """Rows that pass ``test`` (a value of the expression language, a Column or a Spark SQL condition), or with ``keep=False`` all others, missing ones included."""
+    test = truth(test) if isinstance(test, Value) else F.expr(test) if isinstance(test, str) else test
+    passed = F.coalesce(test, F.lit(False))
     return df.where(passed if keep else ~passed)
 
 
@@ -97,25 +138,35 @@ def distinct(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
 
 
 def merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
-    """Join on keys compared as text; missing keys never match; the right key is dropped, colliding names get _2, _3..."""
+    """Join on keys compared as text; missing keys never match; the right key is dropped, colliding names get _2, _3...
+
+    Keys of one type are compared as they are, which is the same and keeps
+    bucketing and pushed filters; rows without a key are set apart, not shuffled.
+    """
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"Unknown join: {how}")
-    taken, names = set(left.columns), {}
+    names: dict[str, str] = {}
     for c in right.columns:
         if c != right_key:
             new, k = c, 2
             while new in left.columns or new in names.values():
                 new, k = f"{c}_{k}", k + 1
             names[c] = new
-    assert taken
-    lk, rk = as_text(left, left_key), as_text(right, right_key)
-    r = right.select(rk.alias("__rk"), F.col(right_key).alias("__raw"), *[F.col(c).alias(n) for c, n in names.items()])
-    joined = left.withColumn("__lk", lk).join(r, F.col("__lk") == F.col("__rk"), how)
-    key = F.col(left_key)
+    same = dict(left.dtypes)[left_key] == dict(right.dtypes)[right_key]
+    form = known if same else as_text
+    lk, rk = form(left, left_key), form(right, right_key)
+    r = right.select(rk.alias("__rk"), F.col(f"`{right_key}`").alias("__raw"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    joined = left.where(lk.isNotNull()).withColumn("__lk", lk).join(r.where("__rk is not null"), F.col("__lk") == F.col("__rk"), how)
+    key = F.col(f"`{left_key}`")
     if how in ("right", "full"):
-        same = dict(left.dtypes)[left_key] == dict(right.dtypes)[right_key]
         key = F.coalesce(key, F.col("__raw")) if same else F.coalesce(F.col("__lk"), F.col("__rk"))
-    return joined.select(*[key.alias(c) if c == left_key else F.col(c) for c in left.columns], *names.values())
+    out = joined.select(*[key.alias(c) if c == left_key else F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{n}`") for n in names.values()])
+    if how in ("left", "full"):
+        out = out.unionByName(left.where(lk.isNull()).withColumn(left_key, F.col(f"`{left_key}`").cast(out.schema[left_key].dataType)), allowMissingColumns=True)
+    if how in ("right", "full"):
+        alone = r.where("__rk is null").withColumn(left_key, F.col("__raw").cast(out.schema[left_key].dataType)).drop("__rk", "__raw")
+        out = out.unionByName(alone, allowMissingColumns=True)
+    return out
 
 
 def append(frames: list[DataFrame], tag: str = "", labels: list[str] | None = None) -> DataFrame:
