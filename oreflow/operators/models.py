@@ -4,41 +4,70 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreflow.functions.values import as_text, is_number, known, round_to
+from oreflow.operators import record
+from oreflow.operators.lineage import kept
+
+#: Rows of a table that is sent to every task; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """``table``, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 # -- features -----------------------------------------------------------------
 
 
-def encode(train: DataFrame, fields: list[str], most: int = 30, drop_first: bool = False) -> dict[str, Column]:
-    """Feature Columns: numbers standardised (missing: 0), text one-hot over its ``most`` commonest values.
+@dataclass
+class Encoder:
+    """Numbers standardised (missing: 0), text one-hot over its commonest values; what it holds can be written as JSON."""
+
+    numbers: dict[str, tuple[float, float]]  # mean and deviation
+    texts: dict[str, list[str]]
+    order: list[str]
+
+    @classmethod
+    def fit(cls, train: DataFrame, fields: list[str], most: int = 30, drop_first: bool = False) -> Encoder:
+        """The statistics of ``train``."""
+        numbers = [f for f in fields if is_number(train, f)]
+        own = [x for f in numbers for x in (F.avg(known(train, f)).alias(f"m_{f}"), F.stddev_samp(known(train, f)).alias(f"s_{f}"))]
+        stats = train.agg(*own).first() if numbers else {}
+        scale = {f: (float(stats[f"m_{f}"] or 0.0), float(stats[f"s_{f}"] or 0.0)) for f in numbers}
+        texts = {}
+        for f in fields:
+            if f not in numbers:
+                common = train.groupBy(as_text(train, f).alias("v")).count().where("v is not null").orderBy(F.desc("count"), "v").limit(most)
+                texts[f] = [r["v"] for r in common.collect()][1 if drop_first else 0 :]
+        return cls(scale, texts, list(fields))
+
+    def columns(self, df: DataFrame) -> dict[str, Column]:
+        out: dict[str, Column] = {}
+        for f in self.order:
+            if f in self.numbers:
+                m, s = self.numbers[f]
+                out[f] = F.coalesce((known(df, f).cast("double") - m) / (s if s > 0 else 1.0), F.lit(0.0))
+            else:
+                out |= {f"{f}={v}": F.coalesce((as_text(df, f) == v).cast("double"), F.lit(0.0)) for v in self.texts[f]}
+        return out
 
-    Statistics are those of ``train``; the Columns apply to any frame with the fields.
-    """
-    numbers = [f for f in fields if is_number(train, f)]
-    out: dict[str, Column] = {}
-    stats = train.agg(*[x for f in numbers for x in (F.avg(known(train, f)).alias(f"m_{f}"), F.stddev_samp(known(train, f)).alias(f"s_{f}"))]).first() if numbers else {}
-    for f in fields:
-        if f in numbers:
-            m, s = stats[f"m_{f}"] or 0.0, stats[f"s_{f}"] or 0.0
-            out[f] = F.coalesce((known(train, f).cast("double") - m) / (s if s > 0 else 1.0), F.lit(0.0))
-        else:
-            values = [r["v"] for r in train.groupBy(as_text(train, f).alias("v")).count().where("v is not null").orderBy(F.desc("count"), "v").limit(most).collect()]
-            for v in values[1 if drop_first else 0 :]:
-                out[f"{f}={v}"] = F.coalesce((as_text(train, f) == v).cast("double"), F.lit(0.0))
-    return out
+
+def encode(train: DataFrame, fields: list[str], most: int = 30, drop_first: bool = False) -> dict[str, Column]:
+    """The feature Columns of an :class:`Encoder` fitted on ``train``; they apply to any frame with the fields."""
+    return Encoder.fit(train, fields, most, drop_first).columns(train)
 
 
 def with_vector(df: DataFrame, features: dict[str, Column], name: str = "features") -> DataFrame:
@@ -50,11 +79,20 @@ def with_vector(df: DataFrame, features: dict[str, Column], name: str = "feature
 class Supervised:
     """A fitted MLlib model with its features: adds ``$P-target`` and, for classes, ``$PC-target``."""
 
-    def __init__(self, prefix: str, target: str, features: dict[str, Column], model: PipelineModel, classes: bool, confidence: str | None):
-        self.prefix, self.target, self.features, self.model, self.classes, self.confidence = prefix, target, features, model, classes, confidence
+    def __init__(self, prefix: str, target: str, encoder: Encoder, model: PipelineModel, classes: bool, confidence: str | None):
+        self.prefix, self.target, self.encoder, self.model, self.classes, self.confidence = prefix, target, encoder, model, classes, confidence
+
+    def importance(self) -> dict[str, float]:
+        """Of a tree: each input field's share of the gain, the greatest first; fields without any are left out."""
+        gains = self.model.stages[0].featureImportances.toArray().tolist()
+        total: dict[str, float] = {}
+        for f in self.encoder.order:
+            total[f] = sum(gains[: (width := 1 if f in self.encoder.numbers else len(self.encoder.texts[f]))])
+            gains = gains[width:]
+        return {f: g for f, g in sorted(total.items(), key=lambda x: -x[1]) if g > 0}
 
     def transform(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(with_vector(df, self.features, "__x"))
+        scored = self.model.transform(with_vector(df, self.encoder.columns(df), "__x"))
         out = [F.col("__label" if self.classes else "__p").alias(f"${self.prefix}-{self.target}")]
         if self.classes:
             share = F.array_max(vector_to_array(F.col(self.confidence))) if self.confidence else F.lit(1.0)
@@ -72,7 +110,8 @@ def _classes(train: DataFrame, target: str) -> DataFrame:
 def _fit(prefix: str, train: DataFrame, target: str, inputs: list[str], estimator, classes: bool, confidence: str | None, drop_first: bool = False) -> Supervised:
     train = train.select(*dict.fromkeys([target, *inputs])).persist()  # read by several aggregations and every iteration
     rows = _classes(train, target) if classes else train.withColumn("__t", known(train, target).cast("double")).where("__t is not null")
-    features = encode(rows, inputs, drop_first=drop_first)
+    encoder = Encoder.fit(rows, inputs, drop_first=drop_first)
+    features = encoder.columns(rows)
     vectors = with_vector(rows, features, "__x").select("__x", "__t")
     if classes:
         index = StringIndexer(inputCol="__t", outputCol="__y", stringOrderType="alphabetAsc").fit(vectors)
@@ -80,15 +119,18 @@ def _fit(prefix: str, train: DataFrame, target: str, inputs: list[str], estimato
     else:
         body = Pipeline(stages=[estimator(len(features), 0)]).fit(vectors.withColumnRenamed("__t", "__y"))
     train.unpersist()
-    return Supervised(prefix, target, features, body, classes, confidence)
+    return Supervised(prefix, target, encoder, body, classes, confidence)
 
 
 def _columns(**more) -> dict:
     return {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__p"} | more
 
 
-def tree(train: DataFrame, target: str, inputs: list[str], max_depth: int = 4, min_leaf: int = 5, max_bins: int = 256) -> Supervised:
-    """CART by Gini or variance; thresholds among ``max_bins`` quantiles of each number."""
+def tree(train: DataFrame, target: str, inputs: list[str], max_depth: int = 4, min_leaf: int = 5, max_bins: int | None = None) -> Supervised:
+    """CART by Gini or variance; thresholds between all neighbouring values of a number of up to 10,000 values, else among as many quantiles (or ``max_bins``)."""
+    if max_bins is None:
+        kinds = train.agg(*[F.approx_count_distinct(known(train, f), 0.02).alias(f) for f in inputs]).first()
+        max_bins = min(10_000, max(32, int(1.1 * max(kinds)) + 2))
     if is_number(train, target) and not _few_whole(train, target):
         return _fit("R", train, target, inputs, lambda n, k: DecisionTreeRegressor(**_columns(), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins), False, None)
     return _fit("R", train, target, inputs, lambda n, k: DecisionTreeClassifier(**_columns(probabilityCol="__q", rawPredictionCol="__r"), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins), True, "__q")
@@ -100,12 +142,40 @@ def _few_whole(df: DataFrame, field: str) -> bool:
     return whole == 1 and kinds <= 5
 
 
-def svm(train: DataFrame, target: str, inputs: list[str], cost: float = 1.0, iterations: int = 50) -> Supervised:
+class Svm:
+    """One separating plane for each class: the greatest margin wins, and the confidence is the softmax of the margins."""
+
+    def __init__(self, target: str, encoder: Encoder, classes: list[str], planes: list[tuple[list[float], float]]):
+        self.target, self.encoder, self.classes, self.planes = target, encoder, classes, planes
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = list(self.encoder.columns(df).values())
+        margins = [sum((c * w for c, w in zip(x, ws, strict=True) if w), F.lit(b)) for ws, b in self.planes]
+        out = df.withColumn("__s", F.array(*margins))
+        best = F.array_max(F.transform("__s", lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
+        out = out.withColumn("__b", best)
+        spread = F.aggregate("__s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("__b")["s"]))
+        names = F.array(*[F.lit(k) for k in self.classes])
+        return out.select(*[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$SVM-{self.target}"), round_to(1 / spread).alias(f"$SVMC-{self.target}"))
+
+
+def svm(train: DataFrame, target: str, inputs: list[str], cost: float = 1.0, iterations: int = 50) -> Svm:
     """Linear one-vs-rest hinge loss; ``regParam = 1 / cost`` gives the same optimum as cost * mean hinge."""
     if not 1e-6 <= cost <= 100:
         raise ValueError("SVM cost must be between 0.000001 and 100.")
-    one = LinearSVC(featuresCol="__x", labelCol="__y", predictionCol="__p", rawPredictionCol="__r", regParam=1 / cost, maxIter=iterations, standardization=False)
-    return _fit("SVM", train, target, inputs, lambda n, k: OneVsRest(classifier=one, featuresCol="__x", labelCol="__y", predictionCol="__p", rawPredictionCol="__r"), True, None)
+    train = train.select(*dict.fromkeys([target, *inputs])).persist()
+    rows = _classes(train, target)
+    encoder = Encoder.fit(rows, inputs)
+    vectors = with_vector(rows, encoder.columns(rows), "__x").select("__x", "__t").persist()
+    classes = sorted(r["__t"] for r in vectors.select("__t").distinct().collect())
+    one = LinearSVC(featuresCol="__x", labelCol="__y", regParam=1 / cost, maxIter=iterations, standardization=False)
+    planes = []
+    for c in classes:
+        m = one.fit(vectors.withColumn("__y", (F.col("__t") == c).cast("double")))
+        planes.append(([float(w) for w in m.coefficients], float(m.intercept)))
+    vectors.unpersist()
+    train.unpersist()
+    return Svm(target, encoder, classes, planes)
 
 
 def ann(train: DataFrame, target: str, inputs: list[str], hidden: int = 8, iterations: int = 200, seed: int = 42) -> Supervised:
@@ -128,84 +198,107 @@ def linear(train: DataFrame, target: str, inputs: list[str], ridge: float = 0.0)
 
 
 class NaiveBayes:
-    """Gaussian and categorical naive Bayes from two grouped aggregations; scores by Columns."""
+    """Gaussian and categorical naive Bayes from grouped aggregations; scores by Columns.
+
+    The means of numbers are constants of the plan, one for each class; the
+    counts of a text field's values are a table that is joined, by broadcast
+    if it is short, so any number of values will do.
+    """
 
     def __init__(self, train: DataFrame, target: str, inputs: list[str], laplace: float = 1.0):
         a = laplace or 1.0
         rows = _classes(train, target)
         self.target, self.numbers = target, [f for f in inputs if is_number(train, f)]
-        texts = [f for f in inputs if f not in self.numbers]
+        self.texts = [f for f in inputs if f not in self.numbers]
         per = {r["__t"]: r for r in rows.groupBy("__t").agg(F.count("*").alias("n"), *[x for f in self.numbers for x in (F.avg(known(train, f)).alias(f"m_{f}"), F.stddev_samp(known(train, f)).alias(f"s_{f}"))]).collect()}
         self.classes, total = sorted(per), sum(r["n"] for r in per.values())
-        self.logs: dict[str, Column] = {}
-        counts: dict[str, dict] = {f: {} for f in texts}
-        for f in texts:
-            for r in rows.groupBy("__t", as_text(train, f).alias("v")).count().where("v is not null").collect():
-                counts[f][r["__t"], r["v"]] = r["count"]
-        for k in self.classes:
-            log: Column = F.lit(math.log(per[k]["n"] / total))
-            for f in self.numbers:
-                m = per[k][f"m_{f}"]
-                if m is None:
-                    continue
-                s = max(per[k][f"s_{f}"] or 0.0, 1e-3 * (abs(m) + 1))
-                x = known(train, f).cast("double")
-                log = log + F.coalesce(-math.log(s) - (x - m) * (x - m) / (2 * s * s), F.lit(0.0))
-            for f in texts:
-                kinds = sorted({v for _, v in counts[f]})
-                size = sum(counts[f].get((k, v), 0) for v in kinds)
-                base = size + a * (len(kinds) + 1)
-                table = F.create_map(*[F.lit(x) for v in kinds for x in (v, math.log((counts[f].get((k, v), 0) + a) / base))]) if kinds else None
-                x = as_text(train, f)
-                if table is not None:
-                    log = log + F.when(x.isNull(), 0.0).otherwise(F.coalesce(F.try_element_at(table, x), F.lit(math.log(a / base))))
-            self.logs[k] = log
+        self.prior = [math.log(per[k]["n"] / total) for k in self.classes]
+        self.bells: dict[str, list[tuple[float, float] | None]] = {}
+        for f in self.numbers:
+            means = [(per[k][f"m_{f}"], per[k][f"s_{f}"] or 0.0) for k in self.classes]
+            self.bells[f] = [None if m is None else (m, max(s, 1e-3 * (abs(m) + 1))) for m, s in means]
+        self.tables: dict[str, tuple[DataFrame, list[float]]] = {}
+        for f in self.texts:
+            counts = rows.groupBy(as_text(train, f).alias("v"), "__t").agg(F.count("*").alias("n")).where("v is not null")
+            size = {r["__t"]: r["n"] for r in counts.groupBy("__t").agg(F.sum("n").alias("n")).collect()}
+            kinds = counts.select("v").distinct().count()
+            base = [size.get(k, 0) + a * (kinds + 1) for k in self.classes]
+            logs = [F.log((F.coalesce(F.sum(F.when(F.col("__t") == k, F.col("n"))), F.lit(0)) + a) / x) for k, x in zip(self.classes, base, strict=True)]
+            self.tables[f] = kept(counts.groupBy("v").agg(F.array(*logs).alias("logs"))), [math.log(a / x) for x in base]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        best = F.array_max(F.array(*[F.struct(self.logs[k].alias("s"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(self.classes)]))
-        spread = sum((F.exp(self.logs[k] - F.col("__b")["s"]) for k in self.classes), F.lit(0.0))
-        return df.withColumn("__b", best).withColumn(f"$B-{self.target}", F.col("__b")["k"]).withColumn(f"$BC-{self.target}", round_to(1 / spread)).drop("__b")
-
-
-def knn(train: DataFrame, df: DataFrame, target: str, inputs: list[str], key: str, k: int = 5, block: int = 20_000) -> DataFrame:
-    """Exact k nearest neighbours of each row of ``df``: vote of the classes, or mean of numbers.
-
-    Training rows pass in blocks of about ``block`` rows, each sent to every
-    task; the best k so far are merged after each block, so memory is bounded
-    and no pair of rows is ever emitted.
+        out, found = df, []
+        for i, (f, (table, unseen)) in enumerate(self.tables.items()):
+            out = out.withColumn(f"__v{i}", as_text(df, f)).join(_sized(table.select(F.col("v").alias(f"__v{i}"), F.col("logs").alias(f"__l{i}"))), f"__v{i}", "left")
+            found.append((F.col(f"__v{i}"), F.col(f"__l{i}"), unseen))
+        logs = []
+        for k in range(len(self.classes)):
+            log: Column = F.lit(self.prior[k])
+            for f, bells in self.bells.items():
+                if bells[k]:
+                    (m, s), x = bells[k], known(df, f).cast("double")
+                    log = log + F.coalesce(-math.log(s) - (x - m) * (x - m) / (2 * s * s), F.lit(0.0))
+            for value, own, unseen in found:
+                log = log + F.when(value.isNull(), 0.0).otherwise(F.coalesce(F.get(own, F.lit(k)), F.lit(unseen[k])))
+            logs.append(log)
+        out = out.withColumn("__s", F.array(*logs))
+        best = F.array_max(F.transform("__s", lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
+        spread = F.aggregate("__s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("__b")["s"]))
+        names = F.array(*[F.lit(k) for k in self.classes])
+        scored = out.withColumn("__b", best)
+        return scored.select(*[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$B-{self.target}"), round_to(1 / spread).alias(f"$BC-{self.target}"))
+
+
+def knn(train: DataFrame, df: DataFrame, target: str, inputs: list[str], key: str, k: int = 5, block: int = 4000) -> DataFrame:
+    """Exact k nearest neighbours of each row of ``df``: vote of the classes, or mean of numbers; ties of distance by ``key``.
+
+    Both sides are dealt into blocks of about ``block`` rows and each pair of
+    blocks is one group, whose distances are one matrix product; a group gives
+    the best k of each of its rows, and these are merged by an aggregation of
+    bounded state.  No rows pass through the driver.
     """
     features = encode(train, inputs)
     numeric = is_number(train, target) and not _few_whole(train, target)
     label = known(train, target).cast("double").cast("string") if numeric else as_text(train, target)
-    vectors = train.select(F.col(key).cast("bigint").alias("key"), label.alias("label"), F.array(*features.values()).alias("x")).where("label is not null")
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    part = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    found = df.select("*", F.array(*features.values()).alias("__x"), F.array().cast("array<struct<d:double,key:bigint,label:string>>").alias("__near"))
-    sc = df.sparkSession.sparkContext
-    for b in range(blocks):
-        rows = vectors.where(part == b).orderBy("key").collect()  # one block, of bounded size
-        sent = sc.broadcast((np.array([r["x"] for r in rows], float).reshape(len(rows), -1), [r["key"] for r in rows], [r["label"] for r in rows]))
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            x, keys, labels = sent.value
-            for t in batches:
-                near = []
-                for v, old in zip(t.column("__x").to_pylist(), t.column("__near").to_pylist(), strict=True):
-                    d = ((x - np.array(v)) ** 2).sum(axis=1)
-                    few = np.argpartition(d, min(k, len(d)) - 1)[:k] if len(d) > k else np.arange(len(d))
-                    cut = d[few].max() if len(few) else 0.0
-                    own = [{"d": float(d[i]), "key": keys[i], "label": labels[i]} for i in np.flatnonzero(d <= cut)]
-                    near.append(sorted([*old, *own], key=lambda r: (r["d"], r["key"]))[:k])
-                yield t.set_column(t.schema.get_field_index("__near"), t.schema.field("__near"), pa.array(near, t.schema.field("__near").type))
-
-        found = found.mapInArrow(nearest, found.schema)
+    x = F.array(*features.values()).cast("array<double>").alias("x")
+    vectors = train.select(F.col(key).cast("bigint").alias("id"), label.alias("label"), x).where("label is not null")
+    asked = kept(df.select("*", F.monotonically_increasing_id().alias("__q"), x.alias("__x")))
+    trains, queries = max(1, -(-vectors.count() // block)), max(1, -(-asked.count() // block))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(F.col("__q").alias("id"), F.col("__x").alias("x"), part("__q", queries).alias("a"), every(trains).alias("b"))
+    right = vectors.select("id", "label", "x", every(queries).alias("a"), part("id", trains).alias("b"))
+
+    def nearest(q: pa.Table, t: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"q": [], "near": []}
+        if q.num_rows and t.num_rows:
+            x, y = (np.array(s.column("x").to_pylist(), float).reshape(s.num_rows, -1) for s in (q, t))
+            ids, labels, size = t.column("id").to_numpy(), t.column("label").to_pylist(), (y**2).sum(axis=1)
+            for at in range(0, len(x), 512):
+                # The product tells far from near; those about as near as the k-th are measured exactly.
+                some = x[at : at + 512]
+                rough = np.maximum(0.0, (some**2).sum(axis=1)[:, None] + size[None] - 2 * some @ y.T)
+                cut = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                for i, row in enumerate(rough):
+                    own = np.flatnonzero(row <= cut[i] + 1e-9 * (1 + cut[i] + size.max()))
+                    d = ((y[own] - some[i]) ** 2).sum(axis=1)
+                    best = own[order := np.lexsort((ids[own], d))[:k]]
+                    out["q"].append(int(q.column("id")[at + i].as_py()))
+                    out["near"].append([{"d": float(e), "key": int(ids[j]), "label": labels[j]} for e, j in zip(d[order], best, strict=True)])
+        return pa.table(out, schema=pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("label", pa.string())])))]))
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(nearest, "q bigint, near array<struct<d:double,key:bigint,label:string>>")
+    # At most k rows from each block of training rows.
+    near = found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("__near"))
+    out = asked.join(near.withColumnRenamed("q", "__q"), "__q", "left")
+    columns = [F.col(f"`{c}`") for c in df.columns]
     if numeric:
         value = F.aggregate("__near", F.lit(0.0), lambda acc, r: acc + r["label"].cast("double")) / F.size("__near")
-        return found.withColumn(f"$KNN-{target}", value).drop("__x", "__near")
+        return out.select(*columns, value.alias(f"$KNN-{target}"))
     vote = lambda v: F.size(F.filter("__near", lambda r: r["label"] == v["label"]))
     ranked = F.transform("__near", lambda v, i: F.struct(vote(v).alias("n"), (-i).alias("i"), v["label"].alias("label")))
-    return found.withColumn("__v", F.array_max(ranked)).withColumn(f"$KNN-{target}", F.col("__v")["label"]).withColumn(f"$KNNC-{target}", round_to(F.col("__v")["n"] / F.size("__near"))).drop("__x", "__near", "__v")
+    out = out.withColumn("__v", F.array_max(ranked))
+    return out.select(*columns, F.col("__v")["label"].alias(f"$KNN-{target}"), round_to(F.col("__v")["n"] / F.size("__near")).alias(f"$KNNC-{target}"))
 
 
 def assign(df: DataFrame, vector: Column, centres: list[list[float]], prefix: str = "KM") -> DataFrame:
@@ -231,22 +324,22 @@ def single_cluster(df: DataFrame, features: dict[str, Column], percent: float =
     d = F.sqrt(sum(((features[n] - means[f"m{i}"]) ** 2 for i, n in enumerate(names)), F.lit(0.0)))
     out = df.withColumn("$KMD-K-Means", d)
     p = min(50.0, max(0.1, percent))
-    mean, cut = out.agg(F.avg("`$KMD-K-Means`"), F.percentile("`$KMD-K-Means`", 1 - p / 100)).first()
+    mean, cut = out.agg(F.avg("`$KMD-K-Means`")).first()[0], (record.quantile(out, "$KMD-K-Means", 1 - p / 100) or [None])[0]
     return out.withColumn("$KMI-K-Means", F.col("`$KMD-K-Means`") / (mean or 1.0)).withColumn("$KMA-K-Means", F.when(F.col("`$KMD-K-Means`") > cut, "anomaly").otherwise("normal"))
 
 
-def anomaly(train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1) -> DataFrame:
-    """Peer groups by k-means of ``train``; index = distance by its group's mean; the field behind most of an anomaly's distance."""
+def anomaly(train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1, centres: list[list[float]] | None = None) -> DataFrame:
+    """Peer groups by k-means of ``train``, or about given ``centres``; index = distance by its group's mean; the field behind most of an anomaly's distance."""
     features = encode(train, inputs)
     vector = F.array(*features.values())
-    centres = kmeans_centres(train, vector, groups, seed)
+    centres = centres or kmeans_centres(train, vector, groups, seed)
     index_of = lambda x: x.withColumn("__k", F.col("`$O-K-Means`")).drop("`$O-K-Means`")
     base = index_of(assign(train, vector, centres, "O"))
     means = {r["__k"]: r["m"] for r in base.groupBy("__k").agg(F.avg("`$OD-K-Means`").alias("m")).collect()}
     overall = base.agg(F.avg("`$OD-K-Means`")).first()[0] or 1.0
     scale = F.create_map(*[F.lit(x) for k, m in means.items() for x in (k, m if m > 1e-9 else overall if overall > 1e-9 else 1.0)])
     indexed = lambda x: x.withColumn("$OA-Anomaly", F.col("`$OD-K-Means`") / F.coalesce(F.try_element_at(scale, F.col("__k")), F.lit(1.0)))
-    cut = indexed(base).agg(F.percentile("`$OA-Anomaly`", 1 - percent / 100)).first()[0]
+    cut = record.quantile(indexed(base), "$OA-Anomaly", 1 - percent / 100)[0]
     out = indexed(index_of(assign(df, vector, centres, "O")))
     fields = list(dict.fromkeys(n.split("=")[0] for n in features))
     middle = F.get(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.substring("__k", 9, 9).cast("int") - 1)
@@ -255,15 +348,30 @@ def anomaly(train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3,
     return out.withColumn("$O-Anomaly", F.when(flag, "anomaly").otherwise("normal")).withColumn("$OP-Anomaly", F.regexp_replace("__k", "cluster", "peer")).withColumn("$OR-Anomaly", F.when(flag, F.array_max(F.array(*share))["f"])).drop("__k", "$OD-K-Means")
 
 
-def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919, full: int = 2000) -> DataFrame:
+def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919, full: int = 2000, of: DataFrame | None = None) -> DataFrame:
     """Euclidean silhouettes against all rows: of every record up to ``full`` rows, above that of ``sample`` records (those with the smallest seeded hash).
 
-    The scored records are sent to every task, which adds up its distances by cluster;
-    only (record, cluster, sum, count) rows are shuffled.
+    With ``of``, rows of ``df`` themselves, of those records instead, in blocks.
+    The scored records are sent to every task, ``full`` at a time, which adds
+    up its distances by cluster; only (record, cluster, sum, count) rows are
+    shuffled.  ``key`` is a whole number.
     """
+    if of is not None:
+        blocks = max(1, -(-of.count() // full))
+        own = [of.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+        parts = [_silhouette(df, vector, cluster, key, x.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x")).collect()) for x in own]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.union(x)
+        return out
     rows = df.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x"))
     chosen = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(full + 1).collect()
-    chosen = chosen if len(chosen) <= full else chosen[:sample]
+    return _silhouette(df, vector, cluster, key, chosen if len(chosen) <= full else chosen[:sample])
+
+
+def _silhouette(df: DataFrame, vector: Column, cluster: str, key: str, chosen: list) -> DataFrame:
+    """Silhouettes of the ``chosen`` records (key, cluster, x)."""
+    rows = df.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x"))
     sent = df.sparkSession.sparkContext.broadcast((np.array([r["x"] for r in chosen], float), [r["key"] for r in chosen]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,6 +380,8 @@ def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: in
         for b in batches:
             names = np.array(b.column(1).to_pylist(), object)
             y = np.array(b.column(2).to_pylist(), float)
+            if not len(x) or not len(y):
+                continue
             d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T))
             for c in set(names.tolist()):
                 own = total.setdefault(c, [np.zeros(len(x)), 0])
@@ -291,20 +401,25 @@ def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: in
 # -- splits, contingency, rules ----------------------------------------------------
 
 
-def best_splits(df: DataFrame, target: str, inputs: list[str]) -> DataFrame:
+def best_splits(df: DataFrame, target: str, inputs: list[str], cuts: int = 256) -> DataFrame:
     """For each numeric input the threshold with the largest Gini gain (midpoints of neighbouring values; ties: the lowest).
 
-    One grouped count per (input, value, class); prefix sums run over distinct values.
+    One grouped count per (input, value, class); prefix sums run over ranges of distinct values.
     """
     t = as_text(df, target)
     long = df.where(t.isNotNull()).select(t.alias("cls"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), known(df, f).cast("double").alias("v")) for f in inputs])).alias("x")).select("cls", "x.*").where("v is not null")
     counts = long.groupBy("field", "v", "cls").agg(F.count("*").alias("n"))
     classes = sorted(r["cls"] for r in counts.select("cls").distinct().collect())
-    wide = counts.groupBy("field", "v").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("double").alias(f"c{i}") for i, c in enumerate(classes)])
-    w = Window.partitionBy("field").orderBy("v")
-    every = Window.partitionBy("field")
     names = [f"c{i}" for i in range(len(classes))]
-    sums = wide.select("field", "v", F.lead("v").over(w).alias("up"), *[F.sum(n).over(w).alias(f"l_{n}") for n in names], *[F.sum(n).over(every).alias(f"t_{n}") for n in names])
+    wide = counts.groupBy("field", "v").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("double").alias(n) for c, n in zip(classes, names, strict=True)])
+    # Values are cut into ranges, so that no task sorts all values of a field; the ranges' sums give each its start.
+    edges = wide.groupBy("field").agg(F.approx_percentile("v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(4 * cuts)).alias("edges"))
+    placed = kept(wide.join(F.broadcast(edges), "field").select("field", "v", *names, F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin")))
+    order, every = Window.partitionBy("field").orderBy("bin"), Window.partitionBy("field")  # as many rows as cuts
+    bins = placed.groupBy("field", "bin").agg(F.min("v").alias("v"), *[F.sum(n).alias(n) for n in names])
+    bins = bins.select("field", "bin", F.lead("v").over(order).alias("next"), *[(F.sum(n).over(order) - F.col(n)).alias(f"b_{n}") for n in names], *[F.sum(n).over(every).alias(f"t_{n}") for n in names])
+    w = Window.partitionBy("field", "bin").orderBy("v")
+    sums = placed.join(F.broadcast(bins), ["field", "bin"]).select("field", "v", F.coalesce(F.lead("v").over(w), "next").alias("up"), *[(F.sum(n).over(w) + F.col(f"b_{n}")).alias(f"l_{n}") for n in names], *[f"t_{n}" for n in names])
 
     def impurity(parts: list[Column]) -> Column:
         total = sum(parts[1:], parts[0])
@@ -350,32 +465,37 @@ def chi_square_p(chi2: float, df: int) -> float:
     return min(1.0, front / value)
 
 
+#: Categories of a text field that CHAID merges on the driver at most.
+MOST_CATEGORIES = 5000
+
+
 class Chaid:
     """A multiway tree: categories merged while alike, split on the smallest adjusted p-value.
 
     Each level is one grouped count of (node, field, code, class) in Spark;
     the contingency tables, at most fields x codes x classes a node, are merged
     on the driver.  Numbers get at most ``bins`` ordered codes at quantiles;
-    text gets its ``most`` commonest values and one code for the rest.
+    text a code for each value, or with ``most`` for its commonest ones, and one for all others.
     """
 
-    def __init__(self, train: DataFrame, target: str, inputs: list[str], max_depth: int = 3, min_parent: int = 30, min_child: int = 10, alpha_split: float = 0.05, alpha_merge: float = 0.05, bins: int = 10, most: int = 50):
+    def __init__(self, train: DataFrame, target: str, inputs: list[str], max_depth: int = 3, min_parent: int = 30, min_child: int = 10, alpha_split: float = 0.05, alpha_merge: float = 0.05, bins: int = 10, most: int | None = None):
         train = train.select(*dict.fromkeys([target, *inputs])).persist()
         rows = _classes(train, target)
         self.target, self.inputs = target, inputs
         self.ordered = {f: is_number(train, f) for f in inputs}
-        self.codes: dict[str, Column] = {}
+        self.cuts: dict[str, list[float]] = {}
+        self.values: dict[str, list[str]] = {}
         for f in inputs:
             if self.ordered[f]:
-                c = known(train, f).cast("double")
-                cuts = sorted(set(rows.agg(F.percentile(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0] or []))
-                self.codes[f] = F.when(c.isNull(), len(cuts) + 1).otherwise(sum(((c > x).cast("int") for x in cuts), F.lit(0)))
-            else:
-                x = as_text(train, f)
-                values = [r["v"] for r in rows.groupBy(x.alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect() if r["v"] is not None]
-                self.codes[f] = F.when(x.isNull(), len(values) + 1).otherwise(F.coalesce(F.try_element_at(F.create_map(*[F.lit(y) for i, v in enumerate(values) for y in (v, i)]), x), F.lit(len(values))) if values else F.lit(0))
+                self.cuts[f] = sorted(set(record.quantile(rows, f, *[i / bins for i in range(1, bins)])))
+                continue
+            common = rows.groupBy(as_text(train, f).alias("v")).count().where("v is not null").orderBy(F.desc("count"), "v")
+            values = [r["v"] for r in common.limit(most or MOST_CATEGORIES + 1).collect()]
+            if most is None and len(values) > MOST_CATEGORIES:
+                raise ValueError(f'"{f}" has more than {MOST_CATEGORIES} categories. Set a number of the commonest to tell apart.')
+            self.values[f] = values
         self.nodes: list[dict] = [{"split": None, "children": {}, "counts": {}}]
-        coded = rows.select("__t", *[c.alias(f"k{i}") for i, c in enumerate(self.codes.values())])
+        coded = rows.select("__t", *[c.alias(f"k{i}") for i, c in enumerate(self._codes(train))])
         frontier = [0]
         for depth in range(max_depth + 1):
             node = self._node([f"k{i}" for i in range(len(inputs))])
@@ -404,6 +524,20 @@ class Chaid:
                 break
         train.unpersist()
 
+    def _codes(self, df: DataFrame) -> list[Column]:
+        """Each input's code: the range of a number or the place of a text value, then one for other texts, then one for missing ones."""
+        out = []
+        for f in self.inputs:
+            if self.ordered[f]:
+                c = known(df, f).cast("double")
+                out.append(F.when(c.isNull(), len(self.cuts[f]) + 1).otherwise(sum(((c > x).cast("int") for x in self.cuts[f]), F.lit(0))))
+                continue
+            x, values = as_text(df, f), self.values[f]
+            place = F.create_map(*[F.lit(y) for i, v in enumerate(values) for y in (v, i)]) if values else None
+            code = F.coalesce(F.try_element_at(place, x), F.lit(len(values))) if values else F.lit(0)
+            out.append(F.when(x.isNull(), len(values) + 1).otherwise(code))
+        return out
+
     @staticmethod
     def _table(cells: list[dict[str, int]]) -> tuple[float, float]:
         names = sorted({t for c in cells for t in c})
@@ -455,7 +589,7 @@ class Chaid:
         names = [f"__k{i}" for i in range(len(self.inputs))]
         top = [max(sorted(n["counts"]), key=n["counts"].get) if n["counts"] else None for n in self.nodes]
         share = [n["counts"][t] / sum(n["counts"].values()) if t is not None else 0.0 for n, t in zip(self.nodes, top, strict=True)]
-        out = df.select("*", *[c.alias(n) for n, c in zip(names, self.codes.values(), strict=True)]).withColumn("__n", self._node(names))
+        out = df.select("*", *[c.alias(n) for n, c in zip(names, self._codes(df), strict=True)]).withColumn("__n", self._node(names))
         return out.withColumn(f"$CH-{self.target}", F.get(F.array(*[F.lit(x) for x in top]), "__n")).withColumn(f"$CHC-{self.target}", round_to(F.get(F.array(*[F.lit(x) for x in share]), "__n"))).drop("__n", *names)
 
 
@@ -470,16 +604,60 @@ def flag_baskets(df: DataFrame, flags: list[str], key: str) -> DataFrame:
     return df.select(as_text(df, key).alias("basket"), F.array_compact(F.array(*[F.when(F.lower(as_text(df, f)).isin("t", "true", "y", "yes", "1"), f) for f in flags])).alias("items"))
 
 
-def apriori(sets: DataFrame, min_support: float = 10, min_confidence: float = 50, max_antecedents: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Frequent item sets, and rules with one consequent: supports, confidence and lift (FP-growth on Spark)."""
+def value_baskets(df: DataFrame, fields: list[str], key: str) -> DataFrame:
+    """Baskets of ``field = value`` items, one for each row; missing values are no items."""
+    return df.select(as_text(df, key).alias("basket"), F.array_compact(F.array(*[F.concat(F.lit(f"{f} = "), as_text(df, f)) for f in fields])).alias("items"))
+
+
+def apriori(sets: DataFrame, min_support: float = 10, min_confidence: float = 50, max_antecedents: int = 3, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Frequent item sets, and rules with one consequent: supports, confidence and lift.
+
+    Level by level: each basket's frequent sets grow by one item behind their
+    last, are counted, and only the frequent ones go on, so nothing longer
+    than ``max_antecedents + 1`` is made.  More than ``most`` sets of a level
+    to be counted are an error, as a sign of too small a support.
+    """
     n = sets.count()
     if not n:
         raise ValueError("No transactions to analyse.")
-    model = FPGrowth(itemsCol="items", minSupport=(min_support or 10) / 100, minConfidence=(min_confidence or 0) / 100).fit(sets)
-    found = model.freqItemsets.where(F.size("items") <= max_antecedents + 1).select(F.sort_array("items").alias("items"), F.col("freq").alias("n"))
-    rules = model.associationRules.where(F.size("antecedent") <= max_antecedents)
-    joined = rules.select(F.array_join(F.sort_array("antecedent"), " & ").alias("Antecedent"), F.col("consequent")[0].alias("Consequent"), (F.col("support") / F.col("confidence")).alias("Antecedent support"), F.col("support").alias("Rule support"), F.col("confidence").alias("Confidence"), F.col("lift").alias("Lift"), F.round(F.col("support") * n).cast("bigint").alias("Transactions"))
-    return found, joined
+    least = math.ceil(max(0.0001, (min_support or 10) / 100) * n)
+    items = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    level = kept(items.select(F.array("item").alias("items"), "n"))
+    levels = [level]
+    single = _sized(level.select(F.col("items")[0].alias("item")))
+    numbered = kept(sets.select(F.monotonically_increasing_id().alias("b"), F.array_distinct("items").alias("items")))
+    whole = numbered.select("b", F.explode("items").alias("item"))
+    frequent = kept(whole.join(single, "item").groupBy("b").agg(F.sort_array(F.collect_list("item")).alias("own")))
+    rows = frequent.select("own", F.explode(F.transform("own", lambda x: F.array(x))).alias("prefix"))
+    for _ in range(max(1, round(max_antecedents))):
+        behind = F.filter("own", lambda x: x > F.element_at("prefix", -1))
+        grown = rows.select("own", F.explode(F.transform(behind, lambda x: F.concat("prefix", F.array(x)))).alias("prefix"))
+        # Only sets whose last item and prefix make frequent sets of the level before, too.
+        if len(levels) > 1:
+            known_sets = _sized(levels[-1].select(F.col("items").alias("tail")))
+            tail = F.concat(F.slice("prefix", 1, len(levels) - 1), F.slice("prefix", -1, 1))
+            grown = grown.withColumn("tail", tail).join(known_sets, "tail", "left_semi").drop("tail")
+        counts = grown.groupBy(F.col("prefix").alias("items")).agg(F.count("*").alias("n"))
+        if counts.limit(most + 1).count() > most:
+            raise ValueError("Too many candidate itemsets. Raise the minimum support.")
+        level = kept(counts.where(F.col("n") >= least))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        rows = grown.join(_sized(level.select(F.col("items").alias("prefix"))), "prefix", "left_semi").select("own", "prefix")
+    found = levels[0]
+    for own in levels[1:]:
+        found = found.union(own)
+    supports = found.select(F.col("items").alias("ante"), F.col("n").alias("n_ante"))
+    alone = levels[0].select(F.col("items")[0].alias("Consequent"), F.col("n").alias("n_cons"))
+    parts = found.where(F.size("items") > 1).select("items", "n", F.explode("items").alias("Consequent"))
+    parts = parts.withColumn("ante", F.array_remove("items", F.col("Consequent"))).join(supports, "ante").join(alone, "Consequent")
+    confidence = F.col("n") / F.col("n_ante")
+    rules = parts.where(confidence >= (min_confidence or 0) / 100).select(
+        F.array_join("ante", " & ").alias("Antecedent"), "Consequent", (F.col("n_ante") / n).alias("Antecedent support"), (F.col("n") / n).alias("Rule support"),
+        confidence.alias("Confidence"), (confidence / (F.col("n_cons") / n)).alias("Lift"), F.col("n").alias("Transactions"), F.col("ante").alias("Antecedent items"),
+    )
+    return found, rules
 
 
 def recommend(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -487,7 +665,7 @@ def recommend(sets: DataFrame, rules: DataFrame) -> DataFrame:
 
     Each rule is joined by one of its antecedent's items, so only baskets with that item meet it.
     """
-    r = rules.select(F.split("Antecedent", " & ").alias("ante"), "Antecedent", "Consequent", "Confidence", "Lift").withColumn("anchor", F.col("ante")[0])
+    r = rules.select(F.col("Antecedent items").alias("ante"), "Antecedent", "Consequent", "Confidence", "Lift").withColumn("anchor", F.col("ante")[0])
     met = sets.select("basket", "items", F.explode("items").alias("anchor")).join(r, "anchor").where((F.size(F.array_except("ante", "items")) == 0) & ~F.array_contains("items", F.col("Consequent")))
     best = met.groupBy("basket", "Consequent").agg(F.max_by(F.struct("Antecedent", "Confidence", "Lift"), F.struct("Confidence", "Lift", "Antecedent")).alias("b"))
     return best.select(F.col("basket").alias("Basket"), F.col("Consequent").alias("Recommendation"), "b.*")
