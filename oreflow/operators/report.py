@@ -12,26 +12,54 @@ def table(df: DataFrame, keys: list[str], n: int = 500) -> DataFrame:
     return df.orderBy(*keys).limit(n)
 
 
+def _value_counts(df: DataFrame) -> DataFrame:
+    """``field, value, n`` of all fields: each row is unpivoted once."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("field"), as_text(df, c).alias("value")) for c in df.columns])
+    return df.select(F.explode(pairs).alias("x")).select("x.*").where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def audit(df: DataFrame) -> DataFrame:
     """One row per field: kind, range, mean, deviation (numbers), distinct values, commonest value (text), valid and missing rows.
 
-    One aggregation for all fields; the commonest values come from grouped counts.
+    One aggregation for the statistics, one grouped count for the values.
     """
     numbers = [c for c in df.columns if is_number(df, c)]
-    texts = [c for c in df.columns if c not in numbers]
     out = []
     for c in df.columns:
         v = known(df, c)
         num = v.cast("double") if c in numbers else F.lit(None).cast("double")
         sd = F.when(F.count(num) == 1, 0.0).otherwise(F.stddev_samp(num))
-        out.append(F.struct(F.lit(c).alias("field"), F.lit("number" if c in numbers else "string").alias("kind"), F.min(num).alias("min"), F.max(num).alias("max"), F.avg(num).alias("mean"), sd.alias("sdev"), F.count_distinct(v).alias("distinct"), F.count(v).alias("valid"), (F.count(F.lit(1)) - F.count(v)).alias("missing")))
+        out.append(F.struct(F.lit(c).alias("field"), F.lit("number" if c in numbers else "string").alias("kind"), F.min(num).alias("min"), F.max(num).alias("max"), F.avg(num).alias("mean"), sd.alias("sdev"), F.count(v).alias("valid"), (F.count(F.lit(1)) - F.count(v)).alias("missing")))
     rows = df.agg(F.array(*out).alias("rows")).select(F.inline("rows"))
-    if not texts:
-        return rows.withColumn("top", F.lit(None).cast("string"))
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), as_text(df, c).alias("value")) for c in texts])).alias("x")).select("x.*").where("value is not null")
-    counts = long.groupBy("field", "value").agg(F.count("*").alias("n"))
-    top = counts.groupBy("field").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"))
-    return rows.join(top, "field", "left")
+    first = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
+    values = _value_counts(df).groupBy("field").agg(F.count("*").alias("distinct"), F.when(~F.col("field").isin(numbers) if numbers else F.lit(True), first).alias("top"))
+    joined = rows.join(F.broadcast(values), "field", "left")  # a row for each field
+    return joined.select("field", "kind", "min", "max", "mean", "sdev", F.coalesce("distinct", F.lit(0)).alias("distinct"), "valid", "missing", "top")
+
+
+def shapes(df: DataFrame, bins: int = 12, most: int = 12) -> DataFrame:
+    """The audit's small charts as ``field, place, n``: a number's histogram of ``bins``, or the counts of a text's ``most`` commonest values."""
+    numbers = [c for c in df.columns if is_number(df, c)]
+    texts = [c for c in df.columns if c not in numbers]
+    out = df.sparkSession.createDataFrame([], "field string, place bigint, n bigint")
+    if numbers:
+        v = {c: known(df, c).cast("double") for c in numbers}
+        edges = df.agg(*[x for i, c in enumerate(numbers) for x in (F.min(v[c]).alias(f"lo{i}"), F.max(v[c]).alias(f"hi{i}"))]).first()
+        places = []
+        for i, c in enumerate(numbers):
+            lo, hi = edges[f"lo{i}"], edges[f"hi{i}"]
+            if lo is not None:
+                width = (hi - lo) / bins or 1.0
+                place = F.least(F.lit(bins - 1), F.floor((v[c] - lo) / width)).cast("bigint")
+                places.append(F.struct(F.lit(c).alias("field"), place.alias("place")))
+        if places:
+            long = df.select(F.explode(F.array(*places)).alias("x")).select("x.*").where("place is not null")
+            out = out.union(long.groupBy("field", "place").agg(F.count("*").alias("n")))
+    counts = _value_counts(df.select(*texts)) if texts else None
+    for c in texts:  # a top-k each, merged from the tasks' own
+        top = counts.where(F.col("field") == c).orderBy(F.desc("n"), "value").limit(most)
+        out = out.union(top.select("field", F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1, "n"))
+    return out
 
 
 def histogram(df: DataFrame, field: str, bins: int = 10) -> DataFrame:
@@ -71,6 +99,13 @@ def distribution(df: DataFrame, field: str, overlay: str | None = None, bins: in
     return out.join(F.broadcast(names), "group").join(total, "label").groupBy("label", "group").agg(F.count("*").alias("n"))
 
 
+def shares(found: DataFrame, df: DataFrame, field: str) -> DataFrame:
+    """A distribution of ``field`` with each count's share of those shown, and how many rows of ``df`` lack the field."""
+    missing = df.where(known(df, field).isNull()).count()
+    every = Window.partitionBy(F.lit(0))  # as many rows as bars
+    return found.where("label is not null").withColumn("share", F.col("n") / F.sum("n").over(every)).withColumn("missing", F.lit(missing).cast("bigint"))
+
+
 def plot(df: DataFrame, x: str, y: str, keys: list[str], colour: str | None = None, most: int = 3000) -> DataFrame:
     """The first points with both numbers, in the order of ``keys``."""
     ok = known(df, x).isNotNull() & known(df, y).isNotNull()

@@ -2,7 +2,9 @@
 
 A column is a number if every non-blank cell of the whole file is one; blank
 cells are NULL; headers are trimmed, blank ones become Field<i>, repeated ones
-get _2, _3...  The scan takes columns, a row limit or a reservoir sample.
+get _2, _3...  The scan takes columns, a row limit or a reservoir sample, and
+a budget of bytes.  Lines end in a line feed, a carriage return or both; a file
+is read as a whole only where a quoted cell holds a line's end.
 """
 
 from __future__ import annotations
@@ -39,26 +41,44 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[(filled(c).try_cast("double") if verdict[i] else F.when(filled(c).isNotNull(), F.col(f"`{c}`"))).alias(c) for i, c in enumerate(df.columns)])
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None, mode: str = "first", seed: int = 1, order: list[str] | None = None) -> DataFrame:
+def _breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a cell goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def _check_size(df: DataFrame, max_bytes: int) -> None:
+    """An error if the rows, written as CSV, have more UTF-8 bytes than ``max_bytes``."""
+    quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.octet_length(F.replace(c, F.lit('"'), F.lit('""'))) + 2).otherwise(F.octet_length(c))
+    cells = sum((F.coalesce(quoted(as_text(df, c)), F.lit(0)) for c in df.columns), F.lit(len(df.columns)))  # and a separator or line's end each
+    size = len(",".join(df.columns).encode()) + (df.agg(F.sum(cells)).first()[0] or 0)
+    if size > max_bytes:
+        raise ValueError(f"The retained CSV exceeds {max_bytes / 1e6:g} MB. Keep fewer rows or columns.")
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None, mode: str = "first", seed: int = 1, order: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
     """A CSV file with a header; ``columns`` are pruned in the scan; ``mode`` ``sample`` is a reservoir in the order of ``order``."""
     line = spark.read.text(path).limit(1).first()
     if line is None:
         raise ValueError("The CSV file is empty.")
-    raw = spark.read.csv(path, sep=sniff(line[0]), header=False, inferSchema=False, quote='"', escape='"', multiLine=True)
-    first = raw.limit(1).first()
+    how = {"sep": sniff(line[0]), "inferSchema": False, "quote": '"', "escape": '"', "multiLine": _breaks_lines(spark, path)}
+    first = spark.read.csv(path, header=False, **how).limit(1).first()
     names = header_names(list(first))
-    body = spark.read.csv(path, sep=sniff(line[0]), header=True, inferSchema=False, enforceSchema=True, quote='"', escape='"', multiLine=True, schema=", ".join(f"`{n}` string" for n in names))
+    body = spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(f"`{n}` string" for n in names), **how)
     if columns:
         for c in columns:
             if c not in names:
                 raise ValueError(f"Column not found: {c}")
         body = body.select(*columns)
-    typed = infer_types(body)
-    if max_rows is None:
-        return typed
-    if mode == "first":
-        return typed.orderBy(*order).limit(max_rows) if order else typed.limit(max_rows)
-    return record.reservoir(typed, max_rows, seed, order or typed.columns)
+    out = infer_types(body)
+    if max_rows is not None:
+        if mode == "first":
+            out = out.orderBy(*order).limit(max_rows) if order else out.limit(max_rows)
+        else:
+            out = record.reservoir(out, max_rows, seed, order or out.columns)
+    if max_bytes is not None:
+        _check_size(out, max_bytes)
+    return out
 
 
 def write_csv(df: DataFrame, path: str) -> None:
