@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreflow.functions.values import as_number, as_text, round_to
+from oreflow.functions import expressions as X
+from oreflow.functions.values import round_to
 from oreflow.operators import field, models, record, report
 from oreflow.sources import samples
 
@@ -107,6 +108,60 @@ def derive_text(t):
     return out.select("p_partkey", "p_type", F.length("p_name").cast("bigint").alias("n"), F.upper("p_brand").alias("brand"))
 
 
+_Q = "coalesce(quality, 0)::DOUBLE"
+
+
+def _to4(x):
+    return X.rounded(x * 10000.0) / 10000.0
+
+
+#: The expression language: a value built from the fields, and its SQL over documents with their labels.
+EXPRESSIONS = {
+    "missing_plus": (lambda v: v["quality"] + 1, f"{_Q} + 1"),
+    "missing_below": (lambda v: v["quality"] < 1, f"CASE WHEN {_Q} < 1 THEN 'T' ELSE 'F' END"),
+    "missing_equals": (lambda v: v["quality"] == 0, "CASE WHEN quality = 0 THEN 'T' ELSE 'F' END"),
+    "plus_text": (lambda v: v["lang"] + "-" + v["quality"], "coalesce(lang, 'null') || '-' || coalesce(quality::VARCHAR, 'null')"),
+    "and_or": (lambda v: (v["quality"] & (v["n_chars"] > 500)) | v["toxic"], f"CASE WHEN ({_Q} <> 0 AND n_chars > 500) OR coalesce(toxic, 0) <> 0 THEN 'T' ELSE 'F' END"),
+    "choose": (lambda v: X.choose(v["quality"] == None, "none", v["quality"] * 2), "CASE WHEN quality IS NULL THEN 'none' ELSE (quality * 2)::VARCHAR END"),  # noqa: E711
+    "divide_by_zero": (lambda v: v["n_chars"] / v["quality"], "CASE WHEN quality <> 0 THEN n_chars / quality::DOUBLE END"),
+    "remainder": (lambda v: (v["quality"] - v["n_chars"]) % 7 + 0, f"({_Q} - n_chars) - 7 * trunc(({_Q} - n_chars) / 7) + 0"),
+    "abs": (lambda v: X.absolute(v["quality"] - 3), f"abs({_Q} - 3)"),
+    "sqrt": (lambda v: _to4(X.sqrt(v["quality"] - 0.5)), f"CASE WHEN {_Q} >= 0.5 THEN {r4(f'sqrt(greatest({_Q} - 0.5, 0))')} END"),
+    "log": (lambda v: _to4(X.log(v["n_chars"] * v["quality"])), f"CASE WHEN n_chars * {_Q} > 0 THEN {r4('ln(greatest(n_chars, 1))')} END"),
+    "log10": (lambda v: _to4(X.log10(v["n_chars"] - 100)), f"CASE WHEN n_chars > 100 THEN {r4('log10(greatest(n_chars - 100, 1))')} END"),
+    "exp": (lambda v: _to4(X.exp(v["quality"])), r4(f"exp({_Q})")),
+    "round": (lambda v: X.rounded(v["quality"] - 2.5), f"floor({_Q} - 2.5 + 0.5)"),
+    "floor": (lambda v: X.floor(v["n_chars"] / -7), "floor(n_chars / -7.0)"),
+    "ceil": (lambda v: X.ceil(v["n_chars"] / -7), "ceil(n_chars / -7.0)"),
+    "min": (lambda v: X.least(v["quality"], 0.5, v["toxic"]), f"least({_Q}, 0.5, coalesce(toxic, 0))"),
+    "max": (lambda v: X.greatest(v["quality"], 0.5, v["toxic"]), f"greatest({_Q}, 0.5, coalesce(toxic, 0))"),
+    "pow": (lambda v: X.power(v["n_chars"], 2), "n_chars::DOUBLE * n_chars"),
+    "is_missing": (lambda v: X.is_missing(v["quality"]), "CASE WHEN quality IS NULL THEN 'T' ELSE 'F' END"),
+    "upper": (lambda v: X.upper(v["lang"] + v["quality"]), "upper(coalesce(lang, 'null') || coalesce(quality::VARCHAR, 'null'))"),
+    "lower": (lambda v: X.lower(X.upper(v["lang"])), "lower(coalesce(lang, 'null'))"),
+    "trim": (lambda v: X.trim("  " + v["lang"] + " x "), "coalesce(lang, 'null') || ' x'"),
+    "len": (lambda v: X.length(v["lang"] + v["quality"]), "length(coalesce(lang, 'null') || coalesce(quality::VARCHAR, 'null'))::DOUBLE"),
+    "contains": (lambda v: X.contains(v["lang"], "n"), "CASE WHEN contains(coalesce(lang, 'null'), 'n') THEN 'T' ELSE 'F' END"),
+    "number": (lambda v: X.number(X.text(v["quality"])) * 2, f"{_Q} * 2"),
+    "text": (lambda v: X.text(v["quality"]), "quality::VARCHAR"),
+}
+for _name, (_build, _sql) in EXPRESSIONS.items():
+
+    def _expression(t, build=_build):
+        rows = _labelled(t)
+        return field.derive(rows, "value", build(X.fields(rows))).select("doc_id", "value")
+
+    _expression.__name__ = f"expr_{_name}"
+    query(f"SELECT doc_id, {_sql} AS value FROM {_LABELLED}")(_expression)
+
+
+@query(f"SELECT doc_id FROM {_LABELLED} WHERE NOT ({_Q} < 1 AND n_chars > 300)")
+def select_value_discard(t):
+    rows = _labelled(t)
+    v = X.fields(rows)
+    return record.select(rows, (v["quality"] < 1) & (v["n_chars"] > 300), keep=False).select("doc_id")
+
+
 @query("SELECT c_custkey AS id, c_name AS customer, c_mktsegment FROM customer")
 def filter_drop_rename(t):
     return field.drop_rename(t("customer"), ["c_nationkey", "c_acctbal"], {"c_custkey": "id", "c_name": "customer"})
@@ -301,7 +356,8 @@ def aggregate_all_rows(t):
 
 @query(f"SELECT l_returnflag, {r4('quantile_cont(l_extendedprice, 0.25)')} AS q1, {r4('median(l_extendedprice)')} AS q2, {r4('quantile_cont(l_extendedprice, 0.75)')} AS q3 FROM lineitem GROUP BY l_returnflag")
 def quantiles(t):
-    return _r(t("lineitem").groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.25).alias("q1"), F.median("l_extendedprice").alias("q2"), F.percentile("l_extendedprice", 0.75).alias("q3")), "q1", "q2", "q3")
+    found = record.quantiles(t("lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75])
+    return _r(found.toDF("l_returnflag", "q1", "q2", "q3"), "q1", "q2", "q3")
 
 
 @query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
@@ -337,6 +393,26 @@ def distribution_whole_numbers(t):
     return report.distribution(t("lineitem"), "l_linenumber")
 
 
+_SHARES = "SELECT label, n, floor(n / sum(n) OVER () * 10000.0 + 0.5) / 10000.0 AS share, {} AS missing FROM ({})"
+
+
+@query(_SHARES.format(f"(SELECT count(*) - count(quality) FROM {_LABELLED})", f"SELECT quality::VARCHAR AS label, count(*) AS n FROM {_LABELLED} WHERE quality IS NOT NULL GROUP BY 1"))
+def distribution_shares(t):
+    rows = _labelled(t)
+    return _r(report.shares(report.distribution(rows, "quality"), rows, "quality"), "share")
+
+
+@query(_SHARES.format("0", "SELECT least(9, floor((o_totalprice - lo) / ((hi - lo) / 10)))::BIGINT::VARCHAR AS label, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1"))
+def distribution_histogram(t):
+    rows = t("orders").select("o_totalprice")
+    return _r(report.shares(report.distribution(rows, "o_totalprice"), rows, "o_totalprice"), "share")
+
+
+@query("SELECT 'o_totalprice' AS field, least(11, floor((o_totalprice - lo) / ((hi - lo) / 12)))::BIGINT AS place, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 2 UNION ALL SELECT 'o_orderpriority', * FROM (SELECT row_number() OVER (ORDER BY n DESC, o_orderpriority) - 1 AS place, n FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)) WHERE place < 12")
+def audit_shapes(t):
+    return report.shapes(t("orders").select("o_totalprice", "o_orderpriority"))
+
+
 @query("SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS colour FROM lineitem ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 3000")
 def plot_points(t):
     return report.plot(t("lineitem"), "l_quantity", "l_extendedprice", LINE, "l_returnflag")
@@ -412,6 +488,17 @@ def kmeans_multi(t):
     return models.assign(e, F.col("x"), models.kmeans_centres(e, F.col("x"), 10)).select("vec_id", F.col("`$KM-K-Means`").alias("cluster"), F.col("`$KMD-K-Means`").alias("distance"))
 
 
+_PAIRS = "(SELECT a.vec_id, a.label AS own, b.label AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
+
+
+@query(f"""WITH m AS (SELECT vec_id, own, other, avg(d) AS d FROM {_PAIRS} GROUP BY ALL), s AS (SELECT vec_id, own, max(CASE WHEN other = own THEN d END) AS a, min(CASE WHEN other <> own THEN d END) AS b FROM m GROUP BY ALL)
+SELECT vec_id AS key, 'cluster-' || own AS cluster, floor(coalesce((b - a) / greatest(a, b), 0.0) * 1000 + 0.5) / 1000 AS silhouette FROM s""")
+def silhouette_of_queries(t):
+    """Of the records whose id is divisible by 20, against all."""
+    e = t("embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double"))).withColumn("c", F.concat(F.lit("cluster-"), "label"))
+    return models.silhouette(e, F.col("x"), "c", "vec_id", of=e.where("vec_id % 20 = 0")).withColumn("silhouette", round_to(F.col("silhouette"), 3))
+
+
 @query()
 def silhouette(t):
     e = t("embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double"))).withColumn("c", F.concat(F.lit("cluster-"), "label"))
@@ -489,6 +576,27 @@ def anomaly_score(t):
     return out.select("c_custkey", F.col("`$O-Anomaly`").alias("flag"), F.col("`$OA-Anomaly`").alias("idx"), F.col("`$OP-Anomaly`").alias("peer"), F.col("`$OR-Anomaly`").alias("reason"))
 
 
+_GIVEN = "(SELECT c_custkey, (c_acctbal - 4500.0) / 3000.0 AS x, (c_mktsegment = 'BUILDING')::INT AS y FROM customer)"
+
+
+@query(f"""WITH m AS (SELECT c_custkey, 0.5 * x - 0.2 AS a, 0.3 * y - 0.4 * x AS b, 0.1 - 0.7 * y AS c FROM {_GIVEN}), g AS (SELECT *, greatest(a, b, c) AS top FROM m)
+SELECT c_custkey, CASE WHEN a = top THEN 'p' WHEN b = top THEN 'q' ELSE 'r' END AS predicted, {r4('1 / (exp(a - top) + exp(b - top) + exp(c - top))')} AS confidence FROM g""")
+def svm_given_planes(t):
+    """Scores of given planes: the greatest margin, and the softmax of the margins as confidence."""
+    encoder = models.Encoder({"c_acctbal": (4500.0, 3000.0)}, {"c_mktsegment": ["BUILDING"]}, ["c_acctbal", "c_mktsegment"])
+    m = models.Svm("t", encoder, ["p", "q", "r"], [([0.5, 0.0], -0.2), ([-0.4, 0.3], 0.0), ([0.0, -0.7], 0.1)])
+    return m.transform(t("customer")).select("c_custkey", F.col("`$SVM-t`").alias("predicted"), F.col("`$SVMC-t`").alias("confidence"))
+
+
+@query(f"""WITH z AS (SELECT c_custkey, (c_acctbal - m) / s AS x FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)),
+d AS (SELECT c_custkey, least(abs(x + 1), abs(x - 1)) AS d, CASE WHEN abs(x + 1) <= abs(x - 1) THEN 1 ELSE 2 END AS k FROM z), g AS (SELECT k, avg(d) AS m FROM d GROUP BY k),
+i AS (SELECT c_custkey, d.k, d / m AS idx FROM d JOIN g ON d.k = g.k), q AS (SELECT quantile_cont(idx, 0.95) AS q FROM i)
+SELECT c_custkey, {r4('idx')} AS idx, 'peer-' || k AS peer, CASE WHEN idx > q THEN 'anomaly' ELSE 'normal' END AS flag, CASE WHEN idx > q THEN 'c_acctbal' END AS reason FROM i, q""")
+def anomaly_given_centres(t):
+    out = models.anomaly(t("customer"), t("customer"), ["c_acctbal"], centres=[[-1.0], [1.0]])
+    return out.select("c_custkey", round_to(F.col("`$OA-Anomaly`")).alias("idx"), F.col("`$OP-Anomaly`").alias("peer"), F.col("`$O-Anomaly`").alias("flag"), F.col("`$OR-Anomaly`").alias("reason"))
+
+
 _BASKETS = "(SELECT DISTINCT o_custkey AS basket, o_orderpriority AS item FROM orders)"
 
 
@@ -521,6 +629,17 @@ def apriori_rules_whole(t):
     return _r(rules.select(F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"), F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions")), "confidence", "lift")
 
 
+@query(f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b), s AS (SELECT item, count(*)::DOUBLE AS n FROM b GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*)::DOUBLE AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL),
+r AS (SELECT a, c, p.n / sa.n AS conf, p.n / sa.n / (sc.n / t) AS lift FROM p JOIN s sa ON sa.item = a JOIN s sc ON sc.item = c, t WHERE p.n >= ceil(0.1 * t) AND p.n / sa.n >= 0.5),
+m AS (SELECT b.basket, r.*, row_number() OVER (PARTITION BY b.basket, c ORDER BY conf DESC, lift DESC, a DESC) AS k FROM b JOIN r ON b.item = r.a WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.basket = b.basket AND o.item = r.c))
+SELECT basket::VARCHAR AS basket, c AS recommendation, a AS antecedent, {r4('conf')} AS confidence, {r4('lift')} AS lift FROM m WHERE k = 1""")
+def apriori_recommend_pairs(t):
+    """Recommendations of the rules with one antecedent."""
+    sets = _sets(t)
+    out = models.recommend(sets, models.apriori(sets, 10, 50, max_antecedents=1)[1])
+    return _r(out.select(*[F.col(c).alias(c.lower()) for c in ("Basket", "Recommendation", "Antecedent", "Confidence", "Lift")]), "confidence", "lift")
+
+
 @query()
 def apriori_recommend(t):
     sets = _sets(t)
@@ -551,7 +670,12 @@ def _market_basket(spark: SparkSession) -> DataFrame:
     return models.apriori(models.baskets(samples.sample_data(spark, "baskets"), "BasketID", "Item"), 5, 50)[1]
 
 
+def _basket_flags(spark: SparkSession) -> DataFrame:
+    flags = samples.sample_data(spark, "basket_flags")
+    return models.apriori(models.flag_baskets(flags, list(samples.ITEMS), "BasketID"), 5, 50)[1]
+
+
+_sample("example_basket_flags", _basket_flags)
 _sample("example_churn", _churn)
 _sample("example_house_prices", _house_prices)
 _sample("example_market_basket", _market_basket)
-__all__ = ["ORACLE_SQL", "QUERIES", "as_number", "as_text"]

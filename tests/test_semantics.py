@@ -87,7 +87,7 @@ def test_classifiers_reach_the_reference_accuracy(spark):
     rows = field.partition(samples.sample_data(spark, "iris"), ["Row"], 70, 42).persist()
     train, test = rows.where("Partition = '1_Training'"), rows.where("Partition = '2_Testing'")
     inputs = ["Sepal_Length", "Sepal_Width", "Petal_Length", "Petal_Width"]
-    for fit, name in ((models.tree, "R"), (models.logistic, "L"), (models.ann, "ANN"), (models.NaiveBayes, "B"), (models.Chaid, "CH")):
+    for fit, name in ((models.tree, "R"), (models.logistic, "L"), (models.ann, "ANN"), (lambda *a: models.svm(*a, cost=50), "SVM"), (models.NaiveBayes, "B"), (models.Chaid, "CH")):
         out = fit(train, "Species", inputs).transform(test)
         assert out.where(F.col(f"`${name}-Species`") == F.col("Species")).count() / test.count() > 0.85, name
     out = models.knn(train, test, "Species", inputs, "Row", block=40)
