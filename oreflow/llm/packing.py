@@ -9,7 +9,8 @@
    lengths.  The result is a plan: runs of equal sequences.
 4. Pieces are numbered within their length (counts per length and bucket give
    each bucket its first number, so a hot length is no single task), and the
-   number says which run, sequence and offset it takes.
+   number says which run, sequence and offset it takes.  Full pieces, each a
+   sequence by itself, need no number.
 
 Null text is the empty text (one end id), repeated rows are packed each, and
 an empty table gives no rows.
@@ -154,47 +155,54 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return runs
 
 
-def pack(found: DataFrame, capacity: int, most_docs: int = 4, buckets: int = 64) -> DataFrame:
-    """``sequence_id`` and ``offset`` for every piece of ``found`` (columns of :data:`PIECE`)."""
+def pack(found: DataFrame, capacity: int, most_docs: int = 4, bucket_rows: int = 200_000) -> DataFrame:
+    """``sequence_id`` and ``offset`` for every piece of ``found`` (columns of :data:`PIECE`), which must be saved rows.
+
+    A piece of full length is a sequence by itself and needs no number.  The
+    others are numbered within their length: in buckets of about
+    ``bucket_rows`` rows, whose counts give each its first number.
+    """
     spark = found.sparkSession
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    rows = found.withColumn("bucket", bucket)
-    counts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    # At most capacity x buckets rows, whatever the input.
-    per_bucket = sorted((r["length"], r["bucket"], r["n"]) for r in counts.collect())
-    histogram: dict[int, int] = defaultdict(int)
-    first = []
-    for length, b, n in per_bucket:
-        first.append((length, b, histogram[length]))
-        histogram[length] += n
-    slots, taken, sequence = [], defaultdict(int), 0
-    for lengths, n in plan_runs(dict(histogram), capacity, most_docs):
+    whole = found.where(F.col("length") == capacity)
+    alone = whole.select(*found.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    parts = found.where(F.col("length") < capacity)
+    # At most ``capacity`` rows, whatever the input.
+    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    buckets = max(1, -(-max(histogram.values(), default=0) // bucket_rows))
+    rows = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
+    if buckets > 1:  # the buckets of the rows are drawn once
+        rows = common.saved(rows, "bucketed-pieces")
+    order = Window.partitionBy("length").orderBy("bucket")  # as many rows as buckets
+    firsts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", (F.sum("n").over(order) - F.col("n")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    numbered = rows.withColumn("k", place).join(firsts, ["length", "bucket"]).select(*found.columns, (F.col("k") + F.col("first")).alias("k"))
+
+    by_length: dict[int, list] = defaultdict(list)
+    taken, sequence = defaultdict(int), 0
+    for lengths, n in plan_runs(histogram, capacity, most_docs):
         offset = 0
         for x in lengths:
-            slots.append((x, taken[x], taken[x] + n, sequence, offset))
+            by_length[x].append((taken[x], sequence, offset))
             taken[x] += n
             offset += x
         sequence += n
-    by_length: dict[int, list] = defaultdict(list)
-    for x, a, z, s, o in slots:
-        by_length[x].append((a, z, s, o))
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1).join(F.broadcast(spark.createDataFrame(first, "length bigint, bucket int, first bigint")), ["length", "bucket"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("k") + F.col("first")).alias("k"))
     plan = spark.sparkContext.broadcast({x: tuple(np.array(c, dtype=np.int64) for c in zip(*v, strict=True)) for x, v in by_length.items()})
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         runs = plan.value
         for b in batches:
             lengths, k = b.column(3).to_numpy(), b.column(5).to_numpy()
             sequence, offset = np.empty(len(k), np.int64), np.empty(len(k), np.int64)
             for x in np.unique(lengths).tolist():
                 own = np.flatnonzero(lengths == x)
-                begin, _, seq, off = runs[x]
+                begin, seq, off = runs[x]
                 run = np.searchsorted(begin, k[own], "right") - 1
                 sequence[own] = seq[run] + k[own] - begin[run]
                 offset[own] = off[run]
-            yield {"doc_id": b.column(0), "piece": b.column(1), "start": b.column(2), "length": b.column(3), "ids_crc32": b.column(4), "sequence_id": sequence, "offset": offset}
+            columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+            yield {c: b.column(i) for i, c in enumerate(columns)} | {"sequence_id": sequence, "offset": offset}
 
-    return common.map_rows(numbered, place, PIECE + ", sequence_id bigint, offset bigint")
+    return alone.unionByName(common.map_rows(numbered, placed, PIECE + ", sequence_id bigint, offset bigint"))
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, most_docs: int = 4) -> DataFrame:
@@ -203,4 +211,4 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path("word_bpe_49k.json"))
+    return packed(common.dealt(common.table(spark, sf_dir, "documents")), tokens.tokenizer_path("word_bpe_49k.json"))
