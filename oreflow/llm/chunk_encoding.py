@@ -192,4 +192,4 @@ def decoded(ids: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path("byte_bpe_50k.json"), digest=True)
+    return encoded(common.dealt(common.table(spark, sf_dir, "documents")), tokens.tokenizer_path("byte_bpe_50k.json"), digest=True)

@@ -78,6 +78,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt out evenly where they lie in fewer partitions than half the cores, as in one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.select(F.spark_partition_id().alias("p")).distinct().limit(cores).count()
+    return df.repartition(cores) if 2 * parts < cores else df
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text; a null text is the empty text."""
     # No alias without need: plans that differ by one don't share an exchange.

@@ -326,4 +326,4 @@ def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracted(common.table(spark, sf_dir, "pages"))
+    return extracted(common.dealt(common.table(spark, sf_dir, "pages")))

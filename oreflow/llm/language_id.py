@@ -161,4 +161,4 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(common.table(spark, sf_dir, "pages"), common.table(spark, sf_dir, "documents"))
+    return identified(common.dealt(common.table(spark, sf_dir, "pages")), common.dealt(common.table(spark, sf_dir, "documents")))

@@ -448,4 +448,4 @@ def _walked(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.dealt(common.table(spark, sf_dir, "documents")))

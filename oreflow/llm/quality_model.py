@@ -179,6 +179,6 @@ def scored(docs: DataFrame, model: Model, out_col: str = "score", text_col: str
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    docs = common.dealt(common.table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
     model = train(docs, common.table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

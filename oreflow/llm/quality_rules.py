@@ -151,7 +151,7 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.dealt(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged(docs, trusted(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -444,6 +444,13 @@ def test_languages(spark):
     assert [r["lang"] for r in language_id.identified(pages, docs.where("false")).collect()] == [None, None]
 
 
+def test_near_duplicates_of_a_larger_table(spark):
+    df = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
+    want = _components([tuple(r) for r in df.collect()])
+    assert got == want and sum(i != c for i, (_, c) in want.items()) > 20
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -454,3 +461,56 @@ def test_pipeline(spark):
         assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
     out = corpus_pipeline.run(spark, DIR)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+def test_pipeline_by_brute_force(spark):
+    """Scores, ratios and components of each stage worked out row by row, without the stages."""
+    import corpus_pipeline
+
+    docs = common.table(spark, DIR, "documents")
+    rows = {r["doc_id"]: (r["text"] or "", r["n_chars"]) for r in docs.collect()}
+    model = quality_model.train(docs, common.table(spark, DIR, "labels"))
+    good = {i: t for i, (t, n) in rows.items() if model.score([quality_model.features(t, n)])[0] >= quality_model.THRESHOLD}
+    trusted = {r["doc_id"] for r in quality_rules.trusted(spark, DIR).collect()}
+    size, word = quality_rules.BUCKETS, re.compile(r"[^\x20\x09-\x0D]+")
+    grams, raw, target = {}, Counter(), Counter()
+    for i, t in good.items():
+        g = [zlib.crc32(w.encode()) for w in word.findall(t)]
+        grams[i] = [x % size for x in g] + [size + (a * 31 + b) % size for a, b in zip(g, g[1:], strict=False)]
+        raw.update(grams[i])
+        if i in trusted:
+            target.update(grams[i])
+    sums = [(sum(n for b, n in c.items() if (b >= size) == pair)) for pair in (False, True) for c in (raw, target)]
+    prior = quality_rules.SMOOTHING
+    ratio = lambda b: np.log((target[b] + prior) / (raw[b] * sums[2 * (b >= size) + 1] / sums[2 * (b >= size)] + prior))
+    clean = {}
+    for i, t in good.items():
+        w = word.findall(t)
+        score = float(np.mean([ratio(b) for b in grams[i]])) if grams[i] else 0.0
+        assert abs(score - quality_rules.THRESHOLD) > 1e-5  # no text lies on the threshold
+        if len(w) >= 10 and 100 * _repeats(w) <= 20 * len(w) and score >= quality_rules.THRESHOLD:
+            clean[i] = t
+    want = {i for i, (_, c) in _components(list(clean.items())).items() if i == c}
+    assert 0 < len(want) < len(clean) < len(good) < len(rows)
+    out = corpus_pipeline.run(spark, DIR).collect()
+    assert {r["doc_id"] for r in out} == want
+    e = tokens.encoder(WORDS)
+    pieces = Counter()
+    for i in want:
+        ids = e.direct(rows[i][0]) + b"\1\0\0\0"
+        pieces.update((i, k, a // 4, zlib.crc32(ids[a : a + 16384])) for k, a in enumerate(range(0, len(ids), 16384)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in out) == pieces
+
+
+def test_pipeline_on_odd_rows(spark, odd, empty):
+    """Nulls, empty and repeated rows, columns of any name; an empty table."""
+    import corpus_pipeline
+
+    more = odd.withColumn("_score", F.lit(1)).withColumn("verdict", F.lit("v")).withColumn("cls", F.lit(3)).withColumn("source", F.lit("s"))
+    for df in (more, empty.withColumn("cls", F.lit(3))):
+        kept = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = common.saved(stage(spark, kept, DIR), "odd")
+            assert kept.columns == df.columns
+            assert kept.exceptAll(df).isEmpty()
+        assert corpus_pipeline.STAGES[-1][1](spark, kept, DIR).count() >= kept.count()
