@@ -317,6 +317,15 @@ def kmeans_centres(df: DataFrame, vector: Column, k: int, seed: int = 1, iterati
     return [list(map(float, c)) for c in KMeans(k=k, seed=seed, maxIter=iterations, tol=0.0).fit(rows).clusterCenters()]
 
 
+def kmeans(df: DataFrame, vector: Column, k: int, key: str, seed: int = 1, iterations: int = 50, full: int = 2000) -> DataFrame:
+    """Cluster and distance of each row and, of up to ``full`` rows, its silhouette ``$KMS-K-Means``."""
+    out = kept(assign(df, vector, kmeans_centres(df, vector, k, seed, iterations)))
+    if out.limit(full + 1).count() > full:
+        return out
+    found = silhouette(out, vector, "$KM-K-Means", key, full=full)
+    return out.join(F.broadcast(found.select(F.col("key").alias(key), round_to(F.col("silhouette")).alias("$KMS-K-Means"))), key, "left")
+
+
 def single_cluster(df: DataFrame, features: dict[str, Column], percent: float = 5.0) -> DataFrame:
     """One centre: distance, index (distance by its mean) and the flag of those beyond the quantile."""
     names = list(features)

@@ -20,3 +20,12 @@ def test_silhouettes_up_to_the_limit_are_whole(spark):
         b = min(sums[i, k] / sizes[k] for k in range(3) if k != c[i])
         assert abs(got[i] - (b - a) / max(a, b)) < 1e-6
     assert models.silhouette(df.union(df.withColumn("id", F.col("id") + 1500)), F.col("x"), "c", "id").count() == 1000
+
+
+def test_kmeans_gives_silhouettes_of_few_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(loc=m, scale=0.1, size=(40, 2)) for m in (0, 5, 10)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    rows = models.kmeans(df, F.col("x"), 3, "id").collect()
+    assert len(rows) == 120 and all(r["$KMS-K-Means"] > 0.9 for r in rows)
+    assert "$KMS-K-Means" not in models.kmeans(df, F.col("x"), 3, "id", full=100).columns
