@@ -208,7 +208,10 @@ def read_back(found: DataFrame) -> DataFrame:
         if s is not None:
             yield dict(zip(names, map(list, zip(done(s), strict=True)), strict=True))
 
-    return common.map_rows(dealt, run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint")
+    return common.map_rows(
+        dealt, run,
+        "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_windows bigint",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,10 @@ def encoded(docs: DataFrame, tokenizer: str, digest: bool = False) -> DataFrame:
                     yield {"doc_id": names, "ids": ids}
                     continue
                 back = [tokens.decode(np.frombuffer(x, "<u4"), table) for x in ids]
-                yield {"doc_id": names, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back]}
+                yield {
+                    "doc_id": names, "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                    "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in back],
+                }
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "doc_id bigint, ids binary"
     nameless = whole_base.where("doc_id is null").withColumn("given", F.lit(None).cast(given.schema["given"].dataType))

@@ -35,11 +35,19 @@ from pyspark.sql import DataFrame, SparkSession
 from oreflow.llm import common
 
 #: Fixed values of HTML: elements that break the line, that have no end, and whose content is no text.
-BLOCKS = frozenset("address article aside audio blockquote body button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript object ol option p pre search section select summary svg table tbody td tfoot th thead tr ul video".split())
+BLOCKS = frozenset((
+    "address article aside audio blockquote body button canvas caption center col colgroup dd details dialog dir "
+    "div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li "
+    "main menu nav noscript object ol option p pre search section select summary svg table tbody td tfoot th thead "
+    "tr ul video"
+).split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OPAQUE = frozenset("script style title textarea iframe template noframes noembed".split())
 #: A start tag of the key ends an open element of the value, up to the named container.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+}
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -48,7 +56,15 @@ _STYLE = re.compile(r"style\s*=\s*[\"'][^\"']*")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 #: Words of class, id and role attributes that name parts of a page.
-HINTS = frozenset("hidden ad ads adv advert advertisement adsense sponsor sponsored promo promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar logo cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social follow related recommended recommendations trending popular comment comments reply replies disqus discussion author byline date timestamp meta tags widget pagination pager copyright legal disclaimer skip article articlebody content contents main body text entry post story page prose markdown title headline lead intro summary caption figure chapter section container wrapper".split())
+HINTS = frozenset((
+    "hidden ad ads adv advert advertisement adsense sponsor sponsored promo promoted banner nav navbar navigation "
+    "menu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar logo cookie cookies "
+    "consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form share "
+    "sharing social follow related recommended recommendations trending popular comment comments reply replies "
+    "disqus discussion author byline date timestamp meta tags widget pagination pager copyright legal disclaimer "
+    "skip article articlebody content contents main body text entry post story page prose markdown title headline "
+    "lead intro summary caption figure chapter section container wrapper"
+).split())
 
 
 class Node:

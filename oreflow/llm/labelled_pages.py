@@ -29,16 +29,35 @@ _PITCHES = (
     "Do not miss a story.",
     "Read what others liked this week",
 )
-_REPLIES = ("I have lived here for years and this was never needed by anyone.", "Great read, thank you for it!", "First", "The figures in the second part are wrong, see the report of the year before.")
+_REPLIES = (
+    "I have lived here for years and this was never needed by anyone.", "Great read, thank you for it!", "First",
+    "The figures in the second part are wrong, see the report of the year before.",
+)
 _WORDS = ("Home", "News", "Sport", "Contact us", "About", "Archive", "Weather", "Jobs", "Ten roads to avoid this winter", "What the mayor said")
-_RIGHTS = ("&copy; example.org &middot; All rights reserved by the owner.", "Copyright 2020. Terms apply.", "© The site. Made with care.", "Legal notice. Imprint.", "About us.")
+_RIGHTS = (
+    "&copy; example.org &middot; All rights reserved by the owner.", "Copyright 2020. Terms apply.", "© The site. Made with care.",
+    "Legal notice. Imprint.", "About us.",
+)
 
 #: Containers of the main text, and of parts that never belong to it, as element and attributes.
-_CONTAINERS = ("article", "main", "section", "div", 'div class="content"', 'div id="main"', 'div class="article"', 'div class="post"', 'div class="story body"', 'div class="entry-content"', 'div class="text"', 'div role="main"', 'div class="container"', 'article class="story"', 'section class="content"')
-_AROUND = ("aside", 'div class="ad"', 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"', 'section class="related"', 'div class="newsletter"', 'div class="promo sponsored"', 'div class="advert advertisement"', 'div class="cookie banner"', 'div class="notice"', 'div class="alert notice"', 'div class="popup modal"', 'div role="complementary"', "form", 'div class="share social"', "noscript", "div hidden", 'div style="display:none"', 'aside class="sidebar"', 'div class="ad banner"')
+_CONTAINERS = (
+    "article", "main", "section", "div", 'div class="content"', 'div id="main"', 'div class="article"', 'div class="post"',
+    'div class="story body"', 'div class="entry-content"', 'div class="text"', 'div role="main"', 'div class="container"',
+    'article class="story"', 'section class="content"',
+)
+_AROUND = (
+    "aside", 'div class="ad"', 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"',
+    'section class="related"', 'div class="newsletter"', 'div class="promo sponsored"', 'div class="advert advertisement"',
+    'div class="cookie banner"', 'div class="notice"', 'div class="alert notice"', 'div class="popup modal"', 'div role="complementary"',
+    "form", 'div class="share social"', "noscript", "div hidden", 'div style="display:none"', 'aside class="sidebar"',
+    'div class="ad banner"',
+)
 _COMMENTS = ('section class="comments"', 'div id="comments"', 'div class="comments"', 'section id="comments"', 'div class="discussion"')
 _HEADS = ("header", 'div id="header"', 'div class="header"', 'header class="masthead"', 'div class="topbar"')
-_MENUS = ("nav", 'nav class="navbar"', 'div class="menu bar"', 'div class="menu"', 'div class="nav"', 'div role="navigation"', 'div class="breadcrumb"', 'ul class="menu"')
+_MENUS = (
+    "nav", 'nav class="navbar"', 'div class="menu bar"', 'div class="menu"', 'div class="nav"', 'div role="navigation"',
+    'div class="breadcrumb"', 'ul class="menu"',
+)
 _FOOTS = ("footer", 'div id="footer"', 'div class="footer"', 'footer class="legal"', 'p class="copyright"', 'div role="contentinfo" class="footer"')
 
 
@@ -75,7 +94,9 @@ class _Maker:
             return _wrapped(f"h{self.pick('23')}", "§" + self.pick(("On foot", "Two towns", "What it costs", "A letter")))
         if kind < 0.78:
             tag = self.pick(("ul", "ol"))
-            items = [self.pick((self.prose(1), self.prose(2), self.link(self.pick(_SENTENCES)), self.link("the plan") + " of the council", "First")) for _ in range(self.rnd.randint(2, 5))]
+            items = [self.pick((
+                self.prose(1), self.prose(2), self.link(self.pick(_SENTENCES)), self.link("the plan") + " of the council", "First",
+            )) for _ in range(self.rnd.randint(2, 5))]
             return f"<{tag}>" + "".join(f"<li>§{x}</li>" for x in items) + f"</{tag}>"
         if kind < 0.83:
             return f"<p>§{self.link(self.pick(_SENTENCES))}</p>"
@@ -96,9 +117,15 @@ class _Maker:
     def around(self) -> str:
         """A part that is no main text, whatever it holds."""
         if self.chance(0.2):
-            replies = "".join(self.pick((f'<div class="comment"><p>{x}</p></div>', f"<li><p>{x}</p></li>", f"<p>{x}</p>")) for x in self.rnd.sample(_REPLIES, 2))
+            replies = "".join(self.pick((
+                f'<div class="comment"><p>{x}</p></div>', f"<li><p>{x}</p></li>", f"<p>{x}</p>",
+            )) for x in self.rnd.sample(_REPLIES, 2))
             return _wrapped(self.pick(_COMMENTS), "<h3>2 comments</h3>" + replies + self.pick(("", "<form><label>Leave a reply</label></form>")))
-        body = self.pick((f"<p>{self.pick(_PITCHES)}</p>", self.pick(_PITCHES), f"<p>{self.pick(_PITCHES)}</p><p>{self.pick(_PITCHES)} {self.pick(_PITCHES)}</p>", "<h3>Related</h3>" + self.links(), f"<h4>Popular</h4><p>{self.link(self.pick(_SENTENCES))}</p>", f"<p>{self.pick(_PITCHES)}</p><button>Accept</button>"))
+        body = self.pick((
+            f"<p>{self.pick(_PITCHES)}</p>", self.pick(_PITCHES),
+            f"<p>{self.pick(_PITCHES)}</p><p>{self.pick(_PITCHES)} {self.pick(_PITCHES)}</p>", "<h3>Related</h3>" + self.links(),
+            f"<h4>Popular</h4><p>{self.link(self.pick(_SENTENCES))}</p>", f"<p>{self.pick(_PITCHES)}</p><button>Accept</button>",
+        ))
         return _wrapped(self.pick(_AROUND), body)
 
     def page(self) -> str:
@@ -125,10 +152,22 @@ class _Maker:
             parts = [_wrapped(self.pick(('div class="wrapper"', "div", 'div class="main"')), "".join(parts))]
         if self.chance(0.8):
             menu = self.pick(_MENUS)
-            parts.insert(0, _wrapped(menu, self.links()) if not menu.startswith("ul") else f"<{menu}><li>{self.link('Home')}</li><li>{self.link('News')}</li></ul>")
+            parts.insert(
+                0,
+                _wrapped(menu, self.links()) if not menu.startswith("ul") else f"<{menu}><li>{self.link('Home')}</li><li>{self.link('News')}</li></ul>",
+            )
         if self.chance(0.5):
             brand = _wrapped(f"h{self.pick('123')}", self.link("The Daily")) + self.pick(("", _wrapped(self.pick(_MENUS[:5]), self.links())))
-            parts.insert(0, _wrapped(self.pick(_HEADS), self.pick((brand, brand, self.link("The Daily"), f"{self.link('The Daily')}<p>News since 1901.</p>", f"<p>{self.pick(_PITCHES)}</p>", self.links()))))
+            parts.insert(
+                0,
+                _wrapped(
+                    self.pick(_HEADS),
+                    self.pick((
+                        brand, brand, self.link("The Daily"), f"{self.link('The Daily')}<p>News since 1901.</p>",
+                        f"<p>{self.pick(_PITCHES)}</p>", self.links(),
+                    )),
+                ),
+            )
         if self.chance(0.85):
             foot = self.pick(_RIGHTS)
             parts.append(_wrapped(self.pick(_FOOTS), self.pick((foot, f"{self.links()} {foot}", f"{foot} {self.pick(_PITCHES)}"))))

@@ -114,9 +114,15 @@ def page_evidence(pages: DataFrame, names: list[str], table: np.ndarray) -> Data
                     m = _HOST.match(url or "")
                     hosts.append(m[1].lower().rstrip(".") if m else "")
                 parts = [h.split(".") for h in hosts]
-                yield {"page_id": b.column(0), "url": b.column(1), "host": hosts, "domain": [".".join(p[-2:]) for p in parts], "suffix": [p[-1] for p in parts], "declared": declared, "likes": likes, "alone": alone}
+                yield {
+                    "page_id": b.column(0), "url": b.column(1), "host": hosts, "domain": [".".join(p[-2:]) for p in parts],
+                    "suffix": [p[-1] for p in parts], "declared": declared, "likes": likes, "alone": alone,
+                }
 
-    return common.map_rows(pages.select("page_id", "url", "html"), run, "page_id bigint, url string, host string, domain string, suffix string, declared string, likes array<double>, alone array<double>")
+    return common.map_rows(
+        pages.select("page_id", "url", "html"), run,
+        "page_id bigint, url string, host string, domain string, suffix string, declared string, likes array<double>, alone array<double>",
+    )
 
 
 def _beside(rows: DataFrame, table: DataFrame, level: str, width: int) -> DataFrame:
@@ -157,7 +163,10 @@ def identified(pages: DataFrame, docs: DataFrame) -> DataFrame:
     known = F.array(*[F.lit(x) for x in names]).cast("array<string>")
     best = lambda c: F.get(known, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     spread = F.aggregate("score", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("score")))
-    return scored.select("page_id", "url", best(F.col("score")).alias("lang"), F.try_divide(F.lit(1.0), spread).alias("probability"), best(F.col("likes")).alias("text_lang"), "declared", "host")
+    return scored.select(
+        "page_id", "url", best(F.col("score")).alias("lang"), F.try_divide(F.lit(1.0), spread).alias("probability"),
+        best(F.col("likes")).alias("text_lang"), "declared", "host",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,7 +188,14 @@ def _prefixes(docs: DataFrame, sketch, salts: int) -> DataFrame:
                     seen.add(c)
                     weight = counts[_bins(s)]
                     first = np.lexsort((s, weight))[: prefix_length(len(s))]
-                    for o, v in zip(out, (s[first].view(np.int64), np.where(weight[first] > heavy, 1 + c % salts, 0), np.full(len(first), c), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
+                    for o, v in zip(
+                        out,
+                        (
+                            s[first].view(np.int64), np.where(weight[first] > heavy, 1 + c % salts, 0), np.full(len(first), c),
+                            np.full(len(first), len(s)), np.arange(len(first)),
+                        ),
+                        strict=True,
+                    ):
                         o.append(v)
                 yield {k: np.concatenate(v) if v else [] for k, v in zip(("tok", "salt", "cls", "n", "place"), out, strict=True)}
 
@@ -278,7 +285,9 @@ def components(links: DataFrame) -> DataFrame:
         if now == total:
             break
         total = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return edges.select(
+        F.col("u").alias("node"), F.col("v").alias("label"),
+    ).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
 def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -292,7 +301,9 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # One exchange serves the aggregation and the join; for that, the aggregation too reads every column.
     rows = _prefixes(base, sketch, max(SALTS, parts)).repartition(parts, "tok", "salt")
-    centres = rows.groupBy("tok", "salt").agg(F.min("cls").alias("centre"), F.max("cls").alias("last"), F.max("n").alias("_n"), F.max("place").alias("_place")).where("_n > 0 and _place >= 0").drop("_n", "_place")
+    centres = rows.groupBy("tok", "salt").agg(
+        F.min("cls").alias("centre"), F.max("cls").alias("last"), F.max("n").alias("_n"), F.max("place").alias("_place"),
+    ).where("_n > 0 and _place >= 0").drop("_n", "_place")
     shared = common.saved(rows.join(centres.where("centre != last or salt != 0").drop("last"), ["tok", "salt"]), "shared-shingles")
     own = shared.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
     tops = shared.where("salt != 0 or cls = centre").select("tok", "centre").distinct()
@@ -302,16 +313,25 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     pairs = _possible(own.union(between).distinct(), prefixes)
 
     # Counted before any join, so that the copies of one text never meet in one task.
-    members = common.cut_lineage(classes.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("k")))
+    members = common.cut_lineage(classes.where("n > 0 and doc_id is not null").groupBy("cls").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("k"),
+    ))
     links = common.cut_lineage(_verify(pairs, _sets_of(pairs, members, base, sketch)))
     label = components(links)
     mixed = _mixed(shared, label)
     if not mixed.isEmpty():
-        big = common.cut_lineage(mixed.select("label", "cls", "n").distinct().groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") > LARGE))
+        big = common.cut_lineage(mixed.select("label", "cls", "n").distinct().groupBy("label").agg(
+            F.count("*").alias("size"), F.sum("n").alias("shingles"),
+        ).where(F.col("size") > LARGE))
         few = big.isEmpty()
         small = mixed if few else common.cut_lineage(mixed.join(big.select("label"), "label", "left_anti"))
-        groups = common.cut_lineage(small.groupBy("tok").agg(F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(F.xxhash64("cls")).alias("sum")).where("lo != hi"))
-        rest = _possible(_remaining(small.join(groups.where(F.col("k") <= CROWD).select("tok"), "tok")).join(pairs, ["a", "b"], "left_anti"), prefixes)
+        groups = common.cut_lineage(small.groupBy("tok").agg(
+            F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+            F.bit_xor(F.xxhash64("cls")).alias("sum"),
+        ).where("lo != hi"))
+        rest = _possible(
+            _remaining(small.join(groups.where(F.col("k") <= CROWD).select("tok"), "tok")).join(pairs, ["a", "b"], "left_anti"), prefixes,
+        )
         more = _verify(rest, _sets_of(rest, members, base, sketch))
         walks = [] if few else [_large_blocks(mixed, big)]
         # Shingles with the same classes, as those of one passage, are one crowd.
@@ -329,7 +349,9 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
 
 def _firsts(per: DataFrame, label: DataFrame) -> DataFrame:
     """(class, first): of each class that isn't alone the smallest (doc_id, class) of its component."""
-    marked = common.cut_lineage(per.join(label.withColumnRenamed("node", "cls"), "cls", "left").where("k > 1 or label is not null").withColumn("label", F.coalesce("label", "cls")))
+    marked = common.cut_lineage(per.join(
+        label.withColumnRenamed("node", "cls"), "cls", "left",
+    ).where("k > 1 or label is not null").withColumn("label", F.coalesce("label", "cls")))
     least = marked.groupBy("label").agg(F.min(F.struct("doc_id", "cls")).alias("first"))
     return common.cut_lineage(common.looked_up(marked.select("cls", "label"), least, "label").select("cls", "first"))
 
@@ -338,8 +360,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
     classes, per, label = _compared(docs, id_col, text_col)
     members = classes.where("n > 0 and doc_id is not null")
-    linked = common.looked_up(members, _firsts(per, label), "cls").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
-    return linked.union(classes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    linked = common.looked_up(members, _firsts(per, label), "cls").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"),
+    )
+    return linked.union(classes.where("n = 0 or doc_id is null").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
+    ))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +410,9 @@ def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
 def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
     """The rows of groups that hold several components, with their component."""
-    marked = shared.select("tok", "cls", "n", "place").join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    marked = shared.select("tok", "cls", "n", "place").join(
+        label.withColumnRenamed("node", "cls"), "cls", "left",
+    ).withColumn("label", F.coalesce("label", "cls"))
     mixed = marked.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tok")
     # A class with copies in several tasks came once from each.
     return common.cut_lineage(marked.join(mixed, "tok").distinct())
@@ -396,7 +424,9 @@ def _remaining(mixed: DataFrame) -> DataFrame:
     # y is the smaller (ties: by class); its place lies in the shorter prefix that suffices there.
     smaller = F.expr("(y.n < x.n or (y.n = x.n and y.cls < x.cls)) and x.label != y.label and 4 * y.n >= 3 * x.n and y.place < y.n - int(ceil(6 * y.n / 7.0D)) + 1")
     bound = F.expr("7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)")
-    return x.join(y, F.expr("x.tok = y.tok") & smaller & bound).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    return x.join(y, F.expr("x.tok = y.tok") & smaller & bound).select(
+        F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"),
+    ).distinct()
 
 
 def _large_blocks(mixed: DataFrame, big: DataFrame) -> DataFrame:
@@ -412,16 +442,26 @@ def _large_blocks(mixed: DataFrame, big: DataFrame) -> DataFrame:
     sizes = probes.groupBy("big").agg(_blocks(F.count("*"), F.sum("n")).alias("probe_blocks"))
     sizes = sizes.join(big.select(F.col("label").alias("big"), _blocks(F.col("size"), F.col("shingles")).alias("tree_blocks")), "big")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    trees = own.withColumnRenamed("label", "big").join(sizes, "big").select(F.col("big").alias("g"), F.pmod(F.hash("cls"), "tree_blocks").alias("i"), each("probe_blocks").alias("j"), "cls", F.col("big").alias("label"), F.lit(False).alias("probe"))
-    asked = probes.join(sizes, "big").select(F.col("big").alias("g"), each("tree_blocks").alias("i"), F.pmod(F.hash("cls"), "probe_blocks").alias("j"), "cls", "label", F.lit(True).alias("probe"))
+    trees = own.withColumnRenamed("label", "big").join(sizes, "big").select(
+        F.col("big").alias("g"), F.pmod(F.hash("cls"), "tree_blocks").alias("i"), each("probe_blocks").alias("j"), "cls",
+        F.col("big").alias("label"), F.lit(False).alias("probe"),
+    )
+    asked = probes.join(sizes, "big").select(
+        F.col("big").alias("g"), each("tree_blocks").alias("i"), F.pmod(F.hash("cls"), "probe_blocks").alias("j"), "cls", "label",
+        F.lit(True).alias("probe"),
+    )
     return trees.unionByName(asked)
 
 
 def _crowd_blocks(small: DataFrame, crowds: DataFrame) -> DataFrame:
     """Rows of :func:`_walked`: each two blocks of the classes of a crowded group, one as a tree and one as probes."""
-    rows = small.join(crowds.select("tok", _blocks(F.col("k"), F.col("shingles")).alias("blocks")), "tok").withColumn("own", F.pmod(F.hash("cls"), "blocks"))
+    rows = small.join(
+        crowds.select("tok", _blocks(F.col("k"), F.col("shingles")).alias("blocks")), "tok",
+    ).withColumn("own", F.pmod(F.hash("cls"), "blocks"))
     row = [F.col("tok").alias("g"), "i", "j", "cls", "label", "probe"]
-    trees = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).withColumn("probe", F.lit(False))
+    trees = rows.withColumn("i", F.col("own")).withColumn(
+        "j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)),
+    ).withColumn("probe", F.lit(False))
     probes = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("j", F.col("own")).withColumn("probe", F.lit(True))
     return trees.select(*row).unionByName(probes.select(*row))
 
@@ -444,7 +484,9 @@ def _walked(rows: DataFrame, sets: DataFrame) -> DataFrame:
             b += found.values()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.join(sets, "cls").select("g", "i", "j", "cls", "label", "probe", "sequence").groupBy("g", "i", "j").applyInArrow(walk, "a bigint, b bigint")
+    return rows.join(sets, "cls").select(
+        "g", "i", "j", "cls", "label", "probe", "sequence",
+    ).groupBy("g", "i", "j").applyInArrow(walk, "a bigint, b bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,9 @@ def pack(found: DataFrame, capacity: int, most_docs: int = 4, bucket_rows: int =
     if buckets > 1:  # the buckets of the rows are drawn once
         rows = common.saved(rows, "bucketed-pieces")
     order = Window.partitionBy("length").orderBy("bucket")  # as many rows as buckets
-    firsts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", (F.sum("n").over(order) - F.col("n")).alias("first"))
+    firsts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n")).select(
+        "length", "bucket", (F.sum("n").over(order) - F.col("n")).alias("first"),
+    )
     place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     numbered = rows.withColumn("k", place).join(firsts, ["length", "bucket"]).select(*found.columns, (F.col("k") + F.col("first")).alias("k"))
 

@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from oreflow.llm import common
 
 WORD_DIMS = 1 << 14
-STATISTICS = ("log words", "mean word length", "symbols", "digits", "capitals", "punctuation", "non-ASCII bytes", "distinct words", "commonest word", "repeated lines", "log characters", "declared characters")
+STATISTICS = (
+    "log words", "mean word length", "symbols", "digits", "capitals", "punctuation", "non-ASCII bytes", "distinct words", "commonest word",
+    "repeated lines", "log characters", "declared characters",
+)
 DIMS = WORD_DIMS + len(STATISTICS)
 RANK = 8
 #: Labelled rows that the fit reads at most.
@@ -69,7 +72,10 @@ def features(text: str, declared: int | None) -> tuple[np.ndarray, np.ndarray, n
     kinds = np.bincount(_KIND[raw], minlength=6) / max(1, len(raw))
     lines = [x for x in text.split("\n") if x.strip()]
     chars = len(text)
-    stats = [math.log1p(n), chars / max(1, n), *kinds[1:6], len(dims) / max(1, n), counts.max() / n if n else 0, 1 - len(set(lines)) / max(1, len(lines)), math.log1p(chars), math.log1p(max(0, chars if declared is None else declared))]
+    stats = [
+        math.log1p(n), chars / max(1, n), *kinds[1:6], len(dims) / max(1, n), counts.max() / n if n else 0,
+        1 - len(set(lines)) / max(1, len(lines)), math.log1p(chars), math.log1p(max(0, chars if declared is None else declared)),
+    ]
     return dims, values, np.array(stats)
 
 
@@ -102,12 +108,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.raw_score(*self.rows(batch))[0], -30, 30)))
 
 
-def fit(batch: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, epochs: int = 12, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Model:
+def fit(
+    batch: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = RANK, epochs: int = 12, rate: float = 0.03,
+    decay: float = 1e-5, seed: int = 7,
+) -> Model:
     """Logistic loss, Adam on blocks of 128 rows, seeded."""
     stats = np.array([s for _, _, s in batch]).reshape(-1, len(STATISTICS))
     share = float(labels.mean()) if len(labels) else 1.0
     rng = np.random.default_rng(seed)
-    m = Model(0.0, np.zeros(DIMS), rng.normal(0, 0.05, (DIMS, rank)), stats.mean(axis=0) if len(stats) else np.zeros(len(STATISTICS)), np.maximum(stats.std(axis=0), 1e-6) if len(stats) else np.ones(len(STATISTICS)))
+    m = Model(
+        0.0, np.zeros(DIMS), rng.normal(0, 0.05, (DIMS, rank)), stats.mean(axis=0) if len(stats) else np.zeros(len(STATISTICS)),
+        np.maximum(stats.std(axis=0), 1e-6) if len(stats) else np.ones(len(STATISTICS)),
+    )
     if share in (0.0, 1.0):
         return Model(30.0 if share else -30.0, m.w, m.v * 0, m.mean, m.sd)
     m.w0 = math.log(share / (1 - share))
@@ -144,14 +156,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col
     """A model of ``labels.quality`` from at most ``max_rows`` labelled rows that aren't held out."""
     own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     sample = own.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    found = docs.select("doc_id", F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(chars_col).cast("long").alias("declared")).alias("row"))
+    found = docs.select(
+        "doc_id",
+        F.struct(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(chars_col).cast("long").alias("declared")).alias("row"),
+    )
     # One row of each id, so that max_rows bounds what is collected also where an id is repeated.
     rows = found.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("row").alias("row")).select("quality", "row.text", "row.declared")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             found = [features(x, c) for x, c in zip(b.column("text").to_pylist(), b.column("declared").to_pylist(), strict=True)]
-            yield {"quality": b.column("quality"), "dims": [d.astype("<u2").tobytes() for d, _, _ in found], "values": [v.astype("<f4").tobytes() for _, v, _ in found], "stats": [s.tolist() for _, _, s in found]}
+            yield {
+                "quality": b.column("quality"), "dims": [d.astype("<u2").tobytes() for d, _, _ in found],
+                "values": [v.astype("<f4").tobytes() for _, v, _ in found], "stats": [s.tolist() for _, _, s in found],
+            }
 
     schema = "quality int, dims binary, values binary, stats array<double>"
     got = sorted(common.map_rows(rows, measure, schema).collect(), key=lambda r: (r["dims"], r["values"], r["stats"], r["quality"]))

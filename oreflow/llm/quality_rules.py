@@ -52,7 +52,9 @@ def repeated_words(word_hashes: Column) -> Column:
 
     def places(s: Column) -> Column:
         same = lambda e, i: (F.get(s, i - 1)["h"] == e["h"]) | (F.get(s, i + 1)["h"] == e["h"])
-        return F.sort_array(F.transform(F.filter(s, lambda e, i: F.coalesce(same(e, i), F.get(s, i - 1)["h"] == e["h"], F.get(s, i + 1)["h"] == e["h"], F.lit(False))), lambda e: e["i"]))
+        return F.sort_array(F.transform(F.filter(s, lambda e, i: F.coalesce(
+            same(e, i), F.get(s, i - 1)["h"] == e["h"], F.get(s, i + 1)["h"] == e["h"], F.lit(False),
+        )), lambda e: e["i"]))
 
     def covered(w: Column) -> Column:
         pairs = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -61,7 +63,9 @@ def repeated_words(word_hashes: Column) -> Column:
         return F.aggregate(_let(pairs, places), start, add, lambda acc: acc["n"])
 
     # Sorting pairs is only for texts in which some window does repeat.
-    return F.when(n < 5, 0).otherwise(_let(windows(word_hashes), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0))).cast("long")
+    return F.when(n < 5, 0).otherwise(_let(
+        windows(word_hashes), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(0),
+    )).cast("long")
 
 
 def word_hashes(w: Column) -> Column:
@@ -83,7 +87,10 @@ def features(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
     )
     out = out.select("*", F.size(col("h")).cast("long").alias(prefix + "n"), repeated_words(col("h")).alias(prefix + "repeats"))
     failed = (col("n") < 10) | (100 * col("repeats") > 20 * col("n"))
-    base = F.struct(col("n").alias("n_words"), col("chars").alias("word_chars"), col("symbols").alias("n_symbols"), col("lines").alias("n_dup_lines"), col("repeats").alias("n_repeat_words"), failed.alias("base_failed"))
+    base = F.struct(
+        col("n").alias("n_words"), col("chars").alias("word_chars"), col("symbols").alias("n_symbols"), col("lines").alias("n_dup_lines"),
+        col("repeats").alias("n_repeat_words"), failed.alias("base_failed"),
+    )
     return out.select(*_all(docs), base.alias(prefix + "base"), col("g"))
 
 
@@ -105,7 +112,10 @@ def gram_counts(docs: DataFrame, buckets: int, target: Column, text_col: str = "
     return rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
 
 
-def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
+def ratios(
+    docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> list[float]:
     """log(p_target / p_raw) of each of the ``2 * buckets`` buckets."""
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias(id_col)).where(F.col(id_col).isNotNull()).distinct().withColumn("_trusted", F.lit(1))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -121,10 +131,15 @@ def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, smoo
     return out
 
 
-def with_verdict(docs: DataFrame, trusted_ids: DataFrame, name: str, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_verdict(
+    docs: DataFrame, trusted_ids: DataFrame, name: str, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """``docs`` with one more column, a struct ``name`` of the base counts, ``base_failed``, ``score`` and ``kept``."""
     # A constant that the optimizer folds into one array of fixed size.
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios(docs, trusted_ids, buckets, id_col=id_col, text_col=text_col))), ",").cast("array<double>")
+    table = F.split(
+        F.lit(",".join(f"{x:.6f}" for x in ratios(docs, trusted_ids, buckets, id_col=id_col, text_col=text_col))), ",",
+    ).cast("array<double>")
     prefix = "_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
@@ -132,13 +147,18 @@ def with_verdict(docs: DataFrame, trusted_ids: DataFrame, name: str, buckets: in
     total = F.aggregate(col("grams"), F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     # The row number keeps a caller's filter on ``kept`` above this projection; pushed below, it would repeat the work for every word.
     score = F.when(F.size(col("grams")) > 0, total / F.size(col("grams"))).otherwise(0.0)
-    scored = features(docs, text_col, prefix).withColumn(prefix + "grams", hashed_grams(col("g"), buckets)).select(*_all(docs), col("base"), score.alias(prefix + "score"), F.monotonically_increasing_id().alias(prefix + "row"))
+    scored = features(docs, text_col, prefix).withColumn(prefix + "grams", hashed_grams(col("g"), buckets)).select(
+        *_all(docs), col("base"), score.alias(prefix + "score"), F.monotonically_increasing_id().alias(prefix + "row"),
+    )
     kept = ~col("base")["base_failed"] & (col("score") >= threshold) & (col("row") >= 0)
     counts = [col("base")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")]
     return scored.select(*_all(docs), F.struct(*counts, col("score").alias("score"), kept.alias("kept")).alias(name))
 
 
-def judged(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged(
+    docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, threshold: float = THRESHOLD, id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``score`` and ``kept``."""
     name = common.free_name(docs, "verdict")
     found = with_verdict(docs, trusted_ids, name, buckets, threshold, id_col, text_col)
@@ -152,7 +172,9 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.dealt(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged(docs, trusted(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judged(docs, trusted(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    )
 
 
 #: The same rules in DuckDB: words unnested, crc32 by its table, counts and ratios as above.

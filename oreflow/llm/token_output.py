@@ -190,7 +190,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
             ends = np.zeros(n_ids.sum(), bool)
             ends[np.cumsum(n_ids) - 1] = True
             symbols, last, rules, sizes = compress(np.frombuffer(b"".join(ids), "<u4"), ends, base)
-            out = {"part": [part], "block": [block], "doc_ids": [list(names)], "lengths": [list(lengths)], "symbols_per_doc": [np.diff(np.r_[-1, np.flatnonzero(last)]).tolist()], "n_ids": [int(n_ids.sum())], "before": [before], "base": [base], "rules": [rules.astype("<u4").tobytes()], "rule_lengths": [sizes.astype("<u4").tobytes()], "symbols": [symbols.astype("<u4").tobytes()]}
+            out = {
+                "part": [part], "block": [block], "doc_ids": [list(names)], "lengths": [list(lengths)],
+                "symbols_per_doc": [np.diff(np.r_[-1, np.flatnonzero(last)]).tolist()], "n_ids": [int(n_ids.sum())], "before": [before],
+                "base": [base], "rules": [rules.astype("<u4").tobytes()], "rule_lengths": [sizes.astype("<u4").tobytes()],
+                "symbols": [symbols.astype("<u4").tobytes()],
+            }
             block += 1
             before += int(n_ids.sum())
             ids.clear(), names.clear(), lengths.clear()
@@ -241,7 +246,10 @@ def documents(shards: DataFrame) -> DataFrame:
                 flat = expand(np.frombuffer(s["symbols"], "<u4"), s["base"], rules, lengths).astype("<u4")
                 edges = np.r_[0, np.cumsum(s["lengths"], dtype=np.int64)]
                 raw = memoryview(flat.tobytes())
-                yield {"doc_id": s["doc_ids"], "start": edges[:-1] + s["shard_start"], "n_tokens": np.diff(edges), "ids_crc32": [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]}
+                yield {
+                    "doc_id": s["doc_ids"], "start": edges[:-1] + s["shard_start"], "n_tokens": np.diff(edges),
+                    "ids_crc32": [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)],
+                }
 
     return common.map_rows(shards, rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

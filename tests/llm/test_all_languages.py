@@ -6,7 +6,10 @@ from oreflow.llm import language_id
 
 
 def test_declared_language_anywhere(spark):
-    pages = ["<!-- " + "x" * 9000 + " <html lang=de> --><html lang=fr><p>x", "<html " + "data-a='b' " * 900 + 'lang="de-AT">', "<html data-lang=xx class='a>b' lang = pt>", "<html xml:lang=en>", "<!-- open <html lang=de>", "<html><p lang=fr>"]
+    pages = [
+        "<!-- " + "x" * 9000 + " <html lang=de> --><html lang=fr><p>x", "<html " + "data-a='b' " * 900 + 'lang="de-AT">',
+        "<html data-lang=xx class='a>b' lang = pt>", "<html xml:lang=en>", "<!-- open <html lang=de>", "<html><p lang=fr>",
+    ]
     df = spark.createDataFrame([(i, "https://a.example/", x) for i, x in enumerate(pages)], "page_id bigint, url string, html string")
     docs = spark.createDataFrame([("one two three", "en")], "text string, lang string")
     got = {r["page_id"]: r["declared"] for r in language_id.identified(df, docs).collect()}
@@ -20,7 +23,9 @@ def test_every_language_can_be_the_answer(spark):
     text = lambda lang: " ".join(rnd.choice(words[lang]) for _ in range(60))
     last = "l204"  # one document, so it was beyond the 200 commonest
     docs = spark.createDataFrame([(text(lang), lang) for lang in words for _ in range(1 if lang == last else 2)], "text string, lang string")
-    pages = spark.createDataFrame([(1, "https://a.example/", f"<html><body><p>{text(last)}</p></body></html>")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame(
+        [(1, "https://a.example/", f"<html><body><p>{text(last)}</p></body></html>")], "page_id bigint, url string, html string",
+    )
     assert [(r["lang"], r["text_lang"]) for r in language_id.identified(pages, docs).collect()] == [(last, last)]
 
 
@@ -57,7 +62,10 @@ def test_posterior_by_brute_force(spark):
         like = logs @ n / max(1, n.sum()) * min(language_id.TEXT_WEIGHT, n.sum())
         alone = np.exp(like - like.max())
         host = url.split("/")[2] if url else ""
-        rows.append((i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], language_id.declared_language(page or ""), like, alone / alone.sum()))
+        rows.append((
+            i, host, ".".join(host.split(".")[-2:]), host.split(".")[-1], language_id.declared_language(page or ""), like,
+            alone / alone.sum(),
+        ))
     total = sum(r[6] for r in rows)
     shares = (total + 1) / (total.sum() + 3)
     want = {}
@@ -74,6 +82,11 @@ def test_posterior_by_brute_force(spark):
         assert len(got) == len(pages)
         for r in got:
             lang, probability, declared, host = want[r["page_id"]]
-            assert (r["lang"], r["declared"], r["host"]) == (lang, declared, host) and math.isclose(r["probability"], probability, rel_tol=1e-4, abs_tol=1e-6)
-    long = spark.createDataFrame([(1, "https://two.com/", "<html><body><p>" + text("cc", 300_000) + "</p></body></html>")], "page_id bigint, url string, html string")
+            assert (r["lang"], r["declared"], r["host"]) == (lang, declared, host) and math.isclose(
+                r["probability"], probability, rel_tol=1e-4, abs_tol=1e-6,
+            )
+    long = spark.createDataFrame(
+        [(1, "https://two.com/", "<html><body><p>" + text("cc", 300_000) + "</p></body></html>")],
+        "page_id bigint, url string, html string",
+    )
     assert language_id.identified(long, d).first()["lang"] == "cc"

@@ -16,7 +16,10 @@ from oreflow.llm import chat_format, chunk_encoding, common, html_extraction, la
 DIR = "/root/testdata/sf0.001"
 BYTES, WORDS = tokens.tokenizer_path("byte_bpe_50k.json"), tokens.tokenizer_path("word_bpe_49k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, kept string, n int"
-ODD = [None, "", " ", "a", "a b", "é  ü\t\n\n x ", "<|endoftext|>", "x" * 5000, "one two three four five six seven eight nine ten eleven. " * 400, "The the THE the the"]
+ODD = [
+    None, "", " ", "a", "a b", "é  ü\t\n\n x ", "<|endoftext|>", "x" * 5000,
+    "one two three four five six seven eight nine ten eleven. " * 400, "The the THE the the",
+]
 
 
 def _docs(spark, texts):
@@ -74,7 +77,10 @@ def test_repair_of_texts_without_blanks():
     rnd = random.Random(7)
     e, table = tokens.encoder(BYTES), tokens.byte_table(BYTES)
     letters = "".join(chr(0x4E00 + rnd.randint(0, 3000)) for _ in range(400))
-    for x in ("".join(rnd.choice(letters) for _ in range(300_000)), "x" * 300_000, " " * 60_000 + "a", "".join(rnd.choice("abcdefgh") for _ in range(1_000_000))):
+    for x in (
+        "".join(rnd.choice(letters) for _ in range(300_000)), "x" * 300_000, " " * 60_000 + "a",
+        "".join(rnd.choice("abcdefgh") for _ in range(1_000_000)),
+    ):
         times = []
         for size in (len(x) // 8, len(x)):
             parts = e.encode(chunk_encoding.chunks(x[:size]))
@@ -104,7 +110,10 @@ def test_grammar_round_trip():
     symbols, last, rules, lengths = token_output.compress(ids, ends, 10)
     assert len(symbols) < len(ids) / 1.5 and last.sum() == ends.sum()
     assert (token_output.expand(symbols, 10, rules, lengths) == ids).all()
-    shard = {"rules": rules.astype("<u4").tobytes(), "rule_lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(), "base": 10, "symbols_per_doc": np.diff(np.r_[-1, np.flatnonzero(last)]).tolist()}
+    shard = {
+        "rules": rules.astype("<u4").tobytes(), "rule_lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
+        "base": 10, "symbols_per_doc": np.diff(np.r_[-1, np.flatnonzero(last)]).tolist(),
+    }
     starts = np.r_[0, np.flatnonzero(ends) + 1]
     for d in (0, 7, 399):
         own = ids[starts[d] : starts[d + 1]]
@@ -116,7 +125,9 @@ def test_token_output(spark, docs, odd, empty):
     e = tokens.encoder(BYTES)
     for df in (docs, odd):
         token_output.write(df, path := common.fresh_path(spark, "t"), BYTES, 2, block_ids=3000)
-        got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_output.documents(token_output.read(spark, path)).collect())
+        got = sorted((
+            r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"],
+        ) for r in token_output.documents(token_output.read(spark, path)).collect())
         want, at = [], 0
         for i, x in sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
             raw = e.direct(x) + b"\2\0\0\0"
@@ -162,7 +173,9 @@ def test_quality_rules(spark, docs, odd, empty):
             t = r["text"] or ""
             w = word.findall(t)
             lines = [x for x in t.split("\n") if word.search(x)]
-            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), _repeats(w))
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+                len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), _repeats(w),
+            )
             assert r["base_failed"] == (len(w) < 10 or 100 * _repeats(w) > 20 * len(w)) and r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
     assert quality_rules.judged(empty, good).count() == 0
     found = quality_rules.with_verdict(odd, good, "verdict")
@@ -198,7 +211,10 @@ def test_quality_model(spark, odd, empty):
     rows = common.table(spark, DIR, "documents")
     many = quality_model.train(rows.union(rows).union(rows), common.table(spark, DIR, "labels"))
     assert np.allclose(many.w, model.w) and np.allclose(many.v, model.v)
-    named = quality_model.train(rows.withColumn("doc_id", F.col("doc_id").cast("string")), common.table(spark, DIR, "labels").withColumn("doc_id", F.col("doc_id").cast("string")))
+    named = quality_model.train(
+        rows.withColumn("doc_id", F.col("doc_id").cast("string")),
+        common.table(spark, DIR, "labels").withColumn("doc_id", F.col("doc_id").cast("string")),
+    )
     assert np.allclose(named.w, model.w)
     long = _docs(spark, ["one two three " * 300_000])
     assert 0 <= quality_model.scored(long, model, "n").first()["n"] <= 1
@@ -275,7 +291,11 @@ def test_chat_windows(spark, empty):
         assert chat_format.unescape(chat_format.escape(x)) == x and not any(m in chat_format.escape(x) for m in chat_format.MARKS)
         w = chat_format.write_turn(y, x)[0] + chat_format.write_turn("user", y)[0]
         assert [t[:2] for t in chat_format.read_turns(w)] == [(y, x), ("user", y)]
-    rows = [(1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", f"word{i} " * 60) for i in range(1, 30)], (2, 0, None, None), (2, 0, "assistant", "hi"), (2, 0, "assistant", "hi"), (None, 1, "assistant", "x"), (3, 1, "assistant", "long " * 4000)]
+    rows = [
+        (1, 0, "system", "be kind"), *[(1, i, "user" if i % 2 else "assistant", f"word{i} " * 60) for i in range(1, 30)],
+        (2, 0, None, None), (2, 0, "assistant", "hi"), (2, 0, "assistant", "hi"), (None, 1, "assistant", "x"),
+        (3, 1, "assistant", "long " * 4000),
+    ]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     w = chat_format.windows(turns, BYTES, budget=600, history=135)
     later = [r for r in w.where("conv_id = 1").collect() if r["window"]]
@@ -321,7 +341,9 @@ def test_fingerprints(spark, docs, texts, odd, empty):
         e = x[: len(x) - q] + y[:q]
         a, b, c = (phrase_fingerprint.Parsed(t).sig for t in (x, e, y))
         r = got[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(x), hashlib.sha256(e.encode()).hexdigest(), phrase_fingerprint.text_form(a), phrase_fingerprint.text_form(b))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (
+            len(x), hashlib.sha256(e.encode()).hexdigest(), phrase_fingerprint.text_form(a), phrase_fingerprint.text_form(b),
+        )
         assert (r["near_edited"], r["near_next"]) == (phrase_fingerprint.likeness(a, b), phrase_fingerprint.likeness(a, c))
     assert sum(r["near_edited"] for r in got.values()) > 3 * sum(r["near_next"] for r in got.values())
     assert phrase_fingerprint.with_next(odd).count() == odd.count()
@@ -380,7 +402,10 @@ def test_extraction(spark):
     assert html_extraction.main_text("", m) == "" and html_extraction.main_text("<div>" * 5000, m) == ""
     page = '<body><div class="menu"><a href=a>One</a> <a href=b>Two</a></div><div class="post"><h2>A title</h2><p>Some text of &eacute;nough words to read,\n with one <a href=c>link</a>.<p>And a second sentence, as long as the first one was.</div><div class="comments"><p>I liked it a lot, thank you all.</p></div><script>if (a<b) x="</p>"</script><footer><p>&copy; all rights.</p></footer>'
     assert html_extraction.main_text(page, m) == "A title\n\nSome text of énough words to read, with one link.\n\nAnd a second sentence, as long as the first one was."
-    assert html_extraction.main_text("<body><article><p>Formula <math>x=2</math> holds for all of them.</p><ul><li><a href=/a>See the first part of this report.</a></li><li>The second part is not out yet.</li></ul><p><a href=/b>The whole story is told here.</a></p></article></body>", m) == "Formula x=2 holds for all of them.\n\nSee the first part of this report.\n\nThe second part is not out yet.\n\nThe whole story is told here."
+    assert html_extraction.main_text(
+        "<body><article><p>Formula <math>x=2</math> holds for all of them.</p><ul><li><a href=/a>See the first part of this report.</a></li><li>The second part is not out yet.</li></ul><p><a href=/b>The whole story is told here.</a></p></article></body>",
+        m,
+    ) == "Formula x=2 holds for all of them.\n\nSee the first part of this report.\n\nThe second part is not out yet.\n\nThe whole story is told here."
     odd = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (2, "u", "", 6)], "page_id bigint, url string, html string, text int")
     assert [(r["text"], r["n_chars"]) for r in html_extraction.extracted(odd).collect()] == [("", 0)] * 3
 
@@ -437,7 +462,10 @@ def test_marginals_are_exact():
 def test_languages(spark):
     rows = language_id.query(spark, DIR).collect()
     assert sum(f"/{r['lang']}/" in r["url"] for r in rows) / len(rows) > 0.95
-    pages = spark.createDataFrame([(1, None, None), (2, "https://x.example.org/a", "<html lang=fr><p>le la les des une pour que qui dans avec</p>")], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame(
+        [(1, None, None), (2, "https://x.example.org/a", "<html lang=fr><p>le la les des une pour que qui dans avec</p>")],
+        "page_id bigint, url string, html string",
+    )
     docs = common.table(spark, DIR, "documents")
     assert {r["page_id"]: r["text_lang"] for r in language_id.identified(pages, docs).collect()}[2] == "fr"
     assert language_id.identified(pages.where("false"), docs).count() == 0
