@@ -85,7 +85,10 @@ def clean_text(df: DataFrame, fields: list[str], trim: bool = True, case: str =
                 c = F.upper(c)
             elif case == "title":
                 # Split behind each separator, capitalise, and put together again.
-                c = F.array_join(F.transform(F.split(F.lower(c), r"(?<=[\s\-_/])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), "")
+                c = F.array_join(
+                    F.transform(F.split(F.lower(c), r"(?<=[\s\-_/])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))),
+                    "",
+                )
             if blank:
                 c = F.when(F.regexp_replace(c, WIDE_SPACE, "") != "", c)
         out.append(c.alias(name))
@@ -119,7 +122,10 @@ def binning(df: DataFrame, field: str, bins: int = 4, method: str = "width", new
         raise ValueError("No numeric values to bin.")
     c = known(df, field).cast("double")
     show = lambda x: f"{x:.0f}" if x == int(x) else f"{x:.4g}" if abs(x) < 1 else f"{x:.3f}".rstrip("0").rstrip(".") if abs(x) < 1000 else f"{x:.1f}"
-    labels = [f"1: < {show(edges[0])}", *[f"{i + 2}: {show(a)} – {show(b)}" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], f"{len(edges) + 1}: ≥ {show(edges[-1])}"]
+    labels = [
+        f"1: < {show(edges[0])}", *[f"{i + 2}: {show(a)} – {show(b)}" for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))],
+        f"{len(edges) + 1}: ≥ {show(edges[-1])}",
+    ]
     place = sum(((c >= e).cast("int") for e in edges), F.lit(0))
     return set_field(df, new_name or f"{field}_BIN", F.when(c.isNotNull(), F.get(F.array(*[F.lit(x) for x in labels]), place)))
 

@@ -107,7 +107,10 @@ def _classes(train: DataFrame, target: str) -> DataFrame:
     return rows
 
 
-def _fit(prefix: str, train: DataFrame, target: str, inputs: list[str], estimator, classes: bool, confidence: str | None, drop_first: bool = False) -> Supervised:
+def _fit(
+    prefix: str, train: DataFrame, target: str, inputs: list[str], estimator, classes: bool, confidence: str | None,
+    drop_first: bool = False,
+) -> Supervised:
     train = train.select(*dict.fromkeys([target, *inputs])).persist()  # read by several aggregations and every iteration
     rows = _classes(train, target) if classes else train.withColumn("__t", known(train, target).cast("double")).where("__t is not null")
     encoder = Encoder.fit(rows, inputs, drop_first=drop_first)
@@ -115,7 +118,9 @@ def _fit(prefix: str, train: DataFrame, target: str, inputs: list[str], estimato
     vectors = with_vector(rows, features, "__x").select("__x", "__t")
     if classes:
         index = StringIndexer(inputCol="__t", outputCol="__y", stringOrderType="alphabetAsc").fit(vectors)
-        body = Pipeline(stages=[estimator(len(features), len(index.labels)), IndexToString(inputCol="__p", outputCol="__label", labels=index.labels)]).fit(index.transform(vectors))
+        body = Pipeline(stages=[
+            estimator(len(features), len(index.labels)), IndexToString(inputCol="__p", outputCol="__label", labels=index.labels),
+        ]).fit(index.transform(vectors))
     else:
         body = Pipeline(stages=[estimator(len(features), 0)]).fit(vectors.withColumnRenamed("__t", "__y"))
     train.unpersist()
@@ -132,8 +137,12 @@ def tree(train: DataFrame, target: str, inputs: list[str], max_depth: int = 4, m
         kinds = train.agg(*[F.approx_count_distinct(known(train, f), 0.02).alias(f) for f in inputs]).first()
         max_bins = min(10_000, max(32, int(1.1 * max(kinds)) + 2))
     if is_number(train, target) and not _few_whole(train, target):
-        return _fit("R", train, target, inputs, lambda n, k: DecisionTreeRegressor(**_columns(), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins), False, None)
-    return _fit("R", train, target, inputs, lambda n, k: DecisionTreeClassifier(**_columns(probabilityCol="__q", rawPredictionCol="__r"), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins), True, "__q")
+        return _fit("R", train, target, inputs, lambda n, k: DecisionTreeRegressor(
+            **_columns(), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins,
+        ), False, None)
+    return _fit("R", train, target, inputs, lambda n, k: DecisionTreeClassifier(
+        **_columns(probabilityCol="__q", rawPredictionCol="__r"), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins,
+    ), True, "__q")
 
 
 def _few_whole(df: DataFrame, field: str) -> bool:
@@ -156,7 +165,10 @@ class Svm:
         out = out.withColumn("__b", best)
         spread = F.aggregate("__s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("__b")["s"]))
         names = F.array(*[F.lit(k) for k in self.classes])
-        return out.select(*[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$SVM-{self.target}"), round_to(1 / spread).alias(f"$SVMC-{self.target}"))
+        return out.select(
+            *[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$SVM-{self.target}"),
+            round_to(1 / spread).alias(f"$SVMC-{self.target}"),
+        )
 
 
 def svm(train: DataFrame, target: str, inputs: list[str], cost: float = 1.0, iterations: int = 50) -> Svm:
@@ -181,17 +193,24 @@ def svm(train: DataFrame, target: str, inputs: list[str], cost: float = 1.0, ite
 def ann(train: DataFrame, target: str, inputs: list[str], hidden: int = 8, iterations: int = 200, seed: int = 42) -> Supervised:
     if not 1 <= hidden <= 128:
         raise ValueError("ANN hiddenUnits must be between 1 and 128.")
-    return _fit("ANN", train, target, inputs, lambda n, k: MultilayerPerceptronClassifier(**_columns(probabilityCol="__q", rawPredictionCol="__r"), layers=[n, hidden, k], maxIter=iterations, seed=seed), True, "__q")
+    return _fit("ANN", train, target, inputs, lambda n, k: MultilayerPerceptronClassifier(
+        **_columns(probabilityCol="__q", rawPredictionCol="__r"), layers=[n, hidden, k], maxIter=iterations, seed=seed,
+    ), True, "__q")
 
 
 def logistic(train: DataFrame, target: str, inputs: list[str], l2: float = 1e-3, iterations: int = 300) -> Supervised:
-    return _fit("L", train, target, inputs, lambda n, k: LogisticRegression(**_columns(probabilityCol="__q", rawPredictionCol="__r"), family="multinomial", regParam=l2, standardization=False, maxIter=iterations), True, "__q", drop_first=True)
+    return _fit("L", train, target, inputs, lambda n, k: LogisticRegression(
+        **_columns(probabilityCol="__q", rawPredictionCol="__r"), family="multinomial", regParam=l2, standardization=False,
+        maxIter=iterations,
+    ), True, "__q", drop_first=True)
 
 
 def linear(train: DataFrame, target: str, inputs: list[str], ridge: float = 0.0) -> Supervised:
     """Least squares by normal equations; the penalty is scaled as MLlib expects it."""
     sd = train.agg(F.stddev_pop(known(train, target).cast("double"))).first()[0] or 1.0
-    return _fit("E", train, target, inputs, lambda n, k: LinearRegression(**_columns(), solver="normal", standardization=False, elasticNetParam=0.0, regParam=(1e-6 + ridge) * sd), False, None, drop_first=True)
+    return _fit("E", train, target, inputs, lambda n, k: LinearRegression(
+        **_columns(), solver="normal", standardization=False, elasticNetParam=0.0, regParam=(1e-6 + ridge) * sd,
+    ), False, None, drop_first=True)
 
 
 # -- models by aggregation ------------------------------------------------------
@@ -210,7 +229,10 @@ class NaiveBayes:
         rows = _classes(train, target)
         self.target, self.numbers = target, [f for f in inputs if is_number(train, f)]
         self.texts = [f for f in inputs if f not in self.numbers]
-        per = {r["__t"]: r for r in rows.groupBy("__t").agg(F.count("*").alias("n"), *[x for f in self.numbers for x in (F.avg(known(train, f)).alias(f"m_{f}"), F.stddev_samp(known(train, f)).alias(f"s_{f}"))]).collect()}
+        per = {r["__t"]: r for r in rows.groupBy("__t").agg(
+            F.count("*").alias("n"),
+            *[x for f in self.numbers for x in (F.avg(known(train, f)).alias(f"m_{f}"), F.stddev_samp(known(train, f)).alias(f"s_{f}"))],
+        ).collect()}
         self.classes, total = sorted(per), sum(r["n"] for r in per.values())
         self.prior = [math.log(per[k]["n"] / total) for k in self.classes]
         self.bells: dict[str, list[tuple[float, float] | None]] = {}
@@ -229,7 +251,9 @@ class NaiveBayes:
     def transform(self, df: DataFrame) -> DataFrame:
         out, found = df, []
         for i, (f, (table, unseen)) in enumerate(self.tables.items()):
-            out = out.withColumn(f"__v{i}", as_text(df, f)).join(_sized(table.select(F.col("v").alias(f"__v{i}"), F.col("logs").alias(f"__l{i}"))), f"__v{i}", "left")
+            out = out.withColumn(f"__v{i}", as_text(df, f)).join(
+                _sized(table.select(F.col("v").alias(f"__v{i}"), F.col("logs").alias(f"__l{i}"))), f"__v{i}", "left",
+            )
             found.append((F.col(f"__v{i}"), F.col(f"__l{i}"), unseen))
         logs = []
         for k in range(len(self.classes)):
@@ -246,7 +270,10 @@ class NaiveBayes:
         spread = F.aggregate("__s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("__b")["s"]))
         names = F.array(*[F.lit(k) for k in self.classes])
         scored = out.withColumn("__b", best)
-        return scored.select(*[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$B-{self.target}"), round_to(1 / spread).alias(f"$BC-{self.target}"))
+        return scored.select(
+            *[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$B-{self.target}"),
+            round_to(1 / spread).alias(f"$BC-{self.target}"),
+        )
 
 
 def knn(train: DataFrame, df: DataFrame, target: str, inputs: list[str], key: str, k: int = 5, block: int = 4000) -> DataFrame:
@@ -285,9 +312,14 @@ def knn(train: DataFrame, df: DataFrame, target: str, inputs: list[str], key: st
                     best = own[order := np.lexsort((ids[own], d))[:k]]
                     out["q"].append(int(q.column("id")[at + i].as_py()))
                     out["near"].append([{"d": float(e), "key": int(ids[j]), "label": labels[j]} for e, j in zip(d[order], best, strict=True)])
-        return pa.table(out, schema=pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("label", pa.string())])))]))
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(nearest, "q bigint, near array<struct<d:double,key:bigint,label:string>>")
+        return pa.table(
+            out,
+            schema=pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("label", pa.string())])))]),
+        )
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
+        nearest, "q bigint, near array<struct<d:double,key:bigint,label:string>>",
+    )
     # At most k rows from each block of training rows.
     near = found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("__near"))
     out = asked.join(near.withColumnRenamed("q", "__q"), "__q", "left")
@@ -298,14 +330,18 @@ def knn(train: DataFrame, df: DataFrame, target: str, inputs: list[str], key: st
     vote = lambda v: F.size(F.filter("__near", lambda r: r["label"] == v["label"]))
     ranked = F.transform("__near", lambda v, i: F.struct(vote(v).alias("n"), (-i).alias("i"), v["label"].alias("label")))
     out = out.withColumn("__v", F.array_max(ranked))
-    return out.select(*columns, F.col("__v")["label"].alias(f"$KNN-{target}"), round_to(F.col("__v")["n"] / F.size("__near")).alias(f"$KNNC-{target}"))
+    return out.select(
+        *columns, F.col("__v")["label"].alias(f"$KNN-{target}"), round_to(F.col("__v")["n"] / F.size("__near")).alias(f"$KNNC-{target}"),
+    )
 
 
 def assign(df: DataFrame, vector: Column, centres: list[list[float]], prefix: str = "KM") -> DataFrame:
     """The nearest centre (ties: the first) as ``cluster-k`` and the distance."""
     d = [F.sqrt(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)) for c in centres]
     best = F.array_min(F.array(*[F.struct(x.alias("d"), F.lit(i + 1).alias("k")) for i, x in enumerate(d)]))
-    return df.withColumn("__b", best).withColumn(f"${prefix}-K-Means", F.concat(F.lit("cluster-"), F.col("__b")["k"])).withColumn(f"${prefix}D-K-Means", F.col("__b")["d"]).drop("__b")
+    return df.withColumn("__b", best).withColumn(
+        f"${prefix}-K-Means", F.concat(F.lit("cluster-"), F.col("__b")["k"]),
+    ).withColumn(f"${prefix}D-K-Means", F.col("__b")["d"]).drop("__b")
 
 
 def kmeans_centres(df: DataFrame, vector: Column, k: int, seed: int = 1, iterations: int = 50) -> list[list[float]]:
@@ -334,10 +370,15 @@ def single_cluster(df: DataFrame, features: dict[str, Column], percent: float =
     out = df.withColumn("$KMD-K-Means", d)
     p = min(50.0, max(0.1, percent))
     mean, cut = out.agg(F.avg("`$KMD-K-Means`")).first()[0], (record.quantile(out, "$KMD-K-Means", 1 - p / 100) or [None])[0]
-    return out.withColumn("$KMI-K-Means", F.col("`$KMD-K-Means`") / (mean or 1.0)).withColumn("$KMA-K-Means", F.when(F.col("`$KMD-K-Means`") > cut, "anomaly").otherwise("normal"))
+    return out.withColumn("$KMI-K-Means", F.col("`$KMD-K-Means`") / (mean or 1.0)).withColumn(
+        "$KMA-K-Means", F.when(F.col("`$KMD-K-Means`") > cut, "anomaly").otherwise("normal"),
+    )
 
 
-def anomaly(train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1, centres: list[list[float]] | None = None) -> DataFrame:
+def anomaly(
+    train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1,
+    centres: list[list[float]] | None = None,
+) -> DataFrame:
     """Peer groups by k-means of ``train``, or about given ``centres``; index = distance by its group's mean; the field behind most of an anomaly's distance."""
     features = encode(train, inputs)
     vector = F.array(*features.values())
@@ -352,12 +393,20 @@ def anomaly(train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3,
     out = indexed(index_of(assign(df, vector, centres, "O")))
     fields = list(dict.fromkeys(n.split("=")[0] for n in features))
     middle = F.get(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.substring("__k", 9, 9).cast("int") - 1)
-    share = [F.struct(sum(((c - F.get(middle, F.lit(i))) ** 2 for i, (n, c) in enumerate(features.items()) if n.split("=")[0] == f), F.lit(0.0)).alias("s"), F.lit(f).alias("f")) for f in fields]
+    share = [F.struct(
+        sum(((c - F.get(middle, F.lit(i))) ** 2 for i, (n, c) in enumerate(features.items()) if n.split("=")[0] == f), F.lit(0.0)).alias("s"),
+        F.lit(f).alias("f"),
+    ) for f in fields]
     flag = F.col("`$OA-Anomaly`") > cut
-    return out.withColumn("$O-Anomaly", F.when(flag, "anomaly").otherwise("normal")).withColumn("$OP-Anomaly", F.regexp_replace("__k", "cluster", "peer")).withColumn("$OR-Anomaly", F.when(flag, F.array_max(F.array(*share))["f"])).drop("__k", "$OD-K-Means")
+    return out.withColumn("$O-Anomaly", F.when(flag, "anomaly").otherwise("normal")).withColumn("$OP-Anomaly", F.regexp_replace("__k", "cluster", "peer")).withColumn(
+        "$OR-Anomaly", F.when(flag, F.array_max(F.array(*share))["f"]),
+    ).drop("__k", "$OD-K-Means")
 
 
-def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919, full: int = 2000, of: DataFrame | None = None) -> DataFrame:
+def silhouette(
+    df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919, full: int = 2000,
+    of: DataFrame | None = None,
+) -> DataFrame:
     """Euclidean silhouettes against all rows: of every record up to ``full`` rows, above that of ``sample`` records (those with the smallest seeded hash).
 
     With ``of``, rows of ``df`` themselves, of those records instead, in blocks.
@@ -368,7 +417,10 @@ def silhouette(df: DataFrame, vector: Column, cluster: str, key: str, sample: in
     if of is not None:
         blocks = max(1, -(-of.count() // full))
         own = [of.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
-        parts = [_silhouette(df, vector, cluster, key, x.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x")).collect()) for x in own]
+        parts = [_silhouette(
+            df, vector, cluster, key,
+            x.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x")).collect(),
+        ) for x in own]
         out = parts[0]
         for x in parts[1:]:
             out = out.union(x)
@@ -397,13 +449,21 @@ def _silhouette(df: DataFrame, vector: Column, cluster: str, key: str, chosen: l
                 own[0] += d[:, names == c].sum(axis=1)
                 own[1] += int((names == c).sum())
         for c, (s, n) in total.items():
-            yield pa.RecordBatch.from_pydict({"key": keys, "other": [c] * len(keys), "s": s.tolist(), "n": [n] * len(keys)}, schema=pa.schema([("key", pa.int64()), ("other", pa.string()), ("s", pa.float64()), ("n", pa.int64())]))
-
-    sums = rows.mapInArrow(add, "key bigint, other string, s double, n bigint").groupBy("key", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_pydict(
+                {"key": keys, "other": [c] * len(keys), "s": s.tolist(), "n": [n] * len(keys)},
+                schema=pa.schema([("key", pa.int64()), ("other", pa.string()), ("s", pa.float64()), ("n", pa.int64())]),
+            )
+
+    sums = rows.mapInArrow(
+        add, "key bigint, other string, s double, n bigint",
+    ).groupBy("key", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     own = df.sparkSession.createDataFrame([(r["key"], r["cluster"]) for r in chosen], "key bigint, cluster string")
     both = sums.join(F.broadcast(own), "key")
     same = F.col("other") == F.col("cluster")
-    per = both.groupBy("key", "cluster").agg(F.max(F.when(same, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))
+    per = both.groupBy("key", "cluster").agg(
+        F.max(F.when(same, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a"),
+        F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"),
+    )
     return per.select("key", "cluster", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
 
 
@@ -416,19 +476,30 @@ def best_splits(df: DataFrame, target: str, inputs: list[str], cuts: int = 256)
     One grouped count per (input, value, class); prefix sums run over ranges of distinct values.
     """
     t = as_text(df, target)
-    long = df.where(t.isNotNull()).select(t.alias("cls"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), known(df, f).cast("double").alias("v")) for f in inputs])).alias("x")).select("cls", "x.*").where("v is not null")
+    long = df.where(t.isNotNull()).select(
+        t.alias("cls"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), known(df, f).cast("double").alias("v")) for f in inputs])).alias("x"),
+    ).select("cls", "x.*").where("v is not null")
     counts = long.groupBy("field", "v", "cls").agg(F.count("*").alias("n"))
     classes = sorted(r["cls"] for r in counts.select("cls").distinct().collect())
     names = [f"c{i}" for i in range(len(classes))]
     wide = counts.groupBy("field", "v").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).cast("double").alias(n) for c, n in zip(classes, names, strict=True)])
     # Values are cut into ranges, so that no task sorts all values of a field; the ranges' sums give each its start.
     edges = wide.groupBy("field").agg(F.approx_percentile("v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(4 * cuts)).alias("edges"))
-    placed = kept(wide.join(F.broadcast(edges), "field").select("field", "v", *names, F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin")))
+    placed = kept(wide.join(F.broadcast(edges), "field").select(
+        "field", "v", *names, F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin"),
+    ))
     order, every = Window.partitionBy("field").orderBy("bin"), Window.partitionBy("field")  # as many rows as cuts
     bins = placed.groupBy("field", "bin").agg(F.min("v").alias("v"), *[F.sum(n).alias(n) for n in names])
-    bins = bins.select("field", "bin", F.lead("v").over(order).alias("next"), *[(F.sum(n).over(order) - F.col(n)).alias(f"b_{n}") for n in names], *[F.sum(n).over(every).alias(f"t_{n}") for n in names])
+    bins = bins.select(
+        "field", "bin", F.lead("v").over(order).alias("next"), *[(F.sum(n).over(order) - F.col(n)).alias(f"b_{n}") for n in names],
+        *[F.sum(n).over(every).alias(f"t_{n}") for n in names],
+    )
     w = Window.partitionBy("field", "bin").orderBy("v")
-    sums = placed.join(F.broadcast(bins), ["field", "bin"]).select("field", "v", F.coalesce(F.lead("v").over(w), "next").alias("up"), *[(F.sum(n).over(w) + F.col(f"b_{n}")).alias(f"l_{n}") for n in names], *[f"t_{n}" for n in names])
+    sums = placed.join(F.broadcast(bins), ["field", "bin"]).select(
+        "field", "v", F.coalesce(F.lead("v").over(w), "next").alias("up"),
+        *[(F.sum(n).over(w) + F.col(f"b_{n}")).alias(f"l_{n}") for n in names], *[f"t_{n}" for n in names],
+    )
 
     def impurity(parts: list[Column]) -> Column:
         total = sum(parts[1:], parts[0])
@@ -439,17 +510,24 @@ def best_splits(df: DataFrame, target: str, inputs: list[str], cuts: int = 256)
     right = [a - b for a, b in zip(total, left, strict=True)]
     gain = impurity(total) - impurity(left) - impurity(right)
     found = sums.where("up is not null").select("field", ((F.col("v") + F.col("up")) / 2).alias("threshold"), gain.alias("gain"))
-    return found.groupBy("field").agg(F.max(F.struct(round_to(F.col("gain"), 6).alias("gain"), (-F.col("threshold")).alias("t"))).alias("b")).select("field", (-F.col("b")["t"]).alias("threshold"), F.col("b")["gain"].alias("gain"))
+    return found.groupBy("field").agg(F.max(F.struct(round_to(F.col("gain"), 6).alias("gain"), (-F.col("threshold")).alias("t"))).alias("b")).select(
+        "field", (-F.col("b")["t"]).alias("threshold"), F.col("b")["gain"].alias("gain"),
+    )
 
 
 def chi_square(df: DataFrame, field: str, target: str) -> DataFrame:
     """Pearson's chi-square of two text fields and its degrees of freedom, from one contingency count."""
-    c = df.groupBy(as_text(df, field).alias("a"), as_text(df, target).alias("b")).agg(F.count("*").alias("n")).where("a is not null and b is not null")
+    c = df.groupBy(
+        as_text(df, field).alias("a"), as_text(df, target).alias("b"),
+    ).agg(F.count("*").alias("n")).where("a is not null and b is not null")
     rows = c.groupBy("a").agg(F.sum("n").alias("na"))
     cols = c.groupBy("b").agg(F.sum("n").alias("nb"))
     total = c.agg(F.sum("n").alias("n")).first()["n"] or 1
     # chi2 = n * (sum n_ab^2 / (n_a n_b) - 1); empty cells add nothing.
-    share = c.join(rows, "a").join(cols, "b").agg(F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("s"), F.count_distinct("a").alias("ra"), F.count_distinct("b").alias("rb"))
+    share = c.join(rows, "a").join(cols, "b").agg(
+        F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))).alias("s"), F.count_distinct("a").alias("ra"),
+        F.count_distinct("b").alias("rb"),
+    )
     return share.select((total * (F.col("s") - 1)).alias("chi2"), ((F.col("ra") - 1) * (F.col("rb") - 1)).alias("df"))
 
 
@@ -487,7 +565,10 @@ class Chaid:
     text a code for each value, or with ``most`` for its commonest ones, and one for all others.
     """
 
-    def __init__(self, train: DataFrame, target: str, inputs: list[str], max_depth: int = 3, min_parent: int = 30, min_child: int = 10, alpha_split: float = 0.05, alpha_merge: float = 0.05, bins: int = 10, most: int | None = None):
+    def __init__(
+        self, train: DataFrame, target: str, inputs: list[str], max_depth: int = 3, min_parent: int = 30, min_child: int = 10,
+        alpha_split: float = 0.05, alpha_merge: float = 0.05, bins: int = 10, most: int | None = None,
+    ):
         train = train.select(*dict.fromkeys([target, *inputs])).persist()
         rows = _classes(train, target)
         self.target, self.inputs = target, inputs
@@ -508,7 +589,10 @@ class Chaid:
         frontier = [0]
         for depth in range(max_depth + 1):
             node = self._node([f"k{i}" for i in range(len(inputs))])
-            long = coded.withColumn("node", node).where(F.col("node").isin(frontier)).select("node", "__t", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"k{i}").alias("code")) for i in range(len(inputs))])).alias("x")).groupBy("node", "x.f", "x.code", "__t").count()
+            long = coded.withColumn("node", node).where(F.col("node").isin(frontier)).select(
+                "node", "__t",
+                F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"k{i}").alias("code")) for i in range(len(inputs))])).alias("x"),
+            ).groupBy("node", "x.f", "x.code", "__t").count()
             tables: dict[int, dict[int, dict[int, dict[str, int]]]] = {}
             for r in long.collect():
                 tables.setdefault(r["node"], {}).setdefault(r["f"], {}).setdefault(r["code"], {})[r["__t"]] = r["count"]
@@ -520,7 +604,10 @@ class Chaid:
                         self.nodes[k]["counts"][t] = self.nodes[k]["counts"].get(t, 0) + n
                 if depth == max_depth or sum(self.nodes[k]["counts"].values()) < min_parent or len(self.nodes[k]["counts"]) < 2:
                     continue
-                best = min(((*self._merge(t, self.ordered[inputs[f]], alpha_merge, min_child), f) for f, t in sorted(per.items())), key=lambda x: (x[0], -x[1], x[3]), default=None)
+                best = min(
+                    ((*self._merge(t, self.ordered[inputs[f]], alpha_merge, min_child), f) for f, t in sorted(per.items())),
+                    key=lambda x: (x[0], -x[1], x[3]), default=None,
+                )
                 if best and best[0] < alpha_split and len(best[2]) > 1:
                     self.nodes[k]["split"] = best[3]
                     for group in best[2]:
@@ -561,7 +648,9 @@ class Chaid:
         join = lambda a, b: (a[0] + b[0], {t: a[1].get(t, 0) + b[1].get(t, 0) for t in {*a[1], *b[1]}})
 
         def pairs() -> list[tuple[float, int, int]]:
-            return [(self._table([groups[i][1], groups[j][1]])[1], i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)) if not ordered or j == i + 1]
+            return [(
+                self._table([groups[i][1], groups[j][1]])[1], i, j,
+            ) for i in range(len(groups)) for j in range(i + 1, len(groups)) if not ordered or j == i + 1]
 
         start = len(groups)
         while len(groups) > 1:
@@ -599,7 +688,9 @@ class Chaid:
         top = [max(sorted(n["counts"]), key=n["counts"].get) if n["counts"] else None for n in self.nodes]
         share = [n["counts"][t] / sum(n["counts"].values()) if t is not None else 0.0 for n, t in zip(self.nodes, top, strict=True)]
         out = df.select("*", *[c.alias(n) for n, c in zip(names, self._codes(df), strict=True)]).withColumn("__n", self._node(names))
-        return out.withColumn(f"$CH-{self.target}", F.get(F.array(*[F.lit(x) for x in top]), "__n")).withColumn(f"$CHC-{self.target}", round_to(F.get(F.array(*[F.lit(x) for x in share]), "__n"))).drop("__n", *names)
+        return out.withColumn(f"$CH-{self.target}", F.get(F.array(*[F.lit(x) for x in top]), "__n")).withColumn(
+            f"$CHC-{self.target}", round_to(F.get(F.array(*[F.lit(x) for x in share]), "__n")),
+        ).drop("__n", *names)
 
 
 def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -610,15 +701,23 @@ def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
 
 def flag_baskets(df: DataFrame, flags: list[str], key: str) -> DataFrame:
     """Baskets from fields that say T, true, yes, y or 1; rows with none count as empty baskets."""
-    return df.select(as_text(df, key).alias("basket"), F.array_compact(F.array(*[F.when(F.lower(as_text(df, f)).isin("t", "true", "y", "yes", "1"), f) for f in flags])).alias("items"))
+    return df.select(
+        as_text(df, key).alias("basket"),
+        F.array_compact(F.array(*[F.when(F.lower(as_text(df, f)).isin("t", "true", "y", "yes", "1"), f) for f in flags])).alias("items"),
+    )
 
 
 def value_baskets(df: DataFrame, fields: list[str], key: str) -> DataFrame:
     """Baskets of ``field = value`` items, one for each row; missing values are no items."""
-    return df.select(as_text(df, key).alias("basket"), F.array_compact(F.array(*[F.concat(F.lit(f"{f} = "), as_text(df, f)) for f in fields])).alias("items"))
+    return df.select(
+        as_text(df, key).alias("basket"),
+        F.array_compact(F.array(*[F.concat(F.lit(f"{f} = "), as_text(df, f)) for f in fields])).alias("items"),
+    )
 
 
-def apriori(sets: DataFrame, min_support: float = 10, min_confidence: float = 50, max_antecedents: int = 3, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def apriori(
+    sets: DataFrame, min_support: float = 10, min_confidence: float = 50, max_antecedents: int = 3, most: int = 200_000,
+) -> tuple[DataFrame, DataFrame]:
     """Frequent item sets, and rules with one consequent: supports, confidence and lift.
 
     Level by level: each basket's frequent sets grow by one item behind their
@@ -675,6 +774,10 @@ def recommend(sets: DataFrame, rules: DataFrame) -> DataFrame:
     Each rule is joined by one of its antecedent's items, so only baskets with that item meet it.
     """
     r = rules.select(F.col("Antecedent items").alias("ante"), "Antecedent", "Consequent", "Confidence", "Lift").withColumn("anchor", F.col("ante")[0])
-    met = sets.select("basket", "items", F.explode("items").alias("anchor")).join(r, "anchor").where((F.size(F.array_except("ante", "items")) == 0) & ~F.array_contains("items", F.col("Consequent")))
-    best = met.groupBy("basket", "Consequent").agg(F.max_by(F.struct("Antecedent", "Confidence", "Lift"), F.struct("Confidence", "Lift", "Antecedent")).alias("b"))
+    met = sets.select(
+        "basket", "items", F.explode("items").alias("anchor"),
+    ).join(r, "anchor").where((F.size(F.array_except("ante", "items")) == 0) & ~F.array_contains("items", F.col("Consequent")))
+    best = met.groupBy("basket", "Consequent").agg(F.max_by(
+        F.struct("Antecedent", "Confidence", "Lift"), F.struct("Confidence", "Lift", "Antecedent"),
+    ).alias("b"))
     return best.select(F.col("basket").alias("Basket"), F.col("Consequent").alias("Recommendation"), "b.*")

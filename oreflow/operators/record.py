@@ -46,7 +46,9 @@ def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], c
     """
     value = known(df, field).cast("double")
     names = [f"k{i}" for i in range(len(keys))]
-    base = df.where(value.isNotNull()).select(F.struct(F.lit(0).alias("one"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).alias("g"), value.alias("v"))
+    base = df.where(value.isNotNull()).select(
+        F.struct(F.lit(0).alias("one"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).alias("g"), value.alias("v"),
+    )
     counts = base.groupBy("g", "v").agg(F.count("*").alias("n"))
     edges = F.approx_percentile("v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(4 * cuts))
     groups = counts.groupBy("g").agg(F.sum("n").alias("total"), edges.alias("edges"))
@@ -162,7 +164,10 @@ def merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
         key = F.coalesce(key, F.col("__raw")) if same else F.coalesce(F.col("__lk"), F.col("__rk"))
     out = joined.select(*[key.alias(c) if c == left_key else F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{n}`") for n in names.values()])
     if how in ("left", "full"):
-        out = out.unionByName(left.where(lk.isNull()).withColumn(left_key, F.col(f"`{left_key}`").cast(out.schema[left_key].dataType)), allowMissingColumns=True)
+        out = out.unionByName(
+            left.where(lk.isNull()).withColumn(left_key, F.col(f"`{left_key}`").cast(out.schema[left_key].dataType)),
+            allowMissingColumns=True,
+        )
     if how in ("right", "full"):
         alone = r.where("__rk is null").withColumn(left_key, F.col("__raw").cast(out.schema[left_key].dataType)).drop("__rk", "__raw")
         out = out.unionByName(alone, allowMissingColumns=True)
@@ -209,4 +214,6 @@ def value_counts(df: DataFrame, field: str) -> DataFrame:
 def mode(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
     """The commonest value; of equally common ones that which comes first in the order of ``keys``."""
     c = known(df, field)
-    return df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first")).orderBy(F.desc("n"), "first").limit(1).select("value", "n")
+    return df.where(c.isNotNull()).groupBy(c.alias("value")).agg(
+        F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first"),
+    ).orderBy(F.desc("n"), "first").limit(1).select("value", "n")

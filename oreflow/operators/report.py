@@ -29,10 +29,16 @@ def audit(df: DataFrame) -> DataFrame:
         v = known(df, c)
         num = v.cast("double") if c in numbers else F.lit(None).cast("double")
         sd = F.when(F.count(num) == 1, 0.0).otherwise(F.stddev_samp(num))
-        out.append(F.struct(F.lit(c).alias("field"), F.lit("number" if c in numbers else "string").alias("kind"), F.min(num).alias("min"), F.max(num).alias("max"), F.avg(num).alias("mean"), sd.alias("sdev"), F.count(v).alias("valid"), (F.count(F.lit(1)) - F.count(v)).alias("missing")))
+        out.append(F.struct(
+            F.lit(c).alias("field"), F.lit("number" if c in numbers else "string").alias("kind"), F.min(num).alias("min"),
+            F.max(num).alias("max"), F.avg(num).alias("mean"), sd.alias("sdev"), F.count(v).alias("valid"),
+            (F.count(F.lit(1)) - F.count(v)).alias("missing"),
+        ))
     rows = df.agg(F.array(*out).alias("rows")).select(F.inline("rows"))
     first = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
-    values = _value_counts(df).groupBy("field").agg(F.count("*").alias("distinct"), F.when(~F.col("field").isin(numbers) if numbers else F.lit(True), first).alias("top"))
+    values = _value_counts(df).groupBy("field").agg(
+        F.count("*").alias("distinct"), F.when(~F.col("field").isin(numbers) if numbers else F.lit(True), first).alias("top"),
+    )
     joined = rows.join(F.broadcast(values), "field", "left")  # a row for each field
     return joined.select("field", "kind", "min", "max", "mean", "sdev", F.coalesce("distinct", F.lit(0)).alias("distinct"), "valid", "missing", "top")
 
@@ -109,7 +115,10 @@ def shares(found: DataFrame, df: DataFrame, field: str) -> DataFrame:
 def plot(df: DataFrame, x: str, y: str, keys: list[str], colour: str | None = None, most: int = 3000) -> DataFrame:
     """The first points with both numbers, in the order of ``keys``."""
     ok = known(df, x).isNotNull() & known(df, y).isNotNull()
-    return df.where(ok).orderBy(*keys).limit(most).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *([F.coalesce(as_text(df, colour), F.lit("$null$")).alias("colour")] if colour else []))
+    return df.where(ok).orderBy(*keys).limit(most).select(
+        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+        *([F.coalesce(as_text(df, colour), F.lit("$null$")).alias("colour")] if colour else []),
+    )
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, part: str | None = None) -> DataFrame:
@@ -122,11 +131,20 @@ def confusion(df: DataFrame, actual: str, predicted: str, part: str | None = Non
 def class_metrics(df: DataFrame, actual: str, predicted: str, part: str | None = None) -> DataFrame:
     """Precision and recall of every class (NULL without such rows) and the accuracy of its part."""
     c = confusion(df, actual, predicted, part)
-    both = c.select("part", F.col("actual").alias("class"), "n", (F.col("actual") == F.col("predicted")).alias("hit"), F.lit(True).alias("is_actual")).union(c.select("part", "predicted", "n", F.col("actual") == F.col("predicted"), F.lit(False)))
+    both = c.select(
+        "part", F.col("actual").alias("class"), "n", (F.col("actual") == F.col("predicted")).alias("hit"), F.lit(True).alias("is_actual"),
+    ).union(c.select("part", "predicted", "n", F.col("actual") == F.col("predicted"), F.lit(False)))
     count = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
-    per = both.groupBy("part", "class").agg(count(F.col("hit") & F.col("is_actual")).alias("hits"), count(F.col("is_actual")).alias("actual"), count(~F.col("is_actual")).alias("predicted"))
+    per = both.groupBy("part", "class").agg(
+        count(F.col("hit") & F.col("is_actual")).alias("hits"), count(F.col("is_actual")).alias("actual"),
+        count(~F.col("is_actual")).alias("predicted"),
+    )
     w = Window.partitionBy("part")  # as many rows as classes
-    return per.select("part", "class", (F.col("hits") / F.nullif(F.col("predicted"), F.lit(0))).alias("precision"), (F.col("hits") / F.nullif(F.col("actual"), F.lit(0))).alias("recall"), (F.sum("hits").over(w) / F.sum("actual").over(w)).alias("accuracy"))
+    return per.select(
+        "part", "class", (F.col("hits") / F.nullif(F.col("predicted"), F.lit(0))).alias("precision"),
+        (F.col("hits") / F.nullif(F.col("actual"), F.lit(0))).alias("recall"),
+        (F.sum("hits").over(w) / F.sum("actual").over(w)).alias("accuracy"),
+    )
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str, part: str | None = None) -> DataFrame:
@@ -135,4 +153,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, part: str | N
     e = y - p
     rows = df.where(y.isNotNull() & p.isNotNull())
     sst = F.var_pop(y) * F.count(y)
-    return rows.groupBy((F.col(part) if part else F.lit("All records")).alias("part")).agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.when(sst == 0, 0.0).otherwise(1 - F.sum(e * e) / sst).alias("r2"), F.avg(e).alias("bias"))
+    return rows.groupBy((F.col(part) if part else F.lit("All records")).alias("part")).agg(
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.when(sst == 0, 0.0).otherwise(1 - F.sum(e * e) / sst).alias("r2"), F.avg(e).alias("bias"),
+    )

@@ -73,7 +73,9 @@ def load(spark: SparkSession, path: str) -> Any:
         e = state["encoder"]
         encoder = models.Encoder({f: (m, s) for f, (m, s) in e["numbers"].items()}, e["texts"], e["order"])
     if kind == "Supervised":
-        return models.Supervised(state["prefix"], state["target"], encoder, PipelineModel.load(f"{path}/model"), state["classes"], state["confidence"])
+        return models.Supervised(
+            state["prefix"], state["target"], encoder, PipelineModel.load(f"{path}/model"), state["classes"], state["confidence"],
+        )
     if kind == "Svm":
         return models.Svm(state["target"], encoder, state["classes"], [(w, b) for w, b in state["planes"]])
     cls = {"NaiveBayes": models.NaiveBayes, "Chaid": models.Chaid}[kind]

@@ -50,7 +50,10 @@ def _r(df: DataFrame, *names: str) -> DataFrame:
 @query(f"""SELECT l_returnflag, l_linestatus, {r4('sum(revenue)')} AS revenue_Sum, {r4('avg(revenue)')} AS revenue_Mean, {r4('min(revenue)')} AS revenue_Min, {r4('max(revenue)')} AS revenue_Max, {r4('stddev_samp(revenue)')} AS revenue_SDev, count(*) AS Record_Count
 FROM (SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem WHERE l_quantity <= 45) GROUP BY ALL""")
 def pricing_summary(t):
-    rows = field.derive(record.select(t("lineitem"), record.condition(t("lineitem"), "l_quantity", "<=", "45")), "revenue", "l_extendedprice * (1 - l_discount)")
+    rows = field.derive(
+        record.select(t("lineitem"), record.condition(t("lineitem"), "l_quantity", "<=", "45")), "revenue",
+        "l_extendedprice * (1 - l_discount)",
+    )
     out = record.aggregate(rows, ["l_returnflag", "l_linestatus"], ["revenue"], ["Sum", "Mean", "Min", "Max", "SDev"])
     return _r(record.sort(out, "l_returnflag", keys=["l_linestatus"]), *[f"revenue_{f}" for f in ("Sum", "Mean", "Min", "Max", "SDev")])
 
@@ -121,7 +124,10 @@ EXPRESSIONS = {
     "missing_below": (lambda v: v["quality"] < 1, f"CASE WHEN {_Q} < 1 THEN 'T' ELSE 'F' END"),
     "missing_equals": (lambda v: v["quality"] == 0, "CASE WHEN quality = 0 THEN 'T' ELSE 'F' END"),
     "plus_text": (lambda v: v["lang"] + "-" + v["quality"], "coalesce(lang, 'null') || '-' || coalesce(quality::VARCHAR, 'null')"),
-    "and_or": (lambda v: (v["quality"] & (v["n_chars"] > 500)) | v["toxic"], f"CASE WHEN ({_Q} <> 0 AND n_chars > 500) OR coalesce(toxic, 0) <> 0 THEN 'T' ELSE 'F' END"),
+    "and_or": (
+        lambda v: (v["quality"] & (v["n_chars"] > 500)) | v["toxic"],
+        f"CASE WHEN ({_Q} <> 0 AND n_chars > 500) OR coalesce(toxic, 0) <> 0 THEN 'T' ELSE 'F' END",
+    ),
     "choose": (lambda v: X.choose(v["quality"] == None, "none", v["quality"] * 2), "CASE WHEN quality IS NULL THEN 'none' ELSE (quality * 2)::VARCHAR END"),  # noqa: E711
     "divide_by_zero": (lambda v: v["n_chars"] / v["quality"], "CASE WHEN quality <> 0 THEN n_chars / quality::DOUBLE END"),
     "remainder": (lambda v: (v["quality"] - v["n_chars"]) % 7 + 0, f"({_Q} - n_chars) - 7 * trunc(({_Q} - n_chars) / 7) + 0"),
@@ -169,7 +175,9 @@ def filter_drop_rename(t):
 
 @query("SELECT p_partkey, p_size + 0.5 AS price FROM part")
 def type_to_number(t):
-    rows = t("part").select("p_partkey", F.concat(F.lit("$1"), F.lit(","), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".50 ")).alias("price"))
+    rows = t("part").select(
+        "p_partkey", F.concat(F.lit("$1"), F.lit(","), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".50 ")).alias("price"),
+    )
     return field.retype(rows, {"price": "number"}).select("p_partkey", (F.col("price") - 1000).alias("price"))
 
 
@@ -182,7 +190,10 @@ _HOLES = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_tota
 
 
 def _holes(t):
-    return t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("priority"))
+    return t("orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("price"),
+        F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("priority"),
+    )
 
 
 @query(f"SELECT o_orderkey, coalesce(price, (SELECT {r4('avg(price)')} FROM {_HOLES})) AS price FROM {_HOLES}")
@@ -229,7 +240,10 @@ def clean_text_upper(t):
 
 @query("SELECT o_orderkey, array_to_string(list_transform(string_split(replace(replace(lower(o_orderpriority), '-', ' - '), '  ', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS s FROM orders")
 def clean_text_title(t):
-    rows = t("orders").select("o_orderkey", F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), F.upper("o_orderpriority")), "-", "  -  "), " {3,}", "  ").alias("s"))
+    rows = t("orders").select(
+        "o_orderkey",
+        F.regexp_replace(F.regexp_replace(F.concat(F.lit(" "), F.upper("o_orderpriority")), "-", "  -  "), " {3,}", "  ").alias("s"),
+    )
     return field.clean_text(rows, ["s"])
 
 
@@ -312,7 +326,9 @@ for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT J
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
 
     def _whole(t, how=_how):
-        return record.merge(t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_mktsegment"), "o_custkey", "c_custkey", how)
+        return record.merge(
+            t("orders").select("o_orderkey", "o_custkey"), t("customer").select("c_custkey", "c_mktsegment"), "o_custkey", "c_custkey", how,
+        )
 
     # Sizes go from 1 to 50 and nations from 0 to 24, so either side has rows without a partner.
     def _unmatched(t, how=_how):
@@ -427,7 +443,10 @@ _GUESS = "(SELECT l_returnflag AS actual, CASE WHEN l_quantity > 34 THEN 'A' WHE
 
 
 def _guess(t):
-    return t("lineitem").select(F.col("l_returnflag").alias("actual"), F.when(F.col("l_quantity") > 34, "A").when(F.col("l_quantity") > 17, "N").otherwise("R").alias("predicted"))
+    return t("lineitem").select(
+        F.col("l_returnflag").alias("actual"),
+        F.when(F.col("l_quantity") > 34, "A").when(F.col("l_quantity") > 17, "N").otherwise("R").alias("predicted"),
+    )
 
 
 @query(f"SELECT 'All records' AS part, actual, predicted, count(*) AS n FROM {_GUESS} GROUP BY ALL")
@@ -442,7 +461,10 @@ def analysis_classes(t):
 
 @query(f"SELECT 'All records' AS part, {r4('avg(abs(y - p))')} AS mae, {r4('sqrt(avg((y - p) * (y - p)))')} AS rmse, {r4('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS r2, {r4('avg(y - p)')} AS bias FROM (SELECT l_extendedprice AS y, 1500 * l_quantity AS p FROM lineitem)")
 def analysis_regression(t):
-    return _r(report.regression_metrics(t("lineitem").select(F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("p")), "y", "p"), "mae", "rmse", "r2", "bias")
+    return _r(
+        report.regression_metrics(t("lineitem").select(F.col("l_extendedprice").alias("y"), (1500 * F.col("l_quantity")).alias("p")), "y", "p"),
+        "mae", "rmse", "r2", "bias",
+    )
 
 
 # -- models ---------------------------------------------------------------------------------
@@ -485,7 +507,9 @@ def kmeans_assign(t):
 @query()
 def kmeans_multi(t):
     e = t("embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
-    return models.assign(e, F.col("x"), models.kmeans_centres(e, F.col("x"), 10)).select("vec_id", F.col("`$KM-K-Means`").alias("cluster"), F.col("`$KMD-K-Means`").alias("distance"))
+    return models.assign(e, F.col("x"), models.kmeans_centres(e, F.col("x"), 10)).select(
+        "vec_id", F.col("`$KM-K-Means`").alias("cluster"), F.col("`$KMD-K-Means`").alias("distance"),
+    )
 
 
 _PAIRS = "(SELECT a.vec_id, a.label AS own, b.label AS other, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
@@ -510,7 +534,9 @@ z AS (SELECT vec_id, label, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / s
 p AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d), t.vec_id) AS k FROM z q, z t WHERE q.vec_id % 20 = 0)
 SELECT vec_id, floor(avg(label) * 10000.0 + 0.5) / 10000.0 AS predicted FROM p WHERE k <= 5 GROUP BY vec_id""")
 def knn_predict(t):
-    e = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
+    e = t("embeddings").select(
+        "vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)],
+    )
     out = models.knn(e, e.where("vec_id % 20 = 0"), "label", [f"e{i}" for i in range(4)], "vec_id")
     return out.select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
 
@@ -519,7 +545,10 @@ def knn_predict(t):
 def knn_predict_whole(t):
     """Every row as a query, on all 64 dimensions."""
     names = [f"e{i}" for i in range(64)]
-    e = t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    e = t("embeddings").select(
+        "vec_id", F.col("label").cast("double").alias("label"),
+        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
+    )
     return models.knn(e, e, "label", names, "vec_id").select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
 
 
@@ -539,9 +568,14 @@ def chaid_chi_square(t):
 def _scored(t, fit, prefix):
     rows = field.partition(t("customer"), ["c_custkey"])
     rows = field.derive(rows, "rich", "c_acctbal > 4500")
-    rows = rows.join(t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("orders")), "c_custkey", "left")
+    rows = rows.join(
+        t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"), F.count("*").alias("orders")),
+        "c_custkey", "left",
+    )
     m = fit(rows.where("Partition = '1_Training'"), "rich", ["spent", "orders", "c_nationkey", "c_mktsegment", "c_acctbal"])
-    return m.transform(rows).select("c_custkey", "Partition", "rich", F.col(f"`${prefix}-rich`").alias("predicted"), F.col(f"`${prefix}C-rich`").alias("confidence"))
+    return m.transform(rows).select(
+        "c_custkey", "Partition", "rich", F.col(f"`${prefix}-rich`").alias("predicted"), F.col(f"`${prefix}C-rich`").alias("confidence"),
+    )
 
 
 @query()
@@ -573,7 +607,10 @@ def logistic_predict(t):
 def anomaly_score(t):
     c = t("customer")
     out = models.anomaly(c, c, ["c_acctbal", "c_mktsegment"])
-    return out.select("c_custkey", F.col("`$O-Anomaly`").alias("flag"), F.col("`$OA-Anomaly`").alias("idx"), F.col("`$OP-Anomaly`").alias("peer"), F.col("`$OR-Anomaly`").alias("reason"))
+    return out.select(
+        "c_custkey", F.col("`$O-Anomaly`").alias("flag"), F.col("`$OA-Anomaly`").alias("idx"), F.col("`$OP-Anomaly`").alias("peer"),
+        F.col("`$OR-Anomaly`").alias("reason"),
+    )
 
 
 _GIVEN = "(SELECT c_custkey, (c_acctbal - 4500.0) / 3000.0 AS x, (c_mktsegment = 'BUILDING')::INT AS y FROM customer)"
@@ -594,7 +631,10 @@ i AS (SELECT c_custkey, d.k, d / m AS idx FROM d JOIN g ON d.k = g.k), q AS (SEL
 SELECT c_custkey, {r4('idx')} AS idx, 'peer-' || k AS peer, CASE WHEN idx > q THEN 'anomaly' ELSE 'normal' END AS flag, CASE WHEN idx > q THEN 'c_acctbal' END AS reason FROM i, q""")
 def anomaly_given_centres(t):
     out = models.anomaly(t("customer"), t("customer"), ["c_acctbal"], centres=[[-1.0], [1.0]])
-    return out.select("c_custkey", round_to(F.col("`$OA-Anomaly`")).alias("idx"), F.col("`$OP-Anomaly`").alias("peer"), F.col("`$O-Anomaly`").alias("flag"), F.col("`$OR-Anomaly`").alias("reason"))
+    return out.select(
+        "c_custkey", round_to(F.col("`$OA-Anomaly`")).alias("idx"), F.col("`$OP-Anomaly`").alias("peer"),
+        F.col("`$O-Anomaly`").alias("flag"), F.col("`$OR-Anomaly`").alias("reason"),
+    )
 
 
 _BASKETS = "(SELECT DISTINCT o_custkey AS basket, o_orderpriority AS item FROM orders)"
@@ -614,7 +654,13 @@ def apriori_itemsets(t):
 SELECT a AS antecedent, c AS consequent, {r4('p.n / sa.n')} AS confidence, {r4('p.n / sa.n / (sc.n / t)')} AS lift, p.n::BIGINT AS transactions FROM p JOIN s sa ON sa.item = a JOIN s sc ON sc.item = c, t WHERE p.n >= ceil(0.1 * t) AND p.n / sa.n >= 0.5""")
 def apriori_rules(t):
     _, rules = models.apriori(_sets(t), 10, 50, max_antecedents=1)
-    return _r(rules.select(F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"), F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions")), "confidence", "lift")
+    return _r(
+        rules.select(
+            F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"),
+            F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions"),
+        ),
+        "confidence", "lift",
+    )
 
 
 @query()
@@ -626,7 +672,13 @@ def apriori_itemsets_whole(t):
 @query()
 def apriori_rules_whole(t):
     _, rules = models.apriori(_sets(t), 10, 50)
-    return _r(rules.select(F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"), F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions")), "confidence", "lift")
+    return _r(
+        rules.select(
+            F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"),
+            F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions"),
+        ),
+        "confidence", "lift",
+    )
 
 
 @query(f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b), s AS (SELECT item, count(*)::DOUBLE AS n FROM b GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*)::DOUBLE AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL),
@@ -637,7 +689,10 @@ def apriori_recommend_pairs(t):
     """Recommendations of the rules with one antecedent."""
     sets = _sets(t)
     out = models.recommend(sets, models.apriori(sets, 10, 50, max_antecedents=1)[1])
-    return _r(out.select(*[F.col(c).alias(c.lower()) for c in ("Basket", "Recommendation", "Antecedent", "Confidence", "Lift")]), "confidence", "lift")
+    return _r(
+        out.select(*[F.col(c).alias(c.lower()) for c in ("Basket", "Recommendation", "Antecedent", "Confidence", "Lift")]), "confidence",
+        "lift",
+    )
 
 
 @query()

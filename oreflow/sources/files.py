@@ -56,7 +56,10 @@ def _check_size(df: DataFrame, max_bytes: int) -> None:
         raise ValueError(f"The retained CSV exceeds {max_bytes / 1e6:g} MB. Keep fewer rows or columns.")
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None, mode: str = "first", seed: int = 1, order: list[str] | None = None, max_bytes: int | None = None) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, columns: list[str] | None = None, max_rows: int | None = None, mode: str = "first", seed: int = 1,
+    order: list[str] | None = None, max_bytes: int | None = None,
+) -> DataFrame:
     """A CSV file with a header; ``columns`` are pruned in the scan; ``mode`` ``sample`` is a reservoir in the order of ``order``."""
     line = spark.read.text(path).limit(1).first()
     if line is None:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from oreflow.functions.rng import uniform
 
-ITEMS = ("Bread", "Butter", "Milk", "Eggs", "Cheese", "Beer", "Chips", "Salsa", "Diapers", "Wipes", "Pasta", "Pasta Sauce", "Coffee", "Sugar", "Apples", "Bananas", "Yogurt", "Cereal")
+ITEMS = (
+    "Bread", "Butter", "Milk", "Eggs", "Cheese", "Beer", "Chips", "Salsa", "Diapers", "Wipes", "Pasta", "Pasta Sauce", "Coffee", "Sugar",
+    "Apples", "Bananas", "Yogurt", "Cereal",
+)
 
 
 def _pick(u: Column, values: list[str]) -> Column:
@@ -23,7 +26,11 @@ def flowers(spark: SparkSession, n: int = 150) -> DataFrame:
     i = F.col("id")
     k = (i % 3).cast("int")
     mean = lambda *m: F.get(F.array(*[F.lit(x) for x in m]), k)
-    return spark.range(n).select((mean(5.0, 5.9, 6.6) + _bell(11, i) * 0.35).alias("Sepal_Length"), (mean(3.4, 2.8, 3.0) + _bell(31, i) * 0.3).alias("Sepal_Width"), (mean(1.5, 4.3, 5.6) + _bell(51, i) * 0.3).alias("Petal_Length"), (mean(0.25, 1.3, 2.0) + _bell(71, i) * 0.15).alias("Petal_Width"), _pick(k / 3.0 + 0.01, ["setosa", "versicolor", "virginica"]).alias("Species"), i.alias("Row"))
+    return spark.range(n).select(
+        (mean(5.0, 5.9, 6.6) + _bell(11, i) * 0.35).alias("Sepal_Length"), (mean(3.4, 2.8, 3.0) + _bell(31, i) * 0.3).alias("Sepal_Width"),
+        (mean(1.5, 4.3, 5.6) + _bell(51, i) * 0.3).alias("Petal_Length"), (mean(0.25, 1.3, 2.0) + _bell(71, i) * 0.15).alias("Petal_Width"),
+        _pick(k / 3.0 + 0.01, ["setosa", "versicolor", "virginica"]).alias("Species"), i.alias("Row"),
+    )
 
 
 def customers(spark: SparkSession, n: int = 500, again: int = 12) -> DataFrame:
@@ -33,14 +40,22 @@ def customers(spark: SparkSession, n: int = 500, again: int = 12) -> DataFrame:
     u = lambda s: uniform(s, i)
     tenure = F.floor(u(5) * 72) + 1
     churn = u(9) < F.when(tenure < 12, 0.5).when(tenure < 36, 0.25).otherwise(0.1)
-    return rows.select((1001 + i).alias("CustomerID"), F.when(u(1) < 0.97, 18 + F.floor(u(2) * 60)).cast("double").alias("Age"), _pick(u(3), ["F", "M"]).alias("Gender"), _pick(u(4), ["North", "north ", "SOUTH", "East", "west"]).alias("Region"), tenure.cast("double").alias("Tenure"), F.when(u(6) < 0.94, F.round(20000 + u(7) * 90000, -2)).alias("Income"), _pick(u(8), ["Basic", "Plus", "Premium"]).alias("Plan"), F.when(churn, "Yes").otherwise("No").alias("Churn"))
+    return rows.select(
+        (1001 + i).alias("CustomerID"), F.when(u(1) < 0.97, 18 + F.floor(u(2) * 60)).cast("double").alias("Age"),
+        _pick(u(3), ["F", "M"]).alias("Gender"), _pick(u(4), ["North", "north ", "SOUTH", "East", "west"]).alias("Region"),
+        tenure.cast("double").alias("Tenure"), F.when(u(6) < 0.94, F.round(20000 + u(7) * 90000, -2)).alias("Income"),
+        _pick(u(8), ["Basic", "Plus", "Premium"]).alias("Plan"), F.when(churn, "Yes").otherwise("No").alias("Churn"),
+    )
 
 
 def usage(spark: SparkSession, n: int = 480, orphans: int = 8) -> DataFrame:
     """Of ``n`` customers, a twenty-fifth without an id, and of ``orphans`` that aren't customers."""
     i = F.col("id")
     customer = F.when(i >= n, 2001 + i - n).when(uniform(24, i) >= 0.04, 1001 + i)
-    return spark.range(n + orphans).select(customer.alias("CustomerID"), F.round(20 + uniform(21, i) * 100, 2).alias("MonthlyCharges"), F.floor(uniform(22, i) * 8).cast("double").alias("SupportCalls"), F.round(uniform(23, i) * 50, 1).alias("DataGB"))
+    return spark.range(n + orphans).select(
+        customer.alias("CustomerID"), F.round(20 + uniform(21, i) * 100, 2).alias("MonthlyCharges"),
+        F.floor(uniform(22, i) * 8).cast("double").alias("SupportCalls"), F.round(uniform(23, i) * 50, 1).alias("DataGB"),
+    )
 
 
 def housing(spark: SparkSession, n: int = 300) -> DataFrame:
@@ -48,7 +63,10 @@ def housing(spark: SparkSession, n: int = 300) -> DataFrame:
     area, beds, age = 600 + F.floor(uniform(41, i) * 2400), 1 + F.floor(uniform(42, i) * 5), F.floor(uniform(43, i) * 60)
     place = _pick(uniform(44, i), ["Downtown", "Rural", "Suburb"])
     price = 40000 + 110 * area + 9000 * beds - 700 * age + F.when(place == "Downtown", 60000).when(place == "Suburb", 25000).otherwise(0) + _bell(45, i) * 9000
-    return spark.range(n).select((i + 1).alias("HouseID"), place.alias("Neighborhood"), area.cast("double").alias("SqFt"), beds.cast("double").alias("Bedrooms"), age.cast("double").alias("AgeYears"), F.round(price).alias("Price"))
+    return spark.range(n).select(
+        (i + 1).alias("HouseID"), place.alias("Neighborhood"), area.cast("double").alias("SqFt"), beds.cast("double").alias("Bedrooms"),
+        age.cast("double").alias("AgeYears"), F.round(price).alias("Price"),
+    )
 
 
 def _holdings(spark: SparkSession, n: int) -> DataFrame:

@@ -66,6 +66,9 @@ def test_select_by_value(df):
 
 
 def test_number_text(spark):
-    cases = {5.0: "5", 1e20: "100000000000000000000", 1e21: "1e+21", 1.5e300: "1.5e+300", 1e-5: "0.00001", 1.25e-6: "0.00000125", 1e-7: "1e-7", -1.5e-7: "-1.5e-7", 0.001: "0.001", 12345678.5: "12345678.5", -0.00025: "-0.00025", 0.1: "0.1"}
+    cases = {
+        5.0: "5", 1e20: "100000000000000000000", 1e21: "1e+21", 1.5e300: "1.5e+300", 1e-5: "0.00001", 1.25e-6: "0.00000125", 1e-7: "1e-7",
+        -1.5e-7: "-1.5e-7", 0.001: "0.001", 12345678.5: "12345678.5", -0.00025: "-0.00025", 0.1: "0.1",
+    }
     rows = spark.createDataFrame([(k,) for k in cases], "x double").select(values.number_text(X.F.col("x"))).collect()
     assert [r[0] for r in rows] == list(cases.values())

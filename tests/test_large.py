@@ -50,7 +50,10 @@ def test_csv_keeps_every_row(spark, rows, tmp_path):
 @pytest.mark.parametrize("key", ["t", "d", "hot", "same"])
 def test_places_by_keys_of_any_type(spark, key):
     i = F.col("id")
-    df = spark.range(20_000).select(F.concat(F.lit("k"), i % 5000).alias("t"), F.timestamp_seconds(i % 7000).alias("d"), F.when(i % 3 == 0, 0).otherwise(i).alias("hot"), F.lit(1).alias("same"), F.when(i % 2 == 0, i).alias("v"))
+    df = spark.range(20_000).select(
+        F.concat(F.lit("k"), i % 5000).alias("t"), F.timestamp_seconds(i % 7000).alias("d"),
+        F.when(i % 3 == 0, 0).otherwise(i).alias("hot"), F.lit(1).alias("same"), F.when(i % 2 == 0, i).alias("v"),
+    )
     out = record.positions(df, [key])
     places = out.orderBy("__pos").collect()
     assert [r["__pos"] for r in places] == list(range(20_000))

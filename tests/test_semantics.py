@@ -36,7 +36,10 @@ def test_missing(spark):
 
 
 def test_text_to_number(spark):
-    cases = {"007": 7.0, "1e3": 1000.0, "NaN": None, "Infinity": None, "1d": None, "": None, "$": 0.0, "$1,234.50": 1234.5, "12%": 12.0, " 12 ": 12.0, "x": None}
+    cases = {
+        "007": 7.0, "1e3": 1000.0, "NaN": None, "Infinity": None, "1d": None, "": None, "$": 0.0, "$1,234.50": 1234.5, "12%": 12.0,
+        " 12 ": 12.0, "x": None,
+    }
     df = spark.createDataFrame([(k,) for k in cases], "s string")
     assert [r[0] for r in df.select(values.as_number(F.col("s"))).collect()] == list(cases.values())
     assert [r[0] for r in spark.createDataFrame([(5.0,), (1e7,), (2.5,)], "x double").select(values.number_text(F.col("x"))).collect()] == ["5", "10000000", "2.5"]
@@ -87,7 +90,10 @@ def test_classifiers_reach_the_reference_accuracy(spark):
     rows = field.partition(samples.sample_data(spark, "iris"), ["Row"], 70, 42).persist()
     train, test = rows.where("Partition = '1_Training'"), rows.where("Partition = '2_Testing'")
     inputs = ["Sepal_Length", "Sepal_Width", "Petal_Length", "Petal_Width"]
-    for fit, name in ((models.tree, "R"), (models.logistic, "L"), (models.ann, "ANN"), (lambda *a: models.svm(*a, cost=50), "SVM"), (models.NaiveBayes, "B"), (models.Chaid, "CH")):
+    for fit, name in (
+        (models.tree, "R"), (models.logistic, "L"), (models.ann, "ANN"), (lambda *a: models.svm(*a, cost=50), "SVM"),
+        (models.NaiveBayes, "B"), (models.Chaid, "CH"),
+    ):
         out = fit(train, "Species", inputs).transform(test)
         assert out.where(F.col(f"`${name}-Species`") == F.col("Species")).count() / test.count() > 0.85, name
     out = models.knn(train, test, "Species", inputs, "Row", block=40)
@@ -118,6 +124,9 @@ def test_stream(spark, tmp_path):
     src = f"{tmp_path}/in"
     spark.range(20).selectExpr("id", "cast(id % 3 as double) AS v").coalesce(2).write.parquet(src)
     s = scoring.read_folder(spark, src, spark.read.parquet(src).schema)
-    q = scoring.run(s, [lambda d: record.select(d, record.condition(d, "v", ">", "0")), lambda d: field.derive(d, "w", "v * 2")], f"{tmp_path}/out", f"{tmp_path}/ck")
+    q = scoring.run(
+        s, [lambda d: record.select(d, record.condition(d, "v", ">", "0")), lambda d: field.derive(d, "w", "v * 2")], f"{tmp_path}/out",
+        f"{tmp_path}/ck",
+    )
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 13
