@@ -13,10 +13,11 @@ A turn is written ``<|role|>\\n text <|end|>\\n`` with a sign inside any part of
 that could be read as a mark, and the role percent-encoded, so the turns can be
 read back exactly; a window row also holds the loss mask as spans of code points.
 
-Tokens are counted before the shuffle, wherever a turn happens to lie.  Rows of
-a conversation are then sorted in Spark's shuffle and pass through a task one
-at a time: a conversation of any length needs the memory of one window and its
-history.
+Tokens are counted before any shuffle, wherever a turn happens to lie.  The
+turns are dealt into ranges of (conversation, turn), and the sums of the ranges
+give each turn its place in tokens, so a conversation with a third of all rows
+is many tasks.  Spans of ``SPAN`` budgets, each with the turns before it that
+it may repeat and the system turn, are then cut into windows one by one.
 
 Null text is the empty text, a null role is an empty one, ties of turn are
 ordered by role and text, repeated rows are turns of their own, rows of a null
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,43 +73,40 @@ def read_turns(window: str) -> list[tuple[str, str, int, int]]:
     return [(unquote(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _TURN.finditer(window)]
 
 
-Turn = tuple[str, str, int]  # role, text, tokens of the written form
+#: Budgets of a span: the turns that are cut into windows together.
+SPAN = 16
+Turn = tuple[str, str, int, int]  # role, text, tokens of the written form, tokens before it
 
 
-class Conversation:
-    """The open window of one conversation, and the turns that a later one may repeat."""
+class Span:
+    """Cuts the turns of one span into windows, given the turns before it and the conversation's system turn."""
 
-    def __init__(self, conv: int | None, budget: int, history: int):
-        self.conv, self.budget, self.history = conv, budget, history
-        self.window = self.size = 0
-        self.system: Turn | None = None
-        self.past: list[Turn] = []
+    def __init__(self, conv: int | None, budget: int, history: int, system: Turn | None, past: list[Turn]):
+        self.conv, self.budget, self.history, self.system, self.past = conv, budget, history, system, past
+        self.size = 0
         self.repeated: list[Turn] = []
         self.own: list[Turn] = []
 
     def add(self, turn: Turn) -> tuple | None:
         """Takes a turn; the row of the window that it closes, if any."""
-        row = None
-        if self.own and self.size + turn[2] > self.budget:
-            row = self.close()
+        row = self.close() if self.own and self.size + turn[2] > self.budget else None
         if not self.own:
-            self._open(turn[2])
+            self._open(turn)
         if turn[0] == "system" and self.system is None:
             self.system = turn
         self.own.append(turn)
         self.size += turn[2]
         return row
 
-    def _open(self, first: int) -> None:
-        """Chooses what a window repeats whose first own turn has ``first`` tokens."""
-        room = self.budget - first
-        if self.window and self.system and self.system[2] <= room:
+    def _open(self, first: Turn) -> None:
+        """Chooses what the window repeats whose first own turn is ``first``."""
+        room = self.budget - first[2]
+        self.repeated = []
+        if self.system and self.system[3] < first[3] and self.system[2] <= room:
             self.repeated, room = [self.system], room - self.system[2]
-        else:
-            self.repeated = []
         recent, left = [], min(self.history, room)
         for t in reversed(self.past):  # the latest turns that fit
-            if t[2] > left or any(t is x for x in self.repeated):
+            if t[2] > left or any(t[3] == x[3] for x in self.repeated):
                 break
             recent.insert(0, t)
             left -= t[2]
@@ -117,29 +116,30 @@ class Conversation:
     def close(self) -> tuple:
         """The window's row; its last turns are kept as history."""
         parts, starts, ends, at = [], [], [], 0
-        for k, (role, text, _) in enumerate(self.repeated + self.own):
+        for k, (role, text, _, _) in enumerate(self.repeated + self.own):
             form, a, z = write_turn(role, text)
             if k >= len(self.repeated) and role == "assistant":
                 starts.append(at + a)
                 ends.append(at + z)
             parts.append(form)
             at += len(form)
-        row = (self.conv, self.window, "".join(parts), starts, ends, len(self.repeated), self.size)
+        row = (self.conv, self.own[0][3], "".join(parts), starts, ends, len(self.repeated), self.size)
         kept, held = [], 0
         for t in reversed(self.past + self.own):
             if held + t[2] > self.history:
                 break
             kept.insert(0, t)
             held += t[2]
-        self.past, self.own, self.window = kept, [], self.window + 1
+        self.past, self.own = kept, []
         return row
 
 
 _NAMES = ("conv_id", "window", "text", "loss_starts", "loss_ends", "n_repeated", "n_tokens")
+_PLACED = "conv_id bigint, role string, text string, n int, start bigint, part int, first boolean, edge array<bigint>"
 
 
-def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Rows of :data:`WINDOW` for all conversations in ``turns`` (conv_id, turn, role, text)."""
+def _counted(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """The turns with ``n``, the tokens of their written form."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), empty("role"), empty("text"))
 
@@ -151,28 +151,78 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
                 forms = [write_turn(r, x)[0] for r, x in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
                 yield dict(zip(b.schema.names, b.columns, strict=True)) | {"n": [len(x) // 4 for x in enc.encode(forms)]}
 
-    counted = common.map_rows(rows, count, "conv_id bigint, turn bigint, role string, text string, n int")
-    dealt = counted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return common.map_rows(rows, count, "conv_id bigint, turn bigint, role string, text string, n int")
+
+
+def _placed(counted: DataFrame) -> DataFrame:
+    """``conv_id, role, text, n, start``: the tokens of the conversation before each turn, ties in the order of role and text.
+
+    Each range adds up its own turns; a row for each range (its first and last
+    conversation and their sums) tells what the ranges before it hold.
+    """
+    spark = counted.sparkSession
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    dealt = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        state: Conversation | None = None
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                found = []
-                b = whole.slice(at, 512)
-                for conv, role, text, n in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text", "n")), strict=True):
-                    if state is None or state.conv != conv:
-                        if state is not None:
-                            found.append(state.close())
-                        state = Conversation(conv, budget, history)
-                    if (row := state.add((role, text, n))) is not None:
-                        found.append(row)
-                if found:
-                    yield dict(zip(_NAMES, map(list, zip(*found, strict=True)), strict=True))
-        if state is not None:
-            yield dict(zip(_NAMES, map(list, zip(state.close(), strict=True)), strict=True))
-
-    return common.map_rows(dealt, run, WINDOW)
+        part, total, opened, first, conv, of_first = TaskContext.get().partitionId(), 0, False, None, None, 0
+        for b in batches:
+            starts, firsts = [], []
+            for c, n in zip(b.column("conv_id").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if not opened:
+                    opened, first, conv = True, c, c
+                elif c != conv:
+                    conv, total = c, 0
+                starts.append(total)
+                firsts.append(c == first)
+                total += n
+                if c == first:
+                    of_first = total
+            size = len(starts)
+            yield {name: b.column(name) for name in ("conv_id", "role", "text", "n")} | {"start": starts, "part": [part] * size, "first": firsts, "edge": [None] * size}
+        if opened:
+            yield {"conv_id": [None], "role": [None], "text": [None], "n": [None], "start": [None], "part": [part], "first": [None], "edge": [[first, of_first, conv, total]]}
+
+    found = common.saved(common.map_rows(dealt, run, _PLACED), "placed-turns")
+    # One row for each range, as many as configured.
+    offsets, carried, last, seen = [], 0, None, False
+    for r in sorted(found.where("edge is not null").select("part", "edge").collect(), key=lambda r: r["part"]):
+        first, of_first, conv, total = r["edge"]
+        offset = carried if seen and last == first else 0
+        offsets.append((r["part"], offset))
+        carried, last, seen = (offset + of_first if conv == first else total), conv, True
+    before = F.broadcast(spark.createDataFrame(offsets, "part int, before bigint"))
+    start = F.col("start") + F.when(F.col("first"), F.col("before")).otherwise(0)
+    return found.where("edge is null").join(before, "part").select("conv_id", "role", "text", "n", start.alias("start"))
+
+
+def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Rows of :data:`WINDOW` for all conversations in ``turns`` (conv_id, turn, role, text); ``window`` is the number of tokens before its first own turn."""
+    span = SPAN * budget
+    placed = _placed(_counted(turns, tokenizer)).withColumn("span", F.floor(F.col("start") / span))
+    columns = ["conv_id", "span", "kind", "role", "text", "n", "start"]
+    own = placed.withColumn("kind", F.lit(2)).select(*columns)
+    reach = F.floor((F.col("start") + F.col("n") + history) / span)
+    past = placed.where(reach > F.col("span")).withColumn("span", F.explode(F.sequence(F.col("span") + 1, reach))).withColumn("kind", F.lit(1)).select(*columns)
+    # The system turn goes to each later span of its conversation.
+    key = F.struct("conv_id").alias("conv")
+    system = placed.where("role = 'system'").groupBy(key).agg(F.min(F.struct("start", "role", "text", "n")).alias("turn"))
+    later = placed.where("span > 0").select(key, "span").distinct()
+    systems = common.looked_up(later, system, "conv").where("turn is not null").select("conv.conv_id", "span", F.lit(0).alias("kind"), "turn.role", "turn.text", "turn.n", "turn.start")
+
+    def cut(t: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("kind", "start", "role", "text", "n")), strict=True))
+        of = lambda k: [(role, text, n, start) for kind, start, role, text, n in rows if kind == k]
+        mine = of(2)
+        found = []
+        if mine:
+            s = Span(t.column("conv_id")[0].as_py(), budget, history, next(iter(of(0)), None), of(1))
+            found = [row for turn in mine if (row := s.add(turn)) is not None] + [s.close()]
+        columns = list(zip(*found, strict=True)) or [()] * len(_NAMES)
+        return pa.table({f.name: pa.array(list(c), f.type) for f, c in zip(arrow, columns, strict=True)}, schema=arrow)
+
+    arrow = common.arrow_schema(WINDOW)
+    return own.unionByName(past).unionByName(systems).groupBy("conv_id", "span").applyInArrow(cut, WINDOW)
 
 
 def read_back(found: DataFrame) -> DataFrame:

@@ -313,7 +313,7 @@ def test_chat_windows(spark, empty):
     assert chat_format.windows(extra, BYTES, budget=600, history=135).exceptAll(w).isEmpty()
 
 
-def test_no_window_is_over_its_budget(spark):
+def test_no_window_is_over_its_budget(spark, monkeypatch):
     rnd, e = random.Random(4), tokens.encoder(BYTES)
     rows = []
     for c in range(40):
@@ -321,7 +321,14 @@ def test_no_window_is_over_its_budget(spark):
             role = "system" if t == 0 and rnd.random() < 0.6 else rnd.choice(("user", "assistant"))
             rows.append((c, t, role, " ".join(rnd.choice(("word", "</s>", "[INST]", "é")) for _ in range(rnd.choice((0, 3, 20, 60, 150))))))
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    for budget, history in ((100, 30), (200, 500), (60, 0)):
+    for budget, history, span in ((100, 30, 16), (200, 500, 1), (60, 0, 2), (100, 90, 1)):
+        monkeypatch.setattr(chat_format, "SPAN", span)
+        back = {r["conv_id"]: r for r in chat_format.read_back(chat_format.windows(turns, BYTES, budget, history)).collect()}
+        for c in range(40):
+            own = [(role, x) for i, _, role, x in rows if i == c]
+            assert back[c]["n_turns"] == len(own)
+            assert back[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
+            assert back[c]["loss_sha256"] == hashlib.sha256("".join(x for r, x in own if r == "assistant").encode()).hexdigest()
         for r in chat_format.windows(turns, BYTES, budget, history).collect():
             parts = chat_format.read_turns(r["text"])
             assert r["n_tokens"] == len(e.direct(r["text"])) // 4
@@ -542,3 +549,19 @@ def test_pipeline_on_odd_rows(spark, odd, empty):
             assert kept.columns == df.columns
             assert kept.exceptAll(df).isEmpty()
         assert corpus_pipeline.STAGES[-1][1](spark, kept, DIR).count() >= kept.count()
+
+
+def test_one_long_conversation(spark):
+    """All rows but a few in one conversation: it lies in several ranges and spans."""
+    rnd = random.Random(15)
+    rows = [(7, 0, "system", "be brief")] + [(7, t, ("user", "assistant")[t % 2], "word " * rnd.randint(0, 30)) for t in range(1, 6000)]
+    rows += [(None, t, "assistant", f"x{t}") for t in range(50)] + [(9, 0, "assistant", "y"), (9, 0, "assistant", "y")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    made = chat_format.windows(turns, BYTES, 256, 64)
+    assert made.where("conv_id = 7 and window > 0 and not startswith(text, '<|system|>')").count() == 0
+    assert made.where("n_tokens > 256").count() == 0
+    got = {r["conv_id"]: r for r in chat_format.read_back(made).collect()}
+    for c in (7, None, 9):
+        own = [(role, x) for i, _, role, x in rows if i == c]
+        assert got[c]["n_turns"] == len(own)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
