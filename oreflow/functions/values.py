@@ -26,19 +26,15 @@ def known(df: DataFrame, name: str) -> Column:
 
 def number_text(c: Column) -> Column:
     """5 for 5.0, else the shortest digits that give the number: plain from a millionth up to 1e21, beyond with an exponent as in 1e-7 or 1.5e+21."""
-    whole = F.when(F.abs(c) < 1e21, c.cast("decimal(38,0)").cast("string"))
-    own = c.cast("string")
-    digits = F.regexp_replace(F.regexp_replace(own, r"E.*$|^-", ""), r"\.0$", "")
-    power = F.regexp_extract(own, r"E(-?\d+)$", 1).try_cast("int")
-    # From 1E-3 down Spark writes an exponent; between that and a millionth the zeros are written out.
-    small = F.concat(F.when(c < 0, "-").otherwise(""), F.lit("0."), F.repeat(F.lit("0"), -power - 1), F.replace(digits, F.lit("."), F.lit("")))
-    wide = F.concat(F.when(c < 0, "-").otherwise(""), digits, F.when(power < 0, "e").otherwise("e+"), power.cast("string"))
-    fraction = F.when(power.isNull(), own).when((power < 0) & (power >= -6), small)
-    plain = F.when(power.between(0, 20), c.cast("decimal(38,10)").cast("string"))
-    return F.when((c % 1.0 == 0) & (F.abs(c) < 1e21), whole).otherwise(F.coalesce(fraction, F.regexp_replace(plain, r"0+$", ""), wide))
+    plain = F.regexp_replace(c.cast("decimal(38,22)").cast("string"), "0+$", "")
+    wide = F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
+    whole = F.when((c % 1.0 == 0) & (F.abs(c) < 1e21), c.cast("decimal(38,0)").cast("string"))
+    return whole.when((F.abs(c) >= 1e-6) & (F.abs(c) < 1e16), plain).otherwise(wide)
 
 
 def as_text(df: DataFrame, name: str) -> Column:
+    if dict(df.dtypes)[name] in ("int", "bigint", "smallint", "tinyint"):
+        return F.col(f"`{name}`").cast("string")
     return number_text(known(df, name).cast("double")) if is_number(df, name) else known(df, name).cast("string")
 
 

@@ -138,7 +138,7 @@ EXPRESSIONS = {
     "exp": (lambda v: _to4(X.exp(v["quality"])), r4(f"exp({_Q})")),
     "round": (lambda v: X.rounded(v["quality"] - 2.5), f"floor({_Q} - 2.5 + 0.5)"),
     "floor": (lambda v: X.floor(v["n_chars"] / -7), "floor(n_chars / -7.0)"),
-    "ceil": (lambda v: X.ceil(v["n_chars"] / -7), "ceil(n_chars / -7.0)"),
+    "ceil": (lambda v: X.ceil(v["n_chars"] / -7), "ceil(n_chars / -7.0) + 0"),
     "min": (lambda v: X.least(v["quality"], 0.5, v["toxic"]), f"least({_Q}, 0.5, coalesce(toxic, 0))"),
     "max": (lambda v: X.greatest(v["quality"], 0.5, v["toxic"]), f"greatest({_Q}, 0.5, coalesce(toxic, 0))"),
     "pow": (lambda v: X.power(v["n_chars"], 2), "n_chars::DOUBLE * n_chars"),
@@ -291,9 +291,9 @@ def sample_reservoir(t):
     return record.reservoir(t("orders").select("o_orderkey"), 100, 42, ["o_orderkey"])
 
 
-@query(f"SELECT doc_id, quality FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, doc_id LIMIT 50")
+@query(f"SELECT doc_id, quality FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, doc_id")
 def sort_missing_last(t):
-    return record.sort(_labelled(t).select("doc_id", "quality"), "quality", False, ["doc_id"]).limit(50)
+    return record.sort(_labelled(t).select("doc_id", "quality"), "quality", False, ["doc_id"])
 
 
 @query(f"SELECT doc_id, quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, doc_id) - 1 AS place FROM {_LABELLED}")
@@ -315,12 +315,11 @@ def distinct_all(t):
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
 
     def _merge(t, how=_how):
-        left = t("orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
-        right = t("customer").where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment")
-        return record.merge(left, right, "o_custkey", "c_custkey", how)
+        return record.merge(t("lineitem").select(*LINE), t("supplier").select("s_suppkey", "s_nationkey"), "l_suppkey", "s_suppkey", how)
 
     _merge.__name__ = f"merge_{_how}"
-    query(f"SELECT o_orderkey, coalesce(o_custkey, c_custkey) AS o_custkey, c_mktsegment FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 = 0) {_join} (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_merge)
+    query(f"""SELECT l_orderkey, l_partkey, coalesce(l_suppkey, s_suppkey) AS l_suppkey, l_linenumber, s_nationkey
+FROM lineitem {_join} supplier ON l_suppkey = s_suppkey""")(_merge)
 
 
 for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
@@ -529,26 +528,32 @@ def silhouette(t):
     return models.silhouette(e, F.col("x"), "c", "vec_id")
 
 
-@query("""WITH r AS (SELECT vec_id, label, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c, embedding[4] AS d FROM embeddings), s AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(c) AS mc, stddev_samp(c) AS sc, avg(d) AS md, stddev_samp(d) AS sd FROM r),
-z AS (SELECT vec_id, label, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c, (d - md) / sd AS d FROM r, s),
-p AS (SELECT q.vec_id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY (q.a - t.a) * (q.a - t.a) + (q.b - t.b) * (q.b - t.b) + (q.c - t.c) * (q.c - t.c) + (q.d - t.d) * (q.d - t.d), t.vec_id) AS k FROM z q, z t WHERE q.vec_id % 20 = 0)
-SELECT vec_id, floor(avg(label) * 10000.0 + 0.5) / 10000.0 AS predicted FROM p WHERE k <= 5 GROUP BY vec_id""")
+_NEIGHBOURS = """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT i, avg(v) AS m, stddev_samp(v) AS sd FROM e GROUP BY i),
+z AS (SELECT vec_id, label, e.i, (v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS z FROM e JOIN s ON e.i = s.i),
+d AS (SELECT q.vec_id, t.vec_id AS other, t.label, round(sum((q.z - t.z) * (q.z - t.z)), 9) AS d FROM z q JOIN z t ON q.i = t.i WHERE q.vec_id % 20 = 0 GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS k FROM d)
+SELECT vec_id, floor(avg(label) * 10000.0 + 0.5) / 10000.0 AS predicted FROM p WHERE k <= 5 GROUP BY vec_id"""
+
+
+def _vectors(t):
+    names = [f"e{i}" for i in range(64)]
+    columns = [F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]
+    return t("embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *columns), names
+
+
+@query(_NEIGHBOURS)
 def knn_predict(t):
-    e = t("embeddings").select(
-        "vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)],
-    )
-    out = models.knn(e, e.where("vec_id % 20 = 0"), "label", [f"e{i}" for i in range(4)], "vec_id")
+    """The rows whose id is divisible by 20 as queries, against all rows, on all dimensions."""
+    e, names = _vectors(t)
+    out = models.knn(e, e.where("vec_id % 20 = 0"), "label", names, "vec_id")
     return out.select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
 
 
 @query()
 def knn_predict_whole(t):
-    """Every row as a query, on all 64 dimensions."""
-    names = [f"e{i}" for i in range(64)]
-    e = t("embeddings").select(
-        "vec_id", F.col("label").cast("double").alias("label"),
-        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
-    )
+    """Every row as a query, on all dimensions."""
+    e, names = _vectors(t)
     return models.knn(e, e, "label", names, "vec_id").select("vec_id", round_to(F.col("`$KNN-label`")).alias("predicted"))
 
 
@@ -640,65 +645,53 @@ def anomaly_given_centres(t):
 _BASKETS = "(SELECT DISTINCT o_custkey AS basket, o_orderpriority AS item FROM orders)"
 
 
-def _sets(t):
-    return models.baskets(t("orders"), "o_custkey", "o_orderpriority")
+def _level(k: int) -> str:
+    """SQL: all sets of ``k`` items with the number of baskets that hold them."""
+    joins = "".join(f" JOIN b x{i} ON x{i}.basket = x0.basket AND x{i}.item > x{i - 1}.item" for i in range(1, k))
+    return f"SELECT [{', '.join(f'x{i}.item' for i in range(k))}] AS items, count(*) AS n FROM b x0{joins} GROUP BY 1"
 
 
-@query(f"SELECT item AS items, count(*) AS n FROM {_BASKETS} GROUP BY 1 HAVING count(*) >= ceil(0.1 * (SELECT count(DISTINCT basket) FROM {_BASKETS})) UNION ALL SELECT a.item || ' & ' || b.item, count(*) FROM {_BASKETS} a JOIN {_BASKETS} b ON a.basket = b.basket AND a.item < b.item GROUP BY 1 HAVING count(*) >= ceil(0.1 * (SELECT count(DISTINCT basket) FROM {_BASKETS}))")
-def apriori_itemsets(t):
-    found, _ = models.apriori(_sets(t), 10, 0, max_antecedents=1)
-    return found.select(F.array_join("items", " & ").alias("items"), "n")
+#: Frequent sets of up to four items, and rules with up to three antecedents.
+_FREQUENT = f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b),
+f AS (SELECT items, n FROM ({' UNION ALL '.join(_level(k) for k in range(1, 5))}), t WHERE n >= ceil(0.1 * t))"""
+_RULES = f"""{_FREQUENT}, u AS (SELECT items, n, unnest(items) AS c FROM f), v AS (SELECT list_filter(items, lambda x: x <> c) AS ante, c, n FROM u WHERE len(items) > 1),
+r AS (SELECT ante, c, v.n, v.n / fa.n::DOUBLE AS conf, v.n / fa.n::DOUBLE / (fc.n / t) AS lift FROM v JOIN f fa ON fa.items = ante JOIN f fc ON fc.items = [c], t WHERE v.n / fa.n::DOUBLE >= 0.5)"""
+_ALL_SETS = f"{_FREQUENT} SELECT array_to_string(items, ' & ') AS items, n FROM f"
+_ALL_RULES = f"""{_RULES} SELECT array_to_string(ante, ' & ') AS antecedent, c AS consequent, {r4('conf')} AS confidence, {r4('lift')} AS lift, n AS transactions FROM r"""
 
 
-@query(f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b), s AS (SELECT item, count(*)::DOUBLE AS n FROM b GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*)::DOUBLE AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL)
-SELECT a AS antecedent, c AS consequent, {r4('p.n / sa.n')} AS confidence, {r4('p.n / sa.n / (sc.n / t)')} AS lift, p.n::BIGINT AS transactions FROM p JOIN s sa ON sa.item = a JOIN s sc ON sc.item = c, t WHERE p.n >= ceil(0.1 * t) AND p.n / sa.n >= 0.5""")
-def apriori_rules(t):
-    _, rules = models.apriori(_sets(t), 10, 50, max_antecedents=1)
-    return _r(
-        rules.select(
-            F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"),
-            F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions"),
-        ),
-        "confidence", "lift",
-    )
+def _sets(t):
+    return models.baskets(t("orders"), "o_custkey", "o_orderpriority")
 
 
-@query()
-def apriori_itemsets_whole(t):
+def _item_sets(t):
     found, _ = models.apriori(_sets(t), 10, 0)
     return found.select(F.array_join("items", " & ").alias("items"), "n")
 
 
-@query()
-def apriori_rules_whole(t):
+def _rules(t):
     _, rules = models.apriori(_sets(t), 10, 50)
-    return _r(
-        rules.select(
-            F.col("Antecedent").alias("antecedent"), F.col("Consequent").alias("consequent"), F.col("Confidence").alias("confidence"),
-            F.col("Lift").alias("lift"), F.col("Transactions").alias("transactions"),
-        ),
-        "confidence", "lift",
-    )
+    names = ("Antecedent", "Consequent", "Confidence", "Lift", "Transactions")
+    return _r(rules.select(*[F.col(c).alias(c.lower()) for c in names]), "confidence", "lift")
 
 
-@query(f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b), s AS (SELECT item, count(*)::DOUBLE AS n FROM b GROUP BY 1), p AS (SELECT x.item AS a, y.item AS c, count(*)::DOUBLE AS n FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item GROUP BY ALL),
-r AS (SELECT a, c, p.n / sa.n AS conf, p.n / sa.n / (sc.n / t) AS lift FROM p JOIN s sa ON sa.item = a JOIN s sc ON sc.item = c, t WHERE p.n >= ceil(0.1 * t) AND p.n / sa.n >= 0.5),
-m AS (SELECT b.basket, r.*, row_number() OVER (PARTITION BY b.basket, c ORDER BY conf DESC, lift DESC, a DESC) AS k FROM b JOIN r ON b.item = r.a WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.basket = b.basket AND o.item = r.c))
-SELECT basket::VARCHAR AS basket, c AS recommendation, a AS antecedent, {r4('conf')} AS confidence, {r4('lift')} AS lift FROM m WHERE k = 1""")
-def apriori_recommend_pairs(t):
-    """Recommendations of the rules with one antecedent."""
-    sets = _sets(t)
-    out = models.recommend(sets, models.apriori(sets, 10, 50, max_antecedents=1)[1])
-    return _r(
-        out.select(*[F.col(c).alias(c.lower()) for c in ("Basket", "Recommendation", "Antecedent", "Confidence", "Lift")]), "confidence",
-        "lift",
-    )
+for _name in ("apriori_itemsets", "apriori_itemsets_whole"):
+    QUERIES[_name] = lambda spark, sf_dir: _item_sets(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    ORACLE_SQL[_name] = _ALL_SETS
+for _name in ("apriori_rules", "apriori_rules_whole"):
+    QUERIES[_name] = lambda spark, sf_dir: _rules(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    ORACLE_SQL[_name] = _ALL_RULES
 
 
-@query()
+@query(f"""{_RULES}, s AS (SELECT basket, list(item) AS own FROM b GROUP BY basket),
+m AS (SELECT basket, r.*, array_to_string(ante, ' & ') AS a, row_number() OVER (PARTITION BY basket, c ORDER BY conf DESC, lift DESC, array_to_string(ante, ' & ') DESC) AS k
+FROM s JOIN r ON list_has_all(own, ante) AND NOT list_contains(own, c))
+SELECT basket::VARCHAR AS basket, c AS recommendation, a AS antecedent, {r4('conf')} AS confidence, {r4('lift')} AS lift FROM m WHERE k = 1""")
 def apriori_recommend(t):
     sets = _sets(t)
-    return models.recommend(sets, models.apriori(sets, 10, 50)[1])
+    out = models.recommend(sets, models.apriori(sets, 10, 50)[1])
+    names = ("Basket", "Recommendation", "Antecedent", "Confidence", "Lift")
+    return _r(out.select(*[F.col(c).alias(c.lower()) for c in names]), "confidence", "lift")
 
 
 def _sample(name: str, body):
