@@ -241,17 +241,18 @@ def documents(shards: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for r in range(b.num_rows):
-                s = b.slice(r, 1).to_pylist()[0]
-                rules, lengths = np.frombuffer(s["rules"], "<u4").reshape(-1, 2), np.frombuffer(s["rule_lengths"], "<u4")
-                flat = expand(np.frombuffer(s["symbols"], "<u4"), s["base"], rules, lengths).astype("<u4")
-                edges = np.r_[0, np.cumsum(s["lengths"], dtype=np.int64)]
-                raw = memoryview(flat.tobytes())
+                number = lambda name, b=b, r=r: b.column(name)[r].as_py()
+                words = lambda name, b=b, r=r: np.frombuffer(b.column(name)[r].as_buffer(), "<u4")
+                flat = expand(words("symbols"), number("base"), words("rules").reshape(-1, 2), words("rule_lengths")).astype("<u4", copy=False)
+                edges = np.r_[0, np.cumsum(b.column("lengths")[r].values.to_numpy(), dtype=np.int64)]
+                raw, places = memoryview(flat).cast("B"), (4 * edges).tolist()
                 yield {
-                    "doc_id": s["doc_ids"], "start": edges[:-1] + s["shard_start"], "n_tokens": np.diff(edges),
-                    "ids_crc32": [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)],
+                    "doc_id": b.column("doc_ids")[r].values, "start": edges[:-1] + number("shard_start"), "n_tokens": np.diff(edges),
+                    "ids_crc32": [zlib.crc32(raw[a:z]) for a, z in zip(places, places[1:], strict=False)],
                 }
 
-    return common.map_rows(shards, rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    needed = shards.select("doc_ids", "lengths", "shard_start", "base", "rules", "rule_lengths", "symbols")
+    return common.map_rows(needed, rows, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,7 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.room = CACHE_BYTES
         self.once = bytearray(ONCE)  # a piece is kept when it is met in a second batch
+        self.tokenize = self.tokenizer.model.tokenize
         self.single = self._single_word_form()
         self.signs = dict(enumerate(_byte_signs()))
         self.tails: dict[str, bytes] = {"": b"", "\n": self.direct("\n")}
@@ -101,7 +102,7 @@ class PieceEncoder:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(self.signs)
-        return before + array("I", [t.id for t in self.tokenizer.model.tokenize(sign + word)]).tobytes() + after
+        return before + array("I", [t.id for t in self.tokenize(sign + word)]).tobytes() + after
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
