@@ -491,3 +491,23 @@ def _walked(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.dealt(common.table(spark, sf_dir, "documents")))
+
+
+#: The same in DuckDB: sets as rows, links by counting common shingles of the first document of each class, components by reachability.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + {N - 1}], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+c AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS c FROM s GROUP BY doc_id),
+r AS (SELECT c, min(doc_id) AS r, min(n) AS n FROM c GROUP BY c),
+t AS (SELECT r, n, s FROM r JOIN s ON s.doc_id = r.r),
+k AS (SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+reach AS (SELECT r AS x, r AS y FROM r UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+m AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT c.doc_id, c.n AS n_shingles, m.y AS component_id FROM c JOIN r ON c.c = r.c JOIN m ON m.x = r.r
+UNION ALL SELECT doc_id, 0, doc_id FROM w WHERE len(w) = 0
+"""

@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chunk_encoding": chunk_encoding.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op3_ngram_join": ngram_join.ORACLE_SQL}

@@ -7,6 +7,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -483,6 +484,9 @@ def test_near_duplicates_of_a_larger_table(spark):
     df = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df).collect()}
     want = _components([tuple(r) for r in df.collect()])
+    duck = duckdb.connect()
+    duck.execute("create view documents as select * from read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    assert {i: (n, c) for i, n, c in duck.sql(ngram_join.ORACLE_SQL).fetchall()} == want
     assert got == want and sum(i != c for i, (_, c) in want.items()) > 20
 
 
