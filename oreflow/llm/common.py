@@ -111,6 +111,21 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+_kept: list[Callable[[], None]] = []
+
+
+def keeps(clear: Callable[[], None]) -> None:
+    """Tells how to empty what an operator keeps in a worker between tasks."""
+    _kept.append(clear)
+
+
+def forget() -> None:
+    """Empties what the tasks of earlier stages left in this worker; for tasks that need the room and none of it."""
+    for clear in _kept:
+        clear()
+    release()
+
+
 def release() -> None:
     """Gives Arrow's unused memory back at the end of a task: Spark keeps its Python workers for the next stages."""
     pa.default_memory_pool().release_unused()

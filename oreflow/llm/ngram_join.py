@@ -134,6 +134,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """Per document: its size and class; per task one sketch row (packed, in ``counts``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        common.forget()
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

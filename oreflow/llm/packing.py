@@ -155,7 +155,7 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return runs
 
 
-def pack(found: DataFrame, capacity: int, most_docs: int = 4, bucket_rows: int = 200_000) -> DataFrame:
+def pack(found: DataFrame, capacity: int, most_docs: int = 4, bucket_rows: int = 20_000) -> DataFrame:
     """``sequence_id`` and ``offset`` for every piece of ``found`` (columns of :data:`PIECE`), which must be saved rows.
 
     A piece of full length is a sequence by itself and needs no number.  The

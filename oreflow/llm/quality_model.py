@@ -50,6 +50,7 @@ _KIND[65:91] = 3
 _KIND[list(b".,;:!?'\"()-")] = 4
 _KIND[128:] = 5
 _buckets: dict[str, int] = {}
+common.keeps(_buckets.clear)
 
 
 def _bucket(word: str) -> int:

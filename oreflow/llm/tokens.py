@@ -20,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from oreflow.llm import common
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _SPLIT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Texts with other white space than single blanks and line feeds between words, or with a NUL.
 _UNUSUAL = "[\\x00\\x09\\x0B-\\x0D\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]|[ \\n][ \\n]|^[ \\n]|[ \\n]$|^$"
 #: Bytes of the pieces kept by one worker, counting ENTRY for each besides its key and ids; later ones live for one batch only.
-CACHE_BYTES, ENTRY = 64 << 20, 200
+CACHE_BYTES, ENTRY = 32 << 20, 200
 #: Places that remember which pieces were met in a batch before.
 ONCE = 1 << 22
 #: Texts of this many characters at most are encoded at a time, but for longer single ones.
@@ -218,3 +220,7 @@ def byte_table(path: str) -> list[bytes]:
 def decode(ids: np.ndarray, table: list[bytes]) -> str:
     """As the byte-level decoder does, special tokens kept."""
     return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+
+
+common.keeps(encoder.cache_clear)
+common.keeps(byte_table.cache_clear)
