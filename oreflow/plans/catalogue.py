@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from oreflow.functions import expressions as X
 from oreflow.functions.values import round_to
 from oreflow.operators import field, models, record, report
-from oreflow.sources import samples
+from oreflow.plans import examples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -694,36 +694,5 @@ def apriori_recommend(t):
     return _r(out.select(*[F.col(c).alias(c.lower()) for c in names]), "confidence", "lift")
 
 
-def _sample(name: str, body):
-    QUERIES[name] = lambda spark, sf_dir: body(spark)
-
-
-def _churn(spark: SparkSession) -> DataFrame:
-    c = record.distinct(samples.sample_data(spark, "customers"), ["CustomerID"], ["CustomerID"])
-    rows = record.merge(c, samples.sample_data(spark, "usage"), "CustomerID", "CustomerID")
-    rows = field.fill(field.clean_text(rows, ["Region"]), ["Age", "Income"], "median")
-    rows = field.partition(rows, ["CustomerID"]).persist()
-    train = rows.where("Partition = '1_Training'")
-    scored = models.tree(train, "Churn", ["Age", "Tenure", "Plan", "Region", "MonthlyCharges"]).transform(rows)
-    return report.class_metrics(scored, "Churn", "$R-Churn", "Partition")
-
-
-def _house_prices(spark: SparkSession) -> DataFrame:
-    rows = field.partition(samples.sample_data(spark, "housing"), ["HouseID"], 75, 7).persist()
-    scored = models.linear(rows.where("Partition = '1_Training'"), "Price", ["SqFt", "Bedrooms", "AgeYears", "Neighborhood"]).transform(rows)
-    return report.regression_metrics(scored, "Price", "$E-Price", "Partition")
-
-
-def _market_basket(spark: SparkSession) -> DataFrame:
-    return models.apriori(models.baskets(samples.sample_data(spark, "baskets"), "BasketID", "Item"), 5, 50)[1]
-
-
-def _basket_flags(spark: SparkSession) -> DataFrame:
-    flags = samples.sample_data(spark, "basket_flags")
-    return models.apriori(models.flag_baskets(flags, list(samples.ITEMS), "BasketID"), 5, 50)[1]
-
-
-_sample("example_basket_flags", _basket_flags)
-_sample("example_churn", _churn)
-_sample("example_house_prices", _house_prices)
-_sample("example_market_basket", _market_basket)
+for _name, _flow in examples.EXAMPLES.items():
+    QUERIES[_name] = lambda spark, sf_dir, flow=_flow: flow(spark)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreflow.functions.rng import uniform
+from oreflow.operators.lineage import kept
 
 ITEMS = (
     "Bread", "Butter", "Milk", "Eggs", "Cheese", "Beer", "Chips", "Salsa", "Diapers", "Wipes", "Pasta", "Pasta Sauce", "Coffee", "Sugar",
@@ -96,4 +97,5 @@ SAMPLES = {"iris": flowers, "customers": customers, "usage": usage, "housing": h
 def sample_data(spark: SparkSession, name: str) -> DataFrame:
     if name not in SAMPLES:
         raise ValueError("Choose a dataset.")
-    return SAMPLES[name](spark)
+    # Kept, as the draws make long expressions that no later plan should carry along.
+    return kept(SAMPLES[name](spark))

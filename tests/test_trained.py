@@ -16,7 +16,7 @@ def rows(spark):
 
 @pytest.mark.parametrize("fit,prefix", [(models.tree, "R"), (models.svm, "SVM"), (models.logistic, "L"), (models.ann, "ANN"), (models.NaiveBayes, "B"), (models.Chaid, "CH")])
 def test_saved_models_score_alike(spark, rows, tmp_path, fit, prefix):
-    m = fit(rows, "Churn", INPUTS)
+    m = fit(rows, "Churn", INPUTS, iterations=10) if fit is models.svm else fit(rows, "Churn", INPUTS)
     trained.save(m, str(tmp_path / "m"), spark)
     again = trained.load(spark, str(tmp_path / "m"))
     new = rows.drop("Churn")
@@ -39,7 +39,7 @@ def test_saved_regression(spark, tmp_path):
 
 def test_confidence_and_importance(spark, rows):
     f = samples.sample_data(spark, "iris")
-    out = models.svm(f, "Species", ["Sepal_Length", "Sepal_Width", "Petal_Length", "Petal_Width"], cost=50).transform(f)
+    out = models.svm(f, "Species", ["Sepal_Length", "Sepal_Width", "Petal_Length", "Petal_Width"], cost=50, iterations=10).transform(f)
     low, high = out.agg(F.min("`$SVMC-Species`"), F.max("`$SVMC-Species`")).first()
     assert 1 / 3 <= low < high <= 1
     gains = models.tree(rows, "Churn", INPUTS).importance()
