@@ -210,19 +210,36 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
     later = placed.where("span > 0").select(key, "span").distinct()
     systems = common.looked_up(later, system, "conv").where("turn is not null").select("conv.conv_id", "span", F.lit(0).alias("kind"), "turn.role", "turn.text", "turn.n", "turn.start")
 
-    def cut(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("kind", "start", "role", "text", "n")), strict=True))
-        of = lambda k: [(role, text, n, start) for kind, start, role, text, n in rows if kind == k]
-        mine = of(2)
-        found = []
-        if mine:
-            s = Span(t.column("conv_id")[0].as_py(), budget, history, next(iter(of(0)), None), of(1))
-            found = [row for turn in mine if (row := s.add(turn)) is not None] + [s.close()]
-        columns = list(zip(*found, strict=True)) or [()] * len(_NAMES)
-        return pa.table({f.name: pa.array(list(c), f.type) for f, c in zip(arrow, columns, strict=True)}, schema=arrow)
-
-    arrow = common.arrow_schema(WINDOW)
-    return own.unionByName(past).unionByName(systems).groupBy("conv_id", "span").applyInArrow(cut, WINDOW)
+    rows = own.unionByName(past).unionByName(systems).repartition("conv_id", "span")
+    dealt = rows.sortWithinPartitions("conv_id", "span", "kind", "start", "role", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        # A span's rows come one after another: the system turn, the turns before it, its own.
+        key: tuple | None = None
+        s: Span | None = None
+        turns: dict[int, list[Turn]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                found = []
+                b = whole.slice(at, 512)
+                for conv, number, kind, role, text, n, start in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                    if key != (conv, number):
+                        if s is not None:
+                            found.append(s.close())
+                        key, s, turns = (conv, number), None, {0: [], 1: []}
+                    if kind < 2:
+                        turns[kind].append((role, text, n, start))
+                        continue
+                    if s is None:
+                        s = Span(conv, budget, history, next(iter(turns[0]), None), turns[1])
+                    if (row := s.add((role, text, n, start))) is not None:
+                        found.append(row)
+                if found:
+                    yield dict(zip(_NAMES, map(list, zip(*found, strict=True)), strict=True))
+        if s is not None:
+            yield dict(zip(_NAMES, map(list, zip(s.close(), strict=True)), strict=True))
+
+    return common.map_rows(dealt, cut, WINDOW)
 
 
 def read_back(found: DataFrame) -> DataFrame:
