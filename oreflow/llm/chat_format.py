@@ -13,10 +13,9 @@ A turn is written ``<|role|>\\n text <|end|>\\n`` with a sign inside any part of
 that could be read as a mark, and the role percent-encoded, so the turns can be
 read back exactly; a window row also holds the loss mask as spans of code points.
 
-Tokens are counted before any shuffle, wherever a turn happens to lie.  The
-turns are dealt into ranges of (conversation, turn), and the sums of the ranges
-give each turn its place in tokens, so a conversation with a third of all rows
-is many tasks.  Spans of ``SPAN`` budgets, each with the turns before it that
+The turns are dealt into ranges of (conversation, turn), which count their
+tokens, and the sums of the ranges give each turn its place in tokens, so a
+conversation with a third of all rows is many tasks.  Spans of ``SPAN`` budgets, each with the turns before it that
 it may repeat and the system turn, are then cut into windows one by one.
 
 Null text is the empty text, a null role is an empty one, ties of turn are
@@ -138,37 +137,30 @@ _NAMES = ("conv_id", "window", "text", "loss_starts", "loss_ends", "n_repeated",
 _PLACED = "conv_id bigint, role string, text string, n int, start bigint, part int, first boolean, edge array<bigint>"
 
 
-def _counted(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """The turns with ``n``, the tokens of their written form."""
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), empty("role"), empty("text"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        enc = tokens.encoder(tokenizer)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                forms = [write_turn(r, x)[0] for r, x in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
-                yield dict(zip(b.schema.names, b.columns, strict=True)) | {"n": [len(x) // 4 for x in enc.encode(forms)]}
-
-    return common.map_rows(rows, count, "conv_id bigint, turn bigint, role string, text string, n int")
-
+def _placed(turns: DataFrame, tokenizer: str) -> DataFrame:
+    """``conv_id, role, text, n, start``: the tokens of each turn's written form, and of those before it in the conversation.
 
-def _placed(counted: DataFrame) -> DataFrame:
-    """``conv_id, role, text, n, start``: the tokens of the conversation before each turn, ties in the order of role and text.
-
-    Each range adds up its own turns; a row for each range (its first and last
-    conversation and their sums) tells what the ranges before it hold.
+    Turns are dealt into ranges, ties in the order of role and text; each
+    range counts and adds up its own.  A row for each range (its first and
+    last conversation and their sums) tells what the ranges before it hold.
     """
-    spark = counted.sparkSession
+    spark = turns.sparkSession
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), empty("role"), empty("text"))
     order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
-    dealt = counted.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def count(enc: tokens.PieceEncoder, b: pa.RecordBatch) -> list[int]:
+        # The line's end behind a turn is a token of its own, whatever follows.
+        forms = [write_turn(r, x)[0][:-1] for r, x in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        return [len(x) // 4 + 1 for x in enc.encode(forms)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        enc = tokens.encoder(tokenizer)
         part, total, opened, first, conv, of_first = TaskContext.get().partitionId(), 0, False, None, None, 0
-        for b in batches:
-            starts, firsts = [], []
-            for c, n in zip(b.column("conv_id").to_pylist(), b.column("n").to_pylist(), strict=True):
+        for b in (whole.slice(at, 2048) for whole in batches for at in range(0, whole.num_rows, 2048)):
+            starts, firsts, sizes = [], [], count(enc, b)
+            for c, n in zip(b.column("conv_id").to_pylist(), sizes, strict=True):
                 if not opened:
                     opened, first, conv = True, c, c
                 elif c != conv:
@@ -179,7 +171,8 @@ def _placed(counted: DataFrame) -> DataFrame:
                 if c == first:
                     of_first = total
             size = len(starts)
-            yield {name: b.column(name) for name in ("conv_id", "role", "text", "n")} | {"start": starts, "part": [part] * size, "first": firsts, "edge": [None] * size}
+            own = {name: b.column(name) for name in ("conv_id", "role", "text")}
+            yield own | {"n": sizes, "start": starts, "part": [part] * size, "first": firsts, "edge": [None] * size}
         if opened:
             yield {"conv_id": [None], "role": [None], "text": [None], "n": [None], "start": [None], "part": [part], "first": [None], "edge": [[first, of_first, conv, total]]}
 
@@ -199,7 +192,7 @@ def _placed(counted: DataFrame) -> DataFrame:
 def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Rows of :data:`WINDOW` for all conversations in ``turns`` (conv_id, turn, role, text); ``window`` is the number of tokens before its first own turn."""
     span = SPAN * budget
-    placed = _placed(_counted(turns, tokenizer)).withColumn("span", F.floor(F.col("start") / span))
+    placed = _placed(turns, tokenizer).withColumn("span", F.floor(F.col("start") / span))
     columns = ["conv_id", "span", "kind", "role", "text", "n", "start"]
     own = placed.withColumn("kind", F.lit(2)).select(*columns)
     reach = F.floor((F.col("start") + F.col("n") + history) / span)
