@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from oreflow.llm import chat_format, chunk_encoding, collocations, fill_in_middle, html_extraction, language_id, ngram_join, packing, phrase_fingerprint, quality_model, quality_rules, token_output
+from oreflow.llm import (
+    chat_format, chunk_encoding, collocations, fill_in_middle, html_extraction, language_id, ngram_join, packing, personal_data,
+    phrase_fingerprint, quality_model, quality_rules, token_output,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -20,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_output": token_output.query,
     "op9_packing": packing.query,
     "op10_chunk_encoding": chunk_encoding.query,
+    "op11_personal_data": personal_data.query,
     "op12_collocations": collocations.query,
     "op13_fill_in_middle": fill_in_middle.query,
     "pipeline": corpus_pipeline.run,
