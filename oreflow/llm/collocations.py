@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from oreflow.llm import common
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: The bitmap has some 32 bits for each frequent phrase, within these powers of two.
 FEWEST_BITS, MOST_BITS = 15, 27
 #: Buckets in which a language's best are found before they are ranked together.
@@ -126,6 +126,8 @@ class Words:
             code = code * self.kinds + self.id[at + j]
             many *= self.kinds
         found = pa.array(code).value_counts()
+        # In the order of the first words, so that neighbouring rows are alike and the shuffle's compression finds them so.
+        found = found.take(pc.sort_indices(found.field("values")))
         rest, parts = found.field("values").to_numpy(zero_copy_only=False), []
         for table in reversed(reduced):
             rest, last = np.divmod(rest, self.kinds)
