@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreflow.functions.values import is_number, number_text
+from oreflow.functions.values import col, is_number, number_text
 
 _SPELLED = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _EDGES = r"^[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
@@ -112,9 +112,8 @@ def value(x) -> Value:
 def fields(df: DataFrame) -> dict[str, Value]:
     """The fields of ``df`` by name."""
     kinds = dict(df.dtypes)
-    column = lambda c: F.col(f"`{c}`")
-    number = lambda c: column(c).cast("double")
-    return {c: Value(number(c), "number") if is_number(df, c) else Value(column(c), "boolean") if kinds[c] == "boolean" else Value(column(c).cast("string"), "text") for c in df.columns}
+    number = lambda c: col(c).cast("double")
+    return {c: Value(number(c), "number") if is_number(df, c) else Value(col(c), "boolean") if kinds[c] == "boolean" else Value(col(c).cast("string"), "text") for c in df.columns}
 
 
 def as_size(v: Value) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +24,13 @@ def uniform(seed: int, position: Column) -> Column:
     t = _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(1))
     u = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK).bitwiseXOR(t)
     return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+
+
+def draws(seed: int, n: int) -> np.ndarray:
+    """The first ``n`` draws, as numbers."""
+    i = np.arange(1, n + 1, dtype=np.uint64)
+    mask = np.uint64(MASK)
+    a = (np.uint64((int(seed) & MASK) or 1) + i * np.uint64(STEP)) & mask
+    t = (a ^ (a >> np.uint64(15))) * (a | np.uint64(1)) & mask
+    u = (t + ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61)) & mask)) & mask ^ t
+    return (u ^ (u >> np.uint64(14))).astype(float) / 4294967296.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,13 +12,22 @@ WIDE_SPACE = r"[\s ﻿  -     　]+"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def col(name: str) -> Column:
+    """The column of exactly that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def cols(names: Iterable[str]) -> list[Column]:
+    return [col(c) for c in names]
+
+
 def is_number(df: DataFrame, name: str) -> bool:
     return dict(df.dtypes)[name] in ("double", "float", "int", "bigint", "smallint", "tinyint") or dict(df.dtypes)[name].startswith("decimal")
 
 
 def known(df: DataFrame, name: str) -> Column:
     """The value, or NULL where it counts as missing: null, empty text, NaN, an infinity."""
-    c = F.col(f"`{name}`")
+    c = col(name)
     if dict(df.dtypes)[name] in ("double", "float"):
         return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
     if dict(df.dtypes)[name] == "string":
@@ -34,7 +45,7 @@ def number_text(c: Column) -> Column:
 
 def as_text(df: DataFrame, name: str) -> Column:
     if dict(df.dtypes)[name] in ("int", "bigint", "smallint", "tinyint"):
-        return F.col(f"`{name}`").cast("string")
+        return col(name).cast("string")
     return number_text(known(df, name).cast("double")) if is_number(df, name) else known(df, name).cast("string")
 
 

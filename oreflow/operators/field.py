@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oreflow.functions import rng
 from oreflow.functions.expressions import Value
-from oreflow.functions.values import WIDE_SPACE, as_number, as_text, is_number, known, round_to, set_field
+from oreflow.functions.values import WIDE_SPACE, as_number, as_text, col, is_number, known, round_to, set_field
 from oreflow.operators import record
 
 
@@ -23,7 +23,7 @@ def retype(df: DataFrame, types: dict[str, str]) -> DataFrame:
     for c in df.columns:
         want = types.get(c)
         if want == "number" and not is_number(df, c):
-            out.append(as_number(F.col(c)).alias(c))
+            out.append(as_number(col(c)).alias(c))
         elif want == "string":
             out.append(as_text(df, c).alias(c))
         else:
@@ -46,7 +46,7 @@ def fill(df: DataFrame, fields: list[str], method: str, constant: str = "0", key
     out = []
     for c in df.columns:
         if c not in fields:
-            out.append(F.col(c))
+            out.append(col(c))
             continue
         kind = dict(df.dtypes)[c]
         if c in found:
@@ -75,7 +75,7 @@ def clean_text(df: DataFrame, fields: list[str], trim: bool = True, case: str =
     """
     out = []
     for name in df.columns:
-        c: Column = F.col(name)
+        c: Column = col(name)
         if name in fields:
             if trim:
                 c = F.regexp_replace(F.regexp_replace(c, WIDE_SPACE, " "), "^ | $", "")
@@ -101,7 +101,7 @@ def derive(df: DataFrame, name: str, expression: Value | Column | str) -> DataFr
     out = set_field(df, name, value)
     kind = dict(out.dtypes)[name]
     if kind == "boolean":
-        return out.withColumn(name, F.when(F.col(name), "T").when(~F.col(name), "F"))
+        return out.withColumn(name, F.when(col(name), "T").when(~col(name), "F"))
     return out.withColumn(name, known(out, name))
 
 

@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oreflow.functions.values import as_text, is_number, known, round_to
-from oreflow.operators import record
+from oreflow.functions.values import as_text, col, cols, is_number, known, round_to
+from oreflow.operators import cart, clusters, gradient, record
+from oreflow.operators.associations import Rules, apriori, baskets, flag_baskets, recommend, value_baskets  # noqa: F401
+from oreflow.operators.chaid import Chaid  # noqa: F401
+from oreflow.operators.neighbours import Neighbours, matrix
 from oreflow.operators.lineage import kept
 
 #: Rows of a table that is sent to every task; a longer one is joined by a shuffle.
@@ -54,6 +54,14 @@ class Encoder:
                 texts[f] = [r["v"] for r in common.collect()][1 if drop_first else 0 :]
         return cls(scale, texts, list(fields))
 
+    def terms(self) -> list[str]:
+        """The names of the encoded columns."""
+        return [t for f in self.order for t in ([f] if f in self.numbers else [f"{f}={v}" for v in self.texts[f]])]
+
+    def sources(self) -> list[str]:
+        """The field of each encoded column."""
+        return [f for f in self.order for _ in ([f] if f in self.numbers else self.texts[f])]
+
     def columns(self, df: DataFrame) -> dict[str, Column]:
         out: dict[str, Column] = {}
         for f in self.order:
@@ -77,78 +85,32 @@ def with_vector(df: DataFrame, features: dict[str, Column], name: str = "feature
 
 
 class Supervised:
-    """A fitted MLlib model with its features: adds ``$P-target`` and, for classes, ``$PC-target``."""
+    """A fitted MLlib model of a number with its features: adds ``$prefix-target``."""
 
-    def __init__(self, prefix: str, target: str, encoder: Encoder, model: PipelineModel, classes: bool, confidence: str | None):
-        self.prefix, self.target, self.encoder, self.model, self.classes, self.confidence = prefix, target, encoder, model, classes, confidence
+    def __init__(self, prefix: str, target: str, encoder: Encoder, model: PipelineModel):
+        self.prefix, self.target, self.encoder, self.model = prefix, target, encoder, model
 
-    def importance(self) -> dict[str, float]:
-        """Of a tree: each input field's share of the gain, the greatest first; fields without any are left out."""
-        gains = self.model.stages[0].featureImportances.toArray().tolist()
-        total: dict[str, float] = {}
-        for f in self.encoder.order:
-            total[f] = sum(gains[: (width := 1 if f in self.encoder.numbers else len(self.encoder.texts[f]))])
-            gains = gains[width:]
-        return {f: g for f, g in sorted(total.items(), key=lambda x: -x[1]) if g > 0}
+    def coefficients(self, spark: SparkSession) -> DataFrame:
+        """``term, coefficient``, the intercept last."""
+        m = self.model.stages[0]
+        rows = [*zip(self.encoder.terms(), map(float, m.coefficients), strict=True), ("(Intercept)", float(m.intercept))]
+        return spark.createDataFrame(rows, "term string, coefficient double")
 
     def transform(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(with_vector(df, self.encoder.columns(df), "__x"))
-        out = [F.col("__label" if self.classes else "__p").alias(f"${self.prefix}-{self.target}")]
-        if self.classes:
-            share = F.array_max(vector_to_array(F.col(self.confidence))) if self.confidence else F.lit(1.0)
-            out.append(round_to(share).alias(f"${self.prefix}C-{self.target}"))
-        return scored.select(*[F.col(f"`{c}`") for c in df.columns], *out)
+        return scored.select(*cols(df.columns), F.col("__p").alias(f"${self.prefix}-{self.target}"))
 
 
 def _classes(train: DataFrame, target: str) -> DataFrame:
     rows = train.withColumn("__t", as_text(train, target)).where("__t is not null")
     if rows.select("__t").distinct().limit(2).count() < 2:
-        raise ValueError("The target needs at least two different values.")
+        raise ValueError("The target has to have two or more different values.")
     return rows
 
 
-def _fit(
-    prefix: str, train: DataFrame, target: str, inputs: list[str], estimator, classes: bool, confidence: str | None,
-    drop_first: bool = False,
-) -> Supervised:
-    train = train.select(*dict.fromkeys([target, *inputs])).persist()  # read by several aggregations and every iteration
-    rows = _classes(train, target) if classes else train.withColumn("__t", known(train, target).cast("double")).where("__t is not null")
-    encoder = Encoder.fit(rows, inputs, drop_first=drop_first)
-    features = encoder.columns(rows)
-    vectors = with_vector(rows, features, "__x").select("__x", "__t")
-    if classes:
-        index = StringIndexer(inputCol="__t", outputCol="__y", stringOrderType="alphabetAsc").fit(vectors)
-        body = Pipeline(stages=[
-            estimator(len(features), len(index.labels)), IndexToString(inputCol="__p", outputCol="__label", labels=index.labels),
-        ]).fit(index.transform(vectors))
-    else:
-        body = Pipeline(stages=[estimator(len(features), 0)]).fit(vectors.withColumnRenamed("__t", "__y"))
-    train.unpersist()
-    return Supervised(prefix, target, encoder, body, classes, confidence)
-
-
-def _columns(**more) -> dict:
-    return {"featuresCol": "__x", "labelCol": "__y", "predictionCol": "__p"} | more
-
-
-def tree(train: DataFrame, target: str, inputs: list[str], max_depth: int = 4, min_leaf: int = 5, max_bins: int | None = None) -> Supervised:
-    """CART by Gini or variance; thresholds between all neighbouring values of a number of up to 10,000 values, else among as many quantiles (or ``max_bins``)."""
-    if max_bins is None:
-        kinds = train.agg(*[F.approx_count_distinct(known(train, f), 0.02).alias(f) for f in inputs]).first()
-        max_bins = min(10_000, max(32, int(1.1 * max(kinds)) + 2))
-    if is_number(train, target) and not _few_whole(train, target):
-        return _fit("R", train, target, inputs, lambda n, k: DecisionTreeRegressor(
-            **_columns(), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins,
-        ), False, None)
-    return _fit("R", train, target, inputs, lambda n, k: DecisionTreeClassifier(
-        **_columns(probabilityCol="__q", rawPredictionCol="__r"), maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins,
-    ), True, "__q")
-
-
-def _few_whole(df: DataFrame, field: str) -> bool:
-    c = known(df, field).cast("double")
-    whole, kinds = df.agg(F.min((c == F.floor(c)).cast("int")), F.approx_count_distinct(c)).first()
-    return whole == 1 and kinds <= 5
+def tree(train: DataFrame, target: str, inputs: list[str], max_depth: int = 4, min_leaf: int = 5) -> cart.Cart:
+    """CART by Gini or variance (:mod:`oreflow.operators.cart`)."""
+    return cart.grow(train, target, inputs, max_depth, min_leaf)
 
 
 class Svm:
@@ -160,57 +122,65 @@ class Svm:
     def transform(self, df: DataFrame) -> DataFrame:
         x = list(self.encoder.columns(df).values())
         margins = [sum((c * w for c, w in zip(x, ws, strict=True) if w), F.lit(b)) for ws, b in self.planes]
-        out = df.withColumn("__s", F.array(*margins))
-        best = F.array_max(F.transform("__s", lambda s, i: F.struct(s.alias("s"), (-i).alias("i"))))
-        out = out.withColumn("__b", best)
-        spread = F.aggregate("__s", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("__b")["s"]))
-        names = F.array(*[F.lit(k) for k in self.classes])
-        return out.select(
-            *[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$SVM-{self.target}"),
-            round_to(1 / spread).alias(f"$SVMC-{self.target}"),
-        )
+        return gradient.chosen(df.withColumn("__s", F.array(*margins)), df.columns, self.classes, f"$SVM-{self.target}", f"$SVMC-{self.target}")
 
+    def weights(self, spark: SparkSession) -> DataFrame:
+        """``term, class, weight`` of every plane, the intercept last."""
+        rows = [(t, c, float(w)) for c, (ws, b) in zip(self.classes, self.planes, strict=True) for t, w in zip([*self.encoder.terms(), "(Intercept)"], [*ws, b], strict=True)]
+        return spark.createDataFrame(rows, "term string, class string, weight double")
 
-def svm(train: DataFrame, target: str, inputs: list[str], cost: float = 1.0, iterations: int = 50) -> Svm:
-    """Linear one-vs-rest hinge loss; ``regParam = 1 / cost`` gives the same optimum as cost * mean hinge."""
-    if not 1e-6 <= cost <= 100:
-        raise ValueError("SVM cost must be between 0.000001 and 100.")
-    train = train.select(*dict.fromkeys([target, *inputs])).persist()
-    rows = _classes(train, target)
-    encoder = Encoder.fit(rows, inputs)
-    vectors = with_vector(rows, encoder.columns(rows), "__x").select("__x", "__t").persist()
-    classes = sorted(r["__t"] for r in vectors.select("__t").distinct().collect())
-    one = LinearSVC(featuresCol="__x", labelCol="__y", regParam=1 / cost, maxIter=iterations, standardization=False)
-    planes = []
-    for c in classes:
-        m = one.fit(vectors.withColumn("__y", (F.col("__t") == c).cast("double")))
-        planes.append(([float(w) for w in m.coefficients], float(m.intercept)))
-    vectors.unpersist()
-    train.unpersist()
-    return Svm(target, encoder, classes, planes)
 
+def _within(name: str, value: float, low: float, high: float) -> None:
+    if not low <= value <= high:
+        raise ValueError(f"{name} is {value:g}; it can be from {low:g} to {high:g}.")
 
-def ann(train: DataFrame, target: str, inputs: list[str], hidden: int = 8, iterations: int = 200, seed: int = 42) -> Supervised:
-    if not 1 <= hidden <= 128:
-        raise ValueError("ANN hiddenUnits must be between 1 and 128.")
-    return _fit("ANN", train, target, inputs, lambda n, k: MultilayerPerceptronClassifier(
-        **_columns(probabilityCol="__q", rawPredictionCol="__r"), layers=[n, hidden, k], maxIter=iterations, seed=seed,
-    ), True, "__q")
 
+def svm(train: DataFrame, target: str, inputs: list[str], cost: float = 1.0, iterations: int = 1000, rate: float = 0.1) -> Svm:
+    """Half the squared weights plus ``cost`` times the mean hinge loss, for each class against the rest, by ``iterations`` steps of a falling rate."""
+    _within("SVM cost", cost, 1e-6, 100)
+    _within("SVM iterations", iterations, 1, 10_000)
+    encoder, classes, data, n = gradient.encoded(train, target, inputs, lambda rows: Encoder.fit(rows, inputs))
+    start = [np.zeros((len(classes), len(encoder.terms()))), np.zeros(len(classes))]
+    w, b = gradient.descend(data, start, *gradient.svm_step(n, cost, rate), iterations)
+    data.unpersist()
+    return Svm(target, encoder, classes, [(x.tolist(), float(y)) for x, y in zip(w, b, strict=True)])
 
-def logistic(train: DataFrame, target: str, inputs: list[str], l2: float = 1e-3, iterations: int = 300) -> Supervised:
-    return _fit("L", train, target, inputs, lambda n, k: LogisticRegression(
-        **_columns(probabilityCol="__q", rawPredictionCol="__r"), family="multinomial", regParam=l2, standardization=False,
-        maxIter=iterations,
-    ), True, "__q", drop_first=True)
+
+def ann(
+    train: DataFrame, target: str, inputs: list[str], hidden: int = 8, iterations: int = 500, seed: int = 42, rate: float = 0.1, l2: float = 1e-3,
+) -> gradient.Network:
+    """One layer of ``hidden`` tanh units and a softmax, by steps of backpropagation from a seeded start."""
+    _within("ANN hidden units", hidden, 1, 128)
+    _within("ANN iterations", iterations, 1, 10_000)
+    encoder, classes, data, n = gradient.encoded(train, target, inputs, lambda rows: Encoder.fit(rows, inputs))
+    start = gradient.network_start(len(encoder.terms()), hidden, len(classes), seed)
+    w = gradient.descend(data, start, *gradient.network_step(n, l2, rate), iterations)
+    data.unpersist()
+    return gradient.Network("ANN", target, encoder, classes, [(w[0].tolist(), w[1].tolist()), (w[2].tolist(), w[3].tolist())])
+
+
+def logistic(train: DataFrame, target: str, inputs: list[str], l2: float = 1e-3, iterations: int = 300, rate: float = 0.3) -> gradient.Network:
+    """Softmax regression with an L2 term on all but the intercepts, by steps from zero; a text's commonest value is the base."""
+    _within("Logistic iterations", iterations, 1, 10_000)
+    encoder, classes, data, n = gradient.encoded(train, target, inputs, lambda rows: Encoder.fit(rows, inputs, drop_first=True))
+    start = [np.zeros((len(classes), len(encoder.terms()))), np.zeros(len(classes))]
+    w, b = gradient.descend(data, start, *gradient.logistic_step(n, l2, rate), iterations)
+    data.unpersist()
+    return gradient.Network("L", target, encoder, classes, [(w.tolist(), b.tolist())])
 
 
 def linear(train: DataFrame, target: str, inputs: list[str], ridge: float = 0.0) -> Supervised:
     """Least squares by normal equations; the penalty is scaled as MLlib expects it."""
     sd = train.agg(F.stddev_pop(known(train, target).cast("double"))).first()[0] or 1.0
-    return _fit("E", train, target, inputs, lambda n, k: LinearRegression(
-        **_columns(), solver="normal", standardization=False, elasticNetParam=0.0, regParam=(1e-6 + ridge) * sd,
-    ), False, None, drop_first=True)
+    train = train.select(*cols(dict.fromkeys([target, *inputs]))).persist()  # read by several aggregations
+    rows = train.withColumn("__t", known(train, target).cast("double")).where("__t is not null")
+    encoder = Encoder.fit(rows, inputs, drop_first=True)
+    vectors = with_vector(rows, encoder.columns(rows), "__x").select("__x", F.col("__t").alias("__y"))
+    body = Pipeline(stages=[LinearRegression(
+        featuresCol="__x", labelCol="__y", predictionCol="__p", solver="normal", standardization=False, elasticNetParam=0.0, regParam=(1e-6 + ridge) * sd,
+    )]).fit(vectors)
+    train.unpersist()
+    return Supervised("E", target, encoder, body)
 
 
 # -- models by aggregation ------------------------------------------------------
@@ -271,91 +241,43 @@ class NaiveBayes:
         names = F.array(*[F.lit(k) for k in self.classes])
         scored = out.withColumn("__b", best)
         return scored.select(
-            *[F.col(f"`{c}`") for c in df.columns], F.get(names, -F.col("__b")["i"]).alias(f"$B-{self.target}"),
+            *cols(df.columns), F.get(names, -F.col("__b")["i"]).alias(f"$B-{self.target}"),
             round_to(1 / spread).alias(f"$BC-{self.target}"),
         )
 
 
 def knn(train: DataFrame, df: DataFrame, target: str, inputs: list[str], key: str, k: int = 5, block: int = 4000) -> DataFrame:
-    """Exact k nearest neighbours of each row of ``df``: vote of the classes, or mean of numbers; ties of distance by ``key``.
+    """Exact k nearest neighbours of each row of ``df``: vote of the classes, or mean of numbers; ties of distance by ``key``."""
+    return Neighbours.fit(train, target, inputs, key, Encoder.fit(train, inputs), k).transform(df, block)
 
-    Both sides are dealt into blocks of about ``block`` rows and each pair of
-    blocks is one group, whose distances are one matrix product; a group gives
-    the best k of each of its rows, and these are merged by an aggregation of
-    bounded state.  No rows pass through the driver.
-    """
-    features = encode(train, inputs)
-    numeric = is_number(train, target) and not _few_whole(train, target)
-    label = known(train, target).cast("double").cast("string") if numeric else as_text(train, target)
-    x = F.array(*features.values()).cast("array<double>").alias("x")
-    vectors = train.select(F.col(key).cast("bigint").alias("id"), label.alias("label"), x).where("label is not null")
-    asked = kept(df.select("*", F.monotonically_increasing_id().alias("__q"), x.alias("__x")))
-    trains, queries = max(1, -(-vectors.count() // block)), max(1, -(-asked.count() // block))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(F.col("__q").alias("id"), F.col("__x").alias("x"), part("__q", queries).alias("a"), every(trains).alias("b"))
-    right = vectors.select("id", "label", "x", every(queries).alias("a"), part("id", trains).alias("b"))
 
-    def nearest(q: pa.Table, t: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"q": [], "near": []}
-        if q.num_rows and t.num_rows:
-            x, y = (np.array(s.column("x").to_pylist(), float).reshape(s.num_rows, -1) for s in (q, t))
-            ids, labels, size = t.column("id").to_numpy(), t.column("label").to_pylist(), (y**2).sum(axis=1)
-            for at in range(0, len(x), 512):
-                # The product tells far from near; those about as near as the k-th are measured exactly.
-                some = x[at : at + 512]
-                rough = np.maximum(0.0, (some**2).sum(axis=1)[:, None] + size[None] - 2 * some @ y.T)
-                cut = np.partition(rough, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
-                for i, row in enumerate(rough):
-                    own = np.flatnonzero(row <= cut[i] + 1e-9 * (1 + cut[i] + size.max()))
-                    d = ((y[own] - some[i]) ** 2).sum(axis=1)
-                    best = own[order := np.lexsort((ids[own], d))[:k]]
-                    out["q"].append(int(q.column("id")[at + i].as_py()))
-                    out["near"].append([{"d": float(e), "key": int(ids[j]), "label": labels[j]} for e, j in zip(d[order], best, strict=True)])
-        return pa.table(
-            out,
-            schema=pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("label", pa.string())])))]),
-        )
+def _distances(vector: Column, centres: list[list[float]]) -> Column:
+    """The distance to each centre, as an array."""
+    square = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    return F.transform(F.lit([[float(x) for x in c] for c in centres]), lambda c: F.sqrt(square(c)))
 
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(
-        nearest, "q bigint, near array<struct<d:double,key:bigint,label:string>>",
-    )
-    # At most k rows from each block of training rows.
-    near = found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("__near"))
-    out = asked.join(near.withColumnRenamed("q", "__q"), "__q", "left")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    if numeric:
-        value = F.aggregate("__near", F.lit(0.0), lambda acc, r: acc + r["label"].cast("double")) / F.size("__near")
-        return out.select(*columns, value.alias(f"$KNN-{target}"))
-    vote = lambda v: F.size(F.filter("__near", lambda r: r["label"] == v["label"]))
-    ranked = F.transform("__near", lambda v, i: F.struct(vote(v).alias("n"), (-i).alias("i"), v["label"].alias("label")))
-    out = out.withColumn("__v", F.array_max(ranked))
-    return out.select(
-        *columns, F.col("__v")["label"].alias(f"$KNN-{target}"), round_to(F.col("__v")["n"] / F.size("__near")).alias(f"$KNNC-{target}"),
-    )
+
+def _nearest(vector: Column, centres: list[list[float]]) -> Column:
+    """``d`` and ``k`` (from 0) of the first nearest centre."""
+    return F.array_min(F.transform(_distances(vector, centres), lambda d, i: F.struct(d.alias("d"), i.alias("k"))))
 
 
 def assign(df: DataFrame, vector: Column, centres: list[list[float]], prefix: str = "KM") -> DataFrame:
     """The nearest centre (ties: the first) as ``cluster-k`` and the distance."""
-    d = [F.sqrt(F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in c]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)) for c in centres]
-    best = F.array_min(F.array(*[F.struct(x.alias("d"), F.lit(i + 1).alias("k")) for i, x in enumerate(d)]))
-    return df.withColumn("__b", best).withColumn(
-        f"${prefix}-K-Means", F.concat(F.lit("cluster-"), F.col("__b")["k"]),
-    ).withColumn(f"${prefix}D-K-Means", F.col("__b")["d"]).drop("__b")
-
+    near = df.withColumn("__b", _nearest(vector, centres))
+    return near.select(
+        *cols(df.columns), F.concat(F.lit("cluster-"), F.col("__b")["k"] + 1).alias(f"${prefix}-K-Means"), F.col("__b")["d"].alias(f"${prefix}D-K-Means"),
+    )
 
-def kmeans_centres(df: DataFrame, vector: Column, k: int, seed: int = 1, iterations: int = 50) -> list[list[float]]:
-    """Lloyd's algorithm on MLlib from its seeded start."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
 
-    rows = df.select(array_to_vector(vector).alias("features"))
-    return [list(map(float, c)) for c in KMeans(k=k, seed=seed, maxIter=iterations, tol=0.0).fit(rows).clusterCenters()]
+def kmeans_centres(df: DataFrame, vector: Column, k: int, seed: int = 1, iterations: int = 50, keys: list[str] | None = None) -> list[list[float]]:
+    """Lloyd's algorithm from a seeded start (:mod:`oreflow.operators.clusters`); rows in the order of ``keys``, else of their vectors."""
+    return clusters.fit(df, vector, k, seed, iterations, keys)[0].tolist()
 
 
 def kmeans(df: DataFrame, vector: Column, k: int, key: str, seed: int = 1, iterations: int = 50, full: int = 2000) -> DataFrame:
     """Cluster and distance of each row and, of up to ``full`` rows, its silhouette ``$KMS-K-Means``."""
-    out = kept(assign(df, vector, kmeans_centres(df, vector, k, seed, iterations)))
+    out = kept(assign(df, vector, kmeans_centres(df, vector, k, seed, iterations, [key])))
     if out.limit(full + 1).count() > full:
         return out
     found = silhouette(out, vector, "$KM-K-Means", key, full=full)
@@ -364,107 +286,184 @@ def kmeans(df: DataFrame, vector: Column, k: int, key: str, seed: int = 1, itera
 
 def single_cluster(df: DataFrame, features: dict[str, Column], percent: float = 5.0) -> DataFrame:
     """One centre: distance, index (distance by its mean) and the flag of those beyond the quantile."""
-    names = list(features)
-    means = df.agg(*[F.avg(features[n]).alias(f"m{i}") for i, n in enumerate(names)]).first()
-    d = F.sqrt(sum(((features[n] - means[f"m{i}"]) ** 2 for i, n in enumerate(names)), F.lit(0.0)))
+    x = list(features.values())
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    d = F.sqrt(sum(((c - means[f"m{i}"]) ** 2 for i, c in enumerate(x)), F.lit(0.0)))
+    return _flagged(df, d, *_cut_off(df, d, percent))
+
+
+def _share(percent: float | None) -> float:
+    return min(50.0, max(0.1, percent or 5.0)) / 100
+
+
+def _cut_off(df: DataFrame, d: Column, percent: float) -> tuple[float, float]:
+    """The mean of a distance, and its quantile that leaves ``percent`` of the rows beyond."""
+    out = df.select(d.alias("d"))
+    return out.agg(F.avg("d")).first()[0] or 1.0, (record.quantile(out, "d", 1 - _share(percent)) or [math.inf])[0]
+
+
+def _flagged(df: DataFrame, d: Column, mean: float, cut: float) -> DataFrame:
     out = df.withColumn("$KMD-K-Means", d)
-    p = min(50.0, max(0.1, percent))
-    mean, cut = out.agg(F.avg("`$KMD-K-Means`")).first()[0], (record.quantile(out, "$KMD-K-Means", 1 - p / 100) or [None])[0]
-    return out.withColumn("$KMI-K-Means", F.col("`$KMD-K-Means`") / (mean or 1.0)).withColumn(
-        "$KMA-K-Means", F.when(F.col("`$KMD-K-Means`") > cut, "anomaly").otherwise("normal"),
+    return out.withColumn("$KMI-K-Means", col("$KMD-K-Means") / mean).withColumn(
+        "$KMA-K-Means", F.when(col("$KMD-K-Means") > cut, "anomaly").otherwise("normal"),
     )
 
 
+class KMeans:
+    """Saved centres: adds cluster and distance or, of one centre, distance, index and flag."""
+
+    def __init__(self, encoder: Encoder, centres: list[list[float]], mean: float | None = None, cut: float | None = None):
+        self.encoder, self.centres, self.mean, self.cut = encoder, centres, mean, cut
+
+    @classmethod
+    def fit(cls, train: DataFrame, inputs: list[str], k: int = 3, seed: int = 1, iterations: int = 50, keys: list[str] | None = None, percent: float = 5.0) -> KMeans:
+        """``k`` clusters; with one, the cut-off that flags ``percent`` of the training rows."""
+        encoder = Encoder.fit(train, inputs)
+        x = F.array(*encoder.columns(train).values()).cast("array<double>")
+        if k > 1:
+            return cls(encoder, kmeans_centres(train, x, k, seed, iterations, keys))
+        means = train.agg(*[F.avg(c) for c in encoder.columns(train).values()]).first()
+        centre = [[float(m or 0.0) for m in means]]
+        return cls(encoder, centre, *_cut_off(train, _nearest(x, centre)["d"], percent))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = F.array(*self.encoder.columns(df).values()).cast("array<double>")
+        if self.mean is None:
+            return assign(df, x, self.centres)
+        return _flagged(df, _nearest(x, self.centres)["d"], self.mean, self.cut)
+
+
+class Anomaly:
+    """Peer groups: adds flag, index (distance by its group's mean), group and, of anomalies, the field behind most of the distance."""
+
+    def __init__(self, encoder: Encoder, centres: list[list[float]], means: list[float], cut: float):
+        self.encoder, self.centres, self.means, self.cut = encoder, centres, means, cut
+
+    @classmethod
+    def fit(
+        cls, train: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1, centres: list[list[float]] | None = None,
+        index: float | None = None, keys: list[str] | None = None,
+    ) -> Anomaly:
+        """The cut-off is the index that ``percent`` of the training rows exceed, or ``index`` itself if given."""
+        encoder = Encoder.fit(train, inputs)
+        x = F.array(*encoder.columns(train).values()).cast("array<double>")
+        centres = centres or kmeans_centres(train, x, groups, seed, keys=keys)
+        near = kept(train.select(_nearest(x, centres).alias("b")).select("b.*"))
+        found = {r["k"]: r["m"] for r in near.groupBy("k").agg(F.avg("d").alias("m")).collect()}  # a row for each group
+        overall = near.agg(F.avg("d")).first()[0] or 0.0
+        means = [m if (m := found.get(k, 0.0)) > 1e-9 else overall if overall > 1e-9 else 1.0 for k in range(len(centres))]
+        out = cls(encoder, centres, means, index if index is not None else math.inf)
+        if index is None:
+            out.cut = record.quantile(near.select((F.col("d") / F.get(F.lit(means), "k")).alias("i")), "i", 1 - _share(percent))[0]
+        return out
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        x = list(self.encoder.columns(df).values())
+        out = df.withColumn("__b", _nearest(F.array(*x).cast("array<double>"), self.centres))
+        out = out.withColumn("__i", F.col("__b")["d"] / F.get(F.lit(self.means), F.col("__b")["k"]))
+        middle = F.get(F.lit(self.centres), F.col("__b")["k"])
+        owners = self.encoder.sources()
+        share = [F.struct(
+            sum(((c - F.get(middle, F.lit(i))) ** 2 for i, (c, own) in enumerate(zip(x, owners, strict=True)) if own == f), F.lit(0.0)).alias("s"),
+            F.lit(-k).alias("k"), F.lit(f).alias("f"),
+        ) for k, f in enumerate(self.encoder.order)]
+        flag = F.col("__i") > self.cut
+        return out.select(
+            *cols(df.columns), F.col("__i").alias("$OA-Anomaly"), F.when(flag, "anomaly").otherwise("normal").alias("$O-Anomaly"),
+            F.concat(F.lit("peer-"), F.col("__b")["k"] + 1).alias("$OP-Anomaly"), F.when(flag, F.array_max(F.array(*share))["f"]).alias("$OR-Anomaly"),
+        )
+
+
 def anomaly(
-    train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1,
-    centres: list[list[float]] | None = None,
+    train: DataFrame, df: DataFrame, inputs: list[str], groups: int = 3, percent: float = 5.0, seed: int = 1, centres: list[list[float]] | None = None,
+    index: float | None = None, keys: list[str] | None = None,
 ) -> DataFrame:
-    """Peer groups by k-means of ``train``, or about given ``centres``; index = distance by its group's mean; the field behind most of an anomaly's distance."""
-    features = encode(train, inputs)
-    vector = F.array(*features.values())
-    centres = centres or kmeans_centres(train, vector, groups, seed)
-    index_of = lambda x: x.withColumn("__k", F.col("`$O-K-Means`")).drop("`$O-K-Means`")
-    base = index_of(assign(train, vector, centres, "O"))
-    means = {r["__k"]: r["m"] for r in base.groupBy("__k").agg(F.avg("`$OD-K-Means`").alias("m")).collect()}
-    overall = base.agg(F.avg("`$OD-K-Means`")).first()[0] or 1.0
-    scale = F.create_map(*[F.lit(x) for k, m in means.items() for x in (k, m if m > 1e-9 else overall if overall > 1e-9 else 1.0)])
-    indexed = lambda x: x.withColumn("$OA-Anomaly", F.col("`$OD-K-Means`") / F.coalesce(F.try_element_at(scale, F.col("__k")), F.lit(1.0)))
-    cut = record.quantile(indexed(base), "$OA-Anomaly", 1 - percent / 100)[0]
-    out = indexed(index_of(assign(df, vector, centres, "O")))
-    fields = list(dict.fromkeys(n.split("=")[0] for n in features))
-    middle = F.get(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.substring("__k", 9, 9).cast("int") - 1)
-    share = [F.struct(
-        sum(((c - F.get(middle, F.lit(i))) ** 2 for i, (n, c) in enumerate(features.items()) if n.split("=")[0] == f), F.lit(0.0)).alias("s"),
-        F.lit(f).alias("f"),
-    ) for f in fields]
-    flag = F.col("`$OA-Anomaly`") > cut
-    return out.withColumn("$O-Anomaly", F.when(flag, "anomaly").otherwise("normal")).withColumn("$OP-Anomaly", F.regexp_replace("__k", "cluster", "peer")).withColumn(
-        "$OR-Anomaly", F.when(flag, F.array_max(F.array(*share))["f"]),
-    ).drop("__k", "$OD-K-Means")
+    """:class:`Anomaly` fitted on ``train``, or about given ``centres``, and applied to ``df``."""
+    return Anomaly.fit(train, inputs, groups, percent, seed, centres, index, keys).transform(df)
+
+
+def profiles(scored: DataFrame, inputs: list[str], cluster: str) -> DataFrame:
+    """``cluster, n, field, value``: each cluster's mean of a number and commonest value of a text (of equally common ones the first)."""
+    numbers = [f for f in inputs if is_number(scored, f)]
+    name = col(cluster).alias("cluster")
+    sizes = scored.groupBy(name).agg(F.count("*").alias("n"), *[F.avg(known(scored, f).cast("double")).alias(f"m{i}") for i, f in enumerate(numbers)])
+    shown = [F.struct(F.lit(f).alias("field"), round_to(F.col(f"m{i}")).cast("string").alias("value")) for i, f in enumerate(numbers)]
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    out = sizes.select("cluster", "n", F.inline(F.array(*shown) if shown else none))
+    for f in (f for f in inputs if f not in numbers):
+        counts = scored.groupBy(name, as_text(scored, f).alias("v")).agg(F.count("*").alias("c")).where("v is not null")
+        top = counts.groupBy("cluster").agg(F.min_by("v", F.struct(-F.col("c"), F.col("v"))).alias("value"))
+        out = out.unionByName(sizes.join(F.broadcast(top), "cluster").select("cluster", "n", F.lit(f).alias("field"), "value"))
+    return out
+
+
+#: The least mean silhouette of each band, and its name.
+BANDS = ((0.7, "strong"), (0.5, "reasonable"), (0.25, "weak"))
+
+
+def silhouette_summary(found: DataFrame) -> DataFrame:
+    """``cluster, n, silhouette, structure`` of scored records by cluster, and of all of them as cluster ``all``."""
+    rows = found.select("cluster", "silhouette").unionByName(found.select(F.lit("all").alias("cluster"), "silhouette"))
+    per = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("silhouette").alias("silhouette"))
+    band: Column = F.lit("none")
+    for least, name in reversed(BANDS):
+        band = F.when(F.col("silhouette") > least, name).otherwise(band)
+    return per.withColumn("structure", band)
 
 
 def silhouette(
     df: DataFrame, vector: Column, cluster: str, key: str, sample: int = 1000, seed: int = 7919, full: int = 2000,
-    of: DataFrame | None = None,
+    of: DataFrame | None = None, block: int = 4000,
 ) -> DataFrame:
     """Euclidean silhouettes against all rows: of every record up to ``full`` rows, above that of ``sample`` records (those with the smallest seeded hash).
 
-    With ``of``, rows of ``df`` themselves, of those records instead, in blocks.
-    The scored records are sent to every task, ``full`` at a time, which adds
-    up its distances by cluster; only (record, cluster, sum, count) rows are
-    shuffled.  ``key`` is a whole number.
+    With ``of``, rows of ``df`` themselves, of those records instead.  Scored
+    records and all rows are dealt into blocks of about ``block``; each pair of
+    blocks is one group that adds up its distances by cluster, and only
+    (record, cluster, sum, count) rows are merged.  ``key`` is a whole number.
     """
+    shape = lambda x: x.select(col(key).cast("bigint").alias("key"), col(cluster).alias("cluster"), vector.cast("array<double>").alias("x"))
+    rows = shape(df)
     if of is not None:
-        blocks = max(1, -(-of.count() // full))
-        own = [of.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
-        parts = [_silhouette(
-            df, vector, cluster, key,
-            x.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x")).collect(),
-        ) for x in own]
-        out = parts[0]
-        for x in parts[1:]:
-            out = out.union(x)
-        return out
-    rows = df.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x"))
-    chosen = rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(full + 1).collect()
-    return _silhouette(df, vector, cluster, key, chosen if len(chosen) <= full else chosen[:sample])
-
-
-def _silhouette(df: DataFrame, vector: Column, cluster: str, key: str, chosen: list) -> DataFrame:
-    """Silhouettes of the ``chosen`` records (key, cluster, x)."""
-    rows = df.select(F.col(key).alias("key"), F.col(f"`{cluster}`").alias("cluster"), vector.alias("x"))
-    sent = df.sparkSession.sparkContext.broadcast((np.array([r["x"] for r in chosen], float), [r["key"] for r in chosen]))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, keys = sent.value
-        total: dict[str, list] = {}
-        for b in batches:
-            names = np.array(b.column(1).to_pylist(), object)
-            y = np.array(b.column(2).to_pylist(), float)
-            if not len(x) or not len(y):
-                continue
-            d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T))
-            for c in set(names.tolist()):
-                own = total.setdefault(c, [np.zeros(len(x)), 0])
-                own[0] += d[:, names == c].sum(axis=1)
-                own[1] += int((names == c).sum())
-        for c, (s, n) in total.items():
-            yield pa.RecordBatch.from_pydict(
-                {"key": keys, "other": [c] * len(keys), "s": s.tolist(), "n": [n] * len(keys)},
-                schema=pa.schema([("key", pa.int64()), ("other", pa.string()), ("s", pa.float64()), ("n", pa.int64())]),
-            )
+        chosen = kept(shape(of))
+    else:
+        n = df.limit(full + 1).count()
+        chosen = kept(rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(full if n <= full else sample))
+    left, right, _ = paired(chosen.withColumnRenamed("key", "id"), rows.withColumnRenamed("key", "id"), block)
 
-    sums = rows.mapInArrow(
-        add, "key bigint, other string, s double, n bigint",
-    ).groupBy("key", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    own = df.sparkSession.createDataFrame([(r["key"], r["cluster"]) for r in chosen], "key bigint, cluster string")
-    both = sums.join(F.broadcast(own), "key")
+    def add(q: pa.Table, t: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"key": [], "cluster": [], "other": [], "s": [], "n": []}
+        if q.num_rows and t.num_rows:
+            x, y = (matrix(s.column("x")) for s in (q, t))
+            keys, own, names = q.column("id").to_pylist(), q.column("cluster").to_pylist(), np.array(t.column("cluster").to_pylist(), object)
+            members = {c: np.flatnonzero(names == c) for c in dict.fromkeys(names.tolist())}
+            for at in range(0, len(x), 256):
+                some = x[at : at + 256]
+                d = np.sqrt(np.maximum(0, (some**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * some @ y.T))
+                for c, where in members.items():
+                    out["key"] += keys[at : at + 256]
+                    out["cluster"] += own[at : at + 256]
+                    out["other"] += [c] * len(some)
+                    out["s"] += d[:, where].sum(axis=1).tolist()
+                    out["n"] += [len(where)] * len(some)
+        return pa.table(out, schema=pa.schema([("key", pa.int64()), ("cluster", pa.string()), ("other", pa.string()), ("s", pa.float64()), ("n", pa.int64())]))
+
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(add, "key bigint, cluster string, other string, s double, n bigint")
+    sums = sums.groupBy("key", "cluster", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     same = F.col("other") == F.col("cluster")
-    per = both.groupBy("key", "cluster").agg(
+    per = sums.groupBy("key", "cluster").agg(
         F.max(F.when(same, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a"),
         F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"),
     )
-    return per.select("key", "cluster", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+    return per.select("key", "cluster", F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)).alias("silhouette"))
+
+
+def paired(left: DataFrame, right: DataFrame, block: int) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with block numbers ``a`` and ``b``, copied so that every block of one meets every block of the other, and the number of pairs; rows are dealt by ``id``."""
+    sizes = [max(1, -(-x.count() // block)) for x in (left, right)]
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return left.select("*", part(sizes[0]).alias("a"), every(sizes[1]).alias("b")), right.select("*", every(sizes[0]).alias("a"), part(sizes[1]).alias("b")), sizes[0] * sizes[1]
 
 
 # -- splits, contingency, rules ----------------------------------------------------
@@ -529,255 +528,3 @@ def chi_square(df: DataFrame, field: str, target: str) -> DataFrame:
         F.count_distinct("b").alias("rb"),
     )
     return share.select((total * (F.col("s") - 1)).alias("chi2"), ((F.col("ra") - 1) * (F.col("rb") - 1)).alias("df"))
-
-
-def chi_square_p(chi2: float, df: int) -> float:
-    """The upper tail of the chi-square distribution, by the series or the continued fraction of the incomplete gamma function."""
-    if df <= 0 or chi2 <= 0:
-        return 1.0
-    a, x = df / 2, chi2 / 2
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        n = a
-        while abs(term) > abs(total) * 1e-15:
-            n += 1
-            term *= x / n
-            total += term
-        return max(0.0, 1 - front * total)
-    # Evaluated from the far end: x + 1 - a - 1 (1 - a) / (x + 3 - a - ...).
-    value = x + 2 * 400 + 1 - a
-    for i in range(400, 0, -1):
-        value = x + 2 * i - 1 - a - i * (i - a) / value
-    return min(1.0, front / value)
-
-
-#: Categories of a text field that CHAID merges on the driver at most.
-MOST_CATEGORIES = 5000
-
-
-class Chaid:
-    """A multiway tree: categories merged while alike, split on the smallest adjusted p-value.
-
-    Each level is one grouped count of (node, field, code, class) in Spark;
-    the contingency tables, at most fields x codes x classes a node, are merged
-    on the driver.  Numbers get at most ``bins`` ordered codes at quantiles;
-    text a code for each value, or with ``most`` for its commonest ones, and one for all others.
-    """
-
-    def __init__(
-        self, train: DataFrame, target: str, inputs: list[str], max_depth: int = 3, min_parent: int = 30, min_child: int = 10,
-        alpha_split: float = 0.05, alpha_merge: float = 0.05, bins: int = 10, most: int | None = None,
-    ):
-        train = train.select(*dict.fromkeys([target, *inputs])).persist()
-        rows = _classes(train, target)
-        self.target, self.inputs = target, inputs
-        self.ordered = {f: is_number(train, f) for f in inputs}
-        self.cuts: dict[str, list[float]] = {}
-        self.values: dict[str, list[str]] = {}
-        for f in inputs:
-            if self.ordered[f]:
-                self.cuts[f] = sorted(set(record.quantile(rows, f, *[i / bins for i in range(1, bins)])))
-                continue
-            common = rows.groupBy(as_text(train, f).alias("v")).count().where("v is not null").orderBy(F.desc("count"), "v")
-            values = [r["v"] for r in common.limit(most or MOST_CATEGORIES + 1).collect()]
-            if most is None and len(values) > MOST_CATEGORIES:
-                raise ValueError(f'"{f}" has more than {MOST_CATEGORIES} categories. Set a number of the commonest to tell apart.')
-            self.values[f] = values
-        self.nodes: list[dict] = [{"split": None, "children": {}, "counts": {}}]
-        coded = rows.select("__t", *[c.alias(f"k{i}") for i, c in enumerate(self._codes(train))])
-        frontier = [0]
-        for depth in range(max_depth + 1):
-            node = self._node([f"k{i}" for i in range(len(inputs))])
-            long = coded.withColumn("node", node).where(F.col("node").isin(frontier)).select(
-                "node", "__t",
-                F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"k{i}").alias("code")) for i in range(len(inputs))])).alias("x"),
-            ).groupBy("node", "x.f", "x.code", "__t").count()
-            tables: dict[int, dict[int, dict[int, dict[str, int]]]] = {}
-            for r in long.collect():
-                tables.setdefault(r["node"], {}).setdefault(r["f"], {}).setdefault(r["code"], {})[r["__t"]] = r["count"]
-            new = []
-            for k in frontier:
-                per = tables.get(k, {})
-                for cells in per.get(0, {}).values():
-                    for t, n in cells.items():
-                        self.nodes[k]["counts"][t] = self.nodes[k]["counts"].get(t, 0) + n
-                if depth == max_depth or sum(self.nodes[k]["counts"].values()) < min_parent or len(self.nodes[k]["counts"]) < 2:
-                    continue
-                best = min(
-                    ((*self._merge(t, self.ordered[inputs[f]], alpha_merge, min_child), f) for f, t in sorted(per.items())),
-                    key=lambda x: (x[0], -x[1], x[3]), default=None,
-                )
-                if best and best[0] < alpha_split and len(best[2]) > 1:
-                    self.nodes[k]["split"] = best[3]
-                    for group in best[2]:
-                        self.nodes.append({"split": None, "children": {}, "counts": {}})
-                        new.append(len(self.nodes) - 1)
-                        for code in group:
-                            self.nodes[k]["children"][code] = len(self.nodes) - 1
-            frontier = new
-            if not new:
-                break
-        train.unpersist()
-
-    def _codes(self, df: DataFrame) -> list[Column]:
-        """Each input's code: the range of a number or the place of a text value, then one for other texts, then one for missing ones."""
-        out = []
-        for f in self.inputs:
-            if self.ordered[f]:
-                c = known(df, f).cast("double")
-                out.append(F.when(c.isNull(), len(self.cuts[f]) + 1).otherwise(sum(((c > x).cast("int") for x in self.cuts[f]), F.lit(0))))
-                continue
-            x, values = as_text(df, f), self.values[f]
-            place = F.create_map(*[F.lit(y) for i, v in enumerate(values) for y in (v, i)]) if values else None
-            code = F.coalesce(F.try_element_at(place, x), F.lit(len(values))) if values else F.lit(0)
-            out.append(F.when(x.isNull(), len(values) + 1).otherwise(code))
-        return out
-
-    @staticmethod
-    def _table(cells: list[dict[str, int]]) -> tuple[float, float]:
-        names = sorted({t for c in cells for t in c})
-        m = np.array([[c.get(t, 0) for t in names] for c in cells], float)
-        want = m.sum(1)[:, None] * m.sum(0)[None] / m.sum()
-        chi2 = float(((m - want) ** 2 / want).sum())
-        return chi2, chi_square_p(chi2, (len(cells) - 1) * (len(names) - 1))
-
-    def _merge(self, table: dict[int, dict[str, int]], ordered: bool, alpha: float, least: int) -> tuple[float, float, list[list[int]]]:
-        """Adjusted p, chi-square and the merged groups of codes of one field."""
-        groups = [([c], dict(table[c])) for c in sorted(table)]
-        join = lambda a, b: (a[0] + b[0], {t: a[1].get(t, 0) + b[1].get(t, 0) for t in {*a[1], *b[1]}})
-
-        def pairs() -> list[tuple[float, int, int]]:
-            return [(
-                self._table([groups[i][1], groups[j][1]])[1], i, j,
-            ) for i in range(len(groups)) for j in range(i + 1, len(groups)) if not ordered or j == i + 1]
-
-        start = len(groups)
-        while len(groups) > 1:
-            small = [i for i, g in enumerate(groups) if sum(g[1].values()) < least]
-            p, i, j = max(pairs(), key=lambda x: (x[0], -x[1], -x[2]))
-            if p <= alpha:
-                if not small:
-                    break
-                p, i, j = max((x for x in pairs() if small[0] in x[1:]), key=lambda x: x[0])
-            groups[i] = join(groups[i], groups[j])
-            del groups[j]
-        if len(groups) < 2:
-            return 1.0, 0.0, [g[0] for g in groups]
-        chi2, p = self._table([g[1] for g in groups])
-        r = len(groups)
-        times = math.comb(start - 1, r - 1) if ordered else sum((-1) ** i * (r - i) ** start / (math.factorial(i) * math.factorial(r - i)) for i in range(r))
-        return min(1.0, p * times), chi2, [g[0] for g in groups]
-
-    def _node(self, names: list[str]) -> Column:
-        """The number of the deepest node that a row of codes reaches."""
-
-        def down(k: int) -> Column:
-            n = self.nodes[k]
-            out: Column = F.lit(k)
-            if n["split"] is not None:
-                code = F.col(names[n["split"]])
-                for child in sorted(set(n["children"].values())):
-                    out = F.when(code.isin([c for c, x in n["children"].items() if x == child]), down(child)).otherwise(out)
-            return out
-
-        return down(0)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        names = [f"__k{i}" for i in range(len(self.inputs))]
-        top = [max(sorted(n["counts"]), key=n["counts"].get) if n["counts"] else None for n in self.nodes]
-        share = [n["counts"][t] / sum(n["counts"].values()) if t is not None else 0.0 for n, t in zip(self.nodes, top, strict=True)]
-        out = df.select("*", *[c.alias(n) for n, c in zip(names, self._codes(df), strict=True)]).withColumn("__n", self._node(names))
-        return out.withColumn(f"$CH-{self.target}", F.get(F.array(*[F.lit(x) for x in top]), "__n")).withColumn(
-            f"$CHC-{self.target}", round_to(F.get(F.array(*[F.lit(x) for x in share]), "__n")),
-        ).drop("__n", *names)
-
-
-def baskets(df: DataFrame, basket: str, item: str) -> DataFrame:
-    """One row per basket with its set of trimmed items; rows that lack either are left out."""
-    b, i = as_text(df, basket), F.nullif(F.trim(as_text(df, item)), F.lit(""))
-    return df.where(b.isNotNull() & i.isNotNull()).groupBy(b.alias("basket")).agg(F.sort_array(F.collect_set(i)).alias("items"))
-
-
-def flag_baskets(df: DataFrame, flags: list[str], key: str) -> DataFrame:
-    """Baskets from fields that say T, true, yes, y or 1; rows with none count as empty baskets."""
-    return df.select(
-        as_text(df, key).alias("basket"),
-        F.array_compact(F.array(*[F.when(F.lower(as_text(df, f)).isin("t", "true", "y", "yes", "1"), f) for f in flags])).alias("items"),
-    )
-
-
-def value_baskets(df: DataFrame, fields: list[str], key: str) -> DataFrame:
-    """Baskets of ``field = value`` items, one for each row; missing values are no items."""
-    return df.select(
-        as_text(df, key).alias("basket"),
-        F.array_compact(F.array(*[F.concat(F.lit(f"{f} = "), as_text(df, f)) for f in fields])).alias("items"),
-    )
-
-
-def apriori(
-    sets: DataFrame, min_support: float = 10, min_confidence: float = 50, max_antecedents: int = 3, most: int = 200_000,
-) -> tuple[DataFrame, DataFrame]:
-    """Frequent item sets, and rules with one consequent: supports, confidence and lift.
-
-    Level by level: each basket's frequent sets grow by one item behind their
-    last, are counted, and only the frequent ones go on, so nothing longer
-    than ``max_antecedents + 1`` is made.  More than ``most`` sets of a level
-    to be counted are an error, as a sign of too small a support.
-    """
-    n = sets.count()
-    if not n:
-        raise ValueError("No transactions to analyse.")
-    least = math.ceil(max(0.0001, (min_support or 10) / 100) * n)
-    items = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    level = kept(items.select(F.array("item").alias("items"), "n"))
-    levels = [level]
-    single = _sized(level.select(F.col("items")[0].alias("item")))
-    numbered = kept(sets.select(F.monotonically_increasing_id().alias("b"), F.array_distinct("items").alias("items")))
-    whole = numbered.select("b", F.explode("items").alias("item"))
-    frequent = kept(whole.join(single, "item").groupBy("b").agg(F.sort_array(F.collect_list("item")).alias("own")))
-    rows = frequent.select("own", F.explode(F.transform("own", lambda x: F.array(x))).alias("prefix"))
-    for _ in range(max(1, round(max_antecedents))):
-        behind = F.filter("own", lambda x: x > F.element_at("prefix", -1))
-        grown = rows.select("own", F.explode(F.transform(behind, lambda x: F.concat("prefix", F.array(x)))).alias("prefix"))
-        # Only sets whose last item and prefix make frequent sets of the level before, too.
-        if len(levels) > 1:
-            known_sets = _sized(levels[-1].select(F.col("items").alias("tail")))
-            tail = F.concat(F.slice("prefix", 1, len(levels) - 1), F.slice("prefix", -1, 1))
-            grown = grown.withColumn("tail", tail).join(known_sets, "tail", "left_semi").drop("tail")
-        counts = grown.groupBy(F.col("prefix").alias("items")).agg(F.count("*").alias("n"))
-        if counts.limit(most + 1).count() > most:
-            raise ValueError("Too many candidate itemsets. Raise the minimum support.")
-        level = kept(counts.where(F.col("n") >= least))
-        if level.isEmpty():
-            break
-        levels.append(level)
-        rows = grown.join(_sized(level.select(F.col("items").alias("prefix"))), "prefix", "left_semi").select("own", "prefix")
-    found = levels[0]
-    for own in levels[1:]:
-        found = found.union(own)
-    supports = found.select(F.col("items").alias("ante"), F.col("n").alias("n_ante"))
-    alone = levels[0].select(F.col("items")[0].alias("Consequent"), F.col("n").alias("n_cons"))
-    parts = found.where(F.size("items") > 1).select("items", "n", F.explode("items").alias("Consequent"))
-    parts = parts.withColumn("ante", F.array_remove("items", F.col("Consequent"))).join(supports, "ante").join(alone, "Consequent")
-    confidence = F.col("n") / F.col("n_ante")
-    rules = parts.where(confidence >= (min_confidence or 0) / 100).select(
-        F.array_join("ante", " & ").alias("Antecedent"), "Consequent", (F.col("n_ante") / n).alias("Antecedent support"), (F.col("n") / n).alias("Rule support"),
-        confidence.alias("Confidence"), (confidence / (F.col("n_cons") / n)).alias("Lift"), F.col("n").alias("Transactions"), F.col("ante").alias("Antecedent items"),
-    )
-    return found, rules
-
-
-def recommend(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """For each basket the consequents it lacks of rules whose antecedent it holds; best by confidence, then lift.
-
-    Each rule is joined by one of its antecedent's items, so only baskets with that item meet it.
-    """
-    r = rules.select(F.col("Antecedent items").alias("ante"), "Antecedent", "Consequent", "Confidence", "Lift").withColumn("anchor", F.col("ante")[0])
-    met = sets.select(
-        "basket", "items", F.explode("items").alias("anchor"),
-    ).join(r, "anchor").where((F.size(F.array_except("ante", "items")) == 0) & ~F.array_contains("items", F.col("Consequent")))
-    best = met.groupBy("basket", "Consequent").agg(F.max_by(
-        F.struct("Antecedent", "Confidence", "Lift"), F.struct("Confidence", "Lift", "Antecedent"),
-    ).alias("b"))
-    return best.select(F.col("basket").alias("Basket"), F.col("Consequent").alias("Recommendation"), "b.*")

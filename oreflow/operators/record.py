@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from oreflow.functions import rng
 from oreflow.functions.expressions import Value, truth
-from oreflow.functions.values import as_text, is_number, known
+from oreflow.functions.values import as_text, col, cols, is_number, known
 from oreflow.operators.lineage import kept
 
 COMPARISONS = ("=", "!=", ">", ">=", "<", "<=", "contains", "is missing", "is not missing")
@@ -22,9 +22,10 @@ def positions(df: DataFrame, keys: list[str], name: str = "__pos") -> DataFrame:
     one number each, are the offsets of the places within them.
     """
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if c not in keys and "map<" not in kind]
+    rest = [col(c) for c, kind in df.dtypes if c not in keys and "map<" not in kind]
+    order = [*cols(keys), F.col("__tie"), F.col("__at")]
     tied = df.select("*", F.xxhash64(*rest, F.lit(0)).alias("__tie"), F.monotonically_increasing_id().alias("__at"))
-    dealt = tied.repartitionByRange(ranges, *keys, "__tie", "__at").sortWithinPartitions(*keys, "__tie", "__at")
+    dealt = tied.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # The running id holds the partition's number above 33 bits, and below them the place in it.
     marked = kept(dealt.drop("__tie", "__at").withColumn("__id", F.monotonically_increasing_id()))
     part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
@@ -34,7 +35,7 @@ def positions(df: DataFrame, keys: list[str], name: str = "__pos") -> DataFrame:
         at += r["count"]
     starts = df.sparkSession.createDataFrame(offsets, "__part bigint, __start bigint")
     numbered = marked.withColumn("__part", part).join(F.broadcast(starts), "__part")
-    return numbered.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("__start") + place).alias(name))
+    return numbered.select(*[col(c) for c in df.columns], (F.col("__start") + place).alias(name))
 
 
 def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], cuts: int = 256) -> DataFrame:
@@ -47,7 +48,7 @@ def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], c
     value = known(df, field).cast("double")
     names = [f"k{i}" for i in range(len(keys))]
     base = df.where(value.isNotNull()).select(
-        F.struct(F.lit(0).alias("one"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)]).alias("g"), value.alias("v"),
+        F.struct(F.lit(0).alias("one"), *[col(k).alias(n) for k, n in zip(keys, names, strict=True)]).alias("g"), value.alias("v"),
     )
     counts = base.groupBy("g", "v").agg(F.count("*").alias("n"))
     edges = F.approx_percentile("v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(4 * cuts))
@@ -67,7 +68,7 @@ def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], c
     at = lambda w: F.max(F.when((F.col("first") <= w) & (w < F.col("first") + F.col("n")), F.col("v")))
     found = rows.groupBy("g", "total").agg(*[at(w).alias(f"w{i}") for i, w in enumerate(wanted)])
     out = [(F.col(f"w{2 * i}") + (F.col(f"w{2 * i + 1}") - F.col(f"w{2 * i}")) * (r - F.floor(r))).alias(f"q{i}") for i, r in enumerate(ranks)]
-    return found.select(*[F.col(f"g.{n}").alias(k) for k, n in zip(keys, names, strict=True)], *out)
+    return found.select(*[F.col("g")[n].alias(k) for k, n in zip(keys, names, strict=True)], *out)
 
 
 def quantile(df: DataFrame, field: str, *shares: float) -> list[float]:
@@ -104,7 +105,7 @@ def select(df: DataFrame, test: Value | Column | str, keep: bool = True) -> Data
 
 
 def sample_first(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    return df.orderBy(*keys).limit(max(0, int(n)))
+    return df.orderBy(*cols(keys)).limit(max(0, int(n)))
 
 
 def sample_every(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
@@ -120,23 +121,27 @@ def reservoir(df: DataFrame, n: int, seed: int, keys: list[str]) -> DataFrame:
     """A reservoir sample of ``n`` rows: the last row drawn for each slot stays, found by one grouped maximum."""
     p = positions(df, keys)
     slot = F.when(F.col("__pos") < n, F.col("__pos")).otherwise(F.floor(rng.uniform(seed, F.col("__pos") - n) * (F.col("__pos") + 1)))
-    row = F.struct(*df.columns)
+    row = F.struct(*cols(df.columns))
     return p.withColumn("__slot", slot).where(F.col("__slot") < n).groupBy("__slot").agg(F.max_by(row, "__pos").alias("row")).select("row.*")
 
 
 def sort(df: DataFrame, field: str, ascending: bool = True, keys: list[str] | None = None) -> DataFrame:
     """By one field, missing values last either way; ``keys`` keep the former order of ties."""
     c = known(df, field)
-    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), *(keys or []))
+    return df.orderBy(c.asc_nulls_last() if ascending else c.desc_nulls_last(), *cols(keys or []))
 
 
 def distinct(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
     """The first row, in the order of ``keys``, of each combination of ``fields`` (all fields if none are given)."""
     if not fields:
         return df.distinct()
+    fields = [f for f in fields if f in df.columns]
+    if not fields:  # unknown ones tell no rows apart
+        return df.orderBy(*cols(keys)).limit(1)
     # A grouped minimum combines on the map side, so a hot combination is no single task.
-    order = F.struct(*keys)
-    return df.groupBy(*fields).agg(F.min_by(F.struct(*[c for c in df.columns]), order).alias("row")).select("row.*")
+    order = F.struct(*cols(keys))
+    whole = df.groupBy(*cols(fields)).agg(F.min_by(F.struct(*cols(df.columns)), order).alias("__row"))
+    return whole.select("__row.*")
 
 
 def merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -157,15 +162,15 @@ def merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
     same = dict(left.dtypes)[left_key] == dict(right.dtypes)[right_key]
     form = known if same else as_text
     lk, rk = form(left, left_key), form(right, right_key)
-    r = right.select(rk.alias("__rk"), F.col(f"`{right_key}`").alias("__raw"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    r = right.select(rk.alias("__rk"), col(right_key).alias("__raw"), *[col(c).alias(n) for c, n in names.items()])
     joined = left.where(lk.isNotNull()).withColumn("__lk", lk).join(r.where("__rk is not null"), F.col("__lk") == F.col("__rk"), how)
-    key = F.col(f"`{left_key}`")
+    key = col(left_key)
     if how in ("right", "full"):
         key = F.coalesce(key, F.col("__raw")) if same else F.coalesce(F.col("__lk"), F.col("__rk"))
-    out = joined.select(*[key.alias(c) if c == left_key else F.col(f"`{c}`") for c in left.columns], *[F.col(f"`{n}`") for n in names.values()])
+    out = joined.select(*[key.alias(c) if c == left_key else col(c) for c in left.columns], *[col(n) for n in names.values()])
     if how in ("left", "full"):
         out = out.unionByName(
-            left.where(lk.isNull()).withColumn(left_key, F.col(f"`{left_key}`").cast(out.schema[left_key].dataType)),
+            left.where(lk.isNull()).withColumn(left_key, col(left_key).cast(out.schema[left_key].dataType)),
             allowMissingColumns=True,
         )
     if how in ("right", "full"):
@@ -182,7 +187,7 @@ def append(frames: list[DataFrame], tag: str = "", labels: list[str] | None = No
             kinds.setdefault(c, set()).add(is_number(f, c))
     ready = []
     for k, f in enumerate(frames):
-        own = [as_text(f, c).alias(c) if len(kinds[c]) > 1 else F.col(c) for c in f.columns]
+        own = [as_text(f, c).alias(c) if len(kinds[c]) > 1 else col(c) for c in f.columns]
         ready.append(f.select(*own, *([F.lit((labels or [str(i) for i in range(len(frames))])[k]).alias(tag)] if tag else [])))
     out = ready[0]
     for f in ready[1:]:
@@ -203,7 +208,7 @@ def aggregate(df: DataFrame, keys: list[str], values: list[str], funcs: list[str
     """Groups of ``keys`` (NULL is a group) with each function of each value and ``Record_Count``; no rows give no groups."""
     out = [AGGREGATES[f](known(df, v).cast("double")).alias(f"{v}_{f}") for v in values for f in funcs] + [F.count("*").alias("Record_Count")]
     if keys:
-        return df.groupBy(*keys).agg(*out)
+        return df.groupBy(*cols(keys)).agg(*out)
     return df.groupBy(F.lit(1).alias("__all")).agg(*out).drop("__all")
 
 
@@ -215,5 +220,5 @@ def mode(df: DataFrame, field: str, keys: list[str]) -> DataFrame:
     """The commonest value; of equally common ones that which comes first in the order of ``keys``."""
     c = known(df, field)
     return df.where(c.isNotNull()).groupBy(c.alias("value")).agg(
-        F.count("*").alias("n"), F.min(F.struct(*keys)).alias("first"),
+        F.count("*").alias("n"), F.min(F.struct(*cols(keys))).alias("first"),
     ).orderBy(F.desc("n"), "first").limit(1).select("value", "n")

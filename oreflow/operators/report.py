@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreflow.functions.values import as_text, is_number, known
+from oreflow.functions.values import as_text, col, cols, is_number, known
 
 
 def table(df: DataFrame, keys: list[str], n: int = 500) -> DataFrame:
-    return df.orderBy(*keys).limit(n)
+    return df.orderBy(*cols(keys)).limit(n)
 
 
 def _value_counts(df: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def shapes(df: DataFrame, bins: int = 12, most: int = 12) -> DataFrame:
         if places:
             long = df.select(F.explode(F.array(*places)).alias("x")).select("x.*").where("place is not null")
             out = out.union(long.groupBy("field", "place").agg(F.count("*").alias("n")))
-    counts = _value_counts(df.select(*texts)) if texts else None
+    counts = _value_counts(df.select(*cols(texts))) if texts else None
     for c in texts:  # a top-k each, merged from the tasks' own
         top = counts.where(F.col("field") == c).orderBy(F.desc("n"), "value").limit(most)
         out = out.union(top.select("field", F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1, "n"))
@@ -115,8 +115,8 @@ def shares(found: DataFrame, df: DataFrame, field: str) -> DataFrame:
 def plot(df: DataFrame, x: str, y: str, keys: list[str], colour: str | None = None, most: int = 3000) -> DataFrame:
     """The first points with both numbers, in the order of ``keys``."""
     ok = known(df, x).isNotNull() & known(df, y).isNotNull()
-    return df.where(ok).orderBy(*keys).limit(most).select(
-        F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"),
+    return df.where(ok).orderBy(*cols(keys)).limit(most).select(
+        col(x).cast("double").alias("x"), col(y).cast("double").alias("y"),
         *([F.coalesce(as_text(df, colour), F.lit("$null$")).alias("colour")] if colour else []),
     )
 
@@ -124,7 +124,7 @@ def plot(df: DataFrame, x: str, y: str, keys: list[str], colour: str | None = No
 def confusion(df: DataFrame, actual: str, predicted: str, part: str | None = None) -> DataFrame:
     """Counts of (actual, predicted), compared as text; rows that lack either are left out."""
     a, p = as_text(df, actual), as_text(df, predicted)
-    group = F.col(part) if part else F.lit("All records")
+    group = col(part) if part else F.lit("All records")
     return df.where(a.isNotNull() & p.isNotNull()).groupBy(group.alias("part"), a.alias("actual"), p.alias("predicted")).agg(F.count("*").alias("n"))
 
 
@@ -153,7 +153,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, part: str | N
     e = y - p
     rows = df.where(y.isNotNull() & p.isNotNull())
     sst = F.var_pop(y) * F.count(y)
-    return rows.groupBy((F.col(part) if part else F.lit("All records")).alias("part")).agg(
+    return rows.groupBy((col(part) if part else F.lit("All records")).alias("part")).agg(
         F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         F.when(sst == 0, 0.0).otherwise(1 - F.sum(e * e) / sst).alias("r2"), F.avg(e).alias("bias"),
     )

@@ -9,9 +9,17 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from oreflow.functions.values import is_number
-from oreflow.operators import models
+from oreflow.operators import cart, models
 
-VERSION = 1
+VERSION = 2
+#: What the plain kinds hold besides their encoder; all of it can be written as JSON.
+PLAIN: dict[type, tuple[str, ...]] = {
+    models.gradient.Network: ("prefix", "target", "classes", "layers"),
+    models.Svm: ("target", "classes", "planes"),
+    models.KMeans: ("centres", "mean", "cut"),
+    models.Anomaly: ("centres", "means", "cut"),
+    cart.Cart: ("target", "numbers", "order", "classes", "nodes"),
+}
 
 
 def _inputs(model: Any) -> dict[str, bool]:
@@ -20,16 +28,21 @@ def _inputs(model: Any) -> dict[str, bool]:
         return {f: True for f in model.numbers} | {f: False for f in model.texts}
     if isinstance(model, models.Chaid):
         return dict(model.ordered)
+    if isinstance(model, cart.Cart):
+        return {f: f in model.numbers for f in model.order}
+    if isinstance(model, models.Rules):
+        return {}
     return {f: f in model.encoder.numbers for f in model.encoder.order}
 
 
 def check(model: Any, df: DataFrame) -> None:
     """Every input of ``model`` must be in ``df`` and of its type."""
     for f, number in _inputs(model).items():
+        want = "number" if number else "string"
         if f not in df.columns:
-            raise ValueError(f'Scoring data is missing input field "{f}".')
+            raise ValueError(f"The model reads {f}, which the data lack.")
         if is_number(df, f) != number:
-            raise ValueError(f'Scoring input "{f}" must have type {"number" if number else "string"}.')
+            raise ValueError(f"The model reads {f} as a {want}, which it is not in the data.")
 
 
 def score(model: Any, df: DataFrame) -> DataFrame:
@@ -39,16 +52,16 @@ def score(model: Any, df: DataFrame) -> DataFrame:
 
 
 def save(model: Any, path: str, spark: SparkSession) -> None:
-    """Writes what the model learnt to the folder ``path``: numbers and names as JSON, count tables as Parquet, MLlib's part by MLlib."""
+    """Writes what the model learnt to the folder ``path``: numbers and names as JSON, tables as Parquet, MLlib's part by MLlib."""
     kind = type(model).__name__
     state: dict[str, Any] = {}
-    if isinstance(model, (models.Supervised, models.Svm)):
+    if hasattr(model, "encoder"):
         state["encoder"] = vars(model.encoder)
-    if isinstance(model, models.Supervised):
-        state |= {"prefix": model.prefix, "target": model.target, "classes": model.classes, "confidence": model.confidence}
+    if type(model) in PLAIN:
+        state |= {k: getattr(model, k) for k in PLAIN[type(model)]}
+    elif isinstance(model, models.Supervised):
+        state |= {"prefix": model.prefix, "target": model.target}
         model.model.write().save(f"{path}/model")
-    elif isinstance(model, models.Svm):
-        state |= {"target": model.target, "classes": model.classes, "planes": model.planes}
     elif isinstance(model, models.NaiveBayes):
         state |= {k: getattr(model, k) for k in ("target", "numbers", "texts", "classes", "prior", "bells")}
         state["unseen"] = {f: unseen for f, (_, unseen) in model.tables.items()}
@@ -56,9 +69,14 @@ def save(model: Any, path: str, spark: SparkSession) -> None:
             model.tables[f][0].write.parquet(f"{path}/table-{i}")
     elif isinstance(model, models.Chaid):
         state |= {k: getattr(model, k) for k in ("target", "inputs", "ordered", "cuts", "values")}
-        state["nodes"] = [n | {"children": sorted(n["children"].items())} for n in model.nodes]
+        state["nodes"] = [n | ({"split": n["split"] | {"children": sorted(n["split"]["children"].items())}} if n.get("split") else {}) for n in model.nodes]
+    elif isinstance(model, models.Neighbours):
+        state |= {k: getattr(model, k) for k in ("target", "numeric", "k")}
+        model.vectors.write.parquet(f"{path}/table-0")
+    elif isinstance(model, models.Rules):
+        model.rules.write.parquet(f"{path}/table-0")
     else:
-        raise ValueError(f"A {kind} can't be saved.")
+        raise ValueError(f"There is no way to save a {kind}.")
     spark.createDataFrame([(json.dumps({"version": VERSION, "kind": kind, "state": state}),)], "value string").write.text(f"{path}/recipe")
 
 
@@ -66,26 +84,26 @@ def load(spark: SparkSession, path: str) -> Any:
     """The model that :func:`save` wrote."""
     recipe = json.loads(spark.read.text(f"{path}/recipe").first()["value"])
     if recipe.get("version") != VERSION:
-        raise ValueError("Save a fitted model first; this folder holds none of this version.")
+        raise ValueError("This folder holds no model of this version.")
     kind, state = recipe["kind"], recipe["state"]
-    encoder = None
     if "encoder" in state:
-        e = state["encoder"]
-        encoder = models.Encoder({f: (m, s) for f, (m, s) in e["numbers"].items()}, e["texts"], e["order"])
+        e = state.pop("encoder")
+        state["encoder"] = models.Encoder({f: (m, s) for f, (m, s) in e["numbers"].items()}, e["texts"], e["order"])
     if kind == "Supervised":
-        return models.Supervised(
-            state["prefix"], state["target"], encoder, PipelineModel.load(f"{path}/model"), state["classes"], state["confidence"],
-        )
-    if kind == "Svm":
-        return models.Svm(state["target"], encoder, state["classes"], [(w, b) for w, b in state["planes"]])
-    cls = {"NaiveBayes": models.NaiveBayes, "Chaid": models.Chaid}[kind]
+        return models.Supervised(state["prefix"], state["target"], state["encoder"], PipelineModel.load(f"{path}/model"))
+    cls = {c.__name__: c for c in (*PLAIN, models.NaiveBayes, models.Chaid, models.Neighbours, models.Rules)}[kind]
     model = cls.__new__(cls)
     if kind == "NaiveBayes":
-        tables = {f: (spark.read.parquet(f"{path}/table-{i}"), state["unseen"][f]) for i, f in enumerate(state["texts"])}
-        bells = {f: [tuple(x) if x else None for x in own] for f, own in state.pop("bells").items()}
-        state.pop("unseen")
-        vars(model).update(state | {"tables": tables, "bells": bells})
-    else:
-        nodes = [n | {"children": dict(map(tuple, n["children"]))} for n in state.pop("nodes")]
-        vars(model).update(state | {"nodes": nodes})
+        unseen = state.pop("unseen")
+        state["tables"] = {f: (spark.read.parquet(f"{path}/table-{i}"), unseen[f]) for i, f in enumerate(state["texts"])}
+        state["bells"] = {f: [tuple(x) if x else None for x in own] for f, own in state["bells"].items()}
+    elif kind == "Chaid":
+        for n in state["nodes"]:
+            if n.get("split"):
+                n["split"]["children"] = dict(map(tuple, n["split"]["children"]))
+    elif kind == "Neighbours":
+        state["vectors"] = spark.read.parquet(f"{path}/table-0")
+    elif kind == "Rules":
+        state["rules"] = spark.read.parquet(f"{path}/table-0")
+    vars(model).update(state)
     return model

@@ -36,9 +36,9 @@ def sniff(line: str) -> str:
 
 def infer_types(df: DataFrame) -> DataFrame:
     """All-text columns to numbers where every non-blank cell is one: a single aggregation decides for all."""
-    filled = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
-    verdict = df.agg(*[F.coalesce(F.min(F.when(filled(c).isNotNull(), looks_numeric(F.col(f"`{c}`")).cast("int"))), F.lit(0)).alias(f"v{i}") for i, c in enumerate(df.columns)]).first()
-    return df.select(*[(filled(c).try_cast("double") if verdict[i] else F.when(filled(c).isNotNull(), F.col(f"`{c}`"))).alias(c) for i, c in enumerate(df.columns)])
+    filled = lambda c: F.nullif(F.trim(col(c)), F.lit(""))
+    verdict = df.agg(*[F.coalesce(F.min(F.when(filled(c).isNotNull(), looks_numeric(col(c)).cast("int"))), F.lit(0)).alias(f"v{i}") for i, c in enumerate(df.columns)]).first()
+    return df.select(*[(filled(c).try_cast("double") if verdict[i] else F.when(filled(c).isNotNull(), col(c))).alias(c) for i, c in enumerate(df.columns)])
 
 
 def _breaks_lines(spark: SparkSession, path: str) -> bool:

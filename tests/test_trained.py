@@ -16,16 +16,16 @@ def rows(spark):
 
 @pytest.mark.parametrize("fit,prefix", [(models.tree, "R"), (models.svm, "SVM"), (models.logistic, "L"), (models.ann, "ANN"), (models.NaiveBayes, "B"), (models.Chaid, "CH")])
 def test_saved_models_score_alike(spark, rows, tmp_path, fit, prefix):
-    m = fit(rows, "Churn", INPUTS, iterations=10) if fit is models.svm else fit(rows, "Churn", INPUTS)
+    m = fit(rows, "Churn", INPUTS, iterations=10) if fit in (models.svm, models.ann, models.logistic) else fit(rows, "Churn", INPUTS)
     trained.save(m, str(tmp_path / "m"), spark)
     again = trained.load(spark, str(tmp_path / "m"))
     new = rows.drop("Churn")
     names = ["CustomerID", f"`${prefix}-Churn`", f"`${prefix}C-Churn`"]
     want, got = m.transform(rows).select(*names), trained.score(again, new).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    with pytest.raises(ValueError, match='missing input field "Tenure"'):
+    with pytest.raises(ValueError, match='reads Tenure, which the data lack'):
         trained.score(again, new.drop("Tenure"))
-    with pytest.raises(ValueError, match='"Age" must have type number'):
+    with pytest.raises(ValueError, match='reads Age as a number'):
         trained.score(again, new.withColumn("Age", F.lit("old")))
 
 
@@ -39,7 +39,7 @@ def test_saved_regression(spark, tmp_path):
 
 def test_confidence_and_importance(spark, rows):
     f = samples.sample_data(spark, "iris")
-    out = models.svm(f, "Species", ["Sepal_Length", "Sepal_Width", "Petal_Length", "Petal_Width"], cost=50, iterations=10).transform(f)
+    out = models.svm(f, "Species", ["Sepal_Length", "Sepal_Width", "Petal_Length", "Petal_Width"], cost=50, iterations=60).transform(f)
     low, high = out.agg(F.min("`$SVMC-Species`"), F.max("`$SVMC-Species`")).first()
     assert 1 / 3 <= low < high <= 1
     gains = models.tree(rows, "Churn", INPUTS).importance()
@@ -60,7 +60,7 @@ def test_rules_with_signs_in_items(spark):
     _, rules = models.apriori(models.baskets(df, "id", "item"), 10, 50)
     new = models.recommend(spark.createDataFrame([("9", ["Salt & Pepper"])], "basket string, items array<string>"), rules)
     assert [tuple(r)[:2] for r in new.collect()] == [("9", "Fish")]
-    with pytest.raises(ValueError, match="Too many candidate"):
+    with pytest.raises(ValueError, match="minimum support"):
         models.apriori(models.baskets(df, "id", "item"), 10, 50, most=0)
 
 
