@@ -72,7 +72,7 @@ def test_csv(spark, tmp_path):
     df = files.read_csv(spark, str(tmp_path / "a.csv"))
     assert df.columns == ["id", "text", "id_2", "Field4"] and dict(df.dtypes)["id"] == "double" and dict(df.dtypes)["text"] == "string"
     assert [r["text"] for r in df.orderBy("id").collect()] == ["a;b", 'say "hi"', "last"]
-    assert files.read_csv(spark, str(tmp_path / "a.csv"), ["text"], 2, "sample", 42, ["text"]).count() == 2
+    assert files.read_csv(spark, str(tmp_path / "a.csv"), ["text"], 2, "sample", 42).count() == 2
     with pytest.raises(ValueError):
         files.read_csv(spark, str(tmp_path / "a.csv"), ["no"])
     files.write_csv(df.select("id", "text"), str(tmp_path / "out"))
