@@ -48,24 +48,13 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-_TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z", re.S)
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<[!?/][^>]*>|<[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _STYLE = re.compile(r"style\s*=\s*[\"'][^\"']*")
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
-#: Words of class, id and role attributes that name parts of a page.
-HINTS = frozenset((
-    "hidden ad ads adv advert advertisement adsense sponsor sponsored promo promoted banner nav navbar navigation "
-    "menu breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar toolbar logo cookie cookies "
-    "consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login search form share "
-    "sharing social follow related recommended recommendations trending popular comment comments reply replies "
-    "disqus discussion author byline date timestamp meta tags widget pagination pager copyright legal disclaimer "
-    "skip article articlebody content contents main body text entry post story page prose markdown title headline "
-    "lead intro summary caption figure chapter section container wrapper"
-).split())
-
 
 class Node:
     __slots__ = ("children", "hints", "length", "linked", "name", "parent", "text")
@@ -156,7 +145,7 @@ def parse(page: str) -> list[Node]:
         if _hidden(m[3]):
             found.append("hidden")
         stack.append(len(nodes))
-        nodes.append(Node(name, stack[-2], tuple(w for w in dict.fromkeys(found) if w in HINTS)))
+        nodes.append(Node(name, stack[-2], tuple(dict.fromkeys(found))))
     flush()
     for x in reversed(nodes):  # lengths of whole subtrees
         if x.parent >= 0:
@@ -179,7 +168,8 @@ def _share(part: int, whole: int) -> str:
 def features(node: Node, parent: Node | None) -> list[tuple[tuple[str, str], ...]]:
     """What is seen of a node: its named parts, or a text's links, length, end and first sign.
 
-    Each is a feature and the group of nodes that it is a share of; where a
+    The words of class, id and role that tell something are those that the
+    labelled pages have often enough.  Each is a feature and the group of nodes that it is a share of; where a
     first form, given the parent's element, was hardly met in the labelled
     pages, the second stands for it.
     """

@@ -88,6 +88,8 @@ class _Maker:
     def block(self) -> str:
         """One block of an article, marked as content."""
         kind = self.rnd.random()
+        if kind < 0.03:  # signs that feet of pages begin with, too
+            return f"<p>§{self.pick(('©', '&copy;', '®', '™'))} {self.pick(('', '2020 ', '1999: '))}{self.prose(3)}</p>"
         if kind < 0.62:
             return f"<p>§{self.prose()}</p>"
         if kind < 0.70:
@@ -128,8 +130,19 @@ class _Maker:
         ))
         return _wrapped(self.pick(_AROUND), body)
 
+    def plain(self) -> str:
+        """Main text with hardly any element around it, or none at all."""
+        if self.chance(0.4):
+            return "§" + self.prose()
+        body = "".join(self.block() for _ in range(self.rnd.randint(1, 5)))
+        if self.chance(0.5):
+            body = _wrapped(self.pick(_CONTAINERS), body)
+        return self.pick((body, f"<body>{body}</body>", f"<html><body>{body}</body></html>", f"<body>§{self.prose()}{body}</body>"))
+
     def page(self) -> str:
         self.bare = self.chance(0.2)
+        if self.chance(0.05):
+            return self.plain()
         title = _wrapped(f"h{self.pick('12')}", "§" + self.pick(("A new bridge", "Night rain", "The river", "On foot")))
         if self.chance(0.2):
             title = f"<header>{title}</header>"
