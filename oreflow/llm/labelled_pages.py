@@ -184,6 +184,8 @@ class _Maker:
         if self.chance(0.85):
             foot = self.pick(_RIGHTS)
             parts.append(_wrapped(self.pick(_FOOTS), self.pick((foot, f"{self.links()} {foot}", f"{foot} {self.pick(_PITCHES)}"))))
+        if self.chance(0.1):  # as a browser would mend it
+            return "".join(parts)
         return f"<html><head><meta charset=utf-8><title>Bridge</title><style>p{{margin:0}}</style></head><body>{''.join(parts)}</body></html>"
 
 
