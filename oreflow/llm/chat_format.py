@@ -103,12 +103,12 @@ class Span:
         self.repeated = []
         if self.system and self.system[3] < first[3] and self.system[2] <= room:
             self.repeated, room = [self.system], room - self.system[2]
-        recent, left = [], min(self.history, room)
-        for t in reversed(self.past):  # the latest turns that fit
-            if t[2] > left or any(t[3] == x[3] for x in self.repeated):
+        recent, left, behind = [], min(self.history, room), first[3]
+        for t in reversed(self.past):  # the latest turns that fit, up to one that isn't here
+            if t[3] + t[2] != behind or t[2] > left or any(t[3] == x[3] for x in self.repeated):
                 break
             recent.insert(0, t)
-            left -= t[2]
+            left, behind = left - t[2], t[3]
         self.repeated += recent
         self.size = sum(t[2] for t in self.repeated)
 
@@ -196,12 +196,15 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
     columns = ["conv_id", "span", "kind", "role", "text", "n", "start"]
     own = placed.withColumn("kind", F.lit(2)).select(*columns)
     reach = F.floor((F.col("start") + F.col("n") + history) / span)
-    past = placed.where(reach > F.col("span")).withColumn("span", F.explode(F.sequence(F.col("span") + 1, reach))).withColumn("kind", F.lit(1)).select(*columns)
+    # A turn over the history is never repeated, so it stays in its own span.
+    past = placed.where((reach > F.col("span")) & (F.col("n") <= history)).withColumn("span", F.explode(F.sequence(F.col("span") + 1, reach))).withColumn("kind", F.lit(1)).select(*columns)
     # The system turn goes to each later span of its conversation.
     key = F.struct("conv_id").alias("conv")
     system = placed.where("role = 'system'").groupBy(key).agg(F.min(F.struct("start", "role", "text", "n")).alias("turn"))
     later = placed.where("span > 0").select(key, "span").distinct()
-    systems = common.looked_up(later, system, "conv").where("turn is not null").select("conv.conv_id", "span", F.lit(0).alias("kind"), "turn.role", "turn.text", "turn.n", "turn.start")
+    # Of one that no window has room for, only its place and size go on.
+    text = F.when(F.col("turn")["n"] < budget, F.col("turn")["text"]).otherwise("")
+    systems = common.looked_up(later, system, "conv").where("turn is not null").select("conv.conv_id", "span", F.lit(0).alias("kind"), "turn.role", text.alias("text"), "turn.n", "turn.start")
 
     rows = own.unionByName(past).unionByName(systems).repartition("conv_id", "span")
     dealt = rows.sortWithinPartitions("conv_id", "span", "kind", "start", "role", "text")

@@ -13,6 +13,7 @@ successor by ``doc_id``.  Rows are dealt by ranges of ``doc_id`` and sorted;
 only the first and last row of each range are paired across ranges, through a
 small table.  One shuffle of the texts, no window over all rows.
 
+A task holds two texts at a time, each with some 60 bytes a code point.
 Null text is the empty text, whose fingerprint is all ones; texts under four
 code points are edited to themselves; ties of ``doc_id`` are ordered by text
 and a null id comes first; a single document is its own successor; an empty
@@ -162,7 +163,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     order = F.col("doc_id").asc_nulls_first()
     # As many ranges as spark.sql.shuffle.partitions says; a task holds two texts and a batch, however long its range is.
-    ordered = common.texts(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).sortWithinPartitions(order, "text")
+    # Ranges of id and the text's begin (a range's bounds are short, however long the texts are), so rows of one id need not be one task.
+    ranges = common.texts(docs).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order, F.substring("text", 1, 64))
+    ordered = ranges.sortWithinPartitions(order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part = TaskContext.get().partitionId()

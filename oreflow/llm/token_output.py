@@ -14,6 +14,9 @@ decodes from its own symbols: the prefix sums of the symbols' expansion
 lengths say which to expand.  Files are written by Spark (Parquet rows with
 binary cells), so retries and lost executors leave no partial shard.
 
+A document longer than a shard is a shard by itself; compressing one takes
+some 60 bytes an id, so a text of 100 MB (20 million ids) needs 1.2 GB.
+
 Null text is the empty text (one end id), a null ``doc_id`` sorts first,
 repeated rows are kept, ties of ``doc_id`` are ordered by text, and an empty
 table gives an empty dataset.  Columns beside the two used are ignored.
@@ -173,7 +176,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
     spark = docs.sparkSession
     # As many ranges as spark.sql.shuffle.partitions says; a task holds one shard at a time, however long its range is.
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = common.texts(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges of id and the text's begin (a range's bounds are short, however long the texts are), so rows of one id need not be one task.
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = common.texts(docs).repartitionByRange(n, order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         enc = tokens.encoder(tokenizer)
