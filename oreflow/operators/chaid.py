@@ -275,7 +275,7 @@ class Chaid:
         for i, f in enumerate(self.inputs):
             if self.ordered[f]:
                 c = known(df, f).cast("double")
-                codes.append(F.when(c.isNull(), self._missing(f)).otherwise(F.size(F.filter(F.lit([math.inf, *self.cuts[f]]), lambda x, c=c: x < c))))
+                codes.append(F.when(c.isNull(), self._missing(f)).otherwise(_below(self.cuts[f], c)))
                 continue
             table = df.sparkSession.createDataFrame([(v, k) for k, v in enumerate(self.values[f])], f"__v{i} string, __k{i} int")
             out = out.withColumn(f"__v{i}", F.coalesce(as_text(df, f), F.lit(MISSING))).join(F.broadcast(table), f"__v{i}", "left")  # at most MOST_CATEGORIES rows
@@ -323,7 +323,8 @@ class Chaid:
         if not own:
             return f"{f} is missing"
         low, high = own[0], own[-1]
-        parts = [f"{f} > {self.cuts[f][low - 1]:.12g}"] * (low > 0) + [f"{f} <= {self.cuts[f][high]:.12g}"] * (high < len(self.cuts[f]))
+        parts = [f"{f} > {self.cuts[f][low - 1]:.12g}"] if low else []
+        parts += [f"{f} <= {self.cuts[f][high]:.12g}"] if high < len(self.cuts[f]) else []
         told = " and ".join(parts) or f"{f} is any number"
         return f"({told} or missing)" if len(own) < len(codes) else told
 
@@ -347,6 +348,11 @@ class Chaid:
         )
 
 
+def _below(cuts: list[float], value: Column) -> Column:
+    """How many of the cuts are less than the value."""
+    return F.size(F.filter(F.lit([math.inf, *cuts]), lambda x: x < value))
+
+
 def _cuts(rows: DataFrame, f: str, bins: int) -> list[float]:
     """Midpoints between the values of a number of at most ``bins`` of them, else its quantiles."""
     bins = max(2, bins)

@@ -146,6 +146,7 @@ def chosen(scored: DataFrame, columns: list[str], classes: list[str], name: str,
 
 def encoded(train: DataFrame, target: str, inputs: list[str], encoder_of: Callable[[DataFrame], object]):
     """The encoder, classes, blocks and number of the rows with a known target."""
+    train = train.select(*cols(dict.fromkeys([target, *inputs]))).persist()  # read by several aggregations
     t = as_text(train, target)
     rows = train.where(t.isNotNull())
     encoder = encoder_of(rows)
@@ -154,4 +155,5 @@ def encoded(train: DataFrame, target: str, inputs: list[str], encoder_of: Callab
         raise ValueError("The target has to have two or more different values.")
     x = F.array(*encoder.columns(rows).values())
     data = blocks.blocked(rows, x, F.array_position(F.lit(classes), t) - 1)
+    train.unpersist()
     return encoder, classes, data, data.agg(F.sum("n")).first()[0]

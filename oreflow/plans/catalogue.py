@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from oreflow.functions import expressions as X
 from oreflow.functions.values import round_to
 from oreflow.operators import field, models, record, report
-from oreflow.plans import examples
+from oreflow.plans import flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -595,17 +596,17 @@ def chaid_predict(t):
 
 @query()
 def svm_predict(t):
-    return _scored(t, models.svm, "SVM")
+    return _scored(t, lambda *a: models.svm(*a, iterations=100), "SVM")
 
 
 @query()
 def ann_predict(t):
-    return _scored(t, models.ann, "ANN")
+    return _scored(t, lambda *a: models.ann(*a, iterations=100), "ANN")
 
 
 @query()
 def logistic_predict(t):
-    return _scored(t, models.logistic, "L")
+    return _scored(t, lambda *a: models.logistic(*a, iterations=100), "L")
 
 
 @query()
@@ -642,45 +643,67 @@ def anomaly_given_centres(t):
     )
 
 
-_BASKETS = "(SELECT DISTINCT o_custkey AS basket, o_orderpriority AS item FROM orders)"
-
-
 def _level(k: int) -> str:
     """SQL: all sets of ``k`` items with the number of baskets that hold them."""
     joins = "".join(f" JOIN b x{i} ON x{i}.basket = x0.basket AND x{i}.item > x{i - 1}.item" for i in range(1, k))
     return f"SELECT [{', '.join(f'x{i}.item' for i in range(k))}] AS items, count(*) AS n FROM b x0{joins} GROUP BY 1"
 
 
-#: Frequent sets of up to four items, and rules with up to three antecedents.
-_FREQUENT = f"""WITH b AS (SELECT * FROM {_BASKETS}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b),
-f AS (SELECT items, n FROM ({' UNION ALL '.join(_level(k) for k in range(1, 5))}), t WHERE n >= ceil(0.1 * t))"""
-_RULES = f"""{_FREQUENT}, u AS (SELECT items, n, unnest(items) AS c FROM f), v AS (SELECT list_filter(items, lambda x: x <> c) AS ante, c, n FROM u WHERE len(items) > 1),
-r AS (SELECT ante, c, v.n, v.n / fa.n::DOUBLE AS conf, v.n / fa.n::DOUBLE / (fc.n / t) AS lift FROM v JOIN f fa ON fa.items = ante JOIN f fc ON fc.items = [c], t WHERE v.n / fa.n::DOUBLE >= 0.5)"""
-_ALL_SETS = f"{_FREQUENT} SELECT array_to_string(items, ' & ') AS items, n FROM f"
-_ALL_RULES = f"""{_RULES} SELECT array_to_string(ante, ' & ') AS antecedent, c AS consequent, {r4('conf')} AS confidence, {r4('lift')} AS lift, n AS transactions FROM r"""
+def _frequent(baskets: str, support: float) -> str:
+    """SQL: the frequent sets of up to four items, as ``f``."""
+    return f"""WITH b AS (SELECT * FROM {baskets}), t AS (SELECT count(DISTINCT basket)::DOUBLE AS t FROM b),
+f AS (SELECT items, n FROM ({' UNION ALL '.join(_level(k) for k in range(1, 5))}), t WHERE n >= ceil({support} * t))"""
+
+
+def _rules_of(baskets: str, support: float, confidence: float) -> str:
+    """SQL: the rules with up to three antecedents, as ``r``."""
+    return f"""{_frequent(baskets, support)}, u AS (SELECT items, n, unnest(items) AS c FROM f),
+v AS (SELECT list_filter(items, lambda x: x <> c) AS ante, c, n FROM u WHERE len(items) > 1),
+r AS (SELECT ante, c, v.n, v.n / fa.n::DOUBLE AS conf, v.n / fa.n::DOUBLE / (fc.n / t) AS lift
+FROM v JOIN f fa ON fa.items = ante JOIN f fc ON fc.items = [c], t WHERE v.n / fa.n::DOUBLE >= {confidence})"""
+
+
+_SHOWN_SETS = "SELECT array_to_string(items, ' & ') AS items, n FROM f"
+_SHOWN_RULES = f"SELECT array_to_string(ante, ' & ') AS antecedent, c AS consequent, {r4('conf')} AS confidence, {r4('lift')} AS lift, n AS transactions FROM r"
+_BASKETS = "(SELECT DISTINCT o_custkey AS basket, o_orderpriority AS item FROM orders)"
+_EVENT_BASKETS = "(SELECT DISTINCT user_id AS basket, event_type AS item FROM events)"
+_BRAND_BASKETS = "(SELECT DISTINCT l_orderkey AS basket, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_RULES = _rules_of(_BASKETS, 0.1, 0.5)
 
 
 def _sets(t):
     return models.baskets(t("orders"), "o_custkey", "o_orderpriority")
 
 
-def _item_sets(t):
-    found, _ = models.apriori(_sets(t), 10, 0)
+def _shown_sets(sets, support):
+    found, _ = models.apriori(sets, support, 0)
     return found.select(F.array_join("items", " & ").alias("items"), "n")
 
 
-def _rules(t):
-    _, rules = models.apriori(_sets(t), 10, 50)
+def _shown_rules(rules):
     names = ("Antecedent", "Consequent", "Confidence", "Lift", "Transactions")
     return _r(rules.select(*[F.col(c).alias(c.lower()) for c in names]), "confidence", "lift")
 
 
-for _name in ("apriori_itemsets", "apriori_itemsets_whole"):
-    QUERIES[_name] = lambda spark, sf_dir: _item_sets(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-    ORACLE_SQL[_name] = _ALL_SETS
-for _name in ("apriori_rules", "apriori_rules_whole"):
-    QUERIES[_name] = lambda spark, sf_dir: _rules(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-    ORACLE_SQL[_name] = _ALL_RULES
+@query(f"{_frequent(_BASKETS, 0.1)} {_SHOWN_SETS}")
+def apriori_itemsets(t):
+    return _shown_sets(_sets(t), 10)
+
+
+@query(f"{_RULES} {_SHOWN_RULES}")
+def apriori_rules(t):
+    return _shown_rules(models.apriori(_sets(t), 10, 50)[1])
+
+
+@query(f"{_frequent(_EVENT_BASKETS, 0.02)} {_SHOWN_SETS}")
+def apriori_itemsets_whole(t):
+    """Of all users, the kinds of events they caused; a low support."""
+    return _shown_sets(models.baskets(t("events"), "user_id", "event_type"), 2)
+
+
+@query(f"{_rules_of(_EVENT_BASKETS, 0.02, 0.3)} {_SHOWN_RULES}")
+def apriori_rules_whole(t):
+    return _shown_rules(models.apriori(models.baskets(t("events"), "user_id", "event_type"), 2, 30)[1])
 
 
 @query(f"""{_RULES}, s AS (SELECT basket, list(item) AS own FROM b GROUP BY basket),
@@ -694,5 +717,129 @@ def apriori_recommend(t):
     return _r(out.select(*[F.col(c).alias(c.lower()) for c in names]), "confidence", "lift")
 
 
-for _name, _flow in examples.EXAMPLES.items():
-    QUERIES[_name] = lambda spark, sf_dir, flow=_flow: flow(spark)
+# -- what models learnt, as tables -----------------------------------------------------------
+
+
+def _cut_sql(rows: str, d: int, least: int) -> str:
+    """SQL: the best cut of each node of ``rows`` (node, t, x0 and x1 numbers, s text) as ``k{d}``, and the rows one level down as ``l{d + 1}``."""
+    kinds = ("A", "N", "R")
+    sums = ", ".join(f"sum((t = '{c}')::INT)::DOUBLE AS c{i}" for i, c in enumerate(kinds))
+    imp = lambda p: f"({' + '.join(p)}) - ({' + '.join(f'{x} * {x}' for x in p)}) / ({' + '.join(p)})"
+    left, total = [f"c{i}" for i in range(3)], [f"t{i}" for i in range(3)]
+    right = [f"(t{i} - c{i})" for i in range(3)]
+    grown = ", ".join(f"sum(c{i}) OVER w AS c{i}" for i in range(3))
+    return f"""g{d} AS (
+  SELECT node, 0 AS f, x0 AS v, NULL AS value, {sums} FROM {rows} GROUP BY node, x0 UNION ALL SELECT node, 1, x1, NULL, {sums} FROM {rows} GROUP BY node, x1
+  UNION ALL SELECT node, 2, NULL, s, {sums} FROM {rows} GROUP BY node, s),
+n{d} AS (SELECT node, {', '.join(f"sum(c{i}) AS t{i}" for i in range(3))} FROM g{d} WHERE f = 2 GROUP BY node),
+m{d} AS (
+  SELECT node, f, (v + lead(v) OVER w) / 2 AS threshold, value, {grown} FROM g{d} WHERE f < 2 WINDOW w AS (PARTITION BY node, f ORDER BY v)
+  UNION ALL SELECT node, f, NULL, value, c0, c1, c2 FROM g{d} WHERE f = 2),
+j{d} AS (SELECT m.*, floor((({imp(total)}) - ({imp(left)}) - ({imp(right)})) * 1000000.0 + 0.5) / 1000000.0 AS gain FROM m{d} m JOIN n{d} n ON m.node = n.node
+  WHERE (threshold IS NOT NULL OR value IS NOT NULL) AND c0 + c1 + c2 >= {least} AND t0 + t1 + t2 - c0 - c1 - c2 >= {least}),
+k{d} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, threshold, value) AS place FROM j{d}) WHERE place = 1 AND gain > 1e-9),
+l{d + 1} AS (SELECT r.* REPLACE (CASE WHEN k.node IS NULL THEN r.node WHEN CASE k.f WHEN 0 THEN r.x0 <= k.threshold WHEN 1 THEN r.x1 <= k.threshold ELSE r.s = k.value END
+  THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node) FROM {rows} r LEFT JOIN k{d} k ON r.node = k.node)"""
+
+
+_TREE = f"""WITH l0 AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag AS t, l_quantity AS x0, l_discount AS x1, l_linestatus AS s, 0 AS node FROM lineitem),
+{_cut_sql('l0', 0, 20)}, {_cut_sql('l1', 1, 20)}, n AS (SELECT node, t, count(*) AS n, sum(count(*)) OVER (PARTITION BY node) AS whole FROM l2 GROUP BY node, t),
+p AS (SELECT node, t AS predicted, n / whole AS share, row_number() OVER (PARTITION BY node ORDER BY n DESC, t) AS place FROM n)"""
+
+
+def _small_tree(t):
+    return models.tree(t("lineitem"), "l_returnflag", ["l_quantity", "l_discount", "l_linestatus"], 2, 20)
+
+
+@query(f"{_TREE} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, predicted, {r4('share')} AS confidence FROM l2 JOIN p ON p.node = l2.node WHERE place = 1")
+def tree_two_levels(t):
+    out = _small_tree(t).transform(t("lineitem"))
+    return out.select(*LINE, F.col("`$R-l_returnflag`").alias("predicted"), F.col("`$RC-l_returnflag`").alias("confidence"))
+
+
+@query(f"{_TREE}, a AS (SELECT f, gain FROM k0 UNION ALL SELECT f, gain FROM k1) SELECT ['l_quantity', 'l_discount', 'l_linestatus'][f + 1] AS field, {r4('sum(gain) / (SELECT sum(gain) FROM a)')} AS importance FROM a GROUP BY f")
+def tree_importance(t):
+    found = _small_tree(t).importance()
+    return _r(t("region").sparkSession.createDataFrame(list(found.items()), "field string, importance double"), "importance")
+
+
+@query(f"{_TREE} SELECT predicted, sum(n)::BIGINT AS n, {r4('min(share)')} AS least FROM (SELECT p.*, x.n FROM p JOIN (SELECT node, count(*) AS n FROM l2 GROUP BY node) x ON x.node = p.node WHERE place = 1) GROUP BY predicted")
+def tree_rules(t):
+    """The leaves' rules, summed by what they say."""
+    leaves = _small_tree(t).rules(t("region").sparkSession).where("leaf")
+    return _r(leaves.groupBy(F.col("prediction").alias("predicted")).agg(F.sum("n").alias("n"), F.min("confidence").alias("least")), "least")
+
+
+_GROUPS = """(SELECT CASE WHEN l_quantity > 30 THEN 'many' WHEN l_quantity > 10 THEN 'some' ELSE 'few' END AS y, l_quantity AS v FROM lineitem)"""
+_BINNED = f"""WITH r AS (SELECT * FROM {_GROUPS}), e AS (SELECT DISTINCT unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM r),
+c AS (SELECT y, (SELECT count(*) FROM e WHERE e < v) AS code FROM r), m AS (SELECT code, y, count(*) AS n FROM c GROUP BY ALL),
+k AS (SELECT code, string_agg(y, '+' ORDER BY y) AS kinds FROM m GROUP BY code),
+g AS (SELECT kinds, CASE WHEN contains(kinds, '+') THEN code END AS own, y, sum(n) AS n FROM m JOIN k USING (code) GROUP BY ALL)"""
+
+
+@query(f"""{_BINNED}, a AS (SELECT kinds, own, sum(n) AS a FROM g GROUP BY ALL), b AS (SELECT y, sum(n) AS b FROM g GROUP BY y), t AS (SELECT sum(n)::DOUBLE AS t FROM g)
+SELECT {r4('(SELECT t FROM t) * (sum(n * n / (a * b)::DOUBLE) - 1)')} / 1000 AS chi2, (count(DISTINCT a.kinds || coalesce(a.own, 0)) - 1) * 2 AS df, (SELECT count(*) FROM a) AS groups
+FROM g JOIN a ON a.kinds = g.kinds AND a.own IS NOT DISTINCT FROM g.own JOIN b ON b.y = g.y""")
+def chaid_split(t):
+    """A root split: ranges of one class merge, ranges that hold two stay apart."""
+    rows = t("lineitem").select(F.when(F.col("l_quantity") > 30, "many").when(F.col("l_quantity") > 10, "some").otherwise("few").alias("y"), F.col("l_quantity").alias("v"))
+    s = models.Chaid(rows, "y", ["v"], max_depth=1).nodes[0]["split"]
+    row = (math.floor(s["chi2"] * 1e4 + 0.5) / 1e4 / 1000, s["df"], len(set(s["children"].values())))
+    return t("region").sparkSession.createDataFrame([row], "chi2 double, df bigint, groups bigint")
+
+
+@query(f"""SELECT term, {r4('value / 1000')} AS coefficient FROM (SELECT regr_slope(l_extendedprice, (l_quantity - m) / s) AS a, regr_intercept(l_extendedprice, (l_quantity - m) / s) AS b
+FROM lineitem, (SELECT avg(l_quantity) AS m, stddev_samp(l_quantity) AS s FROM lineitem)), LATERAL (SELECT 'l_quantity' AS term, a AS value UNION ALL SELECT '(Intercept)', b)""")
+def linear_coefficients(t):
+    found = models.linear(t("lineitem"), "l_extendedprice", ["l_quantity"]).coefficients(t("region").sparkSession)
+    return found.select("term", round_to(F.col("coefficient") / 1000).alias("coefficient"))
+
+
+_NAMED = "(SELECT *, 'cluster-' || (1 + (c_nationkey % 3)) AS cluster FROM customer)"
+
+
+@query(f"""SELECT cluster, count(*) AS n, 'c_acctbal' AS field, ({r4('avg(c_acctbal / 1000)')})::VARCHAR AS value FROM {_NAMED} GROUP BY cluster
+UNION ALL SELECT c.cluster, c.n, 'c_mktsegment', v.c_mktsegment FROM (SELECT cluster, count(*) AS n FROM {_NAMED} GROUP BY cluster) c
+JOIN (SELECT cluster, c_mktsegment, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, c_mktsegment) AS k FROM {_NAMED} GROUP BY cluster, c_mktsegment) v ON v.cluster = c.cluster AND k = 1""")
+def cluster_profiles(t):
+    rows = t("customer").withColumn("cluster", F.concat(F.lit("cluster-"), 1 + F.col("c_nationkey") % 3)).withColumn("c_acctbal", F.col("c_acctbal") / 1000)
+    return models.profiles(rows, ["c_acctbal", "c_mktsegment"], "cluster")
+
+
+@query(f"""WITH m AS (SELECT vec_id, own, other, avg(d) AS d FROM {_PAIRS} GROUP BY ALL), s AS (SELECT vec_id, own, max(CASE WHEN other = own THEN d END) AS a, min(CASE WHEN other <> own THEN d END) AS b FROM m GROUP BY ALL),
+x AS (SELECT 'cluster-' || own AS cluster, coalesce((b - a) / greatest(a, b), 0.0) AS v FROM s), y AS (SELECT cluster, v FROM x UNION ALL SELECT 'all', v FROM x)
+SELECT cluster, count(*) AS n, floor(avg(v) * 1000 + 0.5) / 1000 AS silhouette, CASE WHEN avg(v) > 0.7 THEN 'strong' WHEN avg(v) > 0.5 THEN 'reasonable' WHEN avg(v) > 0.25 THEN 'weak' ELSE 'none' END AS structure FROM y GROUP BY cluster""")
+def silhouette_by_cluster(t):
+    """Means of the records whose id is divisible by 20, against all."""
+    e = t("embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double"))).withColumn("c", F.concat(F.lit("cluster-"), "label"))
+    found = models.silhouette(e, F.col("x"), "c", "vec_id", of=e.where("vec_id % 20 = 0"))
+    return models.silhouette_summary(found).withColumn("silhouette", round_to(F.col("silhouette"), 3))
+
+
+@query(f"""WITH z AS (SELECT c_custkey, (c_acctbal - m) / s AS x FROM customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)),
+d AS (SELECT c_custkey, least(abs(x + 1), abs(x - 1)) AS d, CASE WHEN abs(x + 1) <= abs(x - 1) THEN 1 ELSE 2 END AS k FROM z), g AS (SELECT k, avg(d) AS m FROM d GROUP BY k)
+SELECT c_custkey, {r4('d / m')} AS idx, CASE WHEN d / m > 1.5 THEN 'anomaly' ELSE 'normal' END AS flag FROM d JOIN g ON d.k = g.k""")
+def anomaly_by_index(t):
+    out = models.anomaly(t("customer"), t("customer"), ["c_acctbal"], centres=[[-1.0], [1.0]], index=1.5)
+    return out.select("c_custkey", round_to(F.col("`$OA-Anomaly`")).alias("idx"), F.col("`$O-Anomaly`").alias("flag"))
+
+
+# -- whole flows ---------------------------------------------------------------------------
+
+for _flow in flows.FLOWS:
+    query()(_flow)
+
+
+@query(f"{_rules_of(_BRAND_BASKETS, 0.01, 0.1)} {_SHOWN_RULES}")
+def example_market_basket(t):
+    """Brands bought in one order."""
+    lines = record.merge(t("lineitem").select("l_orderkey", "l_partkey"), t("part").select("p_partkey", "p_brand"), "l_partkey", "p_partkey")
+    return _shown_rules(models.apriori(models.baskets(lines, "l_orderkey", "p_brand"), 1, 10)[1])
+
+
+@query(f"{_rules_of(_BASKETS, 0.1, 0.5)} {_SHOWN_RULES}")
+def example_basket_flags(t):
+    """The same baskets of priorities from one flag for each."""
+    names = [r[0] for r in t("orders").select("o_orderpriority").distinct().orderBy("o_orderpriority").collect()]
+    flags = t("orders").groupBy("o_custkey").agg(*[F.max(F.when(F.col("o_orderpriority") == n, "T").otherwise("F")).alias(n) for n in names])
+    return _shown_rules(models.apriori(models.flag_baskets(flags, names, "o_custkey"), 10, 50)[1])

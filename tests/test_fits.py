@@ -406,3 +406,14 @@ def test_item_sets_of_many_blocks(spark, monkeypatch):
         associations.apriori(df, 1.5, 40, 4, most=5)
     with pytest.raises(ValueError):
         associations.apriori(df.limit(0))
+
+
+def test_chaid_of_numbers_in_spark(spark):
+    df = spark.range(900).select(
+        F.when(F.col("id") % 9 == 0, None).otherwise(F.col("id") % 6).cast("double").alias("v"),
+        F.when(F.col("id") % 9 == 0, "c").when(F.col("id") % 6 < 2, "a").when(F.col("id") % 6 < 4, "b").otherwise("c").alias("y"),
+    )
+    m = models.Chaid(df, "y", ["v"], bins=6)
+    told = [r["rule"] for r in m.rules(spark).where("leaf").collect()]
+    assert len(told) == 3 and any("or missing" in x for x in told)
+    assert m.transform(df).where("`$CH-y` = y").count() == 900

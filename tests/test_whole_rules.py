@@ -31,10 +31,10 @@ def test_item_sets_and_rules_of_up_to_three_antecedents(spark):
     count = {s: sum(set(s) <= b for b in baskets.values()) for k in range(1, 5) for s in combinations(items, k)}
     frequent = {s: m for s, m in count.items() if m >= 0.1 * n}
     assert any(len(s) > 2 for s in frequent)
-    got = {r["items"]: r["n"] for r in catalogue.QUERIES["apriori_itemsets_whole"](spark, DIR).collect()}
+    got = {r["items"]: r["n"] for r in catalogue.QUERIES["apriori_itemsets"](spark, DIR).collect()}
     assert got == {" & ".join(s): m for s, m in frequent.items()}
     want = {(" & ".join(a for a in s if a != c), c): (m / count[tuple(a for a in s if a != c)], m) for s, m in frequent.items() if len(s) > 1 for c in s}
     want = {k: v for k, v in want.items() if v[0] >= 0.5}
-    rules = {(r["antecedent"], r["consequent"]): (r["confidence"], r["transactions"]) for r in catalogue.QUERIES["apriori_rules_whole"](spark, DIR).collect()}
+    rules = {(r["antecedent"], r["consequent"]): (r["confidence"], r["transactions"]) for r in catalogue.QUERIES["apriori_rules"](spark, DIR).collect()}
     assert rules.keys() == want.keys()
     assert all(abs(rules[k][0] - want[k][0]) < 1e-3 and rules[k][1] == want[k][1] for k in want)
