@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,14 +18,19 @@ def _times(x: Column, y: Column) -> Column:
     return ((high.bitwiseAND(0xFFFF)) * 65536 + x.bitwiseAND(0xFFFF) * y).bitwiseAND(MASK)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def uniform(seed: int, position: Column) -> Column:
     """The draw in [0, 1) at each 0-based position."""
     start = (int(seed) & MASK) or 1
     i = position.cast("bigint") + 1
     a = (_times(i.bitwiseAND(MASK), F.lit(STEP)) + start).bitwiseAND(MASK)
-    t = _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(1))
-    u = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK).bitwiseXOR(t)
-    return u.bitwiseXOR(F.shiftright(u, 14)) / F.lit(4294967296.0)
+    first = lambda a: _times(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(1))
+    second = lambda t: (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(61))).bitwiseAND(MASK).bitwiseXOR(t)
+    return _let(_let(_let(a, first), second), lambda u: u.bitwiseXOR(F.shiftright(u, 14))) / F.lit(4294967296.0)
 
 
 def draws(seed: int, n: int) -> np.ndarray:

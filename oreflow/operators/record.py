@@ -144,12 +144,31 @@ def distinct(df: DataFrame, fields: list[str], keys: list[str]) -> DataFrame:
     return whole.select("__row.*")
 
 
-def merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
+def placed(df: DataFrame, keys: list[str], name: str = "Place") -> DataFrame:
+    """``df`` with a place that later operators carry along and order by: of any type that sorts, here the values of ``keys``.
+
+    Where the keys leave ties, use :func:`positions`.  No sort is made until an
+    operator that needs the order, given ``[name]`` as its keys.
+    """
+    return df.withColumn(name, F.struct(*cols(keys)))
+
+
+def merge(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", places: tuple[str, str] | None = None, place: str = "Place",
+) -> DataFrame:
     """Join on keys compared as text; missing keys never match; the right key is dropped, colliding names get _2, _3...
 
     Keys of one type are compared as they are, which is the same and keeps
     bucketing and pushed filters; rows without a key are set apart, not shuffled.
+    With ``places``, the fields of the two sides' places, the rows get a last
+    field ``place``: in the order of the left rows, those of one in that of the
+    right ones, and right rows without a match behind all others.
     """
+    if places:
+        # The sides' places stand for themselves until both are known.
+        a, b = "__left_place", "__right_place"
+        both = merge(left.withColumnRenamed(places[0], a), right.withColumnRenamed(places[1], b), left_key, right_key, how)
+        return both.select(*[col(c) for c in both.columns if c not in (a, b)], F.struct(col(a).isNull().alias("alone"), col(a).alias("left"), col(b).alias("right")).alias(place))
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"Unknown join: {how}")
     names: dict[str, str] = {}
@@ -179,8 +198,16 @@ def merge(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how:
     return out
 
 
-def append(frames: list[DataFrame], tag: str = "", labels: list[str] | None = None) -> DataFrame:
-    """All rows by field name; a field that is number here and text there becomes text; ``tag`` names the origin."""
+def append(frames: list[DataFrame], tag: str = "", labels: list[str] | None = None, places: list[str] | None = None, place: str = "Place") -> DataFrame:
+    """All rows by field name; a field that is number here and text there becomes text; ``tag`` names the origin.
+
+    With ``places``, the fields of the tables' places (of one type), the rows
+    get a last field ``place``: table after table, each in its own order.
+    """
+    if places:
+        own = [f.withColumn("__place", F.struct(F.lit(k).alias("table"), col(p).alias("at"))).drop(p) for k, (f, p) in enumerate(zip(frames, places, strict=True))]
+        out = append(own, tag, labels)
+        return out.select(*[col(c) for c in out.columns if c != "__place"], F.col("__place").alias(place))
     kinds: dict[str, set[bool]] = {}
     for f in frames:
         for c in f.columns:
@@ -204,9 +231,13 @@ AGGREGATES = {
 }
 
 
-def aggregate(df: DataFrame, keys: list[str], values: list[str], funcs: list[str]) -> DataFrame:
-    """Groups of ``keys`` (NULL is a group) with each function of each value and ``Record_Count``; no rows give no groups."""
+def aggregate(df: DataFrame, keys: list[str], values: list[str], funcs: list[str], place: str | None = None) -> DataFrame:
+    """Groups of ``keys`` (NULL is a group) with each function of each value and ``Record_Count``; no rows give no groups.
+
+    With ``place``, a field of places, each group has that of its first row.
+    """
     out = [AGGREGATES[f](known(df, v).cast("double")).alias(f"{v}_{f}") for v in values for f in funcs] + [F.count("*").alias("Record_Count")]
+    out += [F.min(col(place)).alias(place)] if place else []
     if keys:
         return df.groupBy(*cols(keys)).agg(*out)
     return df.groupBy(F.lit(1).alias("__all")).agg(*out).drop("__all")

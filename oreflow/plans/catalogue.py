@@ -345,6 +345,36 @@ def merge_collision(t):
     return record.merge(t("nation"), right, "n_regionkey", "r_regionkey").select("n_nationkey", "n_name", "n_name_2")
 
 
+_JOINED = """(SELECT d.doc_id, d.source, l.doc_id AS other, row_number() OVER (ORDER BY d.doc_id IS NULL, d.doc_id DESC, l.doc_id) - 1 AS i
+FROM (SELECT doc_id, source, doc_id % 7 AS k FROM documents WHERE doc_id % 3 > 0) d FULL JOIN (SELECT doc_id, doc_id % 11 AS k FROM labels WHERE quality = 0) l ON d.k = l.k)"""
+
+
+def _joined(t):
+    """Documents in descending order of ids, labels in ascending order, joined with their places."""
+    left = t("documents").where("doc_id % 3 > 0").select("doc_id", "source", (F.col("doc_id") % 7).alias("k"), (-F.col("doc_id")).alias("at"))
+    right = t("labels").where("quality = 0").select(F.col("doc_id").alias("other"), (F.col("doc_id") % 11).alias("k"), F.col("doc_id").alias("at"))
+    return record.merge(left, right, "k", "k", "full", ("at", "at"))
+
+
+@query(f"SELECT doc_id, other FROM {_JOINED} WHERE i % 10 = 0")
+def merge_then_sample_every(t):
+    """The order of rows is carried through the join; nothing is sorted before the sample asks for it."""
+    return record.sample_every(_joined(t), 10, ["Place"]).select("doc_id", "other")
+
+
+@query(f"SELECT source, count(*) AS Record_Count, row_number() OVER (ORDER BY min(i)) - 1 AS seen FROM {_JOINED} GROUP BY source")
+def aggregate_first_seen(t):
+    """Groups in the order of their first rows."""
+    return record.positions(record.aggregate(_joined(t), ["source"], [], [], "Place"), ["Place"], "seen").select("source", "Record_Count", "seen")
+
+
+@query("""SELECT id FROM (SELECT id, row_number() OVER (ORDER BY k, CASE k WHEN 0 THEN -id ELSE id END) - 1 AS i FROM (SELECT c_custkey AS id, 0 AS k FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier)) WHERE i % 7 = 0""")
+def append_then_sample_every(t):
+    a = t("customer").select(F.col("c_custkey").alias("id"), (-F.col("c_custkey")).alias("at"))
+    b = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").alias("at"))
+    return record.sample_every(record.append([a, b], places=["at", "at"]), 7, ["Place"]).select("id")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS key, c_acctbal AS bal, c_mktsegment AS seg, 'customer' AS origin FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, 'supplier' FROM supplier")
 def append_tagged(t):
     a = t("customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"))
