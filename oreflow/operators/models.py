@@ -449,7 +449,8 @@ def silhouette(
         return pa.table(out, schema=pa.schema([("key", pa.int64()), ("cluster", pa.string()), ("other", pa.string()), ("s", pa.float64()), ("n", pa.int64())]))
 
     sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(add, "key bigint, cluster string, other string, s double, n bigint")
-    sums = sums.groupBy("key", "cluster", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    # Kept, so that no later step's unused columns are pruned below the pairing.
+    sums = kept(sums.groupBy("key", "cluster", "other").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
     same = F.col("other") == F.col("cluster")
     per = sums.groupBy("key", "cluster").agg(
         F.max(F.when(same, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a"),

@@ -153,7 +153,8 @@ class Neighbours:
         first = kept(merged(first))
         bound = F.when(F.size("near") == k, F.sqrt(F.element_at("near", -1)["d"])).otherwise(float("inf"))
         second, more = meet(visits(asked.join(first.select(F.col("q").alias("id"), bound.alias("bound")), "id").select("id", "x", "bound"), True))
-        return merged(first.unionByName(second)), met + more, int(counts.sum()) * asked.count()
+        # Kept, so that no later step's unused columns are pruned below the pairing.
+        return kept(merged(first.unionByName(second))), met + more, int(counts.sum()) * asked.count()
 
     def transform(self, df: DataFrame, block: int = 4000) -> DataFrame:
         x = F.array(*self.encoder.columns(df).values()).cast("array<double>")
