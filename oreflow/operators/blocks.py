@@ -43,6 +43,18 @@ def blocked(df: DataFrame, vector: Column, y: Column | None = None, pos: Column
     return out.coalesce(min(few, out.rdd.getNumPartitions())).persist()
 
 
+def joined(data: DataFrame) -> DataFrame:
+    """The blocks of at most SIZE rows in all as one block, in any order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(matrices(batches))
+        if found:
+            x, y = np.concatenate([x for _, x, _ in found]), np.concatenate([y for _, _, y in found])
+            yield pa.RecordBatch.from_pydict({"pos": [0], "n": pa.array([len(x)], pa.int32()), "x": [x.tobytes()], "y": [y.tobytes()]})
+
+    return data.coalesce(1).mapInArrow(run, "pos bigint, n int, x binary, y binary")
+
+
 def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Place, vectors and classes of each block."""
     for b in batches:

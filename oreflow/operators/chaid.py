@@ -52,6 +52,11 @@ def upper_tails(chi2: np.ndarray, df: np.ndarray) -> np.ndarray:
     return out
 
 
+def chi_square_p(chi2: float, df: int) -> float:
+    """The upper tail for one value."""
+    return float(upper_tails(np.array([float(chi2)]), np.array([df]))[0])
+
+
 def log_upper_tail(chi2: float, df: int) -> float:
     """The logarithm of the same, also where the tail itself is below the least number."""
     if df <= 0 or chi2 <= 0:

@@ -1,6 +1,6 @@
 """Fits by full-batch steps of fixed rates: support vector planes, softmax regression, and a network with one hidden layer.
 
-A step is one pass over blocks of encoded rows (:mod:`oreflow.operators.blocks`):
+A step is one pass over blocks of at most 4,096 encoded rows (:mod:`oreflow.operators.blocks`):
 the weights go out with the step's tasks, sums of gradients come back, and the
 driver, which holds the weights only, moves them.  The number of steps, the
 rates and the seeded start are parameters, so a fit is the same at every run
@@ -9,9 +9,10 @@ and number of tasks, up to the order of additions.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,26 @@ def _parts(flat: np.ndarray, shapes: list[tuple[int, ...]]) -> Weights:
 
 def descend(data: DataFrame, start: Weights, gradient: Callable[[Weights, np.ndarray, np.ndarray], Weights], move: Callable[[int, Weights, Weights], Weights], steps: int) -> Weights:
     """``steps`` times: sum ``gradient(weights, x, y)`` over all blocks and ``move(step, weights, sums)``."""
-    weights, shapes = start, [w.shape for w in start]
-    for k in range(steps):
-        sums = blocks.summed(data, lambda x, y, w=weights: np.concatenate([g.ravel() for g in gradient(w, x, y)]))
-        weights = move(k, weights, _parts(sums, shapes))
-        if not all(np.isfinite(w).all() for w in weights):
-            raise ValueError("The fit ran away from its data; a smaller rate keeps it near.")
-    return weights
+    shapes = [w.shape for w in start]
+
+    def stepped(weights: Weights, total: Callable[[Weights], Weights]) -> Weights:
+        for k in range(steps):
+            weights = move(k, weights, total(weights))
+            if not all(np.isfinite(w).all() for w in weights):
+                raise ValueError("The fit ran away from its data; a smaller rate keeps it near.")
+        return weights
+
+    if data.count() > 1:
+        flat = lambda w: (lambda x, y: np.concatenate([g.ravel() for g in gradient(w, x, y)]))
+        return stepped(start, lambda w: _parts(blocks.summed(data, flat(w)), shapes))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The sums of a single block need no one else: its task makes all steps.
+        for _, x, y in blocks.matrices(batches):
+            weights = stepped(start, lambda w, x=x, y=y: gradient(w, x, y))
+            yield pa.RecordBatch.from_pydict({"w": [np.concatenate([w.ravel() for w in weights]).tobytes()]})
+
+    return _parts(np.frombuffer(data.mapInArrow(whole, "w binary").first()["w"], float), shapes)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -156,4 +170,5 @@ def encoded(train: DataFrame, target: str, inputs: list[str], encoder_of: Callab
     x = F.array(*encoder.columns(rows).values())
     data = blocks.blocked(rows, x, F.array_position(F.lit(classes), t) - 1)
     train.unpersist()
-    return encoder, classes, data, data.agg(F.sum("n")).first()[0]
+    n = data.agg(F.sum("n")).first()[0]
+    return encoder, classes, blocks.joined(data) if n <= blocks.SIZE else data, n

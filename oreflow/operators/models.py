@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from oreflow.functions.values import as_text, col, cols, is_number, known, round_to
 from oreflow.operators import cart, clusters, gradient, record
 from oreflow.operators.associations import Rules, apriori, baskets, flag_baskets, recommend, value_baskets  # noqa: F401
-from oreflow.operators.chaid import Chaid  # noqa: F401
+from oreflow.operators.chaid import Chaid, chi_square_p  # noqa: F401
 from oreflow.operators.neighbours import Neighbours, matrix
 from oreflow.operators.lineage import kept
 

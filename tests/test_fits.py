@@ -214,8 +214,12 @@ def points():
     return [(float(a), None if i % 17 == 0 else float(b), "uvw"[i % 3], "klm"[i // 70]) for i, (a, b) in enumerate(x)]
 
 
-@pytest.fixture(scope="module")
-def data(spark, points):
+@pytest.fixture(scope="module", params=["one block", "several blocks"])
+def data(request, spark, points):
+    from oreflow.operators import blocks
+
+    size, blocks.SIZE = blocks.SIZE, 4096 if request.param == "one block" else 32
+    request.addfinalizer(lambda: setattr(blocks, "SIZE", size))
     return spark.createDataFrame(points, "a double, `b.b` double, t string, y string").repartition(3).persist()
 
 
