@@ -84,9 +84,7 @@ def _bitmaps(sets: DataFrame, number: dict[str, int]) -> DataFrame:
                 np.bitwise_or.at(bits, (which, where >> 3), (1 << (where & 7)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    out = kept(sets.select(F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(run, "bits binary"))
-    few = max(1, out.count())
-    return out.coalesce(min(few, out.rdd.getNumPartitions())).persist()
+    return blocks.held(kept(sets.select(F.coalesce("items", F.array().cast("array<string>")).alias("items")).mapInArrow(run, "bits binary")), "bits")
 
 
 def count_bits(bits: np.ndarray, sets: list[tuple[int, ...]]) -> np.ndarray:

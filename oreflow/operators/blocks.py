@@ -21,6 +21,8 @@ from oreflow.operators.lineage import kept
 SIZE, FAN = 4096, 128
 #: Bytes of sums that reach the driver at once.
 GATHERED = 64 << 20
+#: Bytes of blocks in a cached partition.
+PART = 64 << 20
 SUMS = "part int, sums binary"
 
 
@@ -38,9 +40,14 @@ def blocked(df: DataFrame, vector: Column, y: Column | None = None, pos: Column
                     names=["pos", "n", "x", "y"],
                 )
 
-    out = kept(rows.mapInArrow(run, "pos bigint, n int, x binary, y binary"))
-    few = max(1, out.count())
-    return out.coalesce(min(few, out.rdd.getNumPartitions())).persist()
+    return held(kept(rows.mapInArrow(run, "pos bigint, n int, x binary, y binary")), "x")
+
+
+def held(data: DataFrame, column: str) -> DataFrame:
+    """``data`` cached in as many partitions as there are cores, or more of some PART bytes of ``column`` each: a step is one wave of tasks."""
+    rows, size = data.agg(F.count("*"), F.sum(F.octet_length(column))).first()
+    parts = max(data.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // PART))
+    return data.coalesce(max(1, min(rows, parts))).persist()
 
 
 def joined(data: DataFrame) -> DataFrame:
@@ -81,7 +88,8 @@ def gathered(found: DataFrame, parts: int, size: int = 0) -> np.ndarray:
     fan = max(4, min(FAN, GATHERED // max(1, size)))
     while parts > fan:
         parts = -(-parts // fan)
-        found = found.groupBy((F.col("part") / fan).cast("int").alias("part")).applyInArrow(_added, SUMS)
+        # The key goes to the group beside its rows, so it has a name of its own.
+        found = found.groupBy((F.col("part") / fan).cast("int").alias("group")).applyInArrow(_added, SUMS)
     rows = sorted(found.collect(), key=lambda r: r["part"])  # at most fan rows
     if not rows:
         raise ValueError("There are no rows to fit.")
