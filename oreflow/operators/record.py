@@ -153,6 +153,18 @@ def placed(df: DataFrame, keys: list[str], name: str = "Place") -> DataFrame:
     return df.withColumn(name, F.struct(*cols(keys)))
 
 
+def _renamed(left: DataFrame, right: DataFrame, right_key: str) -> dict[str, str]:
+    """The names that the right fields but the key get in a join."""
+    names: dict[str, str] = {}
+    for c in right.columns:
+        if c != right_key:
+            new, k = c, 2
+            while new in left.columns or new in names.values():
+                new, k = f"{c}_{k}", k + 1
+            names[c] = new
+    return names
+
+
 def merge(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner", places: tuple[str, str] | None = None, place: str = "Place",
 ) -> DataFrame:
@@ -171,13 +183,7 @@ def merge(
         return both.select(*[col(c) for c in both.columns if c not in (a, b)], F.struct(col(a).isNull().alias("alone"), col(a).alias("left"), col(b).alias("right")).alias(place))
     if how not in ("inner", "left", "right", "full"):
         raise ValueError(f"Unknown join: {how}")
-    names: dict[str, str] = {}
-    for c in right.columns:
-        if c != right_key:
-            new, k = c, 2
-            while new in left.columns or new in names.values():
-                new, k = f"{c}_{k}", k + 1
-            names[c] = new
+    names = _renamed(left, right, right_key)
     same = dict(left.dtypes)[left_key] == dict(right.dtypes)[right_key]
     form = known if same else as_text
     lk, rk = form(left, left_key), form(right, right_key)
@@ -198,6 +204,92 @@ def merge(
     return out
 
 
+#: Rows within which one task adds up weights.
+RUN = 1 << 16
+
+
+def _starts(df: DataFrame, keys: list[str], weight: Column) -> tuple[DataFrame, int]:
+    """``df`` with ``__start``, the sum of the weights of the rows before each in the order of ``keys``, and the sum of all."""
+    rows = positions(df.withColumn("__w", weight.cast("bigint")), keys).withColumn("__run", F.floor(F.col("__pos") / RUN))
+    sums, total = [], 0
+    for r in sorted(rows.groupBy("__run").agg(F.sum("__w").alias("w")).collect(), key=lambda r: r["__run"]):  # a number for RUN rows
+        sums.append((r["__run"], total))
+        total += r["w"]
+    before = df.sparkSession.createDataFrame(sums, "__run bigint, __before bigint")
+    within = Window.partitionBy("__run").orderBy("__pos")
+    out = rows.join(F.broadcast(before), "__run").withColumn("__start", F.col("__before") + F.sum("__w").over(within) - F.col("__w"))
+    return out.select(*[col(c) for c in df.columns], "__start"), total
+
+
+def _sides(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> tuple[DataFrame, DataFrame, bool]:
+    """Both tables with the key ``__k`` by which :func:`merge` compares them, and whether they have it in one type."""
+    same = dict(left.dtypes)[left_key] == dict(right.dtypes)[right_key]
+    form = known if same else as_text
+    return left.withColumn("__k", form(left, left_key)), right.withColumn("__k", form(right, right_key)), same
+
+
+def merge_every(left: DataFrame, right: DataFrame, left_key: str, right_key: str, n: int, how: str = "inner", places: tuple[str, str] = ("Place", "Place")) -> DataFrame:
+    """The rows of ``sample_every(merge(..., places), n, [place])`` without their place; only these rows are made.
+
+    The left rows in their order, each with the number of its matches, give
+    the place at which its matches begin; a match's rank among the right rows
+    of its key tells the rest.  So sampled pairs agree in key and in the rank's
+    remainder, and the join looks for those alone.  Places are not missing.
+    """
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"Unknown join: {how}")
+    n = max(1, round(n))
+    names = _renamed(left.drop(places[0]), right.drop(places[1]), right_key)
+    fields = [c for c in left.columns if c != places[0]]
+    lefts, rights, same = _sides(left, right, left_key, right_key)
+    right_only = how in ("right", "full")
+    keyed = F.col("__k") if right_only and not same else col(left_key)
+    matches = rights.where("__k is not null").groupBy("__k").agg(F.count("*").alias("__m"))
+    counted = lefts.join(matches, "__k", "left").withColumn("__m", F.coalesce("__m", F.lit(0)))
+    given = F.col("__m") if how in ("inner", "right") else F.greatest("__m", F.lit(1))
+    started, total = _starts(counted, [places[0]], given)
+    started = started.select("__k", "__m", "__start", *[(keyed if c == left_key else col(c)).alias(c) for c in fields])
+    ranked = positions(rights.where("__k is not null"), ["__k", places[1]])
+    firsts = ranked.groupBy("__k").agg(F.min("__pos").alias("__first"))
+    ranked = ranked.join(firsts, "__k").select(
+        "__k", F.pmod(F.col("__pos") - F.col("__first"), F.lit(n)).alias("__r"), *[col(c).alias(new) for c, new in names.items()],
+    )
+    asked = started.where("__m > 0").withColumn("__r", F.pmod(-F.col("__start"), F.lit(n)))
+    out = asked.join(ranked, ["__k", "__r"]).select(*cols(fields), *cols(names.values()))
+    if how in ("left", "full"):
+        out = out.unionByName(started.where((F.col("__m") == 0) & (F.col("__start") % n == 0)).select(*cols(fields)), allowMissingColumns=True)
+    if right_only:
+        raw = col(right_key) if same else F.coalesce(F.col("__k"), col(right_key).cast("string"))
+        alone = rights.join(lefts.where("__k is not null").select("__k").distinct(), "__k", "left_anti")
+        alone = positions(alone, [places[1]]).where((F.col("__pos") + total) % n == 0)
+        out = out.unionByName(alone.select(raw.alias(left_key), *[col(c).alias(new) for c, new in names.items()]), allowMissingColumns=True)
+    return out
+
+
+def merge_aggregate(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, keys: list[str], how: str = "inner", places: tuple[str, str] = ("Place", "Place"), place: str = "Place",
+) -> DataFrame:
+    """``aggregate(merge(..., places), keys, [], [], place)`` for ``keys`` of the left fields: sizes and first places of groups, from the two sides' counts."""
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"Unknown join: {how}")
+    right_only = how in ("right", "full")
+    if not set(keys) <= set(left.columns) or right_only and left_key in keys:
+        raise ValueError("Groups are of left fields that the join leaves as they are.")
+    lefts, rights, _ = _sides(left, right, left_key, right_key)
+    matches = rights.where("__k is not null").groupBy("__k").agg(F.count("*").alias("__m"), F.min(col(places[1])).alias("__b"))
+    rows = lefts.join(matches, "__k", "left" if how in ("left", "full") else "inner")
+    at = lambda alone, a, b: F.struct(F.lit(alone).alias("alone"), a.alias("left"), b.alias("right"))
+    kinds = dict(left.dtypes)
+    parts = [rows.groupBy(*cols(keys)).agg(F.sum(F.coalesce("__m", F.lit(1))).alias("Record_Count"), F.min(at(False, col(places[0]), F.col("__b"))).alias("__p"))]
+    if right_only:
+        alone = rights.join(lefts.where("__k is not null").select("__k").distinct(), "__k", "left_anti")
+        found = alone.agg(F.count("*").alias("Record_Count"), F.min(at(True, F.lit(None).cast(kinds[places[0]]), col(places[1]))).alias("__p")).where(F.col("Record_Count") > 0)
+        parts.append(found.select(*[F.lit(None).cast(kinds[k]).alias(k) for k in keys], "Record_Count", "__p"))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = both.groupBy(*cols(keys)).agg(F.sum("Record_Count").alias("Record_Count"), F.min("__p").alias(place))
+    return out.where("Record_Count is not null")
+
+
 def append(frames: list[DataFrame], tag: str = "", labels: list[str] | None = None, places: list[str] | None = None, place: str = "Place") -> DataFrame:
     """All rows by field name; a field that is number here and text there becomes text; ``tag`` names the origin.
 

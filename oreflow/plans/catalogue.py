@@ -350,22 +350,22 @@ FROM (SELECT doc_id, source, doc_id % 7 AS k FROM documents WHERE doc_id % 3 > 0
 
 
 def _joined(t):
-    """Documents in descending order of ids, labels in ascending order, joined with their places."""
+    """Documents in descending order of ids and labels in ascending order, each with its place, and how they are joined."""
     left = t("documents").where("doc_id % 3 > 0").select("doc_id", "source", (F.col("doc_id") % 7).alias("k"), (-F.col("doc_id")).alias("at"))
     right = t("labels").where("quality = 0").select(F.col("doc_id").alias("other"), (F.col("doc_id") % 11).alias("k"), F.col("doc_id").alias("at"))
-    return record.merge(left, right, "k", "k", "full", ("at", "at"))
+    return left, right, "k", "k"
 
 
 @query(f"SELECT doc_id, other FROM {_JOINED} WHERE i % 10 = 0")
 def merge_then_sample_every(t):
-    """The order of rows is carried through the join; nothing is sorted before the sample asks for it."""
-    return record.sample_every(_joined(t), 10, ["Place"]).select("doc_id", "other")
+    """The order of rows is carried through the join, of which only the sampled rows are made."""
+    return record.merge_every(*_joined(t), 10, "full", ("at", "at")).select("doc_id", "other")
 
 
 @query(f"SELECT source, count(*) AS Record_Count, row_number() OVER (ORDER BY min(i)) - 1 AS seen FROM {_JOINED} GROUP BY source")
 def aggregate_first_seen(t):
-    """Groups in the order of their first rows."""
-    return record.positions(record.aggregate(_joined(t), ["source"], [], [], "Place"), ["Place"], "seen").select("source", "Record_Count", "seen")
+    """Groups in the order of their first rows; the join's rows are counted, not made."""
+    return record.positions(record.merge_aggregate(*_joined(t), ["source"], "full", ("at", "at")), ["Place"], "seen").select("source", "Record_Count", "seen")
 
 
 @query("""SELECT id FROM (SELECT id, row_number() OVER (ORDER BY k, CASE k WHEN 0 THEN -id ELSE id END) - 1 AS i FROM (SELECT c_custkey AS id, 0 AS k FROM customer UNION ALL SELECT s_suppkey, 1 FROM supplier)) WHERE i % 7 = 0""")
