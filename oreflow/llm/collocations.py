@@ -35,6 +35,8 @@ from oreflow.llm import common
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 CHUNK = 8 << 20
+#: Phrases written out at a time.
+SLICE = 1 << 17
 #: The bitmap has some 32 bits for each frequent phrase, within these powers of two.
 FEWEST_BITS, MOST_BITS = 15, 27
 #: Buckets in which a language's best are found before they are ranked together.
@@ -89,12 +91,13 @@ class Words:
 
     def __init__(self, raw: np.ndarray, firsts: np.ndarray, langs: np.ndarray, names: pa.LargeStringArray):
         """``firsts`` are the places where documents begin, ``langs`` the numbers of their languages in ``names``."""
-        low = _LOWER[raw]
-        kind = _KIND[low]
+        # Byte tables are applied by translate: an index array would take eight bytes a place.
+        low = np.frombuffer(raw.tobytes().translate(_LOWER.tobytes()), np.uint8)
+        kind = np.frombuffer(low.tobytes().translate(_KIND.tobytes()), np.uint8)
         inside = kind == 0
         edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
         self.starts, ends = edges[::2], edges[1::2]
-        self.piece = np.cumsum(kind == 2, dtype=np.int64)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
         whole = _strings(low[inside], ends - self.starts).dictionary_encode()
         self.words, self.names = whole.dictionary, names
         counts = np.diff(np.concatenate([np.searchsorted(self.starts, firsts), [len(self.starts)]]))
@@ -113,8 +116,8 @@ class Words:
             out = _mixed(out * _NEXT + pair[j : j + len(out)])
         return out
 
-    def counted(self, at: np.ndarray, size: int) -> dict[str, pa.Array]:
-        """``lang, phrase, n`` of the phrases of ``size`` words that begin at the words ``at``."""
+    def counted(self, at: np.ndarray, size: int) -> Iterator[dict[str, pa.Array]]:
+        """``lang, phrase, n`` of the phrases of ``size`` words that begin at the words ``at``, written out SLICE of them at a time."""
         code, many, reduced = self.id[at], self.kinds, []
         for j in range(1, size):
             table = None
@@ -128,16 +131,18 @@ class Words:
         found = pa.array(code).value_counts()
         # In the order of the first words, so that neighbouring rows are alike and the shuffle's compression finds them so.
         found = found.take(pc.sort_indices(found.field("values")))
-        rest, parts = found.field("values").to_numpy(zero_copy_only=False), []
-        for table in reversed(reduced):
-            rest, last = np.divmod(rest, self.kinds)
-            parts.insert(0, last)
-            if table is not None:
-                rest = table[rest]
-        parts.insert(0, rest)
-        own = [self.words.take(pa.array(self.word_of[p])) for p in parts]
-        phrase = pc.binary_join_element_wise(*own, pa.scalar(" ", pa.large_string())) if size > 1 else own[0]
-        return {"lang": self.names.take(pa.array(self.lang_of[rest])), "phrase": phrase, "n": found.field("counts")}
+        for begin in range(0, len(found), SLICE):
+            some = found.slice(begin, SLICE)
+            rest, parts = some.field("values").to_numpy(zero_copy_only=False), []
+            for table in reversed(reduced):
+                rest, last = np.divmod(rest, self.kinds)
+                parts.insert(0, last)
+                if table is not None:
+                    rest = table[rest]
+            parts.insert(0, rest)
+            own = [self.words.take(pa.array(self.word_of[p])) for p in parts]
+            phrase = pc.binary_join_element_wise(*own, pa.scalar(" ", pa.large_string())) if size > 1 else own[0]
+            yield {"lang": self.names.take(pa.array(self.lang_of[rest])), "phrase": phrase, "n": some.field("counts")}
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
@@ -180,7 +185,7 @@ def _given_out(batches: Iterator[pa.RecordBatch], size: int, bitmap: np.ndarray
             near = _held(bitmap, words.hashes(size - 1))
             at = at[near[at] & near[at + 1] & (words.piece[at] == words.piece[at + size - 1])] if len(at) else at
         if len(at):
-            yield words.counted(at, size)
+            yield from words.counted(at, size)
             if size == 1:  # all words of each language
                 every = pa.array(words.lang_of[words.id]).value_counts()
                 n = every.field("counts")
