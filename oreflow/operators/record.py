@@ -38,6 +38,10 @@ def positions(df: DataFrame, keys: list[str], name: str = "__pos") -> DataFrame:
     return numbered.select(*[col(c) for c in df.columns], (F.col("__start") + place).alias(name))
 
 
+#: Groups whose ranges are sent to every task (2 KB each), and how many edges a first look steps over.
+FEW_GROUPS, STRIDE = 1000, 16
+
+
 def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], cuts: int = 256) -> DataFrame:
     """Exact interpolated quantiles of a number within groups of ``keys``: ``q0``, ``q1``... and no row for groups without values.
 
@@ -50,10 +54,16 @@ def quantiles(df: DataFrame, keys: list[str], field: str, shares: list[float], c
     base = df.where(value.isNotNull()).select(
         F.struct(F.lit(0).alias("one"), *[col(k).alias(n) for k, n in zip(keys, names, strict=True)]).alias("g"), value.alias("v"),
     )
-    counts = base.groupBy("g", "v").agg(F.count("*").alias("n"))
+    counts = kept(base.groupBy("g", "v").agg(F.count("*").alias("n")))  # read twice
     edges = F.approx_percentile("v", F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), F.lit(4 * cuts))
-    groups = counts.groupBy("g").agg(F.sum("n").alias("total"), edges.alias("edges"))
-    placed = kept(counts.join(groups, "g").select("g", "v", "n", "total", F.size(F.filter("edges", lambda e: e < F.col("v"))).alias("bin")))
+    groups = kept(counts.groupBy("g").agg(F.sum("n").alias("total"), edges.alias("edges")))
+    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        groups = F.broadcast(groups)  # so that no task gets all values of a group
+    # Every STRIDE-th edge first, then those between two of them.
+    below = lambda some: F.size(F.filter(some, lambda e: e < F.col("v")))
+    step = below("coarse") * STRIDE
+    coarse = F.filter("edges", lambda _, i: i % STRIDE == STRIDE - 1)
+    placed = kept(counts.join(groups.withColumn("coarse", coarse), "g").select("g", "v", "n", "total", (step + below(F.slice("edges", step + 1, STRIDE))).alias("bin")))
     ranks = [(F.col("total") - 1) * s for s in shares]
     bins = placed.groupBy("g", "total", "bin").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("g").orderBy("bin")  # as many rows as cuts
