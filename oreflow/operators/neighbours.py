@@ -4,11 +4,14 @@ Training rows are dealt to the nearest of up to PIVOTS pivots (a seeded sample
 of them).  A query first meets the cells of its nearest pivots that hold k
 rows; the k-th distance found there bounds the others: a cell can hold a nearer
 row only if the distance to its pivot is at most that bound plus the cell's
-radius.  Cells and the queries that visit one are cut into blocks, so neither
-a crowded cell nor a crowd of queries is one task; a pair of blocks is one
-matrix product, gives the best k of each of its queries, and these are merged
-by an aggregation of bounded state.  No rows but the pivots pass through the
-driver.
+radius.  Small cells that lie side by side are one group, which a query visits
+once; crowded cells and the queries that visit a group are cut into blocks, so
+neither is one task; a pair of blocks is one matrix product, gives the best k
+of each of its queries, and these are merged by an aggregation of bounded
+state.  No rows but the pivots pass through the driver.
+
+Where few cells can be left out (many dimensions without structure) the work is
+that of all pairs, but a query is sent to a block of thousands of rows once.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ from oreflow.operators.cart import few_whole
 from oreflow.operators.lineage import kept
 
 PIVOTS = 256
+#: Rows and bytes of vectors of a block at most, and the rows below which one is not cut for the sake of more tasks.
+BLOCK, BLOCK_BYTES, LEAST_BLOCK = 16_384, 32 << 20, 1_000
+#: Queries measured at a time, and the pairs measured exactly at a time.
+ASKED, EXACT = 128, 1 << 16
 _NEAR = "array<struct<d:double,key:bigint,label:string>>"
 _ARROW = pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("key", pa.int64()), ("label", pa.string())])))])
 
@@ -63,26 +70,62 @@ class Cells:
         near = d <= (bound[:, None] + self.radius[None]) * (1 + 1e-9) + 1e-9
         return near & (self.counts > 0)[None] & ~self.first(d, k)
 
+    def groups(self, block: int) -> np.ndarray:
+        """The group of each cell: cells are taken each next to the last one, while they hold ``block`` rows together."""
+        out, left, at, group, held = np.zeros(len(self.counts), np.int64), np.ones(len(self.counts), bool), 0, 0, 0
+        for _ in range(len(out)):
+            left[at] = False
+            if held and held + self.counts[at] > block:
+                group, held = group + 1, 0
+            out[at] = group
+            held += self.counts[at]
+            if left.any():
+                d = ((self.pivots - self.pivots[at]) ** 2).sum(axis=1)
+                at = int(np.where(left, d, np.inf).argmin())
+        return out
+
+
+def _reached(rough: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that ``k`` of its numbers keep: the k-th of the least of folds, so that a row is not sorted."""
+    fold = max(1, min(64, rough.shape[1] // (16 * k)))
+    whole = rough.shape[1] // fold * fold
+    least = np.concatenate([np.fmin.reduce(rough[:, :whole].reshape(len(rough), fold, -1), axis=1), rough[:, whole:]], axis=1)
+    return np.partition(least, k - 1, axis=1)[:, k - 1]
+
 
 def _best(q: pa.Table, t: pa.Table, k: int) -> pa.Table:
     """The ``k`` nearest rows of ``t`` of each query; ties by id."""
-    out: dict[str, list] = {"q": [], "near": []}
-    if q.num_rows and t.num_rows:
-        x, y = matrix(q.column("x")), matrix(t.column("x"))
-        ids, labels, size = t.column("id").to_numpy(), t.column("label").to_pylist(), (y**2).sum(axis=1)
-        asked, last = q.column("id").to_pylist(), min(k, len(y)) - 1
-        for at in range(0, len(x), 512):
-            # The product tells far from near; those about as near as the k-th are measured exactly.
-            some = x[at : at + 512]
-            rough = distances(some, y)
-            cut = np.partition(rough, last, axis=1)[:, last]
-            for i, row in enumerate(rough):
-                own = np.flatnonzero(row <= cut[i] + 1e-9 * (1 + cut[i] + size.max()))
-                d = ((y[own] - some[i]) ** 2).sum(axis=1)
-                order = np.lexsort((ids[own], d))[:k]
-                out["q"].append(asked[at + i])
-                out["near"].append([{"d": float(e), "key": int(ids[j]), "label": labels[j]} for e, j in zip(d[order], own[order], strict=True)])
-    return pa.table(out, schema=_ARROW)
+    if not (q.num_rows and t.num_rows):
+        return pa.table({f.name: [] for f in _ARROW}, schema=_ARROW)
+    x, y = matrix(q.column("x")), matrix(t.column("x"))
+    ids, size, least = t.column("id").to_numpy(), (y**2).sum(axis=1), min(k, len(y))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of the queries' nearest: places in t, distances; how many
+    for at in range(0, len(x), ASKED):
+        # The product tells far from near; those about as near as the k-th are measured exactly.
+        some = x[at : at + ASKED]
+        rough, own = some @ y.T, (some**2).sum(axis=1)[:, None]
+        rough *= -2
+        rough += size
+        rough += own
+        cut = np.maximum(_reached(rough, least), 0.0)
+        close = rough <= (cut + 1e-9 * (1 + cut + size.max()))[:, None]
+        ends, begin = np.cumsum(close.sum(axis=1)), 0
+        while begin < len(some):
+            # As many queries as have EXACT pairs, one at least.
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + EXACT, "right")))
+            row, col_ = np.nonzero(close[begin:end])
+            d = np.concatenate([((y[col_[i : i + EXACT]] - some[begin + row[i : i + EXACT]]) ** 2).sum(axis=1) for i in range(0, max(1, len(row)), EXACT)])
+            order = np.lexsort((ids[col_], d, row))
+            # ``least`` of each, or none of a query that isn't a number.
+            chosen = order[np.arange(len(row)) - np.searchsorted(row, row) < least]
+            found.append((col_[chosen], d[chosen], np.bincount(row[chosen], minlength=end - begin)))
+            begin = end
+    which, d, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+    near = pa.StructArray.from_arrays(
+        [pa.array(d), pa.array(ids[which]), t.column("label").combine_chunks().take(pa.array(which))], fields=list(_ARROW.field("near").type.value_type),
+    )
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), near)
+    return pa.Table.from_arrays([pa.array(q.column("id").to_numpy()), lists.cast(_ARROW.field("near").type)], schema=_ARROW)
 
 
 class Neighbours:
@@ -100,8 +143,11 @@ class Neighbours:
         rows = train.select(col(key).cast("bigint").alias("id"), label.alias("label"), x.alias("x")).where("label is not null")
         return cls(target, encoder, numeric, max(1, k), kept(rows))
 
-    def nearest(self, asked: DataFrame, block: int = 4000) -> tuple[DataFrame, int, int]:
-        """``q, near`` of the rows (id, x) of ``asked``; the pairs of rows in blocks that met, and how many there are in all."""
+    def nearest(self, asked: DataFrame, block: int | None = None) -> tuple[DataFrame, int, int]:
+        """``q, near`` of the rows (id, x) of ``asked``; the pairs of rows in blocks that met, and how many there are in all.
+
+        Without ``block``, blocks are as large as memory lets them be, but so small that the cores share the pairs of blocks.
+        """
         k = self.k
         pivots = self.vectors.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(PIVOTS).collect()
         if not pivots:
@@ -119,7 +165,17 @@ class Neighbours:
         for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect():  # at most PIVOTS rows
             counts[r["cell"]], radius[r["cell"]] = r["n"], r["d"]
         cells = Cells(centres, counts, radius)
-        parts = np.maximum(1, -(-counts // block))
+        if block is None:
+            tasks = int(np.ceil(np.sqrt(4 * asked.sparkSession.sparkContext.defaultParallelism)))
+            block = min(BLOCK, max(1, BLOCK_BYTES // (8 * max(1, centres.shape[1]))), max(LEAST_BLOCK, -(-int(counts.sum()) // tasks)))
+        group_of = cells.groups(block)
+        rows_of = np.bincount(group_of, counts).astype(np.int64)
+        parts = np.maximum(1, -(-rows_of // block))
+        by_group = np.argsort(group_of, kind="stable")
+        starts = np.flatnonzero(np.diff(group_of[by_group], prepend=-1))
+
+        def met_by(to: np.ndarray) -> np.ndarray:
+            return np.logical_or.reduceat(to[:, by_group], starts, axis=1)
 
         def visits(rows: DataFrame, bounded: bool) -> DataFrame:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,25 +183,29 @@ class Neighbours:
                     for at in range(0, whole.num_rows, 512):
                         b = whole.slice(at, 512)
                         d = cells.to_pivots(matrix(b.column(1)))
-                        to = cells.rest(d, b.column(2).to_numpy(zero_copy_only=False), k) if bounded else cells.first(d, k)
-                        row, cell = np.nonzero(to)
-                        own = b.take(pa.array(row))
-                        yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(cell.astype(np.int32))], names=["id", "x", "cell"])
+                        to = met_by(cells.first(d, k))
+                        if bounded:
+                            to = met_by(cells.rest(d, b.column(2).to_numpy(zero_copy_only=False), k)) & ~to
+                        row, group = np.nonzero(to)
+                        for some in range(0, len(row), 4096):
+                            own = b.take(pa.array(row[some : some + 4096]))
+                            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(group[some : some + 4096].astype(np.int32))], names=["id", "x", "part"])
 
-            return rows.mapInArrow(run, "id bigint, x array<double>, cell int")
+            return rows.mapInArrow(run, "id bigint, x array<double>, part int")
 
         def meet(visited: DataFrame) -> tuple[DataFrame, int]:
             visited = kept(visited)
-            crowds, compared = np.zeros(len(counts), np.int64), 0
-            for r in visited.groupBy("cell").count().collect():  # at most PIVOTS rows
-                crowds[r["cell"]] = -(-r["count"] // block)
-                compared += r["count"] * int(counts[r["cell"]])
-            blocks_of, crowds_of = F.get(F.lit(parts.tolist()), "cell"), F.get(F.lit(crowds.tolist()), "cell")
+            crowds, compared = np.zeros(len(parts), np.int64), 0
+            for r in visited.groupBy("part").count().collect():  # at most PIVOTS rows
+                crowds[r["part"]] = -(-r["count"] // block)
+                compared += r["count"] * int(rows_of[r["part"]])
+            blocks_of, crowds_of = F.get(F.lit(parts.tolist()), "part"), F.get(F.lit(crowds.tolist()), "part")
             spread = lambda n: F.explode(F.sequence(F.lit(0), (n - 1).cast("int")))
             dealt_to = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-            left = visited.select("id", "x", "cell", dealt_to(crowds_of).alias("a"), spread(blocks_of).alias("b"))
-            right = dealt.where(crowds_of > 0).select("id", "label", "x", "cell", spread(crowds_of).alias("a"), dealt_to(blocks_of).alias("b"))
-            near = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(lambda q, t: _best(q, t, k), f"q bigint, near {_NEAR}")
+            left = visited.select("id", "x", "part", dealt_to(crowds_of).alias("a"), spread(blocks_of).alias("b"))
+            grouped = dealt.withColumn("part", F.get(F.lit(group_of.tolist()), "cell"))
+            right = grouped.where(crowds_of > 0).select("id", "label", "x", "part", spread(crowds_of).alias("a"), dealt_to(blocks_of).alias("b"))
+            near = left.groupBy("part", "a", "b").cogroup(right.groupBy("part", "a", "b")).applyInArrow(lambda q, t: _best(q, t, k), f"q bigint, near {_NEAR}")
             return near, compared
 
         merged = lambda found: found.groupBy("q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
@@ -156,7 +216,7 @@ class Neighbours:
         # Kept, so that no later step's unused columns are pruned below the pairing.
         return kept(merged(first.unionByName(second))), met + more, int(counts.sum()) * asked.count()
 
-    def transform(self, df: DataFrame, block: int = 4000) -> DataFrame:
+    def transform(self, df: DataFrame, block: int | None = None) -> DataFrame:
         x = F.array(*self.encoder.columns(df).values()).cast("array<double>")
         asked = kept(df.select("*", F.monotonically_increasing_id().alias("__q"), x.alias("__x")))
         near, _, _ = self.nearest(asked.select(F.col("__q").alias("id"), F.col("__x").alias("x")), block)
