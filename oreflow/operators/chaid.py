@@ -225,7 +225,8 @@ class Chaid:
     ):
         inputs = list(dict.fromkeys(inputs))
         t = as_text(train, target)
-        rows = train.where(t.isNotNull())
+        # Kept: each field's cuts and values are passes of their own, and must not make the training rows again.
+        rows = kept(train.where(t.isNotNull()).select(*cols(dict.fromkeys([target, *inputs]))))
         self.target, self.inputs = target, inputs
         self.ordered = {f: is_number(train, f) for f in inputs}
         self.cuts: dict[str, list[float]] = {}
