@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -127,5 +128,7 @@ def forget() -> None:
 
 
 def release() -> None:
-    """Gives Arrow's unused memory back at the end of a task: Spark keeps its Python workers for the next stages."""
+    """Gives unused memory back at the end of a task, Arrow's and the C library's: Spark keeps its Python workers for the next stages."""
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc only
+        trim(0)

@@ -208,9 +208,10 @@ def _ordered_sets(docs: DataFrame, sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts = sketch.value
-        for b in batches:
-            own = {class_of(s): s for x in b.column("text").to_pylist() if len(s := shingle_set(x))}
-            yield {"cls": list(own), "sequence": [s[np.lexsort((s, counts[_bins(s)]))[::-1]].tobytes() for s in own.values()]}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                own = {class_of(s): s for x in whole.slice(at, 512).column(0).to_pylist() if len(s := shingle_set(x))}
+                yield {"cls": list(own), "sequence": [s[np.lexsort((s, counts[_bins(s)]))[::-1]].tobytes() for s in own.values()]}
 
     return common.map_rows(docs.select("text"), run, "cls bigint, sequence binary").dropDuplicates(["cls"])
 

@@ -165,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text_col
     rows = found.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("row").alias("row")).select("quality", "row.text", "row.declared")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        common.forget()
         for b in batches:
             found = [features(x, c) for x, c in zip(b.column("text").to_pylist(), b.column("declared").to_pylist(), strict=True)]
             yield {
@@ -184,6 +185,7 @@ def scored(docs: DataFrame, model: Model, out_col: str = "score", text_col: str
     rest = docs.drop(*[c for c in docs.columns if c.lower() == out_col.lower()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.forget()
         m = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
