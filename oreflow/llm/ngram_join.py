@@ -168,7 +168,7 @@ def _sketch(first: DataFrame) -> np.ndarray:
         yield {"counts": [_pack(total)]}
 
     while (n := rows.count()) > 8:
-        rows = common.saved(common.map_rows(rows.repartition(max(4, n // 64)), add, "counts binary"), "sketches")
+        rows = common.saved(common.map_rows(rows.coalesce(max(4, n // 64)), add, "counts binary"), "sketches")  # read where they lie: no shuffle
     return sum((_unpack(r["counts"]) for r in rows.collect()), np.zeros(1 << SKETCH_BITS, np.uint32))
 
 
@@ -304,14 +304,19 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     # One exchange serves the aggregation and the join; for that, the aggregation too reads every column.
     rows = _prefixes(base, sketch, max(SALTS, parts)).repartition(parts, "tok", "salt")
     centres = rows.groupBy("tok", "salt").agg(
-        F.min("cls").alias("centre"), F.max("cls").alias("last"), F.max("n").alias("_n"), F.max("place").alias("_place"),
-    ).where("_n > 0 and _place >= 0").drop("_n", "_place")
-    shared = common.saved(rows.join(centres.where("centre != last or salt != 0").drop("last"), ["tok", "salt"]), "shared-shingles")
-    own = shared.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
-    tops = shared.where("salt != 0 or cls = centre").select("tok", "centre").distinct()
+        F.min("cls").alias("centre"), F.max("cls").alias("last"), F.min_by("n", "cls").alias("centre_n"), F.max("place").alias("_place"),
+    ).where("_place >= 0").drop("_place")
+    # Lengths that leave the threshold out of reach are told apart here, where both are known, not after the pairs are dealt.
+    near = F.expr("4 * least(n, centre_n) >= 3 * greatest(n, centre_n)").alias("near")
+    shared = common.saved(
+        rows.join(centres.where("centre != last or salt != 0").drop("last"), ["tok", "salt"]).select("tok", "salt", "cls", "n", "place", "centre", near), "shared-shingles",
+    )
+    own = shared.where("cls != centre and near").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
+    # Only a salted shingle has several groups, and so several centres.
+    tops = shared.where("salt != 0").select("tok", "centre").distinct()
     top = tops.groupBy("tok").agg(F.min("centre").alias("a"), F.count("*").alias("k")).where("k > 1").drop("k")
     between = tops.join(top, "tok").where("a != centre").select("a", F.col("centre").alias("b"))
-    prefixes = shared.groupBy("cls", "n").agg(F.collect_set("tok").alias("toks"))
+    prefixes = shared.groupBy("cls").agg(F.max("n").alias("n"), F.collect_set("tok").alias("toks"))  # dealt by the class alone, as its joins are
     pairs = _possible(own.union(between).distinct(), prefixes)
 
     # Counted before any join, so that the copies of one text never meet in one task.
@@ -320,13 +325,13 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     ))
     links = common.cut_lineage(_verify(pairs, _sets_of(pairs, members, base, sketch)))
     label = components(links)
-    mixed = _mixed(shared, label)
+    mixed = _mixed(shared, label, parts)
     if not mixed.isEmpty():
         big = common.cut_lineage(mixed.select("label", "cls", "n").distinct().groupBy("label").agg(
             F.count("*").alias("size"), F.sum("n").alias("shingles"),
         ).where(F.col("size") > LARGE))
         few = big.isEmpty()
-        small = mixed if few else common.cut_lineage(mixed.join(big.select("label"), "label", "left_anti"))
+        small = mixed if few else common.cut_lineage(mixed.join(_small(big.select("label")), "label", "left_anti"))
         groups = common.cut_lineage(small.groupBy("tok").agg(
             F.count("*").alias("k"), F.sum("n").alias("shingles"), F.min("label").alias("lo"), F.max("label").alias("hi"),
             F.bit_xor(F.xxhash64("cls")).alias("sum"),
@@ -335,7 +340,7 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
             _remaining(small.join(groups.where(F.col("k") <= CROWD).select("tok"), "tok")).join(pairs, ["a", "b"], "left_anti"), prefixes,
         )
         more = _verify(rest, _sets_of(rest, members, base, sketch))
-        walks = [] if few else [_large_blocks(mixed, big)]
+        walks = [] if few else [_large_blocks(mixed, big, parts)]
         # Shingles with the same classes, as those of one passage, are one crowd.
         crowds = common.cut_lineage(groups.where(F.col("k") > CROWD).groupBy("k", "shingles", "lo", "hi", "sum").agg(F.min("tok").alias("tok")))
         if not crowds.isEmpty():
@@ -410,12 +415,15 @@ def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(name, LongType()))
 
 
-def _mixed(shared: DataFrame, label: DataFrame) -> DataFrame:
+def _mixed(shared: DataFrame, label: DataFrame, parts: int) -> DataFrame:
     """The rows of groups that hold several components, with their component."""
+    # As above, one exchange (and the join before it) serves the aggregation and the join, so the aggregation reads every column.
     marked = shared.select("tok", "cls", "n", "place").join(
         label.withColumnRenamed("node", "cls"), "cls", "left",
-    ).withColumn("label", F.coalesce("label", "cls"))
-    mixed = marked.groupBy("tok").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tok")
+    ).withColumn("label", F.coalesce("label", "cls")).repartition(parts, "tok")
+    mixed = marked.groupBy("tok").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("cls").alias("_cls"), F.max("n").alias("_n"), F.max("place").alias("_place"),
+    ).where("lo != hi and _cls is not null and _n > 0 and _place >= 0").select("tok")
     # A class with copies in several tasks came once from each.
     return common.cut_lineage(marked.join(mixed, "tok").distinct())
 
@@ -431,13 +439,13 @@ def _remaining(mixed: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _large_blocks(mixed: DataFrame, big: DataFrame) -> DataFrame:
+def _large_blocks(mixed: DataFrame, big: DataFrame, parts: int) -> DataFrame:
     """Rows of :func:`_walked`: the blocks of each large component, and of the other classes that share a group with it.
 
     A class is sent once to each block, however many shingles it shares with it.
     """
-    at = mixed.select("tok", "label").distinct()
-    large = at.join(big.select("label"), "label").withColumnRenamed("label", "big")
+    at = mixed.select("tok", "label").repartition(parts, "tok").distinct()  # dealt once, as the join below needs it
+    large = at.join(_small(big.select("label")), "label").withColumnRenamed("label", "big")
     met = large.join(at, "tok").where("label != big").select("big", "label").distinct()
     own = mixed.select("label", "cls", "n").distinct()
     probes = common.cut_lineage(met.join(own, "label"))
@@ -458,7 +466,7 @@ def _large_blocks(mixed: DataFrame, big: DataFrame) -> DataFrame:
 def _crowd_blocks(small: DataFrame, crowds: DataFrame) -> DataFrame:
     """Rows of :func:`_walked`: each two blocks of the classes of a crowded group, one as a tree and one as probes."""
     rows = small.join(
-        crowds.select("tok", _blocks(F.col("k"), F.col("shingles")).alias("blocks")), "tok",
+        _small(crowds.select("tok", _blocks(F.col("k"), F.col("shingles")).alias("blocks"))), "tok",
     ).withColumn("own", F.pmod(F.hash("cls"), "blocks"))
     row = [F.col("tok").alias("g"), "i", "j", "cls", "label", "probe"]
     trees = rows.withColumn("i", F.col("own")).withColumn(
