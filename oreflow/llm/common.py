@@ -66,8 +66,11 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     the others are shuffled.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("__k"))
-    total = rows.count()
-    heavy = cut_lineage(counts.where(F.col("__k") > max(100, total // 10_000)).join(table, key).drop("__k"))
+    total, most = counts.agg(F.sum("__k"), F.max(F.when(F.col(key).isNotNull(), F.col("__k")))).first()
+    least = max(100, (total or 0) // 10_000)
+    if (most or 0) <= least:
+        return rows.join(table, key, "left")
+    heavy = cut_lineage(counts.where(F.col("__k") > least).join(table, key).drop("__k"))
     if heavy.isEmpty():
         return rows.join(table, key, "left")
     hot = rows.join(F.broadcast(heavy), key)

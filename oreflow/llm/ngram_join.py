@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oreflow.llm import common
@@ -270,19 +270,21 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each component, by alternating star contraction."""
-    both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """(node, label): the smallest node of each component, by alternating star contraction.
+
+    A round is three shuffles of its edges and no join, as every plan, stage
+    and broadcast takes memory of the driver, on small tables too.
+    """
+    least = F.min("v").over(Window.partitionBy("u"))
     edges = common.cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     total = None
     while True:
-        # Large star: every larger neighbour moves to the least neighbour.
-        near = both(edges)
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # Small star: smaller neighbours and the node itself move to the least of them.
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = common.cut_lineage(moved.where("u != v").distinct())
+        # Large star: every larger neighbour moves to the least neighbour, or to the node itself.
+        near = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        edges = near.withColumn("m", F.least(least, "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Small star: smaller neighbours and the node itself move to the least of them; the edge to that one stands for the node.
+        moved = edges.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = common.cut_lineage(moved.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == total:
             break
@@ -323,8 +325,7 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
     members = common.cut_lineage(classes.where("n > 0 and doc_id is not null").groupBy("cls").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("k"),
     ))
-    links = common.cut_lineage(_verify(pairs, _sets_of(pairs, members, base, sketch)))
-    label = components(links)
+    label = components(_verify(pairs, _sets_of(pairs, members, base, sketch)))
     mixed = _mixed(shared, label, parts)
     if not mixed.isEmpty():
         big = common.cut_lineage(mixed.select("label", "cls", "n").distinct().groupBy("label").agg(
@@ -348,8 +349,10 @@ def _compared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, D
         if walks:
             rows = common.cut_lineage(walks[0] if len(walks) == 1 else walks[0].unionByName(walks[1]))
             more = more.union(_walked(rows, _sets_of_classes(rows.select("cls").distinct(), members, base, sketch)))
-        # The components so far stand for the links that made them.
-        label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+        more = common.cut_lineage(more)
+        if not more.isEmpty():
+            # The components so far stand for the links that made them.
+            label = components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     sketch.destroy()  # what is returned reads saved tables only
     return classes, members, label
 
