@@ -40,6 +40,8 @@ FORMAT = "part int, block int, doc_ids array<bigint>, lengths array<int>, symbol
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 #: A rule takes two symbols and a length: each made takes fewer numbers than the symbols it saves, so the output never grows.
 MIN_COUNT = 4
+#: Characters of texts encoded at a time, but for longer single ones.
+ENCODED_CHARS = 4 << 20
 
 
 def _counted(key: np.ndarray, exact: bool, turn: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +212,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: in
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 some = b.slice(at, 1024)
-                for i, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+                for i, x in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist(), ENCODED_CHARS), strict=True):
                     ids.append(x + tail)
                     names.append(i)
                     lengths.append(len(x) // 4 + 1)

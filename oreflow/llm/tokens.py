@@ -75,7 +75,7 @@ class PieceEncoder:
         self.mark = mark.content
         self.known: dict[str, bytes] = {}
         self.room = CACHE_BYTES
-        self.once = bytearray(ONCE)  # a piece is kept when it is met in a second batch
+        self.once = np.zeros(ONCE, bool)  # a piece is kept when it is met in a second batch
         self.tokenize = self.tokenizer.model.tokenize
         self.single = self._single_word_form()
         self.signs = dict(enumerate(_byte_signs()))
@@ -114,6 +114,12 @@ class PieceEncoder:
             word = word.encode().decode("latin-1").translate(self.signs)
         return before + array("I", [t.id for t in self.tokenize(sign + word)]).tobytes() + after
 
+    def _signed(self, words: str) -> str:
+        """Words of letters, with blanks, in byte signs."""
+        if words.isascii():
+            return words.replace(" ", "\u0120")
+        return words.encode().decode("latin-1").translate(self.signs)
+
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words behind a blank, several as one string of byte signs.
 
@@ -124,7 +130,7 @@ class PieceEncoder:
         out: list[bytes] = []
         for at in range(0, len(words), WORDS * JOINED):
             some = words[at : at + WORDS * JOINED]
-            texts = [f" {' '.join(some[k : k + JOINED])}".encode().decode("latin-1").translate(self.signs) for k in range(0, len(some), JOINED)]
+            texts = [self._signed(f" {' '.join(some[k : k + JOINED])}") for k in range(0, len(some), JOINED)]
             ids = np.array([i for e in self.words.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], dtype="<u4")
             places = np.flatnonzero(self.begins[ids])
             if len(places) != len(some):
@@ -138,15 +144,20 @@ class PieceEncoder:
         """Puts the ids of the keys that are words, with marks behind them or not, to their places in ``out``, each word encoded once; returns the places of the others."""
         column = pa.array(keys, pa.large_string())
         simple = pc.match_substring_regex(column, _WORD)
-        bare = pc.utf8_rtrim(column.filter(simple), _MARKS).dictionary_encode()
+        own = column.filter(simple)
+        cut = pc.utf8_rtrim(own, _MARKS)
+        marked = pc.not_equal(pc.binary_length(cut), pc.binary_length(own)).to_numpy(zero_copy_only=False)
+        bare = cut.dictionary_encode()
         words, simple = _strings(bare.dictionary), simple.to_numpy(zero_copy_only=False)
         ids = list(map(self.known.get, words))
         new = [k for k, v in enumerate(ids) if v is None]
         for k, v in zip(new, self._words([words[k] for k in new]), strict=True):
             ids[k] = v
-        for place, k in zip(np.flatnonzero(simple).tolist(), bare.indices.to_numpy().tolist(), strict=True):
-            key, size = keys[place], len(words[k])
-            out[place] = ids[k] if len(key) == size else ids[k] + self._tail(key[size:])
+        places, which = np.flatnonzero(simple), bare.indices.to_numpy()
+        for place, k in zip(places[~marked].tolist(), which[~marked].tolist(), strict=True):
+            out[place] = ids[k]
+        for place, k in zip(places[marked].tolist(), which[marked].tolist(), strict=True):
+            out[place] = ids[k] + self._tail(keys[place][len(words[k]) :])
         return np.flatnonzero(~simple).tolist()
 
     def _tail(self, tail: str) -> bytes:
@@ -193,23 +204,25 @@ class PieceEncoder:
             return got
         for k, v in zip(missing, self._learn([keys[k] for k in missing]), strict=True):
             got[k] = v
-        for k in missing:
-            if self.room <= 0:
-                break
-            key, v = keys[k], got[k]
-            place = hash(key) % ONCE
-            if self.once[place]:
+        if self.room > 0:
+            places = np.fromiter(map(hash, map(keys.__getitem__, missing)), np.int64, len(missing)) % ONCE
+            for at in np.flatnonzero(self.once[places]).tolist():
+                key, v = keys[missing[at]], got[missing[at]]
                 self.known[key] = v
                 self.room -= len(key) + len(v) + ENTRY
-            self.once[place] = 1
+                if self.room <= 0:
+                    break
+            self.once[places] = True
         return got
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], batch_chars: int | None = None) -> list[bytes]:
+        """``batch_chars``, in place of BATCH_CHARS: more of them cost memory and spare words that come again."""
+        most = batch_chars or BATCH_CHARS
         out: list[bytes] = []
         at = 0
         while at < len(texts):
             end, held = at, 0
-            while end < len(texts) and (end == at or held + len(texts[end]) <= BATCH_CHARS):
+            while end < len(texts) and (end == at or held + len(texts[end]) <= most):
                 held += len(texts[end])
                 end += 1
             out += self._encode(texts[at:end])
