@@ -14,9 +14,10 @@ is one row per document with its class: no pairs of copies are expanded.
    the centre's set walks it once, sharing partial overlaps, and leaves a
    subtree as soon as the remaining length can't reach the threshold.
 4. Links give components.  Groups that still hold different components are
-   compared to the end: small ones by each pair that the length and place
-   bounds allow, crowded ones and those of large components as blocks of
-   trees that blocks of the other classes walk.  Nothing is capped or dropped.
+   compared to the end, by those of their classes that meet another component
+   within the bounds on lengths and places: small ones by each such pair,
+   crowded ones and those of large components as blocks of trees that blocks
+   of the other classes walk together.  No pair that can link is left out.
 
 Groups of a frequent shingle are salted, stars and groups of many members are
 cut into blocks of bounded size, components are found by distributed star
@@ -49,6 +50,10 @@ HEAVY, SALTS = 8, 32
 BLOCK, BLOCK_SHINGLES = 256, 200_000
 #: Components of more classes, and groups of more small components' classes, than these are compared as blocks of trees, not pair by pair.
 LARGE, CROWD = 16, 64
+#: The most shingles of a set that can reach the threshold with this row's if their first common one is the row's: 7 * (n - place) >= 3 * (n + m).
+REACH = "((4 * n - 7 * place) div 3)"
+#: Shingles of a tree times the probes that walk it together at most.
+WALKED = 1 << 25
 #: Ids of documents up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -129,6 +134,37 @@ class PrefixTree:
             stack += [(c, depth, same) for c in node.children.values()]
         return found
 
+    def linked_all(self, probes: list[np.ndarray], known: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place of the probe, member) of all that reach the threshold; the probes walk the tree together. ``known``: the tree's shingles, in order."""
+        at = 0
+        while at < len(probes):
+            # As many probes as have WALKED numbers, one at least.
+            end = at + max(1, WALKED // (len(known) + 1))
+            some = probes[at:end]
+            sizes, of = np.array(list(map(len, some))), np.repeat(np.arange(len(some)), list(map(len, some)))
+            shingles = np.concatenate(some)
+            place = np.searchsorted(known, shingles)
+            same = known[np.minimum(place, len(known) - 1)] == shingles
+            has = np.zeros((len(known), len(some)), bool)
+            has[place[same], of[same]] = True
+            stack = [(self, 0, np.arange(len(some)), np.zeros(len(some), np.int64))]
+            while stack:
+                node, depth, live, common_size = stack.pop()
+                if node.run:
+                    depth += len(node.run)
+                    rows = np.searchsorted(known, np.array(node.run, np.uint64))
+                    common_size = common_size + np.count_nonzero(has[rows] if len(live) == len(some) else has[rows[:, None], live], axis=0)
+                stay = 4 * node.longest >= 3 * sizes[live] + 7 * (depth - common_size)
+                if not stay.any():
+                    continue
+                live, common_size = live[stay], common_size[stay]
+                if node.members:
+                    for i in live[100 * common_size >= 75 * (sizes[live] + depth - common_size)].tolist():
+                        for x in node.members:
+                            yield at + i, x
+                stack += [(c, depth, live, common_size) for c in node.children.values()]
+            at = end
+
 
 def _sets(docs: DataFrame) -> DataFrame:
     """Per document: its size and class; per task one sketch row (packed, in ``counts``)."""
@@ -419,16 +455,26 @@ def _with_class(docs: DataFrame, text_col: str, name: str) -> DataFrame:
 
 
 def _mixed(shared: DataFrame, label: DataFrame, parts: int) -> DataFrame:
-    """The rows of groups that hold several components, with their component."""
+    """The rows, with their component, that meet a row of another component within the bounds on lengths and places.
+
+    At the first shingle that two sets share, in the global order, they have at
+    most as many in common as the rest of either; so two that link are both kept there.
+    """
     # As above, one exchange (and the join before it) serves the aggregation and the join, so the aggregation reads every column.
     marked = shared.select("tok", "cls", "n", "place").join(
         label.withColumnRenamed("node", "cls"), "cls", "left",
-    ).withColumn("label", F.coalesce("label", "cls")).repartition(parts, "tok")
-    mixed = marked.groupBy("tok").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("cls").alias("_cls"), F.max("n").alias("_n"), F.max("place").alias("_place"),
-    ).where("lo != hi and _cls is not null and _n > 0 and _place >= 0").select("tok")
+    ).withColumn("label", F.coalesce("label", "cls")).where(
+        "tok is not null and n is not null and place is not null and label is not null",  # as the join asks of its left side: one exchange for both
+    ).repartition(parts, "tok")
+    # Of each length the two components whose rows reach the farthest: one of them is another than the row's own.
+    far = marked.groupBy("tok", F.col("n").alias("m"), F.col("label").alias("other")).agg(
+        F.max(F.expr(REACH)).alias("reach"), F.max("cls").alias("_cls"),
+    ).where("_cls is not null").drop("_cls")
+    order = Window.partitionBy("tok", "m").orderBy(F.desc("reach"), "other")
+    far = far.withColumn("i", F.row_number().over(order)).where("i <= 2").select(F.col("tok").alias("t"), "m", "other", "reach")
+    met = F.expr(f"tok = t and label != other and 4 * least(n, m) >= 3 * greatest(n, m) and m <= {REACH} and n <= reach")
     # A class with copies in several tasks came once from each.
-    return common.cut_lineage(marked.join(mixed, "tok").distinct())
+    return common.cut_lineage(marked.join(far, met, "left_semi").distinct())
 
 
 def _remaining(mixed: DataFrame) -> DataFrame:
@@ -483,18 +529,21 @@ def _walked(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of the probes of each (g, i, j) with its tree; one for each probe and other component."""
 
     def walk(t: pa.Table) -> pa.Table:
-        tree, of, queries, a, b = PrefixTree([]), {}, [], [], []
+        tree, of, members, queries, a, b = PrefixTree([]), {}, [], [], [], []
         for cls, label, probe, raw in zip(*(t.column(c).to_pylist() for c in ("cls", "label", "probe", "sequence")), strict=True):
+            sequence = np.frombuffer(raw, "<u8")
             if probe:
-                queries.append((cls, label, raw))
+                queries.append((cls, label, sequence))
             else:
-                tree.add(np.frombuffer(raw, "<u8").tolist(), cls)
+                tree.add(sequence.tolist(), cls)
                 of[cls] = label
-        for cls, label, raw in queries:
-            found = {of[x]: x for x in tree.linked(set(np.frombuffer(raw, "<u8").tolist()))}
-            found.pop(label, None)
-            a += [cls] * len(found)
-            b += found.values()
+                members.append(sequence)
+        if members and queries:
+            found = {}
+            for i, x in tree.linked_all([s for _, _, s in queries], np.unique(np.concatenate(members))):
+                if of[x] != queries[i][1]:
+                    found[i, of[x]] = x
+            a, b = [queries[i][0] for i, _ in found], list(found.values())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.join(sets, "cls").select(
